@@ -1,3 +1,7 @@
 """A corpus, from documents to packed batches: STAGES in order, each written before the next."""
 
 ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import media
+from quire.llm import media, mixing, packing
 from quire.llm._common import documents
 
 
@@ -12,5 +12,13 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_audio_features": op1_audio_features}
-ORACLES: dict[str, str] = {}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_audio_features": op1_audio_features, "op2_packing": op2_packing, "op6_mixing": op6_mixing}
+ORACLES: dict[str, str] = {"op2_packing": packing.SQL, "op6_mixing": mixing.SQL}
