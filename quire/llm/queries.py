@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import media, mixing, packing
+from quire.llm import licenses, media, mixing, packing, secrets
 from quire.llm._common import documents
 
 
@@ -20,5 +20,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_audio_features": op1_audio_features, "op2_packing": op2_packing, "op6_mixing": op6_mixing}
-ORACLES: dict[str, str] = {"op2_packing": packing.SQL, "op6_mixing": mixing.SQL}
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.train(secrets.corpus_samples(docs)))
+
+
+QUERIES = {
+    "op1_audio_features": op1_audio_features,
+    "op2_packing": op2_packing,
+    "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
+    "op10_secrets": op10_secrets,
+}
+ORACLES: dict[str, str] = {"op2_packing": packing.SQL, "op6_mixing": mixing.SQL, "op7_licenses": licenses.SQL}
