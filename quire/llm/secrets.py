@@ -45,12 +45,12 @@ SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 def matches(text: str, pattern: str, group: int, least: int, kind: int) -> Column:
     """Spans of a pattern in a text column (by name), in order; matches with a short group are dropped."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    step = "named_struct('s', a.at + length(x.p), 'k', {k}, 'e', a.at + length(x.p) + length(x.m), 'v', x.g)".format(k=kind)
+    step = "named_struct('s', a.at + length(x.`0`), 'k', {k}, 'e', a.at + length(x.`0`) + length(x.`1`), 'v', x.`2`)".format(k=kind)
     return F.expr(f"""
         if({text} rlike {p}, filter(aggregate(
-            arrays_zip(split({text}, {p}, -1) as p, regexp_extract_all({text}, {p}, 0) as m, regexp_extract_all({text}, {p}, {group}) as g),
+            arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
             named_struct('at', 0, 'out', cast(array() as {SPANS})),
-            (a, x) -> if(x.m is null, a, named_struct('at', a.at + length(x.p) + length(x.m), 'out', concat(a.out, cast(array({step}) as {SPANS})))),
+            (a, x) -> if(x.`1` is null, a, named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'out', concat(a.out, cast(array({step}) as {SPANS})))),
             a -> a.out), y -> length(y.v) >= {least}), cast(array() as {SPANS}))""")
 
 
