@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import licenses, media, mixing, packing, secrets
+from quire.llm import licenses, linededup, media, mixing, packing, secrets
 from quire.llm._common import documents
 
 
@@ -16,6 +16,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
@@ -32,8 +36,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_audio_features": op1_audio_features,
     "op2_packing": op2_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op2_packing": packing.SQL, "op6_mixing": mixing.SQL, "op7_licenses": licenses.SQL}
+ORACLES: dict[str, str] = {"op2_packing": packing.SQL, "op4_line_dedup": linededup.SQL, "op6_mixing": mixing.SQL, "op7_licenses": licenses.SQL}
