@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import licenses, linededup, media, mixing, packing, secrets
+from quire.llm import licenses, linededup, media, mixing, neardup, packing, secrets
 from quire.llm._common import documents
 
 
@@ -28,6 +28,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secrets.scan(docs, secrets.train(secrets.corpus_samples(docs)))
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {"op2_packing": packing.SQL, "op4_line_dedup": linededup.SQL, "op6_mixing": mixing.SQL, "op7_licenses": licenses.SQL}
