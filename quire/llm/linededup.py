@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm._common import small_batches, stored
 from quire.session import ship
@@ -213,20 +214,20 @@ class LineIndex:
         return self.filters.groupBy("shard").cogroup(asked).applyInPandas(ask, "hi long, lo long")
 
     def decide(self, postings: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-        """(doc_id, drop): for each document that loses lines, the keys it loses."""
+        """(doc_id, _drop): for each document that loses lines, the keys it loses."""
         keys = postings.select("hi", "lo").distinct() if keys is None else keys
         common = self._hot(self.counts.join(self.maybe(keys), ["hi", "lo"], "left_semi")).select("hi", "lo", "top")
         lost = postings.join(common, ["hi", "lo"]).filter("doc_id < top or (doc_id is null and top is not null)")
-        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("drop"))
+        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("_drop"))
 
 
-DROP_COLUMNS = ("n_lines", "n_dropped")
+DROP_COLUMNS = ("_n_lines", "_n_dropped")
 
 
 def without_lines(docs: DataFrame, drops: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with the text that stays, n_lines before dropping and n_dropped."""
+    """docs with the text that stays, and DROP_COLUMNS: lines before dropping, lines dropped."""
     names = docs.columns
-    rows = docs.join(drops.withColumnRenamed("doc_id", "_drop_id"), F.expr("doc_id <=> _drop_id"), "left").select(*[docs[c] for c in names], "drop")
+    rows = docs.join(drops.withColumnRenamed("doc_id", "_drop_id"), F.expr("doc_id <=> _drop_id"), "left").select(*[docs[c] for c in names], "_drop")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def without_lines(docs: DataFrame, drops: DataFrame, least_chars: int = LEAST_CH
             arrays = [pa.array(kept, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *DROP_COLUMNS])
 
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in DROP_COLUMNS)])
     return small_batches(rows).mapInArrow(run, schema)
 
 
@@ -259,7 +260,7 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 for every document."""
-    return dedup(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup(docs.select("doc_id", "text")).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL = f"""

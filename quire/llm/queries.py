@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import licenses, linededup, media, mixing, neardup, packing, secrets
+from quire.llm import licenses, linededup, media, mixing, neardup, packing, secrets, toxicity
 from quire.llm._common import documents
+from quire.session import table
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secrets.scan(docs, secrets.train(secrets.corpus_samples(docs)))
@@ -44,6 +49,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {"op2_packing": packing.SQL, "op4_line_dedup": linededup.SQL, "op6_mixing": mixing.SQL, "op7_licenses": licenses.SQL}
