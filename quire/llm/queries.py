@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import licenses, linededup, media, mixing, neardup, packing, secrets, toxicity
+from quire.llm import brown, licenses, linededup, media, mixing, neardup, packing, secrets, toxicity
 from quire.llm._common import documents
 from quire.session import table
 
@@ -17,6 +17,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op3_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.class_scores(documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_audio_features": op1_audio_features,
     "op2_packing": op2_packing,
+    "op3_brown_classes": op3_brown_classes,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
