@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import brown, licenses, linededup, media, mixing, neardup, packing, secrets, toxicity
+from quire.llm import ann, brown, licenses, linededup, media, mixing, neardup, packing, secrets, toxicity
 from quire.llm._common import documents
 from quire.session import table
 
@@ -25,6 +25,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(documents(spark, sf_dir))
 
 
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.self_join(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_brown_classes": op3_brown_classes,
     "op4_line_dedup": op4_line_dedup,
+    "op5_prefix_forest": op5_prefix_forest,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op8_near_duplicates": op8_near_duplicates,
