@@ -1,0 +1,4 @@
+"""Named queries. Importing the package registers all of them."""
+
+from quire.plans import registry  # noqa: F401  isort: skip
+from quire.plans import calibration  # noqa: F401
