@@ -1,4 +1,7 @@
-"""Heading numbers: patterns, classes, values and their printed forms."""
+"""Heading numbers: patterns, classes, values and their printed forms.
+
+Functions that read a title take it stripped, so that a plan strips it once.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import NOISE_TITLE, TOC_WORDS, SPACE, W, clean_title, col, is_noise_text, running_key, strip  # noqa: F401
+from quire.functions.text import NOISE_TEXT, NOISE_TITLE, SPACE, TOC_WORDS, W, col
 
 #: Numerals, and the patterns of numbered headings in outlines.
 NUMERALS = "一二三四五六七八九十百"
@@ -46,20 +49,20 @@ def any_of(t: Column, *patterns: str) -> Column:
 
 
 def has_numbering(c: Column | str) -> Column:
-    return any_of(strip(c), PART, CHAPTER, SECTION, SUBSECTION, SUBSUBSECTION, ITEM, SUBITEM)
+    return any_of(col(c), PART, CHAPTER, SECTION, SUBSECTION, SUBSUBSECTION, ITEM, SUBITEM)
 
 
 def is_structural(c: Column | str) -> Column:
-    t = strip(c)
+    t = col(c)
     return any_of(t, PART, CHAPTER, SECTION, SUBSECTION, SUBSUBSECTION, ITEM, OPENING, CLOSING, FRONT, BACK) | t.isin(*TOC_WORDS)
 
 
 def classify(c: Column | str, level: Column | str, running: Column | None = None, trusted: Column | None = None) -> Column:
     """The class of a heading candidate, null if it is none; numbers come before levels."""
-    t, lv = strip(c), F.coalesce(col(level), F.lit(0))
+    t, lv = col(c), F.coalesce(col(level), F.lit(0))
     running = F.lit(False) if running is None else F.coalesce(running, F.lit(False))
     trusted = F.lit(False) if trusted is None else trusted
-    out = F.when((t == "") | is_noise_text(c) | any_of(t, *NOISE_TITLE), None).when(t.isin(*TOC_WORDS), "toc").when(running, None)
+    out = F.when((t == "") | t.rlike(NOISE_TEXT) | any_of(t, *NOISE_TITLE), None).when(t.isin(*TOC_WORDS), "toc").when(running, None)
     out = out.when(trusted & (lv == 1), "chapter").when(trusted & (lv != 0), "plain")
     cascade = ((PART, "part"), (CHAPTER, "chapter"), (FRONT, "chapter"), (BACK, "backmatter"), (OPENING, "opening"), (CLOSING, "closing"), (SECTION, "sec"), (SUBSECTION, "subsec"), (SUBSUBSECTION, "subsubsec"), (SUBITEM, "subitem"), (ITEM, "item"))
     for pattern, name in cascade:
@@ -92,7 +95,7 @@ def numeral(n: Column | str) -> Column:
 
 def tier(c: Column | str) -> Column:
     """(tier, n) of a title as audits read it; both null without a number."""
-    t = strip(F.coalesce(col(c), F.lit("")))
+    t = F.coalesce(col(c), F.lit(""))
     out = None
     for name, pattern in TIERS.items():
         n = numeral_value(F.regexp_extract(t, pattern, 1))

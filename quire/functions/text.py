@@ -124,8 +124,8 @@ def looks_like_authors(c: Column | str) -> Column:
 
 
 def running_key(c: Column | str, structural: Column) -> Column:
-    """The key by which a line repeats over pages; null if it can't be a running line."""
-    t = strip(c)
+    """The key by which a stripped line repeats over pages; null if it can't be a running line."""
+    t = col(c)
     k = F.regexp_replace(F.regexp_replace(t, rf"^[{SPACE}0-9.·\-—]{{0,6}}", ""), f"{W}+", " ")
     k = F.regexp_replace(k, r"^[ .·\-—]+|[ .·\-—]+\z", "")
     usable = (t != "") & (F.length(t) <= 60) & ~t.contains("\n") & ~structural & (F.length(k) >= 4)
