@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     own = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
     placed = split.select("sid", "first", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
-    texts = docs.select(F.col("doc_id").alias("first"), "text").join(placed, "first")
+    texts = docs.select(F.col("doc_id").alias("first"), "text").join(placed.hint("merge"), "first")
     links = components(group_links(texts, words, percent))
     roots = sets.select("sid", "first").join(links.toDF("sid", "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
