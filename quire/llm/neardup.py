@@ -4,8 +4,9 @@ A document's set is its distinct word shingles. Equal sets are one *set row* fro
 start. Each of ``TREES`` independent trees branches the set rows by chosen minwise values:
 at the root by ``ROOT_COORDS`` coordinates of a minhash signature, below by one or
 sometimes two (1 / threshold on average) that the node chooses. Nodes of at most
-``SMALL_NODE`` rows are compared exhaustively on 64-value sketches; larger ones branch on,
-down to ``DEPTH``, below which what still agrees is taken as one candidate group.
+``SMALL_NODE`` rows are compared exhaustively on 64-value sketches. A larger node most of
+whose rows resemble its first one, or one at ``DEPTH``, becomes one candidate group as it
+is; the others branch on.
 
 Sketches only say which sets must meet: candidates with an estimate within 4.2 standard
 deviations of the threshold are joined into groups, and inside each group all pairs of
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from quire.llm._common import small_batches, stored
 from quire.llm.graph import components
 
-TREES, ROOT_COORDS, DEPTH, SMALL_NODE, GROUP = 4, 2, 6, 256, 4096
+TREES, ROOT_COORDS, DEPTH, SMALL_NODE, TIGHT, GROUP = 4, 2, 6, 256, 0.9, 4096
 COORDS = 64
 _rng = np.random.default_rng(20240229)
 FLIP = _rng.integers(0, 2**64, COORDS, dtype=np.uint64)
@@ -169,6 +170,12 @@ def node_links(rows: DataFrame, least: float) -> DataFrame:
     return rows.select("key", "sid", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def agreement(one: str, other: str) -> str:
+    """SQL for the estimated similarity of two sketches."""
+    same = f"filter(sequence(0, {COORDS - 1}), i -> substring({one}, 2 * i + 1, 2) = substring({other}, 2 * i + 1, 2))"
+    return f"size({same}) / {COORDS}"
+
+
 def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the trees' candidate links between set rows(sid, roots, sketch)."""
     least = threshold - 4.2 * float(np.sqrt(threshold * (1 - threshold) / COORDS))
@@ -176,19 +183,27 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     rows = sets.select("sid", F.explode(F.array(*coords)).alias("key"))
     found = None
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("sid").alias("b")).filter("size > 1")
         met = rows.join(sizes, "key")
         if "sketch" not in met.columns:
             met = met.join(sets.select("sid", "sketch"), "sid")
         met = stored(met, "node-rows")
         links = node_links(met.filter(F.col("size") <= SMALL_NODE), least)
         found = links if found is None else found.unionByName(links)
-        large = met.filter(F.col("size") > SMALL_NODE).drop("size")
+        large = met.filter(F.col("size") > SMALL_NODE)
         if large.isEmpty():
             return found
-        if level == DEPTH:
-            hub = large.groupBy("key").agg(F.min("sid").alias("b"))
-            return found.unionByName(large.join(hub, "key").select(F.col("sid").alias("a"), "b"))
+        pivots = sets.select(F.col("sid").alias("b"), F.col("sketch").alias("pivot"))
+        near = F.expr(agreement("sketch", "pivot")) >= least
+        large = stored(large.join(pivots, "b").withColumn("near", near).select("key", "sid", "b", "sketch", "near"), "large-nodes")
+        tight = F.avg(F.col("near").cast("int")) >= (0 if level == DEPTH else TIGHT)
+        nodes = stored(large.groupBy("key").agg(tight.alias("tight")), "large-keys")
+        close, loose = nodes.filter("tight").select("key"), nodes.filter("not tight").select("key")
+        found = found.unionByName(large.filter("near").select(F.col("sid").alias("a"), "b"))
+        found = found.unionByName(large.filter("not near").join(close, "key", "left_semi").select(F.col("sid").alias("a"), "b"))
+        large = large.join(loose, "key", "left_semi")
+        if loose.isEmpty():
+            return found
         one = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(COORDS))
         more = F.pmod(F.xxhash64("key", F.lit(level), F.lit(1)), F.lit(COORDS))
         twice = F.pmod(F.xxhash64("key", F.lit(level), F.lit(2)), F.lit(1000)) < round(1000 * (1 / threshold - 1))
