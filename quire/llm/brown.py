@@ -34,11 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._common import shared_dir, small_batches, stored
+from quire.llm._common import forget, shared_dir, small_batches, stored
 from quire.llm.neardup import groups_in, runs_of
 
 CLASSES, PASSES, LEAST_COUNT = 32, 5, 5
@@ -59,8 +60,19 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], NAMES)
 
 
+def _pack(values: np.ndarray, kind: type) -> bytes:
+    """Numbers as compressed bytes, all first bytes, then all second ones and so on, which compresses better."""
+    raw = np.ascontiguousarray(values, kind)
+    planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
 def _array(value: bytes | None, kind: type) -> np.ndarray:
-    return np.frombuffer(value or b"", kind)
+    if value is None:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
 class _Numbers(dict):
@@ -91,13 +103,13 @@ def encoded(docs: DataFrame, shards: int) -> DataFrame:
             keys = np.concatenate([[END_KEY], keys])
             learn = np.repeat(np.array(train, bool), lens)
             n = np.bincount(tokens[learn], minlength=len(keys)).astype(np.int32)
-            yield _rows([(block, TEXTS, 0, tokens.tobytes(), np.array(lens, np.int32).tobytes(), np.array(train, np.uint8).tobytes(), None, ids)])
+            yield _rows([(block, TEXTS, 0, _pack(tokens, np.int32), _pack(lens, np.int32), _pack(train, np.uint8), None, ids)])
             shard = shard_of(keys, shards)
             order = np.argsort(shard, kind="stable")
             rows = []
             for start, end in groups_in(shard[order]):
                 own = order[start:end]
-                rows.append((int(shard[own[0]]), WORDS, block, keys[own].tobytes(), own.astype(np.int32).tobytes(), n[own].tobytes()))
+                rows.append((int(shard[own[0]]), WORDS, block, _pack(keys[own], np.int64), _pack(own, np.int32), _pack(n[own], np.int32)))
             yield _rows(rows)
 
         for b in batches:
@@ -145,7 +157,7 @@ def counted(words: DataFrame) -> DataFrame:
         keys, inverse = np.unique(np.concatenate([_array(r[3], np.int64) for r in rows]), return_inverse=True)
         n = np.bincount(inverse, np.concatenate([_array(r[5], np.int32) for r in rows]), len(keys)).astype(np.int64)
         top = np.lexsort([keys, -n])[:CLASSES]
-        yield _rows([(shard, COUNTS, 0, keys.tobytes(), n.tobytes(), None, None, [int(n.sum()), int((n > 0).sum())])])
+        yield _rows([(shard, COUNTS, 0, _pack(keys, np.int64), _pack(n, np.int64), None, None, [int(n.sum()), int((n > 0).sum())])])
         yield _rows([(shard, TOP, int(n[k]), None, None, None, None, [int(keys[k])]) for k in top.tolist() if n[k] and keys[k] != END_KEY])
 
     return stored(gathered(words, run=run), "counts")
@@ -161,15 +173,15 @@ def founded(counts: DataFrame, founders: dict[int, int]) -> DataFrame:
             at = np.searchsorted(keys, key)
             if at < len(keys) and keys[at] == key:
                 placed[at] = which
-        yield _rows([(shard, PLACED, 0, placed.tobytes())])
+        yield _rows([(shard, PLACED, 0, _pack(placed, np.uint8))])
 
     return gathered(counts, run=run)
 
 
-def looked_up(words: DataFrame, counts: DataFrame, placed: DataFrame, least: int) -> DataFrame:
+def looked_up(words: DataFrame, counts: DataFrame, placed: DataFrame, least: int, counted: bool) -> DataFrame:
     """Rows of kind FOUND by block: dictionary numbers, places in the shard, counts and classes.
 
-    Only words with at least ``least`` training occurrences (0: all words).
+    Only words with at least ``least`` training occurrences (0: all words); counts only if asked for.
     """
 
     def run(shard: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +193,7 @@ def looked_up(words: DataFrame, counts: DataFrame, placed: DataFrame, least: int
                 use = n[at] >= least
                 at, number = at[use], number[use]
                 if len(at):
-                    yield _rows([(r[2], FOUND, shard, number.tobytes(), at.astype(np.int32).tobytes(), n[at].tobytes(), classes[at].tobytes())])
+                    yield _rows([(r[2], FOUND, shard, _pack(number, np.int32), _pack(at, np.int32), _pack(n[at], np.int64) if counted else None, _pack(classes[at], np.uint8))])
 
     return gathered(words, counts, placed, run=run)
 
@@ -198,7 +210,9 @@ def _classes(tokens: np.ndarray, found: list[tuple]) -> tuple[np.ndarray, np.nda
     classes, n = np.full(size, RARE_CLASS, np.uint8), np.zeros(size, np.int64)
     for r in found:
         number = _array(r[3], np.int32)
-        classes[number], n[number] = _array(r[6], np.uint8), _array(r[5], np.int64)
+        classes[number] = _array(r[6], np.uint8)
+        if r[5] is not None:
+            n[number] = _array(r[5], np.int64)
     return classes, n
 
 
@@ -239,17 +253,17 @@ def around(texts: DataFrame, found: DataFrame, hapax: bool) -> DataFrame:
         for r in found:
             number = _array(r[3], np.int32)
             shard[number], at[number] = r[2], _array(r[4], np.int32)
-        inner = tokens != 0
-        left = tokens[inner].astype(np.int64) * 128 + before[inner]
+        inner = shard[tokens] >= 0
+        inner &= tokens != 0
+        wide = np.int32 if size < 2**24 else np.int64
+        left = tokens[inner].astype(wide) * wide(128) + before[inner]
         follows = inner[:-1]
-        right = tokens[:-1][follows].astype(np.int64) * 128 + 64 + own[1:][follows]
+        right = tokens[:-1][follows].astype(wide) * wide(128) + (own[1:][follows] + np.uint8(64))
         pair, count = np.unique(np.concatenate([left, right]), return_counts=True)
         number, code = pair >> 7, (pair & 127).astype(np.uint8)
-        use = shard[number] >= 0
-        number, code, count = number[use], code[use], count[use].astype(np.int32)
-        order = np.argsort(shard[number], kind="stable")
+        order = np.lexsort([at[number], shard[number]])
         number, code, count = number[order], code[order], count[order]
-        out = [(int(shard[number[s]]), AROUND, block, at[number[s:e]].tobytes(), code[s:e].tobytes(), count[s:e].tobytes()) for s, e in groups_in(shard[number])] if len(number) else []
+        out = [(int(shard[number[s]]), AROUND, block, _pack(np.diff(at[number[s:e]], prepend=0), np.int32), _pack(code[s:e], np.uint8), _pack(count[s:e], np.int32)) for s, e in groups_in(shard[number])] if len(number) else []
         yield _rows(out)
 
     return gathered(texts, found, run=run)
@@ -267,7 +281,7 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, size: int, n
     """
     best = np.zeros(size, np.int64)
     real = np.arange(1, CLASSES + 1)
-    rows, columns = cells.sum(axis=1), cells.sum(axis=0)
+    rows, columns, plain = cells.sum(axis=1), cells.sum(axis=0), _f(cells.astype(np.float64))
     starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     for a in range(0, len(starts), 20000):
         first = starts[a : a + 20000]
@@ -275,11 +289,14 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, size: int, n
         w, c, m = word[first[0] : last], code[first[0] : last].astype(np.int64), n[first[0] : last].astype(np.float64)
         own, begins = w[first - first[0]], first - first[0]
         after, other = c >= 64, c & 63
-        table = np.where(after[:, None], cells[real[None, :], other[:, None]], cells[other[:, None], real[None, :]]).astype(np.float64)
-        here = now[w]
-        mine = (here[:, None] == real[None, :]) * m[:, None]  # a word in its class is taken out first
-        table = np.maximum(table - mine, 0)
-        gain = np.add.reduceat(_f(table + m[:, None]) - _f(table), begins, axis=0)
+        table = np.where(after[:, None], cells[real[None, :], other[:, None]], cells[other[:, None], real[None, :]])
+        more = table + m[:, None]
+        gain = more * np.log(more) - np.where(after[:, None], plain[real[None, :], other[:, None]], plain[other[:, None], real[None, :]])
+        placed = np.flatnonzero((now[w] != RARE_CLASS) & (now[w] != END_CLASS))  # a word in its class is taken out first
+        column = now[w[placed]] - 1
+        rest = np.maximum(table[placed, column] - m[placed], 0)
+        gain[placed, column] = _f(rest + m[placed]) - _f(rest)
+        gain = np.add.reduceat(gain, begins, axis=0)
         total = np.add.reduceat(np.where(after, 0, m), begins)[:, None]
         inside = (now[own][:, None] == real[None, :]) * total
         for margin in (rows[real], columns[real]):
@@ -297,7 +314,7 @@ def moved(counts: DataFrame, placed: DataFrame, near: DataFrame, cells: np.ndarr
         now = next(_array(r[3], np.uint8) for r in rows if r[1] == PLACED).astype(np.int64)
         parts = [r for r in rows if r[1] == AROUND]
         if parts:
-            word = np.concatenate([_array(r[3], np.int32) for r in parts]).astype(np.int64)
+            word = np.concatenate([np.cumsum(_array(r[3], np.int32), dtype=np.int64) for r in parts])
             code = np.concatenate([_array(r[4], np.uint8) for r in parts])
             pair, inverse = np.unique(word * 128 + code, return_inverse=True)
             n = np.bincount(inverse, np.concatenate([_array(r[5], np.int32) for r in parts]))
@@ -311,7 +328,7 @@ def moved(counts: DataFrame, placed: DataFrame, near: DataFrame, cells: np.ndarr
                 seen = np.unique(word)
                 now = now.copy()
                 now[seen] = best[seen]
-        yield _rows([(shard, PLACED, 0, now.astype(np.uint8).tobytes())])
+        yield _rows([(shard, PLACED, 0, _pack(now, np.uint8))])
 
     return stored(gathered(counts, placed, near, run=run), "placed")
 
@@ -385,8 +402,9 @@ def class_scores(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     placed = stored(founded(counts, founders), "placed")
     for k in range(passes + 1):
         least = LEAST_COUNT if k < passes else 1
-        near = stored(around(texts, looked_up(words, counts, placed, least), hapax=False), "around")
-        placed = moved(counts, placed, near.filter(F.col("kind") == AROUND), cells_of(near), k if k < passes else None)
-    found = stored(looked_up(words, counts, placed, 0), "found")
+        near = stored(around(texts, looked_up(words, counts, placed, least, counted=False), hapax=False), "around")
+        was, placed = placed, moved(counts, placed, near.filter(F.col("kind") == AROUND), cells_of(near), k if k < passes else None)
+        forget(near, was)
+    found = stored(looked_up(words, counts, placed, 0, counted=True), "found")
     model = Model(cells_of(around(texts, found, hapax=True)))
     return scored(texts, found, model, total, distinct)
