@@ -2,8 +2,8 @@
 
 The patterns find assignments, access keys and hexadecimal runs. Beside them, every run
 of ``CANDIDATE`` characters is scored by log P(run | random strings) - log P(run |
-ordinary identifiers), both first-order character models with add-one smoothing; runs
-above the thresholds that no pattern has touched are spans of kind ``markov``.
+ordinary identifiers), both first-order character models smoothed towards how often each
+character comes at all; runs above the thresholds that no pattern has touched are spans of kind ``markov``.
 
 Training is from labelled samples: a table (text, label) with label 1 for random strings
 and 0 for identifiers. ``corpus_samples`` makes one of the corpus itself: 1 for what the
@@ -38,6 +38,7 @@ LEAST_LLR, LEAST_MEAN_LLR = 12.0, 0.6
 SAMPLE_DOCS = 5000
 RANDOM_ROWS = 2000
 FIRST, SIZE = 32, 95  # printable ASCII
+BACK_OFF, FLOOR = 10.0, 0.5
 
 SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 
@@ -78,14 +79,17 @@ def train(samples: DataFrame) -> list[float]:
     codes = F.expr(f"filter(transform(split(text, ''), c -> ascii(c) - {FIRST}), c -> c >= 0 and c < {SIZE})")
     pairs = samples.select("label", codes.alias("c")).filter("size(c) > 1")
     pairs = pairs.select("label", F.explode(F.expr(f"transform(sequence(2, size(c)), i -> c[i - 2] * {SIZE} + c[i - 1])")).alias("pair"))
-    count = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
-    table = []
-    for first in range(SIZE):
-        total = [sum(count.get((label, first * SIZE + second), 0) for second in range(SIZE)) for label in (0, 1)]
-        for second in range(SIZE):
-            p = [(count.get((label, first * SIZE + second), 0) + 1) / (total[label] + SIZE) for label in (0, 1)]
-            table.append(math.log(p[1]) - math.log(p[0]))
-    return table
+    rows = pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()
+    models = []
+    for label in (1, 0):
+        count = [[0] * SIZE for _ in range(SIZE)]
+        for r in rows:
+            if r["label"] == label:
+                count[r["pair"] // SIZE][r["pair"] % SIZE] += r["n"]
+        comes = [sum(count[first][second] for first in range(SIZE)) for second in range(SIZE)]
+        plain = [(n + FLOOR) / (sum(comes) + FLOOR * SIZE) for n in comes]
+        models.append([[(count[first][second] + BACK_OFF * plain[second]) / (sum(count[first]) + BACK_OFF) for second in range(SIZE)] for first in range(SIZE)])
+    return [math.log(models[0][first][second]) - math.log(models[1][first][second]) for first in range(SIZE) for second in range(SIZE)]
 
 
 def llr(text: str, table: list[float]) -> str:
