@@ -1,0 +1,88 @@
+"""Markdown sections as XHTML bodies: page anchors, headings, notes, images, lists, quotes, tables."""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+_ANCHOR = re.compile(r"^<!--\s*p=(\S+)(?: unmapped)?\s*-->$")
+_NOTE = re.compile(r"^<!-- footnote -->\s*(.*)$")
+_IMAGE = re.compile(r"^!\[([^\]]*)\]\(([^)]*)\)$")
+_RULE = re.compile(r"^(?:-{3,}|\*{3,})$")
+_SEPARATOR = re.compile(r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?$")
+#: Inline marks and what they become.
+INLINE = ((r"`([^`]+)`", r"<code>\1</code>"), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), (r"\*([^*]+)\*", r"<em>\1</em>"), (r"&lt;(/?)(sup|sub)&gt;", r"<\1\2>"), (r"&lt;br\s*/?&gt;", "<br/>"))
+
+
+def inline(text: str) -> str:
+    """Inline Markdown of a line as well-formed XHTML; sup, sub and br may stand as tags."""
+    out = html.escape("".join(c for c in text if c in "\t\n\r" or ord(c) >= 32), quote=False)
+    for pattern, to in INLINE:
+        out = re.sub(pattern, to, out)
+    return out if all(out.count(f"<{t}>") == out.count(f"</{t}>") for t in ("sup", "sub")) else re.sub(r"</?(?:sup|sub)>", "", out)
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in line.strip().strip("|").split("|")]
+
+
+def body(markdown: str, title: str | None = None) -> str:
+    """A section's body; the first heading is left out where it repeats the section's title."""
+    out: list[str] = []
+    lines = markdown.split("\n")
+    at, titled = 0, title is None
+    while at < len(lines):
+        line = lines[at].strip()
+        upto = at + 1
+        if not line:
+            pass
+        elif m := _ANCHOR.match(line):
+            out.append(f'<span epub:type="pagebreak" id="p-{html.escape(re.sub(r"[^0-9A-Za-z-]", "-", m[1]))}" title="{html.escape(m[1], quote=True)}"/>')
+        elif m := _NOTE.match(line):
+            out.append(f'<aside epub:type="footnote"><p>{inline(m[1])}</p></aside>')
+        elif line.startswith("<!--"):
+            pass
+        elif m := re.match(r"^(#{1,6})\s+(.*)$", line):
+            if not titled and m[2].strip() == title:
+                titled = True
+            else:
+                out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
+        elif m := _IMAGE.match(line):
+            out.append(f'<figure><img src="{html.escape(m[2], quote=True)}" alt="{html.escape(m[1], quote=True)}"/></figure>' if m[2] else f"<p>[{inline(m[1])}]</p>")
+        elif _RULE.match(line):
+            out.append("<hr/>")
+        elif line[:1] == ">":
+            while upto < len(lines) and lines[upto].lstrip().startswith(">"):
+                upto += 1
+            quoted = "".join(f"<p>{inline(q.lstrip()[1:].strip())}</p>" for q in lines[at:upto])
+            out.append(f"<blockquote>{quoted}</blockquote>")
+        elif line[:2] in ("- ", "* "):
+            while upto < len(lines) and lines[upto].strip()[:2] in ("- ", "* "):
+                upto += 1
+            out.append("<ul>" + "".join(f"<li>{inline(i.strip()[2:])}</li>" for i in lines[at:upto]) + "</ul>")
+        elif "|" in line and upto < len(lines) and _SEPARATOR.match(lines[upto].strip()):
+            upto += 1
+            while upto < len(lines) and "|" in lines[upto]:
+                upto += 1
+            head, rows = _cells(line), [_cells(r) for r in lines[at + 2 : upto]]
+            row = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{inline(c)}</{tag}>" for c in cells) + "</tr>"
+            out.append(f"<table><thead>{row('th', head)}</thead><tbody>{''.join(row('td', (r + [''] * len(head))[: len(head)]) for r in rows)}</tbody></table>")
+        else:
+            out.append(f"<p>{inline(line)}</p>")
+        at = upto
+    return "\n".join(out)
+
+
+def bodies(sections: DataFrame) -> DataFrame:
+    """sections(source_id, file, content) with ``xhtml``, the body of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [body(t or "") for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], ["source_id", "file", "xhtml"])
+
+    return sections.select("source_id", "file", "content").mapInArrow(run, "source_id long, file long, xhtml string")
