@@ -72,7 +72,7 @@ def illegal(spark, sf):
     return workflow.illegal_moves(views.job_events(spark, sf).select("job_id", "event_seq", stage.alias("stage")))
 
 
-SST = "ss AS (SELECT user_id AS source_id, event_id % 5 AS shard_ord, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'uploaded' WHEN 'purchase' THEN 'unzipped' ELSE 'failed' END AS state, event_id AS "at" FROM events), sl AS (SELECT source_id, shard_ord, arg_max(state, "at") AS state, max("at") AS "at" FROM ss GROUP BY 1, 2)"
+SST = """ss AS (SELECT user_id AS source_id, event_id % 5 AS shard_ord, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'uploaded' WHEN 'purchase' THEN 'unzipped' ELSE 'failed' END AS state, event_id AS "at" FROM events), sl AS (SELECT source_id, shard_ord, arg_max(state, "at") AS state, max("at") AS "at" FROM ss GROUP BY 1, 2)"""
 
 
 def _states(spark, sf):
