@@ -45,7 +45,10 @@ ZH_DIGITS = "零一二三四五六七八九"
 
 
 def any_of(t: Column, *patterns: str) -> Column:
-    return reduce(lambda a, b: a | b, [t.rlike(p) for p in patterns])
+    """Whether any pattern matches; those that begin at the start are one pattern, tried there only."""
+    anchored = [p[1:] for p in patterns if p.startswith("^")]
+    tests = [t.rlike("^(?:" + "|".join(f"(?:{p})" for p in anchored) + ")")] if anchored else []
+    return reduce(lambda a, b: a | b, tests + [t.rlike(p) for p in patterns if not p.startswith("^")])
 
 
 def has_numbering(c: Column | str) -> Column:
@@ -96,13 +99,9 @@ def numeral(n: Column | str) -> Column:
 def tier(c: Column | str) -> Column:
     """(tier, n) of a title as audits read it; both null without a number."""
     t = F.coalesce(col(c), F.lit(""))
-    out = None
-    for name, pattern in TIERS.items():
-        n = numeral_value(F.regexp_extract(t, pattern, 1))
-        hit = t.rlike(pattern) & n.isNotNull()
-        value = F.struct(F.lit(name).alias("tier"), n.alias("n"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    raw = F.array(*[F.struct(F.lit(name).alias("tier"), F.regexp_extract(t, pattern, 1).alias("raw")) for name, pattern in TIERS.items()])
+    read = F.transform(F.filter(raw, lambda x: x["raw"] != ""), lambda x: F.struct(x["tier"].alias("tier"), numeral_value(x["raw"]).alias("n")))
+    return F.try_element_at(F.filter(read, lambda x: x["n"].isNotNull()), F.lit(1))
 
 
 def printed_number(tier_: Column | str, n: Column | str) -> Column:

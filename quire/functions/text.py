@@ -37,7 +37,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without whitespace at both ends."""
-    return F.regexp_replace(col(c), rf"^{W}+|{W}+\z", "")
+    return F.trim(col(c), F.lit(SPACE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -71,7 +71,7 @@ def is_plausible_heading(c: Column | str) -> Column:
 
 def page_number(c: Column | str) -> Column:
     """A page number block's number, of at most four digits; null for anything else."""
-    t = F.regexp_replace(fold_digits(strip(c)), r"^[ .·\-—]+|[ .·\-—]+\z", "")
+    t = F.trim(fold_digits(strip(c)), F.lit(" .·-—"))
     return F.when(t.rlike(r"^[0-9]{1,4}\z"), t.try_cast("int"))
 
 
@@ -127,7 +127,7 @@ def running_key(c: Column | str, structural: Column) -> Column:
     """The key by which a stripped line repeats over pages; null if it can't be a running line."""
     t = col(c)
     k = F.regexp_replace(F.regexp_replace(t, rf"^[{SPACE}0-9.·\-—]{{0,6}}", ""), f"{W}+", " ")
-    k = F.regexp_replace(k, r"^[ .·\-—]+|[ .·\-—]+\z", "")
+    k = F.trim(k, F.lit(" .·-—"))
     usable = (t != "") & (F.length(t) <= 60) & ~t.contains("\n") & ~structural & (F.length(k) >= 4)
     return F.when(usable, k)
 

@@ -22,9 +22,10 @@ def anchor_coverage(content: DataFrame, locator_type: DataFrame) -> DataFrame:
 
 def lossless(indexed: DataFrame, files: DataFrame) -> DataFrame:
     """G2: every indexed block(source_id, path, text) is in its file(source_id, path, content), whitespace aside."""
-    rows = indexed.join(files.withColumn("has", F.lit(True)), ["source_id", "path"], "left")
     plain = squeeze(F.regexp_replace(F.coalesce("content", F.lit("")), r"<!--[^\n]*-->", ""))
-    missing = F.coalesce("has", F.lit(False)) & ~plain.contains(squeeze("text"))
+    own = indexed.select("source_id", "path", squeeze("text").alias("own"))
+    rows = own.join(files.select("source_id", "path", plain.alias("plain"), F.lit(True).alias("has")), ["source_id", "path"], "left")
+    missing = F.coalesce("has", F.lit(False)) & ~F.col("plain").contains(F.col("own"))
     out = rows.groupBy("source_id").agg(F.count("*").alias("blocks"), F.count_if(missing).alias("missing"), F.count_if(F.col("has").isNull()).alias("without_file"))
     rate = 1 - F.col("missing") / F.col("blocks")
     return out.withColumn("status", F.when(F.col("missing") == 0, "pass").when(rate >= LOSSLESS_WARN, "warn").otherwise("fail"))
