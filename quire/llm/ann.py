@@ -11,7 +11,8 @@ vector that a third of all rows repeat costs as much as any other. The directory
 has at most ``MOST_PAGES`` + TREES * dimensions entries whatever the number of rows, which
 is why it may go to every task.
 
-How many candidates are enough is ``SHARE`` of all entries and at least ``LEAST``. Vectors
+How many candidates are enough, summed over the trees, is ``SHARE`` of all entries and at
+least ``LEAST``. Vectors
 without any structure, such as Gaussian noise, need a large share for a recall of 0.9;
 clustered ones need far less, and the share is a parameter.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from quire.llm._common import small_batches, stored
 
 TREES, BITS = 24, 48
-SHARE, LEAST = 0.6, 4096
+SHARE, LEAST = 0.7, 4096
 PAGE_ROWS, MOST_PAGES = 8192, 16384
 EVERY, NEAREST = 50, 5
 
@@ -107,6 +108,11 @@ class Directory:
         _, lows, highs, *_ = self.trees[tree]
         return np.searchsorted(highs, low, side="left"), np.searchsorted(lows, high, side="right")
 
+    def within(self, tree: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the pages that lie in [low, high] as a whole."""
+        _, lows, highs, *_ = self.trees[tree]
+        return np.searchsorted(lows, low, side="left"), np.searchsorted(highs, high, side="right")
+
 
 def prefix_range(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     rest = np.int64(BITS - length)
@@ -141,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shar
     homes = in_trees(asked).select("q", "tree", "h").mapInArrow(route, routed)
 
     def descend(key: tuple, page: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        """How many rows share each prefix with a query: exactly in its page, by pages beyond."""
+        """How many rows at least share each prefix with a query: exactly in its page, by whole pages beyond."""
         if not len(own):
             return pd.DataFrame({"q": [], "length": [], "n": []}).astype({"q": "int64", "length": "int32", "n": "int64"})
         tree, here = int(key[0]), np.sort(page["h"].to_numpy())
@@ -151,9 +157,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shar
         for length in range(BITS + 1):
             low, high = prefix_range(h, length)
             n = np.searchsorted(here, high, side="right") - np.searchsorted(here, low, side="left")
-            first, last = directory.span(tree, low, high)
-            inside = (first <= place) & (place < last)
-            n = n + np.where(first < last, before[np.maximum(last, first)] - before[first], 0) - np.where(inside, sizes[place], 0)
+            first, last = directory.within(tree, low, high)
+            own_too = (first <= place) & (place < last)
+            n = n + np.where(first < last, before[np.maximum(last, first)] - before[first], 0) - np.where(own_too, sizes[place], 0)
             out.append(pd.DataFrame({"q": own["q"].to_numpy(), "length": np.int32(length), "n": n}))
         return pd.concat(out)
 
