@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quire.llm._common import small_batches, stored
 
-TREES, BITS = 24, 48
+TREES, BITS = 32, 48
 SHARE, LEAST = 0.7, 4096
 PAGE_ROWS, MOST_PAGES = 8192, 16384
 EVERY, NEAREST = 50, 5
