@@ -39,17 +39,10 @@ def recompute(blocks: DataFrame, trusted: bool = False) -> Book:
     listed = entries.select("source_id", text.title_key("title").alias("k"), F.lit(True).alias("listed")).distinct()
     rows = kept.withColumn("k", text.title_key(text.clean_title("text"))).join(listed, ["source_id", "k"], "left")
     rows = rows.select("source_id", F.col("gid").alias("seq"), "marker", (~numbering.has_numbering("t")).alias("unnumbered"), F.coalesce("listed", F.lit(False)).alias("in_toc"), (F.coalesce("text_level", F.lit(0)).cast("int") if trusted else F.lit(0)).alias("trusted_level"))
-    ranks = outline.ranked_tree(rows)
+    placed = outline.placed_tree(rows)
     named = kept.select("source_id", F.col("gid").alias("seq"), text.clean_title("text").alias("title"), "marker", "shard_ord", "page_idx")
-    nodes = named.join(ranks, ["source_id", "seq"])
-    tree = outline.with_ids(_by_parent(nodes))
+    tree = named.join(placed, ["source_id", "seq"])
     located = calibration.locators(tree.select("source_id", "shard_ord", "page_idx").distinct(), segs)
     paged = tree.join(located, ["source_id", "shard_ord", "page_idx"], "left").withColumn("p", numbering.locator_parts("locator")).withColumns({"zone": F.col("p.zone"), "page": F.col("p.n"), "level": F.col("depth")})
     findings = calibration.all_rows(audit.level_jumps(paged), audit.duplicate_titles(paged), audit.numbering_breaks(paged), audit.page_findings(paged))
     return Book(segs, verdicts, found.filter("drop_reason is not null"), entries, tree, findings)
-
-
-def _by_parent(nodes: DataFrame) -> DataFrame:
-    """Nodes with ancestors and depth from ranks: all ranks there are, 10 to about 100 in steps of 5."""
-    ranks = tuple(range(10, 131))
-    return outline.with_parents(nodes, rank="rank", ranks=tuple(r for r in ranks if r % 5 == 0 or r == 12))

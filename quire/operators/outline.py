@@ -7,6 +7,7 @@ is ever joined with the nodes before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -212,6 +213,32 @@ def ranked_tree(candidates: DataFrame) -> DataFrame:
     return fold_sources(candidates, ("seq",), fold, "seq long, rank int, parent_seq long")
 
 
+def placed_tree(candidates: DataFrame) -> DataFrame:
+    """The ranked tree of candidates with ``ancestors``, ``parent``, ``depth``, ``ordinal`` and ``nid``, at any depth.
+
+    Built in the same fold from its parents, so it holds for every rank.
+    """
+
+    def fold(source: int, rows: list[dict]) -> Iterator[dict]:
+        made = fold_ranks([(r["seq"], r["marker"], r["unnumbered"], r["in_toc"], r["trusted_level"]) for r in rows])
+        return ({"seq": r["seq"], "rank": rank, **place} for r, (rank, _), place in zip(rows, made, fold_places([(r["seq"], parent) for r, (_, parent) in zip(rows, made, strict=True)]), strict=True))
+
+    return fold_sources(candidates, ("seq",), fold, "seq long, rank int, ancestors array<long>, parent long, depth long, ordinal long, nid string")
+
+
+def fold_places(rows: list[tuple[int, int | None]]) -> Iterator[dict]:
+    """Where each of rows (seq, parent) in document order stands in the tree; parents come first."""
+    chain: list[tuple[int, str]] = []
+    children: dict[int | None, int] = {}
+    for seq, parent in rows:
+        while chain and chain[-1][0] != parent:
+            chain.pop()
+        children[parent] = ordinal = children.get(parent, 0) + 1
+        nid = f"{chain[-1][1]}.{ordinal}" if chain else str(ordinal)
+        yield {"ancestors": [s for s, _ in chain], "parent": parent, "depth": len(chain) + 1, "ordinal": ordinal, "nid": nid}
+        chain.append((seq, nid))
+
+
 def fold_ranks(rows: list[tuple]) -> list[tuple[int, int | None]]:
     """(rank, parent) for rows (seq, marker, unnumbered, in_toc, trusted_level) in document order."""
     ranks, numbered, chapterlike = numbering.RANK, set(numbering.NUMBERED), set(numbering.CHAPTER_RANKED)

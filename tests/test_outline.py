@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import numbering, text
-from quire.operators import audit, outline, overlay, review
+from quire.operators import audit, books, outline, overlay, review
 
 
 def one(spark, column, **values):
@@ -104,6 +104,28 @@ def test_rank_fold(rows):
     assert outline.fold_ranks(cases) == plain_ranks(cases)
 
 
+@given(st.lists(st.tuples(st.sampled_from(MARKERS), st.booleans(), st.booleans(), st.integers(0, 3)), max_size=25))
+def test_places_follow_the_folds_parents(rows):
+    parents = [parent for _, parent in outline.fold_ranks([(k, *r) for k, r in enumerate(rows)])]
+    got = list(outline.fold_places(list(enumerate(parents))))
+    assert [r["parent"] for r in got] == parents and len({r["nid"] for r in got}) == len(rows)
+    for k, r in enumerate(got):
+        up, at = [], parents[k]
+        while at is not None:
+            up, at = [at, *up], parents[at]
+        assert r["ancestors"] == up and r["depth"] == len(up) + 1
+        assert r["nid"] == ".".join(str(got[j]["ordinal"]) for j in [*up, k]) and r["ordinal"] == parents[: k + 1].count(parents[k])
+
+
+def test_books_nest_without_bound(spark):
+    titles = ["第一章 总论"] + [f"随便标题{chr(0x4E00 + k)}" for k in range(40)]
+    rows = [(1, k, 1, k, "text", t, 1 if k == 0 else 2) for k, t in enumerate(titles)]
+    blocks = spark.createDataFrame(rows, "source_id long, gid long, shard_ord long, page_idx long, type string, text string, text_level int")
+    tree = sorted(books.recompute(blocks).tree.select("seq", "marker", "parent", "depth", "nid").collect())
+    assert [r["marker"] for r in tree] == ["chapter"] + ["plain"] * 40
+    assert [(r["parent"], r["depth"], r["nid"]) for r in tree] == [(k - 1 if k else None, k + 1, ".".join(["1"] * (k + 1))) for k in range(41)]
+
+
 def test_greedy_matches_take_an_entry_once():
     nodes, entries = [(1, "abcd"), (2, "abcde"), (3, "xy")], [(7, "abcde"), (8, "abcd"), (9, "xy")]
     assert outline.greedy_matches(nodes, entries, True) == [(1, 7), (2, 8), (3, 9)]
