@@ -3,7 +3,9 @@
 Both sides go through the same expression: letters in lower case, copyright lines out,
 equivalent spellings made equal, every run of anything but letters and digits one blank.
 Texts whose canonical forms have the same SHA-256 are the same licence, so the scan is a
-hash join on digests; the known side is the short fixed list below (or the caller's).
+hash join on digests; the known side is the fixed list below (or the caller's): whole texts
+with and without their title, their appendix and the numbers of their clauses, and short
+notices.
 
 Defined results: a null text is the empty text; a text with nothing left (only blanks,
 punctuation or copyright lines) has the digest of the empty string and no licence; every
@@ -13,9 +15,13 @@ empty table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import license_texts as texts
+
 #: A line that only states a copyright, from the line break before it.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(portions )?(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*"
 
@@ -35,8 +41,8 @@ SPELLINGS = (
     ("whilst", "while"),
 )
 
-#: Known licences, as published, and the short notices that stand for one.
-KNOWN = (
+#: Short licences without their titles, and the notices that stand for a licence.
+SHORT = (
     (
         "MIT",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -93,6 +99,72 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: The clause that BSD-3-Clause has besides those of BSD-2-Clause, in its common wordings.
+BSD_CLAUSES = tuple(f"3. Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" for holder in ("the copyright holder", "the copyright holders", "the copyright owner", "the author", "the organization", "the <organization>", "[project]", "[name of copyright holder]", "the {organization}"))
+
+#: Title lines of the short licences.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "(The MIT License)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD", "BSD 0-Clause License", "Free Public License 1.0.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause", "Simplified BSD License", 'BSD 2-Clause "Simplified" License', "FreeBSD License", "BSD License", "The BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause", "New BSD License", "Modified BSD License", "Revised BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "The BSD License", "BSD-3-Clause"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+}
+
+#: Whole licences as published, and where their text goes on after the title.
+LONG = (
+    ("Apache-2.0", texts.APACHE_2, "TERMS AND CONDITIONS FOR USE"),
+    ("GPL-1.0-only", texts.GPL_1, "Copyright (C)"),
+    ("GPL-2.0-only", texts.GPL_2, "Copyright (C)"),
+    ("GPL-3.0-only", texts.GPL_3, "Copyright (C)"),
+    ("LGPL-2.0-only", texts.LGPL_2, "Copyright (C)"),
+    ("LGPL-2.1-only", texts.LGPL_2_1, "Copyright (C)"),
+    ("LGPL-3.0-only", texts.LGPL_3, "Copyright (C)"),
+    ("MPL-1.1", texts.MPL_1_1, "1. Definitions"),
+    ("MPL-2.0", texts.MPL_2, "1. Definitions"),
+    ("CC0-1.0", texts.CC0_1, "CC0 1.0 Universal"),
+    ("CC0-1.0", texts.CC0_1, "CREATIVE COMMONS CORPORATION"),
+    ("CC0-1.0", texts.CC0_1, "Statement of Purpose"),
+    ("Artistic-1.0", texts.ARTISTIC_1, "Preamble"),
+    ("GFDL-1.2-only", texts.GFDL_1_2, "Copyright (C)"),
+    ("GFDL-1.3-only", texts.GFDL_1_3, "Copyright (C)"),
+    ("BSL-1.0", texts.BSL_1, "Permission is hereby granted"),
+)
+
+#: Where the terms of a text end and an appendix may follow.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+#: The addresses that texts of the Free Software Foundation give, the first as in the published texts.
+ADDRESSES = (r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301\s+USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+
+
+def _short() -> list[tuple[str, str]]:
+    """Short licences also with their titles, and those with clauses also without the numbers."""
+    bsd = dict(SHORT)["BSD-2-Clause"]
+    at = bsd.index("THIS SOFTWARE IS PROVIDED")
+    bodies = [*SHORT[:5], *[("BSD-3-Clause", bsd[:at] + clause + bsd[at:]) for clause in BSD_CLAUSES], ("Unlicense", texts.UNLICENSE), ("Unlicense", texts.UNLICENSE.replace("http://", "https://"))]
+    bodies += [(name, re.sub(r"(?m)^[0-9]\. ", "", body)) for name, body in bodies if name.startswith(("BSD", "Zlib"))]
+    return [(name, text) for name, body in bodies for text in (body, *[f"{title}\n\n{body}" for title in TITLES[name]])]
+
+
+def _long() -> list[tuple[str, str]]:
+    """Whole licences with and without title and appendix, in the links and addresses that are about."""
+    out = []
+    for name, whole, anchor in LONG:
+        forms = [whole, whole[whole.index(anchor) :]]
+        forms += [f[: f.index(TERMS_END)] + end for f in forms if TERMS_END in f for end in (TERMS_END, "")]
+        forms += [re.sub(r"\[(yyyy|name of copyright owner)\]", r"{\1}", f) for f in forms]
+        forms += [re.sub(ADDRESSES[0], other, f) for f in forms for other in ADDRESSES[1:]]
+        forms += [f.replace("https://", "http://") for f in forms] + [re.sub("http://", "https://", f) for f in forms]
+        out += [(name, f) for f in forms]
+    return out
+
+
+#: The known side, each text once.
+KNOWN = tuple(dict.fromkeys((*SHORT, *_short(), *_long())))
+
 
 def canonical(text: Column) -> Column:
     """The form in which texts of one licence are equal."""

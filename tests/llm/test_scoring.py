@@ -5,8 +5,10 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import brown, licenses, secrets, toxicity
 from tests.llm.data import documents, empty, of_texts, rows
@@ -116,6 +118,33 @@ def test_licences_of_whole_texts(spark):
     assert licenses.scan(documents(spark)).count() == len(rows()) and licenses.scan(empty(spark)).count() == 0
 
 
+def test_licences_as_distributed(spark):
+    short, own = dict(licenses.SHORT[:5]), "Copyright (c) 2020 Some Body\n"
+    bsd3 = short["BSD-2-Clause"].replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS", 1)
+    t = licenses.texts
+    cases = [
+        ("MIT", f"MIT License\n\n{own}\n{short['MIT']}\n"), ("MIT", f"The MIT License (MIT)\n\n{own}\n{short['MIT']}"), ("ISC", f"ISC License\n\n{own}\n{short['ISC']}"), ("Zlib", f"zlib License\n\n{own}\n{short['Zlib']}"),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\n{own}All rights reserved.\n\n{short['BSD-2-Clause']}"), ("BSD-3-Clause", f"BSD 3-Clause License\n\n{own}\n{bsd3}"), ("BSD-3-Clause", own + bsd3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("Apache-2.0", t.APACHE_2), ("Apache-2.0", t.APACHE_2.replace("[yyyy] [name of copyright owner]", "2021 Some Body")), ("Apache-2.0", t.APACHE_2.split("   APPENDIX")[0]), ("GPL-2.0-only", t.GPL_2), ("GPL-3.0-only", t.GPL_3), ("GPL-3.0-only", t.GPL_3.replace("https:", "http:")),
+        ("LGPL-2.1-only", t.LGPL_2_1), ("LGPL-3.0-only", t.LGPL_3), ("MPL-2.0", t.MPL_2), ("MPL-2.0", t.MPL_2[t.MPL_2.index("1. Def") :]), ("CC0-1.0", t.CC0_1), ("Unlicense", t.UNLICENSE), ("BSL-1.0", t.BSL_1), (None, t.GPL_3[:20000]), (None, bsd3 + " more"),
+    ]
+    got = [r["license_id"] for r in licenses.scan(of_texts(spark, [text for _, text in cases])).orderBy("doc_id").collect()]
+    assert got == [name for name, _ in cases]
+
+
+def test_known_texts_are_one_licence_each(spark):
+    known = spark.createDataFrame(list(licenses.KNOWN), "license_id string, text string").select("license_id", licenses.canonical(F.col("text")).alias("c"))
+    assert known.groupBy("c").agg(F.count_distinct("license_id").alias("n")).filter("n > 1").count() == 0
+
+
+def test_known_licences_against_sql(spark, tmp_path):
+    docs = of_texts(spark, [text for _, text in licenses.KNOWN[::7]] + ["x", None])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, con.execute(licenses.SQL).fetchall())) == sorted(str(tuple(r)) for r in licenses.scan(docs).collect())
+
+
 def labelled(spark, n=400):
     rng = random.Random(5)
     words, bad = [f"word{k}" for k in range(50)], ["vilething", "nastyword"]
