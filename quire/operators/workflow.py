@@ -67,6 +67,18 @@ def evidence(findings: DataFrame, prefixes: tuple[str, ...], most: int = 40) ->
     return own.withColumn("n", n).filter(F.col("n") <= most)
 
 
+def global_places(rows: DataFrame, first: str, then: str, width: int = 65536) -> DataFrame:
+    """rows with ``place`` in the order of two whole numbers, numbered in ranges of the second and moved by the rows before each range."""
+    rows = rows.withColumn("_r", F.floor(F.col(then) / width))
+    nulls_last = [F.asc_nulls_last(c) for c in (first, "_r")]
+    counts = rows.groupBy(first, "_r").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*nulls_last).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = counts.select(F.col(first).alias("_f"), F.col("_r").alias("_q"), before.alias("_before"))
+    own = rows.withColumn("_k", F.row_number().over(Window.partitionBy(first, "_r").orderBy(then)))
+    out = own.join(moved, own[first].eqNullSafe(moved["_f"]) & own["_r"].eqNullSafe(moved["_q"]))
+    return out.withColumn("place", F.col("_before") + F.col("_k")).drop("_r", "_f", "_q", "_k", "_before")
+
+
 def identity(*parts: Column | str, length: int = 24) -> Column:
     """An engine-local identity of parts: the beginning of their joint digest."""
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, length)

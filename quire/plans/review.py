@@ -509,6 +509,11 @@ def u03(spark, sf):
     return views.blocks(spark, sf).filter("type = 'text' and gid < 7").select("source_id", "gid").subtract(views.overlay(spark, sf)[0].select("source_id", "gid"))
 
 
+@query("u03_set_differences_whole", f"WITH {V2}, {V4} SELECT source_id, gid FROM v2 WHERE type = 'text' EXCEPT SELECT source_id, gid FROM m_levels")
+def u03_whole(spark, sf):
+    return views.blocks(spark, sf).filter("type = 'text'").select("source_id", "gid").subtract(views.overlay(spark, sf)[0].select("source_id", "gid"))
+
+
 @query("p10_source_status", f"WITH {V2}, {V4}, b AS (SELECT source_id, count(*) AS blocks, count(DISTINCT shard_ord) AS shards FROM v2 GROUP BY 1) SELECT b.*, EXISTS (SELECT 1 FROM m_levels m WHERE m.source_id = b.source_id) AS has_levels, EXISTS (SELECT 1 FROM m_deleted m WHERE m.source_id = b.source_id) AS has_deleted, b.source_id % 20 IN (SELECT DISTINCT user_id % 20 FROM events) AS calibrated FROM b")
 def p10(spark, sf):
     levels, deleted, _ = views.overlay(spark, sf)

@@ -199,6 +199,12 @@ def o03(spark, sf):
     return table(spark, sf, "documents").filter("doc_id < 100").select("doc_id", F.row_number().over(Window.orderBy(n, "doc_id")).cast("long").alias("place"))
 
 
+@query("o03_natural_order_whole", "SELECT doc_id, row_number() OVER (ORDER BY regexp_extract('book_P' || (doc_id % 40), '_P(\\d+)$', 1)::BIGINT, doc_id) AS place FROM documents")
+def o03_whole(spark, sf):
+    n = F.regexp_extract(F.concat(F.lit("book_P"), F.col("doc_id") % 40), r"_P(\d+)$", 1).cast("long")
+    return workflow.global_places(table(spark, sf, "documents").select("doc_id", n.alias("n")), "n", "doc_id").select("doc_id", "place")
+
+
 @query("o07_largest_projects", f"WITH {V2}, c AS (SELECT source_id, count(DISTINCT (shard_ord, page_idx)) AS pages FROM v2 GROUP BY 1) SELECT * FROM c ORDER BY pages DESC, source_id LIMIT 20")
 def o07(spark, sf):
     c = views.blocks(spark, sf).groupBy("source_id").agg(F.count_distinct(F.struct("shard_ord", "page_idx")).alias("pages"))
