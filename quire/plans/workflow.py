@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import audit, books, export, outline, workflow, xhtml
+from quire.operators import audit, books, calibration, export, outline, workflow, xhtml
 from quire.plans.outline import RTREE, STRIP, tree
 from quire.plans.registry import query
 from quire.plans.review import LINES, PG, SQZ, lines, paged
@@ -47,6 +47,22 @@ def p13(spark, sf):
     return workflow.evidence(f, ("top_",), 2).select("source_id", "check", "severity", "seq")
 
 
+#: The checks that evidence keeps whatever their severity.
+EVIDENCE_PREFIXES = ("numbering_", "structure_", "toc_", "page_zone", "top_node", "dropped_", "heading_", "dup_", "level_")
+
+
+@query("p13_evidence_whole")
+def p13_whole(spark, sf):
+    """The findings of all checks of the outline, by the reference's prefixes and cap."""
+    return workflow.evidence(_findings(spark, sf), EVIDENCE_PREFIXES).select("source_id", "check", "severity", "seq")
+
+
+def _findings(spark, sf):
+    """All findings of a tree with pages."""
+    t = paged(spark, sf)
+    return calibration.all_rows(audit.level_jumps(t), audit.duplicate_titles(t), audit.numbering_breaks(t), audit.page_findings(t))
+
+
 @query("a20_identities", "SELECT doc_id, left(sha256(doc_id || ':' || source || ':v1'), 24) AS job_id FROM documents WHERE source IS NOT NULL")
 def a20(spark, sf):
     d = table(spark, sf, "documents").filter("source is not null")
@@ -211,6 +227,12 @@ def o07(spark, sf):
     return c.orderBy(F.desc("pages"), "source_id").limit(20)
 
 
+@query("o07_largest_projects_whole", f"WITH {V2} SELECT source_id, count(DISTINCT (shard_ord, page_idx)) AS pages FROM v2 GROUP BY 1 ORDER BY pages DESC, source_id")
+def o07_whole(spark, sf):
+    c = views.blocks(spark, sf).groupBy("source_id").agg(F.count_distinct(F.struct("shard_ord", "page_idx")).alias("pages"))
+    return c.orderBy(F.desc("pages"), "source_id")
+
+
 @query("j19_registered_projects", "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
 def j19(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("name"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from quire.operators import workflow
 from quire.plans import registry
+from quire.plans import workflow as plans
 from quire.session import table
 from quire.sources import views
 
@@ -30,3 +32,19 @@ def test_set_differences_reach_past_the_first_blocks(spark, sf):
     blocks = {(r["source_id"], r["gid"]) for r in views.blocks(spark, sf).filter(F.col("type") == "text").select("source_id", "gid").collect()}
     got = {tuple(r) for r in registry.QUERIES["u03_set_differences_whole"](spark, sf).collect()}
     assert got == blocks - levels and max(g for _, g in got) >= 7
+
+
+def test_every_project_is_listed_in_order(spark, sf):
+    n = views.blocks(spark, sf).select("source_id").distinct().count()
+    got = [tuple(r) for r in registry.QUERIES["o07_largest_projects_whole"](spark, sf).collect()]
+    assert len(got) == n > 20 and got == sorted(got, key=lambda r: (-r[1], r[0]))
+
+
+def test_evidence_keeps_forty_of_all_checks(spark, sf):
+    found = [r.asDict() for r in plans._findings(spark, sf).collect()]
+    want = []
+    for source in {r["source_id"] for r in found}:
+        own = [(r["check"], r["seq"], r["severity"]) for r in found if r["source_id"] == source and (r["severity"] == "high" or r["check"].startswith(plans.EVIDENCE_PREFIXES))]
+        want += [(source, check, severity, seq) for check, seq, severity in sorted(own)[:40]]
+    got = [tuple(r) for r in registry.QUERIES["p13_evidence_whole"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and max(Counter(r[0] for r in got).values()) > 2 and len({r[1] for r in got}) > 2
