@@ -196,6 +196,27 @@ def f11(spark, sf):
     return _titles(spark, sf).select("doc_id", text.title_key("s").alias("outline_key"), text.contents_key("s").alias("contents_key"), text.audit_key("s").alias("audit_key"), text.squeeze("s").alias("plain_key"))
 
 
+def _whole_titles(spark, sf):
+    from quire.session import table
+
+    return table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" （"), F.col("doc_id"), F.lit("）…… 12")).alias("s"))
+
+
+@query("f11_title_keys_whole", f"""WITH x AS (SELECT doc_id, text || ' （' || doc_id || '）…… 12' AS s FROM documents)
+SELECT doc_id, lower(regexp_replace({STRIP('s')}, {q(P1)}, '', 'g')) AS outline_key, regexp_replace(s, {q(P2)}, '', 'g') AS contents_key,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace({STRIP('s')}, {q(LEAD)}, ''), {q(LEAD)}, ''), {q(LEAD)}, ''), {q(P3)}, '', 'g') AS audit_key, regexp_replace(s, {q(W + '+')}, '', 'g') AS plain_key FROM x""")
+def f11_whole(spark, sf):
+    return _whole_titles(spark, sf).select("doc_id", text.title_key("s").alias("outline_key"), text.contents_key("s").alias("contents_key"), text.audit_key("s").alias("audit_key"), text.squeeze("s").alias("plain_key"))
+
+
+@query("f10_clean_title_whole", f"""WITH x AS (SELECT doc_id, '## \\*' || text || '\\[1\\] **' AS s FROM documents)
+SELECT doc_id, {STRIP("regexp_replace(regexp_replace(regexp_replace(" + STRIP('s') + ", '\\\\+([*_`#\\[\\]()~])', '\\1', 'g'), " + q(f'^[#*{text.SPACE}]+') + ", ''), " + q(f'[*{text.SPACE}]+$') + ", '')")} AS title FROM x""")
+def f10_whole(spark, sf):
+    from quire.session import table
+
+    return table(spark, sf, "documents").select("doc_id", text.clean_title(F.concat(F.lit("## \\*"), "text", F.lit("\\[1\\] **"))).alias("title"))
+
+
 @query("f10_clean_title", f"""WITH x AS (SELECT doc_id, '## \\*' || left(text, 30) || '\\[1\\] **' AS s FROM documents)
 SELECT doc_id, {STRIP("regexp_replace(regexp_replace(regexp_replace(" + STRIP('s') + ", '\\\\+([*_`#\\[\\]()~])', '\\1', 'g'), " + q(f'^[#*{text.SPACE}]+') + ", ''), " + q(f'[*{text.SPACE}]+$') + ", '')")} AS title FROM x""")
 def f10(spark, sf):
@@ -215,6 +236,11 @@ def f12(spark, sf):
     return views.blocks(spark, sf).select("source_id", "gid", text.looks_like_authors(F.expr("left(text, cast(gid % 25 as int))")).alias("authors"))
 
 
+@query("f12_authors_whole", f"WITH {V2}, x AS (SELECT source_id, gid, {STRIP('text')} AS t FROM v2), y AS (SELECT *, length(regexp_replace(t, {q(W + '+')}, '', 'g')) AS n FROM x) SELECT source_id, gid, t = '' OR n <= 4 OR ((contains(t, ' ') OR contains(t, '　') OR ends_with(t, '等')) AND n <= 20) AS authors FROM y")
+def f12_whole(spark, sf):
+    return views.blocks(spark, sf).select("source_id", "gid", text.looks_like_authors("text").alias("authors"))
+
+
 @query("f14_page_numbers", "WITH x AS (SELECT doc_id, ' ·' || translate(doc_id::VARCHAR, '0123456789', CASE WHEN doc_id % 2 = 0 THEN '０１２３４５６７８９' ELSE '0123456789' END) || CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN '00' ELSE ' — ' END AS s FROM documents), y AS (SELECT doc_id, regexp_replace(translate(s, '０１２３４５６７８９', '0123456789'), '^[ .·\\-—]+|[ .·\\-—]+$', '', 'g') AS t FROM x) SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]{1,4}$') THEN t::BIGINT END AS n FROM y")
 def f14(spark, sf):
     from quire.session import table

@@ -170,6 +170,17 @@ def f19(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.strip_site_tags(s).alias("title"))
 
 
+@query("f19_site_tags_whole", f"WITH x AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (z-lib.org)' WHEN 1 THEN '[libgen]' ELSE '（作者）' END AS s FROM documents) SELECT doc_id, {STRIP(F19)} AS title FROM x")
+def f19_whole(spark, sf):
+    s = F.concat("text", F.expr("case doc_id % 3 when 0 then ' (z-lib.org)' when 1 then '[libgen]' else '（作者）' end"))
+    return table(spark, sf, "documents").select("doc_id", text.strip_site_tags(s).alias("title"))
+
+
+@query("f20_source_ids_whole", "SELECT doc_id, left(CASE WHEN n = '' THEN 'source' ELSE n END, 48) || '.' || left(sha256(text), 10) AS source_id FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)")
+def f20_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.source_id("text", F.sha2("text", 256)).alias("source_id"))
+
+
 @query("f20_source_ids", "SELECT doc_id, left(CASE WHEN n = '' THEN 'source' ELSE n END, 48) || '.' || left(sha256(text), 10) AS source_id FROM (SELECT doc_id, text, regexp_replace(regexp_replace(left(text, 60), '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)")
 def f20(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.source_id(F.substring("text", 1, 60), F.sha2("text", 256)).alias("source_id"))

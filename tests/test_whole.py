@@ -48,3 +48,19 @@ def test_evidence_keeps_forty_of_all_checks(spark, sf):
         want += [(source, check, severity, seq) for check, seq, severity in sorted(own)[:40]]
     got = [tuple(r) for r in registry.QUERIES["p13_evidence_whole"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and max(Counter(r[0] for r in got).values()) > 2 and len({r[1] for r in got}) > 2
+
+
+def test_titles_reach_past_the_prefixes(spark, tmp_path):
+    long = "a b " * 30 + r"\\*c\\* "
+    spark.createDataFrame([(3, long + "!?end"), (4, "?" * 70 + "name")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: {r["doc_id"]: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("f10_clean_title_whole", "f11_title_keys_whole", "f19_site_tags_whole", "f20_source_ids_whole")}
+    assert got["f10_clean_title_whole"][3]["title"] == "a b " * 30 + "*c* !?end[1]"
+    assert got["f11_title_keys_whole"][3]["plain_key"].startswith("ab" * 30) and "end" in got["f11_title_keys_whole"][3]["audit_key"]
+    assert got["f19_site_tags_whole"][3]["title"] == long + "!?end"
+    assert got["f20_source_ids_whole"][4]["source_id"].startswith("name.")
+
+
+def test_authors_of_whole_blocks(spark, sf):
+    text_of = {(r["source_id"], r["gid"]): r["text"] for r in views.blocks(spark, sf).select("source_id", "gid", "text").collect()}
+    got = registry.QUERIES["f12_authors_whole"](spark, sf).collect()
+    assert len(got) == len(text_of) and not any(r["authors"] for r in got if len("".join(text_of[r["source_id"], r["gid"]].split())) > 20)
