@@ -12,9 +12,13 @@ Sketches only say which sets must meet: candidates with an estimate within 4.2 s
 deviations of the threshold are joined into groups, and inside each group all pairs of
 different clusters are compared on the full sets, exactly. A group is searched breadth
 first, so a set that is linked to its cluster is never compared with it again and a
-tight group of n sets costs n comparisons, not n squared. A group of more than ``GROUP``
-sets is split into blocks and every pair of blocks searched, so none has to fit in one
-task and no pair is left out.
+tight group of n sets costs n comparisons, not n squared.
+
+A group of more than ``GROUP`` sets or ``GROUP_VALUES`` shingles is dealt to blocks. First
+every block is searched together with the group's pivot, its smallest set. What that links
+to the pivot needs no comparison among itself any more; the rest is then searched against
+it, and against itself, in pairs of blocks. So no group has to fit in one task, no pair is
+left out, and the text of a member of a tight group is sent once.
 
 A pair at the threshold misses a tree with probability (1 - t) ** ROOT_COORDS at the
 root, so four trees miss it with less than 1e-5 in small nodes.
@@ -23,7 +27,11 @@ Defined results: texts that are null, empty or without words have empty sets and
 linked with nothing; a text of fewer words than a shingle has its whole sequence as its
 only shingle; rows without doc_id are never linked and are kept; rows that repeat a
 doc_id stand for themselves, each with the component of its own text; other columns are
-ignored; an empty table gives an empty table.
+ignored, or carried by ``deduplicated``, whatever their names; an empty table gives an
+empty table.
+
+Sets are told apart by 128 bits of digest; rows by numbers given when they are first
+written, since ids may repeat.
 """
 
 from __future__ import annotations
@@ -37,10 +45,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._common import small_batches, stored
+from quire.llm._common import numbered, small_batches, stored
 from quire.llm.graph import components
 
-TREES, ROOT_COORDS, DEPTH, SMALL_NODE, TIGHT, GROUP = 4, 2, 6, 256, 0.9, 4096
+TREES, ROOT_COORDS, DEPTH, SMALL_NODE, TIGHT = 4, 2, 6, 256, 0.9
+GROUP, GROUP_VALUES = 4096, 4_000_000
 COORDS = 64
 _rng = np.random.default_rng(20240229)
 FLIP = _rng.integers(0, 2**64, COORDS, dtype=np.uint64)
@@ -86,30 +95,31 @@ def signature(values: np.ndarray) -> np.ndarray:
     return least
 
 
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sid, roots, sketch) for every document; sid, roots and sketch are null for empty sets.
+def set_rows(docs: DataFrame, row: str, words: int) -> DataFrame:
+    """(row, doc_id, n, sid, roots, sketch) for every document; sid, roots and sketch are null for empty sets.
 
     roots are the minwise values that the trees' roots branch by; sketch has 16 bits of each
     value of another reading of the signature.
     """
     need = TREES * ROOT_COORDS
+    names = ["row", "doc_id", "n", "sid", "roots", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sid, roots, sketch = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 values = shingle_set(text, words)
                 n.append(len(values))
                 if len(values):
                     mins = signature(values)
-                    sid.append(int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    sid.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                     roots.append(mins[:need].astype(np.int64).tolist())
                     sketch.append(mixed(mins).astype(np.uint16).tobytes())
                 else:
                     sid.append(None), roots.append(None), sketch.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n", "sid", "roots", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names)
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n long, sid long, roots array<long>, sketch binary")
+    return small_batches(docs.select(row, "doc_id", "text")).mapInArrow(run, "row long, doc_id long, n long, sid binary, roots array<long>, sketch binary")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -154,7 +164,7 @@ def node_links(rows: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches):
-            keys, sids = t.column(0).to_numpy(), t.column(1).to_numpy()
+            keys, sids = t.column(0).to_numpy(), t.column(1).combine_chunks()
             sketches = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint16).reshape(-1, COORDS)
             a, b = [], []
             for start, end in groups_in(keys):
@@ -165,9 +175,9 @@ def node_links(rows: DataFrame, least: float) -> DataFrame:
                 for x, y in sketch_links(sketches[start:end], least):
                     a.append(start + x), b.append(start + y)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(sids[a]), pa.array(sids[b])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([sids.take(pa.array(a)), sids.take(pa.array(b))], ["a", "b"])
 
-    return rows.select("key", "sid", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "sid", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
 def agreement(one: str, other: str) -> str:
@@ -252,42 +262,101 @@ def group_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches):
-            keys, sids = t.column(0).to_numpy(), t.column(1).to_numpy()
+            keys, sids = t.column(0).to_numpy(), t.column(1).combine_chunks()
             found = []
             for start, end in groups_in(keys):
                 sets = [np.frombuffer(v, np.uint64) for v in t.column(2).slice(start, end - start).to_pylist()]
                 found += ((start + x, start + y) for x, y in exact_links(sets, percent))
             if found:
                 a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(sids[a]), pa.array(sids[b])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([sids.take(pa.array(a)), sids.take(pa.array(b))], ["a", "b"])
 
-    ready = small_batches(rows.select("key", "sid", "text")).mapInArrow(sets_of, "key long, sid long, values binary")
-    return ready.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    ready = small_batches(rows.select("key", "sid", "text")).mapInArrow(sets_of, "key long, sid binary, values binary")
+    return ready.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document.
+def dealt(members: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first round, members of large groups): where each of members(sid, row, n, group) is searched.
 
-    Documents are linked if their sets' intersection is at least ``percent`` hundredths of
-    their union.
+    Members of groups that aren't large(group, pivot, blocks) meet in their group; those of
+    large ones in their block, to which the pivot goes too.
+    """
+    own = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks"))
+    joined = members.join(large, "group", "left")
+    small = joined.filter("blocks is null").select("sid", "row", F.xxhash64("group").alias("key"))
+    rest = joined.filter("blocks is not null")
+    first = rest.withColumn("key", F.xxhash64("group", own))
+    pivots = rest.filter("sid = pivot").withColumn("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64("group", k))))
+    both = first.select("sid", "row", "key").unionByName(pivots.select("sid", "row", "key")).distinct()
+    return small.unionByName(both), rest
+
+
+def second_round(rest: DataFrame, linked: DataFrame) -> DataFrame:
+    """(sid, row, key): the pairs of blocks in which members of large groups meet again.
+
+    linked(node, root) are the components of the first round. Members that are with their
+    group's pivot (the core) meet the others only; the others meet everything.
+    """
+    root = linked.select(F.col("node").alias("sid"), "root")
+    rows = rest.join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    core = rows.filter("sid = pivot").select("group", F.col("root").alias("core_root"))
+    rows = rows.join(core, "group").withColumn("core", F.col("root") == F.col("core_root"))
+    half = lambda name, c: F.greatest(F.ceil(F.count_if(c) * 2 / GROUP), F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) * 2 / GROUP_VALUES)).alias(name)
+    sizes = rows.groupBy("group").agg(half("core_blocks", F.col("core")), half("other_blocks", ~F.col("core"))).filter("other_blocks > 0")
+    rows = rows.select("group", "sid", "row", "core").join(sizes, "group")
+    own = F.pmod(F.xxhash64("sid", F.lit(8)), F.when(F.col("core"), F.col("core_blocks")).otherwise(F.col("other_blocks")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)
+    cores = F.when(F.col("core_blocks") > 0, F.sequence(F.lit(0).cast("long"), F.col("core_blocks") - 1)).otherwise(F.array().cast("array<bigint>"))
+    as_core = F.transform(others, lambda k: F.xxhash64(F.lit("core"), "group", own, k))
+    as_other = F.concat(F.transform(cores, lambda k: F.xxhash64(F.lit("core"), "group", k, own)), F.transform(others, lambda k: F.xxhash64(F.lit("other"), "group", F.least(own, k), F.greatest(own, k))))
+    return rows.select("sid", "row", F.explode(F.when(F.col("core"), as_core).otherwise(as_other)).alias("key"))
+
+
+def rows_with_components(docs: DataFrame, row: str, words: int, percent: int) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, best) for the rows of a numbered table; best is true for one row of each component.
+
+    That row is the one with the component's smallest doc_id.
     """
-    rows = stored(set_rows(docs, words), "set-rows")
+    rows = stored(set_rows(docs, row, words), "set-rows")
     usable = rows.filter("sid is not null and doc_id is not null")
-    sets = stored(usable.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")), "sets")
+    sets = usable.groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
+    sets = stored(sets, "sets")
     groups = components(candidate_links(sets, percent / 100))
-    members = groups.join(sets.select("sid", "first"), groups["node"] == sets["sid"]).select("sid", "first", F.col("root").alias("key"))
+    members = groups.join(sets.select("sid", F.col("first.row").alias("row"), "n"), groups["node"] == sets["sid"]).select("sid", "row", "n", F.col("root").alias("group"))
     members = stored(members, "members")
-    large = members.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP)
-    large = large.select("key", F.ceil(F.col("size") * 2 / GROUP).alias("blocks"))
-    split = members.join(large, "key", "left")
-    own = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
-    placed = split.select("sid", "first", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
-    texts = docs.select(F.col("doc_id").alias("first"), "text").join(placed.hint("merge"), "first")
-    links = components(group_links(texts, words, percent))
+    blocks = F.greatest(F.ceil(F.count("*") * 2 / GROUP), F.ceil(F.sum("n") * 2 / GROUP_VALUES))
+    large = members.groupBy("group").agg(F.min("sid").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("values"), blocks.alias("blocks"))
+    large = stored(large.filter((F.col("size") > GROUP) | ((F.col("size") > 2) & (F.col("values") > GROUP_VALUES))).select("group", "pivot", "blocks"), "large-groups")
+    placed, rest = dealt(members, large)
+    texts = docs.select(F.col(row).alias("row"), "text")
+    links = group_links(texts.join(placed.hint("merge"), "row"), words, percent)
+    if not large.isEmpty():
+        links = stored(links, "first-links")
+        again = second_round(rest, components(links))
+        links = links.unionByName(group_links(texts.join(again.hint("merge"), "row"), words, percent))
+    links = components(links)
     roots = sets.select("sid", "first").join(links.toDF("sid", "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = roots.join(least, "root").select("sid", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(found, "sid", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    least = roots.groupBy("root").agg(F.min("first").alias("least"))
+    found = roots.join(least, "root").select("sid", "least")
+    out = rows.select("row", "doc_id", F.col("n").alias("n_shingles"), "sid").join(found, "sid", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("least.doc_id", "doc_id"))
+    best = F.col("doc_id").isNull() | F.col("least").isNull() | (F.col("row") == F.col("least.row"))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), best.alias("best"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document.
+
+    Documents are linked if their sets' intersection is at least ``percent`` hundredths of
+    their union.
+    """
+    rows, row = numbered(docs.select("doc_id", "text"), "near-rows")
+    out = rows_with_components(rows, row, words, percent)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; all columns stay."""
+    rows, row = numbered(docs, "near-rows")
+    kept = rows_with_components(rows, row, words, percent).filter("best").select(F.col("row").alias(row))
+    return rows.join(kept.hint("merge"), row).select(docs.columns)

@@ -66,6 +66,44 @@ def test_large_nodes_and_split_groups(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == brute(texts, 3, 85)[0]
 
 
+def test_groups_of_long_texts_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP_VALUES", 300)
+    texts = corpus(4, groups=3, size=14)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(of_texts(spark, texts), 5, 80).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, 5, 80)[0]
+
+
+def test_a_chain_longer_than_its_blocks(spark, monkeypatch):
+    """Each text is linked to the next only, so hardly any is with the pivot after the first round."""
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[3 * k : 3 * k + 60]) for k in range(25)] + ["other text " * 9]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    members = neardup.set_rows(rows, "row", 3).select("sid", "row", "n").withColumn("group", F.lit(bytearray(b"g")))
+    large = members.groupBy("group").agg(F.min("sid").alias("pivot")).withColumn("blocks", F.lit(6).cast("long"))
+    placed, rest = neardup.dealt(members, large)
+    links = neardup.group_links(placed.join(rows.select("row", "text"), "row"), 3, 85)
+    again = neardup.second_round(rest, graph.components(links))
+    links = links.unionByName(neardup.group_links(again.join(rows.select("row", "text"), "row"), 3, 85))
+    found = graph.components(links).join(members, F.col("node") == F.col("sid")).collect()
+    roots = {r["row"]: r["root"] for r in found}
+    assert set(roots) == set(range(25)) and len(set(roots.values())) == 1
+
+
+def test_rows_that_repeat_an_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    a, b, c = list(base), list(base), list(base)
+    b[10], b[40], c[55] = "x", "y", "z"
+    a, b, c = (" ".join(t) for t in (a, b, c))
+    (ra, rb, rc), _ = brute([a, b, c], 3, 85)
+    assert ra == rc != rb
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame([(5, a), (5, b), (3, c)]), 3, 85).collect()}
+    assert got == {(5, 3, False), (5, 5, True), (3, 3, True)}
+    kept = [tuple(r) for r in neardup.deduplicated(frame([(3, a), (5, a), (5, "quite another text of words"), (5, a), (None, a), (7, ""), (7, "")])).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, "quite another text of words"), (None, a), (7, ""), (7, "")], key=str)
+
+
 def test_odd_rows(spark):
     got = neardup.near_duplicates(documents(spark)).collect()
     assert len(got) == len(rows())
