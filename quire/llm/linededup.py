@@ -2,14 +2,21 @@
 
 State, all of it tables in the shared folder:
 
-* postings (hi, lo, doc_id): a row for each key of each document, the keys of a document once;
+* postings (hi, lo, doc_id, th): a row for each key of each document, the keys of a document
+  once; th is a hash of its text, so that documents of one id stay apart;
 * counts (hi, lo, n, top): the exact reference count of a key and its largest holder;
 * filters (shard, filter): per shard a cuckoo filter of the keys that enough documents
   hold. Fingerprints can be taken out again, so a deletion costs as little as an insertion.
 
+Postings and counts are levels: a batch adds a level of its own and reads the others, but
+rewrites nothing. A level of an insertion adds to the counts below; one of a deletion sets
+its keys anew, counted from the postings that are left, and a table of the deleted ids takes
+their older postings out. Past ``LEVELS`` levels all are merged into one.
+
 A batch is asked against the filters first; only keys that a filter may hold go to the
-exact counts, which decide. A filter that overflows turns into null, which holds every
-key, until it is built anew: filters save work and never change a result.
+exact counts, which decide. A filter that overflows is built anew from the counts, and all
+are built anew for twice the shards once there are twice as many keys as they were made for:
+filters save work and never change a result.
 
 Keys are 128-bit BLAKE2b digests of normalised lines. Counting is pre-aggregated by key
 and shards see each key once, so a line that a third of all documents share is one row
@@ -18,7 +25,7 @@ there; a document's text only ever meets the keys of its own lines.
 Defined results: null or empty text is one empty line, which is never dropped; every row
 is a document of its own and rows that repeat a doc_id hold their lines under the same
 id, so all of them keep a line of which that id is the largest; a null doc_id is smaller
-than any other, and lines that only null ids hold stay; other columns are kept by
+than any other, can be deleted like any other, and lines that only null ids hold stay; other columns are kept by
 ``dedup`` and may have any name but those of DROP_COLUMNS; an empty table gives an empty
 table. Deleting documents takes out every row of the ids given.
 """
@@ -27,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +49,9 @@ from quire.session import ship
 LEAST_CHARS, LEAST_DOCS = 20, 3
 KEYS_PER_SHARD = 32768
 SLOTS, MAX_KICKS = 4, 500
+LEVELS = 8
+#: As many hot keys may go to every task (24 MB); more of them meet the postings by salted key.
+BROADCAST_KEYS, SALTS = 1_000_000, 16
 
 
 def line_key(line: bytes, least_chars: int = LEAST_CHARS) -> bytes | None:
@@ -113,19 +124,25 @@ class CuckooFilter:
 
 
 def postings_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(hi, lo, doc_id): the distinct keys of each document."""
+    """(hi, lo, doc_id, th): the distinct keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, hashes, keys = [], [], []
+            for doc, text, th in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = {line_key(x, least_chars) for x in (text or "").encode().split(b"\n")} - {None}
                 keys += own
                 ids += [doc] * len(own)
+                hashes += [th] * len(own)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64())], ["hi", "lo", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["hi", "lo", "doc_id", "th"])
+
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("th"))).mapInArrow(run, "hi long, lo long, doc_id long, th long")
+
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "hi long, lo long, doc_id long")
+def same_id(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """rows semi- or anti-joined with ids(doc_id), where null is an id too."""
+    return rows.join(ids.select(F.col("doc_id").alias("_id")), F.expr("doc_id <=> _id"), how)
 
 
 class LineIndex:
@@ -134,8 +151,36 @@ class LineIndex:
     def __init__(self, spark, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS):
         ship(spark)
         self.spark, self.least_chars, self.least_docs = spark, least_chars, least_docs
-        self.postings = self.counts = self.filters = None
-        self.shards = 1
+        self._version = 0
+        self._postings: list[tuple[int, DataFrame]] = []
+        self._gone: list[tuple[int, DataFrame]] = []
+        self._counts: list[tuple[int, DataFrame]] = []
+        self.filters = None
+        self.shards, self._keys = 1, 0
+
+    @property
+    def postings(self) -> DataFrame:
+        """The postings of the documents that are in."""
+        levels = []
+        for version, rows in self._postings:
+            later = [ids for v, ids in self._gone if v > version]
+            levels.append(same_id(rows, reduce(DataFrame.unionByName, later).distinct(), "left_anti") if later else rows)
+        return reduce(DataFrame.unionByName, levels)
+
+    @property
+    def counts(self) -> DataFrame:
+        """(hi, lo, n, top) of every key that some document holds."""
+        return self.counted().filter("n > 0")
+
+    def counted(self, keys: DataFrame | None = None) -> DataFrame:
+        """(hi, lo, n, top), of some keys(hi, lo) or all: each level's, or the last that sets a key anew and those above it."""
+        of = lambda rows: rows if keys is None else rows.join(keys, ["hi", "lo"], "left_semi")
+        if len(self._counts) == 1:
+            return of(self._counts[0][1]).select("hi", "lo", "n", "top")
+        rows = reduce(DataFrame.unionByName, [of(rows).withColumn("v", F.lit(v)) for v, rows in self._counts])
+        listed = rows.groupBy("hi", "lo").agg(F.collect_list(F.struct("v", "anew", "n", "top")).alias("x"))
+        listed = listed.withColumn("since", F.expr("coalesce(array_max(transform(filter(x, y -> y.anew), y -> y.v)), 0)")).withColumn("x", F.expr("filter(x, y -> y.v >= since)"))
+        return listed.select("hi", "lo", F.expr("aggregate(x, cast(0 as bigint), (a, y) -> a + y.n)").alias("n"), F.expr("array_max(transform(x, y -> y.top))").alias("top"))
 
     def _hot(self, counts: DataFrame) -> DataFrame:
         return counts.filter(F.col("n") >= self.least_docs)
@@ -146,49 +191,73 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> DataFrame:
         """Takes documents in; returns their postings."""
+        self._version += 1
         new = stored(postings_of(docs, self.least_chars), "line-postings")
-        delta = new.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-        if self.counts is None:
-            self.postings, self.counts = new, stored(delta, "line-counts")
-            self.shards = max(1, -(-self.counts.count() // KEYS_PER_SHARD))
-            self.filters = stored(self._built(self._hot(self.counts)), "line-filters")
-        else:
-            was = self.counts
-            merged = was.unionByName(delta).groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-            self._move(was, stored(merged, "line-counts"))
-            self.postings = self.postings.unionByName(new)
+        delta = new.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.lit(False).alias("anew"))
+        delta = stored(delta, "line-counts")
+        self._postings.append((self._version, new))
+        if not self._counts:
+            self._counts.append((self._version, delta))
+            self._keys = delta.count()
+            self._build()
+            return new
+        was = self.counted(delta.select("hi", "lo")).withColumnRenamed("n", "was").drop("top")
+        both = delta.join(was, ["hi", "lo"], "left").withColumn("was", F.coalesce("was", F.lit(0)))
+        hot = both.filter((F.col("was") < self.least_docs) & (F.col("was") + F.col("n") >= self.least_docs))
+        moved = stored(hot.select("hi", "lo", F.lit(True).alias("put")), "line-moves")
+        self._counts.append((self._version, delta))
+        self._keys += delta.count()
+        self._move(moved)
         return new
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes the documents with these ids out; doc_ids has a column doc_id."""
-        ids = doc_ids.select("doc_id").distinct()
-        left = stored(self.postings.join(ids, "doc_id", "left_anti").select("hi", "lo", "doc_id"), "line-postings")
-        touched = self.postings.join(ids, "doc_id", "left_semi").select("hi", "lo").distinct()
-        again = left.join(touched, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-        kept = self.counts.join(touched, ["hi", "lo"], "left_anti")
-        self._move(self.counts, stored(kept.unionByName(again), "line-counts"))
-        self.postings = left
-
-    def _move(self, was: DataFrame, now: DataFrame) -> None:
-        """Puts the keys that became common into the filters, takes out those no longer so."""
-        before, after = self._hot(was).select("hi", "lo"), self._hot(now).select("hi", "lo")
-        put = after.join(before, ["hi", "lo"], "left_anti").withColumn("put", F.lit(True))
-        out = before.join(after, ["hi", "lo"], "left_anti").withColumn("put", F.lit(False))
-        changes = self._shard(put.unionByName(out))
+        self._version += 1
+        ids = stored(doc_ids.select("doc_id").distinct(), "line-deleted")
+        touched = stored(same_id(self.postings, ids, "left_semi").select("hi", "lo").distinct(), "line-touched")
+        self._gone.append((self._version, ids))
+        left = self.postings.join(touched, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        again = touched.join(left, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n", F.lit(0)).alias("n"), "top", F.lit(True).alias("anew"))
+        again = stored(again, "line-counts")
+        was = self.counted(touched).filter(F.col("n") >= self.least_docs).select("hi", "lo")
+        moved = stored(again.filter(F.col("n") < self.least_docs).join(was, ["hi", "lo"]).select("hi", "lo", F.lit(False).alias("put")), "line-moves")
+        self._counts.append((self._version, again))
+        self._move(moved)
+
+    def _move(self, moved: DataFrame) -> None:
+        """Puts keys(hi, lo, put) that became common into the filters or takes out those no longer so; keeps levels few, filters whole and shards of their size."""
+        if len(self._counts) > LEVELS:
+            merged = stored(self.counts.withColumn("anew", F.lit(False)), "line-counts")
+            left = stored(self.postings, "line-postings")
+            self._counts, self._postings, self._gone = [(self._version, merged)], [(self._version, left)], []
+            self._keys = merged.count()
+        if self._keys > 2 * KEYS_PER_SHARD * self.shards:
+            self._build()
+            return
 
         def change(key: tuple, filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             raw = filters["filter"].iloc[0] if len(filters) else CuckooFilter.sized(2 * len(keys)).to_bytes()
-            if raw is not None:
-                f = CuckooFilter.from_bytes(raw)
-                gone, come = keys[~keys["put"].astype(bool)], keys[keys["put"].astype(bool)]
-                f.remove(gone["hi"].to_numpy(), gone["lo"].to_numpy())
-                raw = f.to_bytes() if f.insert(come["hi"].to_numpy(), come["lo"].to_numpy()) else None
+            f = CuckooFilter.from_bytes(raw)
+            gone, come = keys[~keys["put"].astype(bool)], keys[keys["put"].astype(bool)]
+            f.remove(gone["hi"].to_numpy(), gone["lo"].to_numpy())
+            raw = f.to_bytes() if f.insert(come["hi"].to_numpy(), come["lo"].to_numpy()) else None
             return pd.DataFrame({"shard": [key[0]], "filter": [raw]})
 
-        moved = self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(change, "shard long, filter binary")
-        self.counts, self.filters = now, stored(moved, "line-filters")
-
-    def _built(self, keys: DataFrame) -> DataFrame:
+        changed = self.filters.groupBy("shard").cogroup(self._shard(moved).groupBy("shard")).applyInPandas(change, "shard long, filter binary")
+        changed = stored(changed, "line-filters")
+        full = changed.filter("filter is null").select("shard")
+        if not full.isEmpty():
+            again = self._built(self._shard(self._hot(self.counted()).select("hi", "lo")).join(full, "shard", "left_semi"))
+            changed = stored(changed.filter("filter is not null").unionByName(again), "line-filters")
+        self.filters = changed
+
+    def _build(self) -> None:
+        """All filters, for as many shards as the keys need."""
+        self.shards = max(1, -(-self._keys // KEYS_PER_SHARD))
+        self.filters = stored(self._built(self._shard(self._hot(self.counted()).select("hi", "lo"))), "line-filters")
+
+    @staticmethod
+    def _built(keys: DataFrame) -> DataFrame:
         def build(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
             room = 2 * len(keys)
             f = CuckooFilter.sized(room)
@@ -197,7 +266,7 @@ class LineIndex:
                 f = CuckooFilter.sized(room)
             return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes()]})
 
-        return self._shard(keys.select("hi", "lo")).groupBy("shard").applyInPandas(build, "shard long, filter binary")
+        return keys.groupBy("shard").applyInPandas(build, "shard long, filter binary")
 
     def maybe(self, keys: DataFrame) -> DataFrame:
         """Those of distinct keys (hi, lo) that their shard's filter may hold."""
@@ -205,20 +274,23 @@ class LineIndex:
         def ask(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             if not len(filters) or not len(keys):
                 return keys.head(0)[["hi", "lo"]]
-            raw = filters["filter"].iloc[0]
-            if raw is None:
-                return keys[["hi", "lo"]]
-            return keys.loc[CuckooFilter.from_bytes(raw).holds(keys["hi"].to_numpy(), keys["lo"].to_numpy()), ["hi", "lo"]]
+            f = CuckooFilter.from_bytes(filters["filter"].iloc[0])
+            return keys.loc[f.holds(keys["hi"].to_numpy(), keys["lo"].to_numpy()), ["hi", "lo"]]
 
         asked = self._shard(keys.select("hi", "lo")).groupBy("shard")
         return self.filters.groupBy("shard").cogroup(asked).applyInPandas(ask, "hi long, lo long")
 
     def decide(self, postings: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-        """(doc_id, _drop): for each document that loses lines, the keys it loses."""
+        """(doc_id, th, _drop): for each document that loses lines, the keys it loses."""
         keys = postings.select("hi", "lo").distinct() if keys is None else keys
-        common = self._hot(self.counts.join(self.maybe(keys), ["hi", "lo"], "left_semi")).select("hi", "lo", "top")
-        lost = postings.join(common, ["hi", "lo"]).filter("doc_id < top or (doc_id is null and top is not null)")
-        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("_drop"))
+        common = stored(self._hot(self.counted(self.maybe(keys))).filter("top is not null").select("hi", "lo", "top"), "line-common")
+        if common.count() <= BROADCAST_KEYS:
+            lost = postings.join(F.broadcast(common), ["hi", "lo"])
+        else:
+            salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            lost = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS))).join(salted, ["hi", "lo", "salt"])
+        lost = lost.filter("doc_id < top or doc_id is null")
+        return lost.groupBy("doc_id", "th").agg(F.collect_set(F.struct("hi", "lo")).alias("_drop"))
 
 
 DROP_COLUMNS = ("_n_lines", "_n_dropped")
@@ -227,7 +299,8 @@ DROP_COLUMNS = ("_n_lines", "_n_dropped")
 def without_lines(docs: DataFrame, drops: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs with the text that stays, and DROP_COLUMNS: lines before dropping, lines dropped."""
     names = docs.columns
-    rows = docs.join(drops.withColumnRenamed("doc_id", "_drop_id"), F.expr("doc_id <=> _drop_id"), "left").select(*[docs[c] for c in names], "_drop")
+    drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("th").alias("_drop_th"), "_drop")
+    rows = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(docs["text"]) == drops["_drop_th"]), "left").select(*[docs[c] for c in names], "_drop")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

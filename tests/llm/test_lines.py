@@ -68,6 +68,47 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert {tuple(r) for r in index.counts.collect()} == before
 
 
+def test_many_batches(spark, monkeypatch):
+    """Small levels, shards and filters, so that all are merged, grown and built anew on the way."""
+    monkeypatch.setattr(linededup, "LEVELS", 3)
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 4)
+    rng = random.Random(8)
+    pool = [f"this is the shared line number {k}" for k in range(40)]
+    index, live, n = linededup.LineIndex(spark), [], 0
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    for step in range(7):
+        if step % 3 == 2:
+            gone = {rng.choice(live)[0] for _ in range(4)} | {None}
+            index.delete(spark.createDataFrame([(g,) for g in gone], "doc_id long"))
+            live = [d for d in live if d[0] not in gone]
+        else:
+            some = [(None if rng.random() < 0.2 else n + k - 2 * (k == 5), "\n".join(rng.sample(pool, 3))) for k in range(12)]
+            n += 12
+            index.insert(frame(some))
+            live += some
+        if step in (4, 6):
+            kept = linededup.without_lines(frame(live), index.decide(index.postings))
+            assert got(kept.selectExpr("doc_id", "_n_lines n_lines", "_n_dropped n_dropped", "sha2(text, 256) kept_sha256")) == brute(live)
+    assert index.shards > 1
+
+
+def test_an_overflowing_filter_is_built_anew(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "MAX_KICKS", 2)
+    index = linededup.LineIndex(spark)
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    docs = [(k, f"a line that three documents share, {k // 3}") for k in range(900)]
+    index.insert(frame(docs[:9]))
+    index.insert(frame(docs[9:]))
+    assert index.filters.filter("filter is null").isEmpty()
+    assert got(linededup.without_lines(frame(docs), index.decide(index.postings)).selectExpr("doc_id", "_n_lines n_lines", "_n_dropped n_dropped", "sha2(text, 256) kept_sha256")) == brute(docs)
+
+
+def test_many_hot_keys_meet_salted(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", 0)
+    docs = corpus(60, 3)
+    assert got(linededup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
 def test_cuckoo_filter_never_forgets():
     rng = np.random.default_rng(0)
     hi, lo = rng.integers(-(2**63), 2**63, (2, 5000), dtype=np.int64)
