@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from quire.llm._common import small_batches, stored
 
-SAMPLE_ROWS = 40000
+SAMPLE_ROWS, SAMPLE_TASKS = 40000, 48
 LEXICON = 5000
 PREFIXES = (4, 5, 6)
 LEAST_SUPPORT = 3
@@ -206,13 +206,17 @@ def checksum(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic, fold) of at most ``sample_rows`` labelled ids, equal texts once."""
+    """(text, toxic, fold) of at most ``sample_rows`` labelled rows, equal texts once: those of the smallest hashes."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
     first = rows.groupBy("digest").agg(F.min_by(F.struct("text", "toxic"), "doc_id").alias("r"))
-    return first.select("r.text", "r.toxic", (F.crc32("digest") % FOLDS).cast("int").alias("fold"))
+    sample = stored(first.select("r.text", "r.toxic", (F.crc32("digest") % FOLDS).cast("int").alias("fold"), F.struct(F.xxhash64("digest").alias("h"), "digest").alias("place")), "toxic-sample")
+    if sample.count() > sample_rows:  # ids that repeat
+        last = sample.select("place").orderBy("place").limit(sample_rows).agg(F.max("place").alias("last"))
+        sample = sample.join(F.broadcast(last), F.col("place") <= F.col("last")).drop("last")
+    return sample.drop("place").repartition(SAMPLE_TASKS, F.xxhash64("text"))
 
 
 def lexicons(sample: DataFrame, entries: int = LEXICON) -> tuple[list[dict[str, float]], dict[str, float]]:
@@ -258,7 +262,7 @@ def lexicons(sample: DataFrame, entries: int = LEXICON) -> tuple[list[dict[str,
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of the labelled rows given; the caller leaves out what must not be learned."""
-    sample = stored(labelled_sample(docs, labels, sample_rows), "toxic-sample")
+    sample = labelled_sample(docs, labels, sample_rows)
     others, whole = lexicons(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
