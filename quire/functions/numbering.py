@@ -27,7 +27,7 @@ CLOSING = rf"^(结{W}*语|结论|小结|本章小结|余论|代结语|结束语|
 FRONT = rf"^(序|序言|自序|代序|出版说明|凡例|编者的话){W}*[一二三四五六七八九十0-9]*{W}*\z"
 BACK = rf"^(后记|跋|附录|附{W}*录|参考文献|索{W}*引|致谢|编后记|大事记){W}*[一二三四五六七八九十0-9]*{W}*\z"
 #: Ranks of classes in a tree; a smaller rank is further up.
-RANK = {"part": 10, "toc": 12, "chapter": 20, "backmatter": 20, "sec": 30, "subsec": 40, "subsubsec": 50, "item": 60, "subitem": 65}
+RANK = {"front": 5, "part": 10, "toc": 12, "chapter": 20, "backmatter": 20, "sec": 30, "subsec": 40, "subsubsec": 50, "item": 60, "subitem": 65}
 NUMBERED = ("sec", "subsec", "subsubsec", "item", "subitem")
 CHAPTER_RANKED = ("part", "chapter", "backmatter")
 #: Audits read numbers by their own patterns, in this order.

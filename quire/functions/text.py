@@ -6,6 +6,8 @@ Whitespace here is Unicode's, 29 code points, spelled out because engines disagr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,3 +172,37 @@ def human_size(c: Column | str) -> Column:
 
 def text_digest(c: Column | str) -> Column:
     return F.sha2(F.coalesce(col(c), F.lit("")), 256)
+
+
+#: Brackets that a cut paragraph leaves open, ends of sentences, what may close one, and marks that surely go on.
+BRACKETS, QUOTES = (("(", ")"), ("［", "］"), ("[", "]"), ("【", "】")), (("“", "”"),)
+ENDS, CLOSERS, GOING_ON = "。！？…", "）)”』】》\"'.!?", "，、：（“‘—·"
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
+EDGE_CODE = r"^(`[FfEe][0-9IVXLCDM]{1,7}`\s*|[FfEe](?:[0-9]{1,4}|[IVXLCDM]{1,7})[ \t]+)"
+
+
+def _open_bracket(t: Column, pairs: tuple) -> Column:
+    count = lambda x: F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))
+    return reduce(lambda a, b: a | b, [count(a) > count(b) for a, b in pairs])
+
+
+def is_cut(c: Column | str) -> Column:
+    """A paragraph that may go on after a page: an open bracket, or no end of a sentence."""
+    t = col(c)
+    return (F.length(t) >= 8) & (_open_bracket(t, BRACKETS) | ~F.lit(ENDS + CLOSERS).contains(F.substring(t, -1, 1)))
+
+
+def is_surely_cut(c: Column | str) -> Column:
+    t = col(c)
+    return (t != "") & (_open_bracket(t, BRACKETS + QUOTES) | F.lit(GOING_ON).contains(F.substring(t, -1, 1)))
+
+
+def is_note(c: Column | str) -> Column:
+    """A text that begins with a circled number."""
+    t = col(c)
+    return (t != "") & F.lit(CIRCLED).contains(F.substring(t, 1, 1))
+
+
+def goes_on(c: Column | str) -> Column:
+    """A paragraph that may be the rest of one before it."""
+    return F.regexp_replace(col(c), EDGE_CODE, "").rlike(r"^[一-鿿A-Za-z]") & ~is_note(c)

@@ -1,8 +1,8 @@
 """Outlines: headings, contents lists, trees, ownership and roll-ups.
 
-Trees are adjacency tables. A node's ancestors come from windows alone: for each level the
-last node of that level so far is an ancestor if no smaller level came later, so no node
-is ever joined with the nodes before it.
+Trees are adjacency tables. Nodes stream past in document order, and the only thing that is
+kept is the chain of open ancestors, so a tree of any depth and any number of nodes takes
+one pass and no node is ever joined with the nodes before it.
 """
 
 from __future__ import annotations
@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quire.functions import numbering, text
 from quire.functions.text import SPACE, W, strip
 from quire.operators.folds import fold_sources
+from quire.session import ship
 
 #: Lines that look like a contents list, its limits, and leaders before a page number.
 TOC_LINE = rf"[.．·…]{{3,}}{W}*[0-9]{{1,4}}{W}*\z"
@@ -25,39 +29,46 @@ TOC_LEADERS = r"[.．·…]{2,}"
 TOC_LEAST_LINES, TOC_MOST_PAGES = 3, 12
 RUNNING_PAGES, RUNNING_SHARE = 5, 0.08
 FIGURE_FRAGMENT = 30
-LEVELS = 9
 PAGE = ("source_id", "shard_ord", "page_idx")
 
 
 # --- trees ---------------------------------------------------------------------------
 
 
-def with_parents(nodes: DataFrame, order: str = "seq", rank: str = "level", ranks: tuple[int, ...] = tuple(range(1, LEVELS + 1))) -> DataFrame:
-    """nodes with ``ancestors`` (orders of the enclosing nodes, outermost first), ``parent``, the last of them, and ``depth``.
+def with_parents(nodes: DataFrame, order: str = "seq", rank: str = "level") -> DataFrame:
+    """nodes with ``ancestors`` (orders of the enclosing nodes, outermost first), ``parent``, the last of them, ``depth``, ``ordinal`` among their siblings and ``nid``, the path of ordinals such as 2.1.3.
 
-    A node's parent is the nearest one before it with a smaller rank.
+    A node's parent is the nearest one before it with a smaller rank, whatever ranks there
+    are; a node without rank stands at the top and encloses nothing.
     """
-    w = Window.partitionBy("source_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = {r: F.last(F.when(F.col(rank) == r, F.col(order)), True).over(w) for r in ranks}
-    rows = nodes.withColumn("_last", F.array(*[F.struct(F.lit(r).alias("r"), last[r].alias("at")) for r in ranks]))
-    open_ = F.expr(f"filter(_last, x -> x.r < {rank} and x.at is not null and not exists(_last, y -> y.r < x.r and coalesce(y.at > x.at, false)))")
-    rows = rows.withColumn("ancestors", F.transform(open_, lambda x: x["at"])).drop("_last")
-    return rows.withColumn("parent", F.when(F.size("ancestors") > 0, F.try_element_at("ancestors", F.lit(-1)))).withColumn("depth", (F.size("ancestors") + 1).cast("long"))
-
-
-def with_ids(tree: DataFrame, order: str = "seq") -> DataFrame:
-    """Nodes with ``ordinal`` among their siblings and ``nid``, the path of ordinals such as 2.1.3."""
-    own = Window.partitionBy("source_id", "parent").orderBy(order)
-    rows = tree.withColumn("ordinal", F.row_number().over(own).cast("long"))
-    book = Window.partitionBy("source_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_o", F.array(*[seen_at(d, order).over(book) for d in range(1, LEVELS + 1)]))
-    path = F.expr("transform(slice(_o, 1, size(ancestors)), x -> cast(x.ordinal as string))")
-    return rows.withColumn("nid", F.array_join(F.concat(path, F.array(F.col("ordinal").cast("string"))), ".")).drop("_o")
-
-
-def seen_at(depth: int, order: str) -> Column:
-    """The last node at a depth so far; for a node deeper than that it is the ancestor there."""
-    return F.last(F.when(F.col("depth") == depth, F.struct(F.col(order), F.col("ordinal"))), True)
+    names = nodes.columns
+    source_at, order_at, rank_at = (names.index(c) for c in ("source_id", order, rank))
+    key = nodes.schema[order].dataType
+    added = [StructField("ancestors", ArrayType(key)), StructField("parent", key), StructField("depth", LongType()), StructField("ordinal", LongType()), StructField("nid", StringType())]
+    schema = StructType([*nodes.schema.fields, *added])
+    kinds = to_arrow_schema(StructType(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, open_ = None, []  # (rank, order, nid, children so far), the first for the top
+        for b in batches:
+            made: list[tuple] = []
+            for own, at, r in zip(*(b.column(k).to_pylist() for k in (source_at, order_at, rank_at)), strict=True):
+                if own != source or not open_:
+                    source, open_ = own, [[None, None, "", 0]]
+                while r is not None and len(open_) > 1 and open_[-1][0] >= r:
+                    open_.pop()
+                above = open_ if r is not None else open_[:1]
+                above[-1][3] += 1
+                ordinal = above[-1][3]
+                nid = f"{above[-1][2]}.{ordinal}" if len(above) > 1 else str(ordinal)
+                made.append(([x[1] for x in above[1:]], above[-1][1], len(above), ordinal, nid))
+                if r is not None:
+                    open_.append([r, at, nid, 0])
+            columns = zip(*made, strict=True) if made else [[]] * len(added)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True))], [*names, *kinds.names])
+
+    ship(nodes.sparkSession)
+    return nodes.repartition("source_id").sortWithinPartitions("source_id", order).mapInArrow(run, schema)
 
 
 def breadcrumbs(tree: DataFrame, order: str = "seq") -> DataFrame:
@@ -101,11 +112,16 @@ def frontier(tree: DataFrame, depth: int, order: str = "seq") -> DataFrame:
 
 
 def owners(blocks: DataFrame, breakpoints: DataFrame) -> DataFrame:
-    """blocks(source_id, gid) with ``key`` of the last breakpoint(source_id, gid, offset, key) at or before them; null before the first."""
-    marks = breakpoints.select("source_id", "gid", F.lit(0).alias("_b"), F.col("offset"), "key")
-    rows = blocks.withColumn("_b", F.lit(1)).withColumn("offset", F.lit(None).cast("long")).withColumn("key", F.lit(None).cast(marks.schema["key"].dataType))
+    """blocks(source_id, gid) with ``key`` of the last breakpoint(source_id, gid, offset, key[, seq]) at or before them; null before the first.
+
+    A block that a breakpoint cuts belongs to it as a whole; of several at one place the last
+    in document order counts.
+    """
+    place = F.col("seq") if "seq" in breakpoints.columns else F.lit(0)
+    marks = breakpoints.select("source_id", "gid", F.lit(0).alias("_b"), F.col("offset"), place.cast("long").alias("_s"), "key")
+    rows = blocks.withColumn("_b", F.lit(1)).withColumn("offset", F.lit(None).cast("long")).withColumn("_s", F.lit(None).cast("long")).withColumn("key", F.lit(None).cast(marks.schema["key"].dataType))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("source_id").orderBy("gid", "_b", "offset", "key").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("source_id").orderBy("gid", "_b", "offset", "_s", "key").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("key", F.last("key", True).over(w)).filter("_b = 1").select(*blocks.columns, "key")
 
 
@@ -203,7 +219,7 @@ def ranked_tree(candidates: DataFrame) -> DataFrame:
     Plain titles take the rank of the next numbered one, or go below what is open; openings
     and closings do likewise below their chapter; chapters without a number after back matter
     are its sections unless the contents list has them; a contents heading closes what it
-    outranks and never is a parent.
+    outranks and never is a parent, and neither is the front matter.
     """
 
     def fold(source: int, rows: list[dict]) -> list[dict]:
@@ -273,7 +289,7 @@ def fold_ranks(rows: list[tuple]) -> list[tuple[int, int | None]]:
         while open_ and open_[-1][0] >= rank:
             open_.pop()
         out.append((rank, open_[-1][1] if open_ else None))
-        if marker != "toc":
+        if marker not in ("toc", "front"):
             open_.append((rank, seq))
     return out
 
@@ -315,17 +331,40 @@ def misread_entries(entries: DataFrame) -> DataFrame:
     return rows.select("source_id", F.explode(F.expr(step)).alias("ord"))
 
 
-def missing_entries(entries: DataFrame, titles: DataFrame) -> DataFrame:
-    """Chapter entries of a contents list that no title matches: what a repair would add.
+def entry_matches(key: str, title: str) -> bool:
+    """Whether a title says an entry: short keys if equal, others if one holds the other or the entry goes on from the title."""
+    if len(key) < 4:
+        return key == title
+    return (len(title) >= 4 and (key in title or title in key)) or (len(title) >= 2 and key.startswith(title))
+
 
-    Against the titles there are; entries that repeat one another count once, the first.
+def repaired_entries(entries: DataFrame, titles: DataFrame) -> DataFrame:
+    """(source_id, ord, status) of the chapter entries of a contents list that no title matches: what a repair adds or passes over.
+
+    entries(source_id, ord, kind, title, printed, page_known, gid) say on which page and first
+    block they lie. An added entry is a title from then on, so a later one that it matches
+    isn't added; one without a page or a block is passed over and isn't a title.
     """
-    e = entries.filter("kind = 'chapter' and printed is not null").withColumn("k", text.contents_key("title")).filter("k <> ''")
-    t = titles.select("source_id", text.contents_key(text.clean_title("title")).alias("t")).filter("t <> ''").distinct()
-    same = F.when(F.length("k") < 4, F.col("k") == F.col("t")).otherwise(((F.least(F.length("k"), F.length("t")) >= 4) & (F.col("t").contains(F.col("k")) | F.col("k").contains(F.col("t")))) | ((F.length("t") >= 2) & F.col("k").startswith(F.col("t"))))
-    left = e.alias("e").join(t.alias("t"), (F.col("e.source_id") == F.col("t.source_id")) & same, "left_anti")
-    once = F.row_number().over(Window.partitionBy("source_id", "k").orderBy("ord"))
-    return left.withColumn("_n", once).filter("_n = 1").select("source_id", "ord", "title", "printed")
+    e = entries.filter("kind = 'chapter' and printed is not null and printed <> 0").select("source_id", F.lit(1).alias("side"), "ord", text.contents_key("title").alias("key"), "page_known", "gid")
+    t = titles.select("source_id", F.lit(0).alias("side"), F.lit(0).cast("long").alias("ord"), text.contents_key(text.clean_title("title")).alias("key")).distinct()
+
+    def fold(source: int, rows: list[dict]) -> Iterator[dict]:
+        known = [r["key"] for r in rows if not r["side"] and r["key"]]
+        for r in rows:
+            if not r["side"] or not r["key"] or any(entry_matches(r["key"], k) for k in known):
+                continue
+            status = "no page" if not r["page_known"] else "no block" if r["gid"] is None else "added"
+            if status == "added":
+                known.append(r["key"])
+            yield {"ord": r["ord"], "status": status}
+
+    return fold_sources(t.unionByName(e, allowMissingColumns=True), ("side", "ord", "key"), fold, "ord long, status string")
+
+
+def missing_entries(entries: DataFrame, titles: DataFrame) -> DataFrame:
+    """Chapter entries of a contents list that neither a title nor an entry before them matches, were every page known."""
+    found = repaired_entries(entries.withColumn("page_known", F.lit(True)).withColumn("gid", F.lit(0).cast("long")), titles)
+    return entries.join(found.select("source_id", "ord"), ["source_id", "ord"]).select("source_id", "ord", "title", "printed")
 
 
 def first_blocks(pages: DataFrame, blocks: DataFrame, reach: int = 4) -> DataFrame:

@@ -70,7 +70,7 @@ def reflowed(tree: DataFrame, levels: DataFrame, deleted: DataFrame, added: Data
     given = levels.select("source_id", "key", F.col("level").alias("given"))
     rows = rows.unionByName(new).join(given, ["source_id", "key"], "left").withColumn("level", F.coalesce("given", "level")).drop("given")
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("at", "key")).cast("long")
-    return outline.with_ids(outline.with_parents(rows.withColumn("seq", place)))
+    return outline.with_parents(rows.withColumn("seq", place))
 
 
 def edit_view(tree: DataFrame, deleted: DataFrame, added: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +79,12 @@ def global_places(rows: DataFrame, first: str, then: str, width: int = 65536) ->
     return out.withColumn("place", F.col("_before") + F.col("_k")).drop("_r", "_f", "_q", "_k", "_before")
 
 
+def first_of(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """The first rows of each source, as lists in reports are cut."""
+    n = F.row_number().over(Window.partitionBy("source_id").orderBy(order))
+    return rows.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+
+
 def identity(*parts: Column | str, length: int = 24) -> Column:
     """An engine-local identity of parts: the beginning of their joint digest."""
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, length)
@@ -124,33 +130,36 @@ def fidelity(sources: DataFrame, rendered: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
-    """Writes files(source_id, path, content) below a folder that all machines share, through a temporary name; returns what was written.
+    """Writes files(source_id, path, content) below a folder of any file system that Spark knows; returns (source_id, path, bytes, sha256) of what was written.
 
-    For the table form use a Parquet or text sink; this is for a file per section.
+    Each file is written once under a temporary name and renamed, by the machine that has its
+    rows; paths that lead outside are an error. A task that runs again writes the same files.
     """
-    conf = {"root": root.removeprefix("file://")}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        import os
-        import uuid
-
-        for b in batches:
-            done = []
-            for source, path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                target = os.path.normpath(os.path.join(conf["root"], str(source), path))
-                if not target.startswith(os.path.normpath(conf["root"]) + os.sep):
-                    raise ValueError(f"{path} lies outside")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                raw = content.encode()
-                part = f"{target}.{uuid.uuid4().hex}.tmp"
-                with open(part, "wb") as f:
-                    f.write(raw)
-                os.replace(part, target)
-                done.append({"source_id": source, "path": path, "bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest()})
-            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("source_id", pa.int64()), ("path", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())]))
-
-    return files.select("source_id", "path", "content").mapInArrow(run, "source_id long, path string, bytes long, sha256 string")
+    spark = files.sparkSession
+    bad = F.col("path").startswith("/") | F.concat(F.lit("/"), "path", F.lit("/")).contains("/../")
+    rows = files.withColumn("path", F.when(bad, F.raise_error(F.concat(F.col("path"), F.lit(" lies outside")))).otherwise(F.col("path")))
+    rows = rows.select("source_id", "path", F.encode("content", "utf-8").alias("raw"))
+    staged = f"{root.rstrip('/')}/.staged-{uuid.uuid4().hex}"
+    rows.select(F.concat_ws("/", F.col("source_id").cast("string"), "path").alias("name"), F.base64("raw").alias("raw")).write.parquet(staged)
+    fs, path = _file_system(spark, staged)
+    made = spark.read.parquet(staged)
+    for r in made.toLocalIterator():
+        target = f"{root.rstrip('/')}/{r['name']}"
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{target}.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(part, True)
+        stream.write(base64.b64decode(r["raw"]))
+        stream.close()
+        goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if fs.exists(goal):
+            fs.delete(goal, False)
+        fs.rename(part, goal)
+    fs.delete(path, True)
+    return rows.select("source_id", "path", F.length("raw").cast("long").alias("bytes"), F.sha2("raw", 256).alias("sha256"))
+
+
+def _file_system(spark, where: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def rewritten_links(index: DataFrame, moved: DataFrame) -> DataFrame:

@@ -174,55 +174,31 @@ def f08(spark, sf):
     return spark.range(3000).select(F.col("id").alias("n"), num.roman("id").alias("roman"))
 
 
-NORM_CASES = "doc_id, left(text, 80) || ' （' || doc_id || '）…… 12' AS s"
-
-
-def _titles(spark, sf):
-    from quire.session import table
-
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 80), F.lit(" （"), F.col("doc_id"), F.lit("）…… 12")).alias("s"))
-
-
 P1 = f"[{text.SPACE}·・:：,，.。;；\\-—–_()（）\\[\\]【】\"'“”‘’!！?？]+"
 P2 = f"[{text.SPACE}·．.…\\-—_、，,：:（）()*]+"
 P3 = f"[{text.SPACE}·・:：,，.。;；\\-—–_()（）\\[\\]【】\"'“”‘’!！?？…/\\\\]+"
 LEAD = f"[.．·…{text.SPACE}]{{2,}}[0-9]{{0,4}}{W}*$"
 
 
-@query("f11_title_keys", f"""WITH x AS (SELECT {NORM_CASES} FROM documents)
-SELECT doc_id, lower(regexp_replace({STRIP('s')}, {q(P1)}, '', 'g')) AS outline_key, regexp_replace(s, {q(P2)}, '', 'g') AS contents_key,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace({STRIP('s')}, {q(LEAD)}, ''), {q(LEAD)}, ''), {q(LEAD)}, ''), {q(P3)}, '', 'g') AS audit_key, regexp_replace(s, {q(W + '+')}, '', 'g') AS plain_key FROM x""")
-def f11(spark, sf):
-    return _titles(spark, sf).select("doc_id", text.title_key("s").alias("outline_key"), text.contents_key("s").alias("contents_key"), text.audit_key("s").alias("audit_key"), text.squeeze("s").alias("plain_key"))
-
-
-def _whole_titles(spark, sf):
+def _titles(spark, sf):
     from quire.session import table
 
     return table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" （"), F.col("doc_id"), F.lit("）…… 12")).alias("s"))
 
 
-@query("f11_title_keys_whole", f"""WITH x AS (SELECT doc_id, text || ' （' || doc_id || '）…… 12' AS s FROM documents)
+@query("f11_title_keys", f"""WITH x AS (SELECT doc_id, text || ' （' || doc_id || '）…… 12' AS s FROM documents)
 SELECT doc_id, lower(regexp_replace({STRIP('s')}, {q(P1)}, '', 'g')) AS outline_key, regexp_replace(s, {q(P2)}, '', 'g') AS contents_key,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace({STRIP('s')}, {q(LEAD)}, ''), {q(LEAD)}, ''), {q(LEAD)}, ''), {q(P3)}, '', 'g') AS audit_key, regexp_replace(s, {q(W + '+')}, '', 'g') AS plain_key FROM x""")
-def f11_whole(spark, sf):
-    return _whole_titles(spark, sf).select("doc_id", text.title_key("s").alias("outline_key"), text.contents_key("s").alias("contents_key"), text.audit_key("s").alias("audit_key"), text.squeeze("s").alias("plain_key"))
-
-
-@query("f10_clean_title_whole", f"""WITH x AS (SELECT doc_id, '## \\*' || text || '\\[1\\] **' AS s FROM documents)
-SELECT doc_id, {STRIP("regexp_replace(regexp_replace(regexp_replace(" + STRIP('s') + ", '\\\\+([*_`#\\[\\]()~])', '\\1', 'g'), " + q(f'^[#*{text.SPACE}]+') + ", ''), " + q(f'[*{text.SPACE}]+$') + ", '')")} AS title FROM x""")
-def f10_whole(spark, sf):
-    from quire.session import table
-
-    return table(spark, sf, "documents").select("doc_id", text.clean_title(F.concat(F.lit("## \\*"), "text", F.lit("\\[1\\] **"))).alias("title"))
+def f11(spark, sf):
+    return _titles(spark, sf).select("doc_id", text.title_key("s").alias("outline_key"), text.contents_key("s").alias("contents_key"), text.audit_key("s").alias("audit_key"), text.squeeze("s").alias("plain_key"))
 
 
-@query("f10_clean_title", f"""WITH x AS (SELECT doc_id, '## \\*' || left(text, 30) || '\\[1\\] **' AS s FROM documents)
+@query("f10_clean_title", f"""WITH x AS (SELECT doc_id, '## \\*' || text || '\\[1\\] **' AS s FROM documents)
 SELECT doc_id, {STRIP("regexp_replace(regexp_replace(regexp_replace(" + STRIP('s') + ", '\\\\+([*_`#\\[\\]()~])', '\\1', 'g'), " + q(f'^[#*{text.SPACE}]+') + ", ''), " + q(f'[*{text.SPACE}]+$') + ", '')")} AS title FROM x""")
 def f10(spark, sf):
     from quire.session import table
 
-    return table(spark, sf, "documents").select("doc_id", text.clean_title(F.concat(F.lit("## \\*"), F.substring("text", 1, 30), F.lit("\\[1\\] **"))).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", text.clean_title(F.concat(F.lit("## \\*"), "text", F.lit("\\[1\\] **"))).alias("title"))
 
 
 @query("f09_running_keys", f"WITH {V2}, {RUN} SELECT source_id, shard_ord, page_idx, key, count(*) AS lines FROM rk WHERE key IS NOT NULL GROUP BY ALL")
@@ -231,13 +207,8 @@ def f09(spark, sf):
     return b.groupBy("source_id", "shard_ord", "page_idx", "key").agg(F.count("*").alias("lines"))
 
 
-@query("f12_authors", f"WITH {V2}, x AS (SELECT source_id, gid, {STRIP('left(text, (gid % 25)::INTEGER)')} AS t FROM v2), y AS (SELECT *, length(regexp_replace(t, {q(W + '+')}, '', 'g')) AS n FROM x) SELECT source_id, gid, t = '' OR n <= 4 OR ((contains(t, ' ') OR contains(t, '　') OR ends_with(t, '等')) AND n <= 20) AS authors FROM y")
+@query("f12_authors", f"WITH {V2}, x AS (SELECT source_id, gid, {STRIP('text')} AS t FROM v2), y AS (SELECT *, length(regexp_replace(t, {q(W + '+')}, '', 'g')) AS n FROM x) SELECT source_id, gid, t = '' OR n <= 4 OR ((contains(t, ' ') OR contains(t, '　') OR ends_with(t, '等')) AND n <= 20) AS authors FROM y")
 def f12(spark, sf):
-    return views.blocks(spark, sf).select("source_id", "gid", text.looks_like_authors(F.expr("left(text, cast(gid % 25 as int))")).alias("authors"))
-
-
-@query("f12_authors_whole", f"WITH {V2}, x AS (SELECT source_id, gid, {STRIP('text')} AS t FROM v2), y AS (SELECT *, length(regexp_replace(t, {q(W + '+')}, '', 'g')) AS n FROM x) SELECT source_id, gid, t = '' OR n <= 4 OR ((contains(t, ' ') OR contains(t, '　') OR ends_with(t, '等')) AND n <= 20) AS authors FROM y")
-def f12_whole(spark, sf):
     return views.blocks(spark, sf).select("source_id", "gid", text.looks_like_authors("text").alias("authors"))
 
 
@@ -310,7 +281,7 @@ RTREE = f"WITH RECURSIVE {TREE}"
 
 
 def tree(spark, sf):
-    return out.with_ids(out.with_parents(views.outline(spark, sf)))
+    return out.with_parents(views.outline(spark, sf))
 
 
 @query("j06_parents", f"{RTREE} SELECT source_id, seq, level, parent FROM nd")
@@ -445,13 +416,39 @@ def t04(spark, sf):
     return out.printed_toc(toc_lines_view(spark, sf))
 
 
-@query("j07_missing_entries", f"""WITH {V3}, {TOCE}, e AS (SELECT *, regexp_replace(title, {q(P2)}, '', 'g') AS k FROM te WHERE kind = 'chapter' AND length(title) >= 3),
+def entry_match(k: str, t: str) -> str:
+    """SQL for whether a title says a contents entry."""
+    return f"""CASE WHEN length({k}) < 4 THEN {k} = {t}
+      ELSE (length({t}) >= 4 AND (contains({t}, {k}) OR contains({k}, {t}))) OR (length({t}) >= 2 AND starts_with({k}, {t})) END"""
+
+
+def repair_sql(page_known: str, gid: str) -> str:
+    """SQL for the entries that no title matches, one after the other, as what is added counts as a title."""
+    return f"""WITH RECURSIVE {V3}, {TOCE},
+e AS (SELECT *, regexp_replace(title, {q(P2)}, '', 'g') AS k, {page_known} AS page_known, {gid} AS gid, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS n
+  FROM te WHERE kind = 'chapter' AND length(title) >= 3 AND printed IS NOT NULL AND printed <> 0),
 ts AS (SELECT DISTINCT source_id, regexp_replace(title || '的标题', {q(P2)}, '', 'g') AS t FROM v3 WHERE seq % 5 <> 1),
-lf AS (SELECT * FROM e WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM ts WHERE ts.source_id = e.source_id AND CASE WHEN length(k) < 4 THEN k = t ELSE (least(length(k), length(t)) >= 4 AND (contains(t, k) OR contains(k, t))) OR (length(t) >= 2 AND starts_with(k, t)) END))
-SELECT source_id, ord, title, printed FROM (SELECT *, row_number() OVER (PARTITION BY source_id, k ORDER BY ord) AS n FROM lf) WHERE n = 1""")
+es AS (SELECT *, k = '' OR EXISTS (SELECT 1 FROM ts WHERE ts.source_id = e.source_id AND ts.t <> '' AND {entry_match('k', 't')}) AS known FROM e),
+rp AS (SELECT DISTINCT source_id, 0::BIGINT AS n, []::VARCHAR[] AS added, NULL::BIGINT AS ord, NULL::VARCHAR AS status FROM e
+  UNION ALL SELECT source_id, n, CASE WHEN status = 'added' THEN list_append(added, k) ELSE added END, ord, status
+  FROM (SELECT r.source_id, es.n, r.added, es.k, es.ord,
+      CASE WHEN es.known OR len(list_filter(r.added, lambda x: {entry_match('es.k', 'x')})) > 0 THEN NULL WHEN NOT es.page_known THEN 'no page' WHEN es.gid IS NULL THEN 'no block' ELSE 'added' END AS status
+    FROM rp r JOIN es ON es.source_id = r.source_id AND es.n = r.n + 1))"""
+
+
+def _repair_titles(spark, sf):
+    return views.outline(spark, sf).filter("seq % 5 <> 1").select("source_id", F.concat("title", F.lit("的标题")).alias("title"))
+
+
+@query("j07_missing_entries", f"{repair_sql('true', '0')} SELECT rp.source_id, rp.ord, e.title, e.printed FROM rp JOIN e ON e.source_id = rp.source_id AND e.ord = rp.ord WHERE status = 'added'")
 def j07(spark, sf):
-    titles = views.outline(spark, sf).filter("seq % 5 <> 1").select("source_id", F.concat("title", F.lit("的标题")).alias("title"))
-    return out.missing_entries(out.printed_toc(toc_lines_view(spark, sf)), titles)
+    return out.missing_entries(out.printed_toc(toc_lines_view(spark, sf)), _repair_titles(spark, sf))
+
+
+@query("t06_repaired_entries", f"{repair_sql('printed % 11 <> 0', 'CASE WHEN printed % 7 <> 0 THEN printed END')} SELECT source_id, ord, status FROM rp WHERE status IS NOT NULL")
+def t06(spark, sf):
+    e = out.printed_toc(toc_lines_view(spark, sf)).withColumn("page_known", F.expr("printed % 11 <> 0")).withColumn("gid", F.expr("case when printed % 7 <> 0 then printed end"))
+    return out.repaired_entries(e, _repair_titles(spark, sf))
 
 
 @query("j08_first_blocks", f"""WITH {V2}, w AS (SELECT DISTINCT source_id, shard_ord, p AS page_idx FROM v2, (SELECT unnest([0, 2, 5, 8]) AS p)), f AS (SELECT source_id, shard_ord, page_idx, min(gid) AS gid FROM v2 GROUP BY 1, 2, 3)
@@ -462,13 +459,39 @@ def j08(spark, sf):
     return out.first_blocks(pages, b)
 
 
-@query("w16_misread_entries")
+@query("w16_misread_entries", f"""WITH RECURSIVE {V3},
+e AS (SELECT source_id, seq AS ord, page_idx * 5 AS printed, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS n FROM v3),
+st AS (SELECT DISTINCT source_id, 0::BIGINT AS n, NULL::BIGINT AS last_, NULL::BIGINT AS bad FROM e
+  UNION ALL SELECT s.source_id, e.n, CASE WHEN e.printed < s.last_ - 3 THEN s.last_ ELSE e.printed END, CASE WHEN e.printed < s.last_ - 3 THEN e.ord END
+  FROM st s JOIN e ON e.source_id = s.source_id AND e.n = s.n + 1)
+SELECT source_id, bad AS ord FROM st WHERE bad IS NOT NULL""")
 def w16(spark, sf):
     o = views.outline(spark, sf)
     return out.misread_entries(o.select("source_id", F.col("seq").alias("ord"), (F.col("page_idx") * 5).alias("printed")))
 
 
-@query("j09_toc_crosscheck")
+def greedy_sql(nodes: str, node_key: str, entry_key: str, short: str) -> str:
+    """SQL for the greedy match, node by node; each takes the first entry that is left."""
+    return f"""WITH RECURSIVE {V3}, {TOCE},
+en AS (SELECT source_id, ord, {entry_key} AS key FROM te WHERE kind = 'part' OR length(title) >= 3),
+nd AS (SELECT source_id, seq, {node_key} AS key, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS n FROM (SELECT source_id, seq, title || '的标题' AS title FROM v3 WHERE {nodes})),
+mt AS (SELECT nd.source_id, nd.n, en.ord FROM nd JOIN en ON en.source_id = nd.source_id
+  WHERE CASE WHEN least(length(nd.key), length(en.key)) < 4 THEN {short} ELSE contains(nd.key, en.key) OR contains(en.key, nd.key) END),
+gr AS (SELECT DISTINCT source_id, 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS seq, NULL::BIGINT AS ord FROM nd
+  UNION ALL (SELECT g.source_id, g.n + 1, CASE WHEN min(m.ord) IS NULL THEN g.taken ELSE list_append(g.taken, min(m.ord)) END, any_value(nd.seq), min(m.ord)
+    FROM gr g JOIN nd ON nd.source_id = g.source_id AND nd.n = g.n + 1 LEFT JOIN mt m ON m.source_id = g.source_id AND m.n = g.n + 1 AND NOT list_contains(g.taken, m.ord)
+    GROUP BY g.source_id, g.n, g.taken))
+SELECT source_id, seq, ord FROM gr WHERE ord IS NOT NULL"""
+
+
+CONTENTS_KEY = f"regexp_replace(title, {q(P2)}, '', 'g')"
+AUDIT_KEY = STRIP("title")
+for _ in range(3):
+    AUDIT_KEY = f"regexp_replace({AUDIT_KEY}, {q(LEAD)}, '')"
+AUDIT_KEY = f"regexp_replace({AUDIT_KEY}, {q(P3)}, '', 'g')"
+
+
+@query("j09_toc_crosscheck", greedy_sql("level <= 2", CONTENTS_KEY, CONTENTS_KEY, "false"))
 def j09(spark, sf):
     o = views.outline(spark, sf).filter("level <= 2")
     nodes = o.select("source_id", "seq", text.contents_key(F.concat("title", F.lit("的标题"))).alias("key"))
@@ -476,7 +499,7 @@ def j09(spark, sf):
     return out.matched_entries(nodes, entries, short_equal=False)
 
 
-@query("j10_audit_match")
+@query("j10_audit_match", greedy_sql("true", AUDIT_KEY, AUDIT_KEY, "nd.key <> '' AND nd.key = en.key"))
 def j10(spark, sf):
     o = views.outline(spark, sf)
     nodes = o.select("source_id", "seq", text.audit_key(F.concat("title", F.lit("的标题"))).alias("key"))
@@ -484,7 +507,37 @@ def j10(spark, sf):
     return out.matched_entries(nodes, entries)
 
 
-@query("t07_ranked_tree")
+def names_sql(names: tuple[str, ...]) -> str:
+    return "(" + ", ".join(map(q, names)) + ")"
+
+
+#: The rank of a marker, and the step from one heading to the next with the chain of open ones.
+RANK_OF = "CASE marker " + " ".join(f"WHEN {q(m)} THEN {r}" for m, r in num.RANK.items()) + " END"
+NUMBERED, CHAPTERS = names_sql(num.NUMBERED), names_sql(num.CHAPTER_RANKED)
+AHEAD = "OVER (PARTITION BY source_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+
+def ranks_sql(rows: str) -> str:
+    """CTEs after rows(source_id, seq, marker, unnumbered, in_toc): rk holds rank and parent_seq of each; needs WITH RECURSIVE."""
+    return f"""ra AS (SELECT *, {RANK_OF} AS own, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS n,
+    first_value(CASE WHEN marker IN {NUMBERED} THEN {RANK_OF} WHEN marker IN {CHAPTERS} THEN -1 END IGNORE NULLS) {AHEAD} AS for_plain,
+    first_value(CASE WHEN marker IN {NUMBERED} THEN {RANK_OF} WHEN marker IN {CHAPTERS} OR marker IN ('opening', 'closing') THEN -1 END IGNORE NULLS) {AHEAD} AS for_held FROM {rows}),
+rs AS (SELECT DISTINCT source_id, 0::BIGINT AS n, []::STRUCT(r INTEGER, s BIGINT)[] AS open_, false AS back, NULL::BIGINT AS seq, NULL::INTEGER AS rank, NULL::BIGINT AS parent_seq FROM ra
+  UNION ALL SELECT source_id, n, CASE WHEN marker IN ('toc', 'front') THEN above ELSE list_append(above, struct_pack(r := rank, s := seq)) END, back, seq, rank, above[-1].s
+  FROM (SELECT *, list_filter(open_, lambda x: x.r < rank) AS above
+    FROM (SELECT *, CASE WHEN back AND marker = 'chapter' AND unnumbered AND NOT in_toc THEN 30
+        WHEN marker = 'plain' THEN CASE WHEN for_plain > 0 THEN for_plain WHEN len(open_) > 0 THEN open_[-1].r + 5 ELSE 20 END
+        WHEN marker IN ('opening', 'closing') THEN CASE WHEN for_held > 0 THEN for_held ELSE coalesce(list_filter(open_, lambda x: x.r <= 20)[-1].r, 20) + 20 END
+        ELSE own END::INTEGER AS rank
+      FROM (SELECT s.open_, s.back OR ra.marker = 'backmatter' AS back, ra.* FROM rs s JOIN ra ON ra.source_id = s.source_id AND ra.n = s.n + 1)))),
+rk AS (SELECT source_id, seq, rank, parent_seq FROM rs WHERE seq IS NOT NULL)"""
+
+
+HAS_NUMBER = rx("t", num.PART, num.CHAPTER, num.SECTION, num.SUBSECTION, num.SUBSUBSECTION, num.ITEM, num.SUBITEM)
+
+
+@query("t07_ranked_tree", f"""WITH RECURSIVE {V3}, {HEADS}, hc AS (SELECT *, {CLASSIFY} AS marker FROM hs),
+hr AS (SELECT source_id, seq, marker, NOT ({HAS_NUMBER}) AS unnumbered, false AS in_toc FROM hc WHERE marker IS NOT NULL), {ranks_sql('hr')} SELECT * FROM rk""")
 def t07(spark, sf):
     c = heads(spark, sf).withColumn("t", text.strip("text")).withColumn("marker", num.classify("t", "text_level")).filter("marker is not null")
     rows = c.select("source_id", "seq", "marker", (~num.has_numbering("t")).alias("unnumbered"), F.lit(False).alias("in_toc"), F.lit(0).alias("trusted_level"))

@@ -13,28 +13,62 @@ def pages(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), "html")
 
 
-@query("x03_html_items")
+def plain_sql(c: str) -> str:
+    """SQL for a text without tags, its references read."""
+    out = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for mark, to in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&lt;", "<")):
+        out = f"replace({out}, '{mark}', '{to}')"
+    return out
+
+
+def tidy_sql(c: str) -> str:
+    """SQL for a text whose blanks are squeezed line by line."""
+    out = f"regexp_replace({plain_sql(c)}, '[ \\t]+', ' ', 'g')"
+    for pattern in (" *\\n *", "\\n{2,}"):
+        out = f"regexp_replace({out}, '{pattern}', chr(10), 'g')"
+    return f"replace(trim({out}, ' ' || chr(10)), '<', '&lt;')"
+
+
+def squeezed_sql(c: str) -> str:
+    """SQL for a text on one line."""
+    return f"replace(trim(regexp_replace({plain_sql(c)}, '[ \\t\\r\\n]+', ' ', 'g')), '<', '&lt;')"
+
+
+#: The items of pages as they are made: the links of a bar, a box, a title, one paragraph that its open tags never end, a footer.
+ITEMS = f"""pg AS (SELECT page_id AS source_id, html, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) AS rest FROM pages),
+pi AS (SELECT source_id, 0 AS part, 0 AS k, 'p' AS kind, {tidy_sql("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)")} AS text FROM pg
+  UNION ALL SELECT source_id, 1, 0, 'p', {tidy_sql("regexp_extract(html, '(?s)<div class=[^>]*>(.*?)</div>', 1)")} FROM pg
+  UNION ALL SELECT source_id, 2, 0, 'h1', {tidy_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} FROM pg
+  UNION ALL SELECT source_id, 3, 0, 'p', {squeezed_sql("replace(rest, '<p><b>', '**')")} || repeat('**', len(regexp_extract_all(rest, '<p><b>'))::BIGINT) FROM pg
+  UNION ALL SELECT source_id, 4, 0, 'p', {tidy_sql("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} FROM pg),
+it AS (SELECT source_id, 0::BIGINT AS unit, row_number() OVER (PARTITION BY source_id ORDER BY part, k) - 1 AS ord, kind, text, false AS quoted FROM pi WHERE text <> '')"""
+HTML_BLOCKS = f"""{ITEMS}, hb AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY ord) - 1 AS gid, unit AS page_idx, 'text' AS type, text,
+  CASE WHEN kind = 'h1' THEN 1::BIGINT END AS text_level, kind = 'h1' AS level_trusted FROM it)"""
+
+
+@query("x03_html_items", f"WITH {ITEMS} SELECT * FROM it")
 def x03(spark, sf):
     return epub.page_items(pages(spark, sf))
 
 
-@query("w21_whole_paragraphs")
+@query("w21_whole_paragraphs", f"WITH {ITEMS} SELECT * FROM it")
 def w21(spark, sf):
     return epub.whole_paragraphs(epub.page_items(pages(spark, sf)))
 
 
-@query("a15_level_base")
+@query("a15_level_base", f"WITH {ITEMS} SELECT source_id, 1::BIGINT AS base FROM it WHERE kind = 'h1'")
 def a15(spark, sf):
     return epub.level_base(epub.page_items(pages(spark, sf)))
 
 
-@query("x06_html_blocks")
+@query("x06_html_blocks", f"WITH {HTML_BLOCKS} SELECT * FROM hb")
 def x06(spark, sf):
     items = epub.page_items(pages(spark, sf))
     return epub.blocks_of(items, epub.level_base(items))
 
 
-@query("a16_html_counters")
+@query("a16_html_counters", f"""WITH {HTML_BLOCKS} SELECT source_id, count(*) FILTER (level_trusted) AS headings, 0::BIGINT AS notes, 0::BIGINT AS images, 0::BIGINT AS table_rows,
+  sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT AS chars FROM hb GROUP BY 1""")
 def a16(spark, sf):
     items = epub.page_items(pages(spark, sf))
     return epub.counters(epub.blocks_of(items, epub.level_base(items)))
@@ -45,22 +79,38 @@ def _sections(spark, sf):
     return d.select((F.col("doc_id") % 50).alias("source_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("Section "), F.col("doc_id")).alias("title"), "text")
 
 
-@query("k06_epub_books", "SELECT doc_id % 50 AS source_id, count(*) AS sections, 0::BIGINT AS problems FROM documents WHERE text IS NOT NULL GROUP BY 1")
-def k06(spark, sf):
-    books = epub.write_books(_sections(spark, sf))
-    bad = epub.verified(books).groupBy("source_id").agg(F.count("*").alias("problems"))
-    return books.select("source_id", "sections").join(bad, "source_id", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
-
-
-@query("s08_epub_round_trip", "SELECT doc_id % 50 AS source_id, count(*) AS headings FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("s08_epub_round_trip", "SELECT doc_id % 50 AS source_id, count(*) + 1 AS headings FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def s08(spark, sf):
     items = epub.package_items(epub.write_books(_sections(spark, sf)))
     return items.filter("kind = 'h1'").groupBy("source_id").agg(F.count("*").alias("headings"))
 
 
-@query("j21_epub_links", "SELECT NULL::BIGINT AS source_id, NULL::VARCHAR AS problem WHERE false")
+@query("j21_epub_links", "SELECT page_id AS source_id, 'navigation to gone.xhtml' AS problem FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'missing x.css' FROM pages WHERE page_id % 4 = 2 UNION ALL SELECT page_id, 'spine names s9, which isn''t listed' FROM pages WHERE page_id % 4 = 3")
 def j21(spark, sf):
-    return epub.verified(epub.write_books(_sections(spark, sf)))
+    """Packages with links that lead nowhere: from the contents list, the manifest or the spine."""
+
+    @F.udf("binary")
+    def package(k: int) -> bytes:
+        return relinked(epub.written("T", "en", "urn:x", "2010-01-01T00:00:00Z", [epub.Section("One", 1, "<p>a</p>")]), k)
+
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), package((F.col("page_id") % 4).cast("int")).alias("content"), F.lit(1).cast("long").alias("sections"))
+    return epub.verified(p)
+
+
+def relinked(content: bytes, k: int) -> bytes:
+    """A package with a link of its contents list, a file of its manifest or a name in its spine changed."""
+    import io
+    import zipfile
+
+    changes = {1: ("OEBPS/nav.xhtml", 'href="text/ch001.xhtml"', 'href="gone.xhtml"'), 2: ("OEBPS/content.opf", 'href="style.css"', 'href="x.css"'), 3: ("OEBPS/content.opf", '<itemref idref="ch001"/>', '<itemref idref="ch001"/><itemref idref="s9"/>')}
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w") as new:
+        for i in old.infolist():
+            raw = old.read(i)
+            if k in changes and changes[k][0] == i.filename:
+                raw = raw.replace(changes[k][1].encode(), changes[k][2].encode())
+            new.writestr(i, raw)
+    return out.getvalue()
 
 
 @query("s16_planned_shards", """WITH s AS (SELECT o_orderkey AS source_id, floor(o_totalprice)::BIGINT % 1000 AS n_pages FROM orders), k AS (SELECT s.*, u.at_, (n_pages + 199) // 200 AS n FROM s, LATERAL (SELECT unnest(CASE WHEN n_pages > 0 THEN range(0, n_pages, 200) ELSE [0] END) AS at_) u)

@@ -24,6 +24,16 @@ v2 AS (SELECT source_id, gid, gid // 40 + 1 AS shard_ord, (gid % 40) // 4 AS pag
   CASE k WHEN 0 THEN 'header' WHEN 1 THEN 'footer' WHEN 2 THEN 'image' WHEN 3 THEN 'table' WHEN 4 THEN 'page_footnote' WHEN 5 THEN 'list' WHEN 6 THEN 'sidebar' ELSE 'text' END AS type,
   text, CASE WHEN length(text) <= 60 THEN 1 + gid % 2 END AS text_level FROM v2g)"""
 
+V2R = (
+    V2
+    + """,
+v2r AS (SELECT source_id, gid, shard_ord, page_idx, type, CASE WHEN type = 'table' AND gid % 3 <> 1 THEN '' ELSE text END AS text, text_level,
+  CASE WHEN type = 'image' AND gid % 4 <> 3 THEN 'scan/images/' || gid || '.png' ELSE '' END AS img_path,
+  CASE WHEN type = 'table' AND gid % 3 <> 1 THEN '<table><tr><td>' || text || '</td></tr></table>' ELSE '' END AS table_body,
+  CASE WHEN type NOT IN ('image', 'table') OR gid % 3 = 2 THEN []::VARCHAR[] WHEN gid % 3 = 0 THEN ['Caption ' || gid] ELSE ['Caption ' || gid, 'and more'] END AS caption,
+  CASE WHEN type IN ('image', 'table') AND gid % 2 = 0 THEN ['Note of ' || gid] ELSE []::VARCHAR[] END AS footnote FROM v2)"""
+)
+
 V3 = """
 v3r AS (SELECT l_orderkey AS source_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
   1 + l_partkey % 4 AS level, l_suppkey % 7 AS t, l_partkey, l_suppkey, l_quantity FROM lineitem),

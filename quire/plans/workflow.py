@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import audit, books, calibration, export, outline, workflow, xhtml
+from quire.plans.calibration import _segments_sql
 from quire.plans.outline import RTREE, STRIP, tree
 from quire.plans.registry import query
-from quire.plans.review import LINES, PG, SQZ, lines, paged
+from quire.plans.review import ALLF, DUP, LINES, NSEV, NUM, PG, SEV, SQZ, lines, paged
 from quire.plans.views_sql import V1, V2, V3, V5
 from quire.session import table
 from quire.sources import views
 
+SEGMENTS = _segments_sql("v1", "0", "true")
+
 PRB = "pb AS (SELECT source_id, gid AS probe, gid AS gid_start, CASE WHEN gid % 2 = 0 THEN gid + 3 END AS gid_end FROM v2 WHERE gid % 6 = 1 OR gid % 6 = 4), wl AS (SELECT p.source_id, probe, greatest(0, gid_start - CASE WHEN gid_end IS NULL THEN 4 ELSE 2 END) AS low, least(l.last_, coalesce(gid_end, gid_start) + CASE WHEN gid_end IS NULL THEN 4 ELSE 2 END) AS high FROM pb p JOIN (SELECT source_id, max(gid) AS last_ FROM v2 GROUP BY 1) l USING (source_id)), wd AS (SELECT source_id, low, high, min(probe) AS probe FROM wl WHERE low <= high GROUP BY 1, 2, 3), wn AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY probe, low) AS \"window\" FROM wd)"
 
 
@@ -38,22 +41,22 @@ def e13(spark, sf):
     return workflow.refused_operations(ops, t, t.select("source_id", F.col("seq").alias("gid"), F.col("title").alias("text")))
 
 
-AF = "af AS (SELECT source_id, 'page_decreasing' AS \"check\", CASE WHEN depth > 3 THEN 'warn' ELSE 'high' END AS severity, seq FROM pw WHERE ps IS NOT NULL AND zone = pz AND page < pp UNION ALL SELECT source_id, 'top_node_in_front_zone', 'info', seq FROM pt WHERE level <= 2 AND zone = 1)"
-
-
-@query("p13_evidence", f"{RTREE}, {PG}, {AF}, ev AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY \"check\", seq) AS n FROM af WHERE severity = 'high' OR starts_with(\"check\", 'top_')) SELECT source_id, \"check\", severity, seq FROM ev WHERE n <= 2")
-def p13(spark, sf):
-    f = audit.page_findings(paged(spark, sf)).filter(F.col("check").isin("page_decreasing", "top_node_in_front_zone"))
-    return workflow.evidence(f, ("top_",), 2).select("source_id", "check", "severity", "seq")
-
-
 #: The checks that evidence keeps whatever their severity.
 EVIDENCE_PREFIXES = ("numbering_", "structure_", "toc_", "page_zone", "top_node", "dropped_", "heading_", "dup_", "level_")
 
 
-@query("p13_evidence_whole")
-def p13_whole(spark, sf):
-    """The findings of all checks of the outline, by the reference's prefixes and cap."""
+EVIDENCE = " OR ".join(f"starts_with(\"check\", '{p}')" for p in EVIDENCE_PREFIXES)
+FINDINGS = f"""{NUM}, {DUP}, {PG}, af AS (
+  SELECT t.source_id, 'level_jump' AS "check", 'warn' AS severity, t.seq, p.level || ' ' || t.level AS detail FROM tr t JOIN tr p ON p.source_id = t.source_id AND p.seq = t.parent WHERE t.level - p.level > 1
+  UNION ALL SELECT source_id, 'duplicate_title', {SEV("'high'")}, seq, first_::VARCHAR FROM fs WHERE seq <> first_
+  UNION ALL SELECT source_id, CASE WHEN n = prev_n THEN 'numbering_repeat' WHEN n > prev_n THEN 'numbering_gap' ELSE 'numbering_restart' END, {SEV('(' + NSEV + ')')}, seq, tier || ' ' || prev_n || ' ' || n FROM sb WHERE prev_n IS NOT NULL AND n <> prev_n + 1
+  UNION ALL {ALLF})"""
+
+
+@query("p13_evidence", f"""{FINDINGS}, ev AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY "check", seq) AS n FROM af WHERE severity = 'high' OR {EVIDENCE})
+SELECT source_id, "check", severity, seq FROM ev WHERE n <= 40""")
+def p13(spark, sf):
+    """The findings of all checks of the outline that evidence keeps, the first forty of each source."""
     return workflow.evidence(_findings(spark, sf), EVIDENCE_PREFIXES).select("source_id", "check", "severity", "seq")
 
 
@@ -164,26 +167,15 @@ def f18(spark, sf):
 F19 = "regexp_replace(s, '[ \n]*([(]z-lib.org[)]|[[]libgen[]])', '')"
 
 
-@query("f19_site_tags", f"WITH x AS (SELECT doc_id, left(text, 20) || CASE doc_id % 3 WHEN 0 THEN ' (z-lib.org)' WHEN 1 THEN '[libgen]' ELSE '（作者）' END AS s FROM documents) SELECT doc_id, {STRIP(F19)} AS title FROM x")
+@query("f19_site_tags", f"WITH x AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (z-lib.org)' WHEN 1 THEN '[libgen]' ELSE '（作者）' END AS s FROM documents) SELECT doc_id, {STRIP(F19)} AS title FROM x")
 def f19(spark, sf):
-    s = F.concat(F.substring("text", 1, 20), F.expr("case doc_id % 3 when 0 then ' (z-lib.org)' when 1 then '[libgen]' else '（作者）' end"))
-    return table(spark, sf, "documents").select("doc_id", text.strip_site_tags(s).alias("title"))
-
-
-@query("f19_site_tags_whole", f"WITH x AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (z-lib.org)' WHEN 1 THEN '[libgen]' ELSE '（作者）' END AS s FROM documents) SELECT doc_id, {STRIP(F19)} AS title FROM x")
-def f19_whole(spark, sf):
     s = F.concat("text", F.expr("case doc_id % 3 when 0 then ' (z-lib.org)' when 1 then '[libgen]' else '（作者）' end"))
     return table(spark, sf, "documents").select("doc_id", text.strip_site_tags(s).alias("title"))
 
 
-@query("f20_source_ids_whole", "SELECT doc_id, left(CASE WHEN n = '' THEN 'source' ELSE n END, 48) || '.' || left(sha256(text), 10) AS source_id FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)")
-def f20_whole(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.source_id("text", F.sha2("text", 256)).alias("source_id"))
-
-
-@query("f20_source_ids", "SELECT doc_id, left(CASE WHEN n = '' THEN 'source' ELSE n END, 48) || '.' || left(sha256(text), 10) AS source_id FROM (SELECT doc_id, text, regexp_replace(regexp_replace(left(text, 60), '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)")
+@query("f20_source_ids", "SELECT doc_id, left(CASE WHEN n = '' THEN 'source' ELSE n END, 48) || '.' || left(sha256(text), 10) AS source_id FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)")
 def f20(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.source_id(F.substring("text", 1, 60), F.sha2("text", 256)).alias("source_id"))
+    return table(spark, sf, "documents").select("doc_id", text.source_id("text", F.sha2("text", 256)).alias("source_id"))
 
 
 @query("f28_human_sizes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024 + 0.5) / 10) ELSE printf('%.1f MB', floor(n * 10 / 1048576 + 0.5) / 10) END AS size FROM (SELECT doc_id, n_chars * doc_id AS n FROM documents)")
@@ -220,26 +212,14 @@ def u06(spark, sf):
     return d.withColumn("some", some).filter("keep or not some").select("source_id", "doc_id")
 
 
-@query("o03_natural_order", "SELECT doc_id, row_number() OVER (ORDER BY regexp_extract('book_P' || (doc_id % 40), '_P(\\d+)$', 1)::BIGINT, doc_id) AS place FROM documents WHERE doc_id < 100")
+@query("o03_natural_order", "SELECT doc_id, row_number() OVER (ORDER BY regexp_extract('book_P' || (doc_id % 40), '_P(\\d+)$', 1)::BIGINT, doc_id) AS place FROM documents")
 def o03(spark, sf):
-    n = F.regexp_extract(F.concat(F.lit("book_P"), F.col("doc_id") % 40), r"_P(\d+)$", 1).cast("long")
-    return table(spark, sf, "documents").filter("doc_id < 100").select("doc_id", F.row_number().over(Window.orderBy(n, "doc_id")).cast("long").alias("place"))
-
-
-@query("o03_natural_order_whole", "SELECT doc_id, row_number() OVER (ORDER BY regexp_extract('book_P' || (doc_id % 40), '_P(\\d+)$', 1)::BIGINT, doc_id) AS place FROM documents")
-def o03_whole(spark, sf):
     n = F.regexp_extract(F.concat(F.lit("book_P"), F.col("doc_id") % 40), r"_P(\d+)$", 1).cast("long")
     return workflow.global_places(table(spark, sf, "documents").select("doc_id", n.alias("n")), "n", "doc_id").select("doc_id", "place")
 
 
-@query("o07_largest_projects", f"WITH {V2}, c AS (SELECT source_id, count(DISTINCT (shard_ord, page_idx)) AS pages FROM v2 GROUP BY 1) SELECT * FROM c ORDER BY pages DESC, source_id LIMIT 20")
+@query("o07_largest_projects", f"WITH {V2} SELECT source_id, count(DISTINCT (shard_ord, page_idx)) AS pages FROM v2 GROUP BY 1 ORDER BY pages DESC, source_id")
 def o07(spark, sf):
-    c = views.blocks(spark, sf).groupBy("source_id").agg(F.count_distinct(F.struct("shard_ord", "page_idx")).alias("pages"))
-    return c.orderBy(F.desc("pages"), "source_id").limit(20)
-
-
-@query("o07_largest_projects_whole", f"WITH {V2} SELECT source_id, count(DISTINCT (shard_ord, page_idx)) AS pages FROM v2 GROUP BY 1 ORDER BY pages DESC, source_id")
-def o07_whole(spark, sf):
     c = views.blocks(spark, sf).groupBy("source_id").agg(F.count_distinct(F.struct("shard_ord", "page_idx")).alias("pages"))
     return c.orderBy(F.desc("pages"), "source_id")
 
@@ -250,16 +230,59 @@ def j19(spark, sf):
     return p.join(table(spark, sf, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
 
 
-@query("k02_conversion_meta", f"WITH {V2} SELECT source_id, '{{\"blocks\":' || count(*) || ',\"chars\":' || sum(length(text)) || ',\"shards\":' || count(DISTINCT shard_ord) || '}}' AS meta FROM v2 GROUP BY 1")
+@query("k02_conversion_meta", f"""WITH {V2}, sh AS (SELECT source_id, shard_ord, max(page_idx) + 1 AS pages, count(*) AS blocks FROM v2 GROUP BY 1, 2),
+so AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY source_id ORDER BY shard_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_page FROM sh),
+sj AS (SELECT source_id, string_agg('{{"tag":"P' || shard_ord || '","pages":' || pages || ',"blocks":' || blocks || ',"first_page":' || first_page || '}}', ',' ORDER BY shard_ord) AS shards FROM so GROUP BY 1)
+SELECT source_id, '{{"blocks":' || count(*) || ',"chars":' || sum(length(text)) || ',"images":' || count(*) FILTER (type = 'image') || ',"tables":' || count(*) FILTER (type = 'table') || ',"notes":' || count(*) FILTER (type = 'page_footnote')
+  || ',"outputs":' || count(*) FILTER (gid % 7 = 0) || ',"shards":[' || any_value(shards) || ']}}' AS meta FROM v2 JOIN sj USING (source_id) GROUP BY 1""")
 def k02(spark, sf):
-    b = views.blocks(spark, sf).groupBy("source_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"), F.count_distinct("shard_ord").alias("shards"))
-    return b.select("source_id", F.to_json(F.struct("blocks", "chars", "shards")).alias("meta"))
+    b = views.blocks(spark, sf)
+    return export.conversion_meta(b, b.filter("gid % 7 = 0").groupBy("source_id").agg(F.count("*").alias("outputs")))
+
+
+def _book_blocks(spark, sf):
+    """Blocks with numbered headings, a contents list and page numbers among the documents' lines."""
+    made = F.expr("case when gid % 9 = 0 then concat('第', (gid div 9) % 9 + 1, '章 标题', source_id) when gid % 9 = 4 then '一、小节' else text end")
+    listed = F.expr("case when source_id % 3 = 0 and gid = 5 then concat('目录\n第八章 标题', source_id, '…………2\n没有的一章…………3\n另外没有的…………900') else text end")
+    header = F.concat(F.lit("附录 "), F.col("page_idx") + 11)
+    b = views.blocks(spark, sf).withColumn("text", F.when(F.col("type") == "header", header).otherwise(made))
+    b = b.withColumn("type", F.when((F.col("type") == "text") | (F.col("gid") % 9).isin(0, 4, 5), "text").otherwise(F.col("type")))
+    return b.withColumn("text", listed)
+
+
+def _book_overlay(spark, sf):
+    levels, deleted, added = views.overlay(spark, sf)
+    key = F.col("gid").cast("string").alias("key")
+    return books.Overlay(levels.select("source_id", key, "level"), deleted.select("source_id", key), added.withColumn("offset", F.lit(0).cast("long")))
 
 
 @query("t14_recomputed_books")
 def t14(spark, sf):
-    """The whole chain over blocks with numbered headings and page numbers among the documents' lines."""
-    made = F.expr("case when gid % 9 = 0 then concat('第', (gid div 9) % 9 + 1, '章 标题', source_id) when gid % 9 = 4 then '一、小节' else text end")
-    b = views.blocks(spark, sf).withColumn("text", F.when(F.col("type") == "header", F.concat(F.lit("附录 "), F.col("page_idx") + 11)).otherwise(made)).withColumn("type", F.when((F.col("type") == "text") | (F.col("gid") % 9).isin(0, 4), "text").otherwise(F.col("type")))
-    book = books.recompute(b)
-    return book.tree.select("source_id", "seq", "nid", "depth", "marker", "title")
+    """The whole chain under an overlay: calibration, outline, repair, additions, levels, deletions, ownership."""
+    book = books.recompute(_book_blocks(spark, sf), overlay=_book_overlay(spark, sf))
+    return book.tree.select("source_id", "seq", "key", "nid", "level", "depth", "marker", "title", "own_blocks", "own_chars", "n_blocks", "n_chars")
+
+
+@query("e17_book_findings")
+def e17(spark, sf):
+    return books.recompute(_book_blocks(spark, sf), overlay=_book_overlay(spark, sf)).findings
+
+
+@query("t11_base_levels")
+def t11(spark, sf):
+    """The levels of the automatic tree, which nodes keep whatever is added by hand."""
+    blocks = _book_blocks(spark, sf)
+    segs = calibration.calibrated(calibration.observations(blocks))
+    return books.outlined(blocks, segs).tree.select("source_id", "key", "level")
+
+
+@query("o02_ordered_segments", f"WITH {V1}, {SEGMENTS} SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY shard_ord, page_start, seg_ord) AS place, shard_ord, page_start FROM seg")
+def o02(spark, sf):
+    segs = calibration.segments(views.page_observations(spark, sf))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("shard_ord", "page_start", "seg_ord")).cast("long")
+    return segs.select("source_id", place.alias("place"), "shard_ord", "page_start")
+
+
+@query("o05_first_of_lists", f"WITH {V2} SELECT source_id, gid FROM (SELECT source_id, gid, row_number() OVER (PARTITION BY source_id ORDER BY gid) AS n FROM v2 WHERE type = 'text') WHERE n <= 40")
+def o05(spark, sf):
+    return workflow.first_of(views.blocks(spark, sf).filter("type = 'text'"), "gid", 40).select("source_id", "gid")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import io
+import itertools
 import posixpath
+import re
+import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -15,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.folds import fold_sources
+from quire.operators.xhtml import IMAGE_TYPES, attribute, body, escaped, link, with_placeholders
 from quire.sources import markup
 
 IMAGES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp")
@@ -194,47 +200,150 @@ def counters(blocks: DataFrame) -> DataFrame:
 
 # --- writing and checking ----------------------------------------------------------------
 
-
-def _xml(text: str) -> str:
-    return html.escape("".join(c for c in text if c in "\t\n\r" or ord(c) >= 32), quote=True)
-
-
-def written(title: str, language: str, identifier: str, modified: str, sections: list[tuple[str, str]]) -> bytes:
-    """A package of sections (title, body markup); equal input gives equal bytes."""
+#: The namespaces of a package's documents, and types of what it lists.
+XHTML_NS, OPS_NS, OPF_NS, DC_NS = "http://www.w3.org/1999/xhtml", "http://www.idpf.org/2007/ops", "http://www.idpf.org/2007/opf", "http://purl.org/dc/elements/1.1/"
+NCX_NS, CONTAINER_NS = "http://www.daisy.org/z3986/2005/ncx/", "urn:oasis:names:tc:opendocument:xmlns:container"
+XHTML_TYPE, NCX_TYPE = "application/xhtml+xml", "application/x-dtbncx+xml"
+STYLE = "body{line-height:1.7}h1,h2,h3{line-height:1.3}figure{margin:1em 0;text-align:center}img{max-width:100%}table{border-collapse:collapse}td,th{border:1px solid;padding:.2em .5em}.crumbs,.missing-image{font-size:.85em}.fn-list{font-size:.9em}.cover{text-align:center;margin:0}"
+
+
+class Section(NamedTuple):
+    title: str
+    level: int
+    body: str
+
+
+class Entry(NamedTuple):
+    """A point of a contents list, with those below it."""
+
+    title: str
+    file: str
+    below: list[Entry]
+
+
+def contents_tree(sections: list[Section], files: list[str]) -> list[Entry]:
+    """Sections nested by their levels: each below the last one before it of a smaller level."""
+    top: list[Entry] = []
+    open_: list[tuple[int, list[Entry]]] = [(0, top)]
+    for s, f in zip(sections, files, strict=True):
+        while len(open_) > 1 and open_[-1][0] >= max(1, s.level):
+            open_.pop()
+        entry = Entry(s.title, f, [])
+        open_[-1][1].append(entry)
+        open_.append((max(1, s.level), entry.below))
+    return top
+
+
+def _page(title: str, language: str, body: str, depth: int = 1, kind: str = "") -> str:
+    up = "../" * depth
+    return (
+        f'<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="{XHTML_NS}" xmlns:epub="{OPS_NS}" lang="{attribute(language)}" xml:lang="{attribute(language)}"><head><meta charset="utf-8"/>'
+        f'<title>{escaped(title)}</title><link rel="stylesheet" type="text/css" href="{up}style.css"/></head><body{f" class={chr(34)}{kind}{chr(34)}" if kind else ""}>{body}</body></html>'
+    )
+
+
+def _nav_list(entries: list[Entry]) -> str:
+    if not entries:
+        return ""
+    return "<ol>" + "".join(f'<li><a href="{attribute(link(e.file))}">{escaped(e.title)}</a>{_nav_list(e.below)}</li>' for e in entries) + "</ol>"
+
+
+def _nav_points(entries: list[Entry], numbers: Iterator[int]) -> str:
+    out = ""
+    for e in entries:
+        k = next(numbers)
+        out += f'<navPoint id="nav{k}" playOrder="{k}"><navLabel><text>{escaped(e.title)}</text></navLabel><content src="{attribute(link(e.file))}"/>{_nav_points(e.below, numbers)}</navPoint>'
+    return out
+
+
+def _depth(entries: list[Entry]) -> int:
+    return 1 + max((_depth(e.below) for e in entries), default=0) if entries else 0
+
+
+def language_code(value: str | None) -> str:
+    """Letters, digits and dashes of a language tag, or Chinese."""
+    return "".join(c for c in (value or "") if c.isascii() and (c.isalnum() or c == "-")) or "zh"
+
+
+def written(title: str, language: str, identifier: str, modified: str, sections: list[Section], author: str = "", images: dict[str, bytes] | None = None, cover: tuple[str, bytes] | None = None) -> bytes:
+    """A package of sections; equal input gives equal bytes.
+
+    images are by their paths, such as images/a.png; the cover is (type, content). It holds a
+    title page, both kinds of contents lists and a guide.
+    """
+    images, language = images or {}, language_code(language)
+    files = [f"text/ch{k:03d}.xhtml" for k in range(1, len(sections) + 1)]
+    entries = contents_tree(sections, files)
+    items = [("nav", "nav.xhtml", XHTML_TYPE, "nav"), ("ncx", "toc.ncx", NCX_TYPE, ""), ("css", "style.css", "text/css", "")]
+    parts: list[tuple[str, str | bytes]] = []
+    spine, guide = ["titlepage", *(f"ch{k:03d}" for k in range(1, len(files) + 1))], '<reference type="toc" title="目录" href="nav.xhtml"/>'
+    if cover:
+        name = "images/cover" + {"image/png": ".png", "image/gif": ".gif", "image/webp": ".webp"}.get(cover[0], ".jpg")
+        items += [("cover", "text/cover.xhtml", XHTML_TYPE, ""), ("cover-image", name, cover[0], "cover-image")]
+        parts += [("text/cover.xhtml", _page("封面", language, f'<section epub:type="cover"><img src="../{name}" alt="封面"/></section>', kind="cover")), (name, cover[1])]
+        spine.insert(0, "cover")
+        guide += '<reference type="cover" title="封面" href="text/cover.xhtml"/>'
+    items.append(("titlepage", "text/titlepage.xhtml", XHTML_TYPE, ""))
+    by = f'<p class="author">{escaped(author)}</p>' if author else ""
+    parts.append(("text/titlepage.xhtml", _page(title, language, f'<section epub:type="titlepage"><h1>{escaped(title)}</h1>{by}<p>共 {len(sections)} 节</p></section>')))
+    for k, (f, s) in enumerate(zip(files, sections, strict=True), 1):
+        items.append((f"ch{k:03d}", f, XHTML_TYPE, ""))
+        parts.append((f, _page(s.title, language, f'<section epub:type="chapter"><h1>{escaped(s.title)}</h1>{s.body}</section>')))
+    for k, name in enumerate(sorted(images), 1):
+        items.append((f"img{k:03d}", name, IMAGE_TYPES[posixpath.splitext(name)[1].lower()], ""))
+        parts.append((name, images[name]))
+    if files:
+        guide += f'<reference type="text" title="正文" href="{files[0]}"/>'
+    listed = "".join(f'<item id="{i}" href="{attribute(link(h))}" media-type="{t}"{f" properties={chr(34)}{p}{chr(34)}" if p else ""}/>' for i, h, t, p in items)
+    creator = f"<dc:creator>{escaped(author)}</dc:creator>" if author else ""
+    old_cover = '<meta name="cover" content="cover-image"/>' if cover else ""
+    opf = (
+        f'<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="{OPF_NS}" version="3.0" unique-identifier="bookid" xml:lang="{attribute(language)}"><metadata xmlns:dc="{DC_NS}"><dc:identifier id="bookid">{escaped(identifier)}</dc:identifier><dc:title>{escaped(title)}</dc:title>'
+        f'<dc:language>{language}</dc:language>{creator}<meta property="dcterms:modified">{escaped(modified)}</meta>{old_cover}</metadata><manifest>{listed}</manifest><spine toc="ncx">{"".join(f"<itemref idref={chr(34)}{i}{chr(34)}/>" for i in spine)}</spine><guide>{guide}</guide></package>'
+    )
+    ncx = (
+        f'<?xml version="1.0" encoding="utf-8"?>\n<ncx xmlns="{NCX_NS}" version="2005-1" xml:lang="{attribute(language)}"><head><meta name="dtb:uid" content="{attribute(identifier)}"/><meta name="dtb:depth" content="{max(1, _depth(entries))}"/>'
+        f'<meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head><docTitle><text>{escaped(title)}</text></docTitle><navMap>{_nav_points(entries, itertools.count(1))}</navMap></ncx>'
+    )
+    nav = _page("目录", language, f'<nav epub:type="toc" id="toc"><h1>目录</h1>{_nav_list(entries)}</nav><nav epub:type="landmarks" hidden="hidden"><ol><li><a epub:type="toc" href="nav.xhtml">目录</a></li></ol></nav>', depth=0)
+    container = f'<?xml version="1.0" encoding="utf-8"?>\n<container version="1.0" xmlns="{CONTAINER_NS}"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-
-        def put(name: str, text: str, how: int = zipfile.ZIP_DEFLATED) -> None:
-            z.writestr(zipfile.ZipInfo(name, FIXED_DATE), text, how)
-
-        put("mimetype", MIMETYPE, zipfile.ZIP_STORED)
-        put("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-        files = [f"s{k:04d}.xhtml" for k in range(1, len(sections) + 1)]
-        manifest = "".join(f'<item id="s{k}" href="{f}" media-type="application/xhtml+xml"/>' for k, f in enumerate(files, 1))
-        spine = "".join(f'<itemref idref="s{k}"/>' for k in range(1, len(files) + 1))
-        put("OEBPS/content.opf", f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{_xml(title)}</dc:title><dc:identifier id="id">{_xml(identifier)}</dc:identifier><dc:language>{_xml(language)}</dc:language><meta property="dcterms:modified">{_xml(modified)}</meta></metadata><manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>{manifest}</manifest><spine>{spine}</spine></package>')
-        entries = "".join(f'<li><a href="{f}">{_xml(t)}</a></li>' for f, (t, _) in zip(files, sections, strict=True))
-        head = '<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{}</title></head><body>'
-        put("OEBPS/nav.xhtml", head.format(_xml(title)) + f'<nav epub:type="toc"><ol>{entries}</ol></nav></body></html>')
-        for f, (t, body) in zip(files, sections, strict=True):
-            put(f"OEBPS/{f}", head.format(_xml(t)) + f"<h1>{_xml(t)}</h1>{body}</body></html>")
+        z.writestr(zipfile.ZipInfo("mimetype", FIXED_DATE), MIMETYPE, zipfile.ZIP_STORED)
+        z.writestr(zipfile.ZipInfo("META-INF/container.xml", FIXED_DATE), container, zipfile.ZIP_DEFLATED)
+        for name, content in [("content.opf", opf), ("nav.xhtml", nav), ("toc.ncx", ncx), ("style.css", STYLE), *parts]:
+            z.writestr(zipfile.ZipInfo(f"OEBPS/{name}", FIXED_DATE), content, zipfile.ZIP_STORED if isinstance(content, bytes) else zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
-def write_books(sections: DataFrame) -> DataFrame:
-    """(source_id, content, sections) packages of sections(source_id, ord, title, text), one for each source."""
+def write_books(sections: DataFrame, images: DataFrame | None = None, covers: DataFrame | None = None) -> DataFrame:
+    """(source_id, content, sections, images, sha256): a package for each source of sections(source_id, ord, title, text[, level]).
+
+    Texts are Markdown sections; images(source_id, path, image) are what they may show, and
+    covers(source_id, media_type, image) come first. What an image is missing for becomes words.
+    """
+    level = F.col("level") if "level" in sections.columns else F.lit(1)
+    rows = sections.select("source_id", F.lit(0).alias("side"), F.col("ord").cast("long").alias("ord"), F.col("title").alias("name"), level.cast("long").alias("level"), "text", F.lit(None).cast("binary").alias("raw"))
+    if images is not None:
+        rows = rows.unionByName(images.select("source_id", F.lit(1).alias("side"), F.lit(0).cast("long").alias("ord"), F.col("path").alias("name"), F.lit(0).cast("long").alias("level"), F.lit(None).cast("string").alias("text"), F.col("image").alias("raw")))
+    if covers is not None:
+        rows = rows.unionByName(covers.select("source_id", F.lit(2).alias("side"), F.lit(0).cast("long").alias("ord"), F.col("media_type").alias("name"), F.lit(0).cast("long").alias("level"), F.lit(None).cast("string").alias("text"), F.col("image").alias("raw")))
 
     def fold(source: int, rows: list[dict]) -> list[dict]:
-        made = [(r["title"], "".join(f"<p>{_xml(p)}</p>" for p in r["text"].split("\n") if p.strip())) for r in rows]
-        return [{"content": written(f"Source {source}", "en", f"urn:source:{source}", "2010-01-01T00:00:00Z", made), "sections": len(made)}]
+        there = {r["name"]: r["raw"] for r in rows if r["side"] == 1}
+        made, shown = [], []
+        for r in (r for r in rows if r["side"] == 0):
+            text, _, _ = with_placeholders(r["text"] or "", set(there))
+            made.append(Section(r["name"] or "", r["level"], body(text, r["name"], len(made) + 1, shown)))
+        cover = next(((r["name"], r["raw"]) for r in rows if r["side"] == 2), None)
+        content = written(f"Source {source}", "en", f"urn:source:{source}", "2010-01-01T00:00:00Z", made, images={k: there[k] for k in set(shown)}, cover=cover)
+        return [{"content": content, "sections": len(made), "images": len(set(shown)), "sha256": hashlib.sha256(content).hexdigest()}]
 
-    return fold_sources(sections, ("ord",), fold, "content binary, sections long")
+    return fold_sources(rows, ("side", "ord", "name"), fold, "content binary, sections long, images long, sha256 string")
 
 
 def problems(content: bytes, sections: int | None = None) -> list[str]:
     """What is wrong with a package; empty if nothing is."""
-    import xml.etree.ElementTree as ET
-
     if not content:
         return ["empty file"]
     try:
@@ -244,54 +353,111 @@ def problems(content: bytes, sections: int | None = None) -> list[str]:
     names, found = z.namelist(), []
     if bad := z.testzip():
         found.append(f"checksum of {bad}")
-    first = z.infolist()[0] if names else None
-    if first is None or first.filename != "mimetype":
+    if not names:
+        return [*found, "archive is empty"]
+    if names[0] != "mimetype":
         found.append("mimetype isn't first")
-    elif first.compress_type != zipfile.ZIP_STORED or z.read(first) != MIMETYPE.encode():
-        found.append("mimetype is compressed or wrong")
-    if "META-INF/container.xml" not in names:
-        return [*found, "no container"]
-    roots = [a.get("full-path") for _, a, _ in tags(z.read("META-INF/container.xml").decode("utf-8", "replace"), "rootfile")]
-    if not roots or roots[0] not in names:
+    if "mimetype" not in names:
+        found.append("no mimetype")
+    else:
+        if z.getinfo("mimetype").compress_type != zipfile.ZIP_STORED:
+            found.append("mimetype is compressed")
+        if z.read("mimetype") != MIMETYPE.encode():
+            found.append("mimetype is wrong")
+    container = _parsed(z, "META-INF/container.xml")
+    if container is None:
+        return [*found, "no container" if "META-INF/container.xml" not in names else "container isn't well-formed"]
+    roots = [e.get("full-path") for e in container.iter() if _local(e) == "rootfile"]
+    if not roots or not roots[0]:
+        return [*found, "container names no package document"]
+    root = posixpath.normpath(roots[0])
+    if root not in names:
         return [*found, "no package document"]
-    try:
-        opf = ET.fromstring(z.read(roots[0]))
-    except ET.ParseError:
+    opf = _parsed(z, root)
+    if opf is None:
         return [*found, "package document isn't well-formed"]
-    local = lambda e: e.tag.rpartition("}")[2]
-    every = list(opf.iter())
-    for k in ("title", "identifier", "language"):
-        if not any(local(e) == k and (e.text or "").strip() for e in every):
-            found.append(f"no {k}")
-    if not any(e.get("property") == "dcterms:modified" for e in every):
+    listed, spine, wrong = _package_problems(opf, root, names)
+    found += wrong
+    chapters = []
+    for path in (listed[i][0] for i in spine):
+        chapters += [path] if re.search(r"(^|/)ch\d+\.xhtml$", path) else []
+        found += _document_problems(z, path, names)
+    if sections is not None and len(chapters) != sections:
+        found.append(f"{len(chapters)} sections, not {sections}")
+    navs = [path for path, properties in listed.values() if "nav" in properties]
+    found += _contents_problems(z, navs[0], names) if navs else []
+    return found
+
+
+def _local(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+
+
+def _parsed(z: zipfile.ZipFile, name: str) -> ET.Element | None:
+    try:
+        return ET.fromstring(z.read(name))
+    except (KeyError, ET.ParseError):
+        return None
+
+
+def _package_problems(opf: ET.Element, root: str, names: list[str]) -> tuple[dict[str, tuple[str, list[str]]], list[str], list[str]]:
+    """(listed files (path, properties) by id, ids of the spine, problems) of a package document."""
+    found: list[str] = []
+    part = {_local(e): e for e in opf}
+    meta = list(part["metadata"]) if "metadata" in part else []
+    if "metadata" not in part:
+        found.append("no metadata")
+    found += [f"no {k}" for k in ("title", "identifier", "language") if not any(_local(e) == k and (e.text or "").strip() for e in meta)]
+    if not any(e.get("property") == "dcterms:modified" for e in meta):
         found.append("no modification date")
-    if opf.get("unique-identifier") not in {e.get("id") for e in every if local(e) == "identifier"}:
+    if opf.get("unique-identifier") and opf.get("unique-identifier") not in {e.get("id") for e in meta}:
         found.append("unique-identifier doesn't resolve")
-    listed = [e for e in every if local(e) == "item"]
-    ids = [e.get("id") for e in listed]
-    if len(set(ids)) < len(ids):
-        found.append("manifest ids repeat")
-    target = {e.get("id"): resolved(roots[0], e.get("href") or "") for e in listed}
-    found += [f"missing {t}" for t in target.values() if t not in names]
-    spine = [target.get(e.get("idref")) for e in every if local(e) == "itemref"]
-    if not spine or None in spine:
-        found.append("spine is empty or doesn't resolve")
-    navs = [target[e.get("id")] for e in listed if "nav" in (e.get("properties") or "").split()]
-    if not navs:
+    if "manifest" not in part:
+        found.append("no manifest")
+    listed: dict[str, tuple[str, list[str]]] = {}
+    for e in part.get("manifest", ()):
+        if _local(e) == "item":
+            i, href = e.get("id"), e.get("href")
+            if not i or not href:
+                found.append("manifest item without id or href")
+                continue
+            if i in listed:
+                found.append(f"manifest id {i} repeats")
+            listed[i] = (resolved(root, href) or "", (e.get("properties") or "").split())
+            if listed[i][0] not in names:
+                found.append(f"missing {href}")
+    if "spine" not in part:
+        found.append("no spine")
+    refs = [e.get("idref") for e in part.get("spine", ()) if _local(e) == "itemref"]
+    found += [f"spine names {r}, which isn't listed" for r in refs if r not in listed]
+    spine = [r for r in refs if r in listed]
+    if not spine:
+        found.append("spine is empty")
+    if not any("nav" in p for _, p in listed.values()):
         found.append("no navigation document")
-    elif navs[0] in names:
-        links = [a.get("href") for _, a, _ in tags(z.read(navs[0]).decode("utf-8", "replace"), "a")]
-        found += ["empty navigation"] if not links else [f"navigation to {h}" for h in links if resolved(navs[0], h or "") not in names]
-    for path in (p for p in spine if p in names):
-        text = z.read(path).decode("utf-8", "replace")
-        try:
-            ET.fromstring(text)
-        except ET.ParseError:
-            found.append(f"{path} isn't well-formed")
-        found += [f"image {a.get('src')} of {path}" for _, a, _ in tags(text, "img") if resolved(path, a.get("src") or "") not in names and not (a.get("src") or "").startswith("http")]
-    if sections is not None and len(spine) != sections:
-        found.append(f"{len(spine)} sections, not {sections}")
-    return found
+    return listed, spine, found
+
+
+def _document_problems(z: zipfile.ZipFile, path: str, names: list[str]) -> list[str]:
+    if path not in names:
+        return []
+    page = _parsed(z, path)
+    if page is None:
+        return [f"{path} isn't well-formed"]
+    sources = [(e.get("src") or "").strip() for e in page.iter() if _local(e) == "img"]
+    out = [f"image without source in {path}" for s in sources if not s]
+    return out + [f"image {s} of {path}" for s in sources if s and not s.startswith(("http://", "https://", "data:")) and resolved(path, s) not in names]
+
+
+def _contents_problems(z: zipfile.ZipFile, path: str, names: list[str]) -> list[str]:
+    page = _parsed(z, path)
+    if page is None:
+        return [f"{path} isn't well-formed"] if path in names else []
+    toc = next((e for e in page.iter() if _local(e) == "nav" and e.get(f"{{{OPS_NS}}}type") == "toc"), None)
+    if toc is None:
+        return ["navigation has no contents list"]
+    links = [e.get("href") for e in toc.iter() if _local(e) == "a" and e.get("href")]
+    return ["empty navigation"] if not links else [f"navigation to {h}" for h in links if not h.startswith(("http://", "https://")) and resolved(path, h) not in names]
 
 
 def verified(books: DataFrame) -> DataFrame:
@@ -305,10 +471,57 @@ def verified(books: DataFrame) -> DataFrame:
     return books.select("source_id", "content", "sections").mapInArrow(run, "source_id long, problem string")
 
 
+def described(books: DataFrame) -> DataFrame:
+    """(source_id, kind, ord, name, value) of packages(source_id, content): contents entries, spine files and metadata, as they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for source, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = Package(content)
+                rows = [("contents", k, t, f) for k, (t, f) in enumerate(p.contents())] + [("spine", k, f, "") for k, f in enumerate(p.spine())] + [("metadata", 0, k, v) for k, v in sorted(p.metadata().items())]
+                out += [{"source_id": source, "kind": kind, "ord": k, "name": name, "value": value} for kind, k, name, value in rows]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("source_id", pa.int64()), ("kind", pa.string()), ("ord", pa.int64()), ("name", pa.string()), ("value", pa.string())]))
+
+    return books.select("source_id", "content").mapInArrow(run, "source_id long, kind string, ord long, name string, value string")
+
+
+def cover_candidates(content: bytes) -> list[tuple[str, str]]:
+    """(how, path) of what may be a package's cover: marked, named by the guide, by id or name, the first image of the guide's page or of a cover page."""
+    p = Package(content)
+    root = p.first(".opf") or ""
+    opf, names, found = p.opf(), set(p.names), []
+    items = [(a.get("id") or "", resolved(root, a.get("href") or "") or "", a.get("media-type") or "", (a.get("properties") or "").split()) for _, a, _ in tags(opf, "item")]
+    images = [(i, path) for i, path, kind, _ in items if kind.startswith("image/") or path.lower().endswith(IMAGES)]
+    found += [("properties", path) for _, path, _, properties in items if "cover-image" in properties]
+    pages = [resolved(root, a.get("href") or "") or "" for _, a, _ in tags(opf, "reference") if (a.get("type") or "").lower() == "cover"]
+    found += [("guide", path) for path in pages if path.lower().endswith(IMAGES)]
+    found += [("id", path) for i, path in images if "cover" in i.lower() or "cover" in posixpath.basename(path).lower()]
+    for how, own in (("guide-page", pages), ("cover-page", [path for _, path, kind, _ in items if "html" in kind and "cover" in posixpath.basename(path).lower()])):
+        for page in (x for x in own if x in names and not x.lower().endswith(IMAGES)):
+            found += [(how, resolved(page, a.get("src") or a.get("xlink:href") or "") or "") for _, a, _ in tags(p.text(page), "img", "image")][:1]
+    return [(how, path) for how, path in found if path in names]
+
+
+def covers(books: DataFrame) -> DataFrame:
+    """(source_id, how, path, size) of packages(source_id, content): the cover that is found most reliably."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                z = zipfile.ZipFile(io.BytesIO(c))
+                out += [{"source_id": s, "how": how, "path": path, "size": z.getinfo(path).file_size} for how, path in cover_candidates(c)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("source_id", pa.int64()), ("how", pa.string()), ("path", pa.string()), ("size", pa.int64())]))
+
+    every = books.select("source_id", "content").mapInArrow(run, "source_id long, how string, path string, size long")
+    return best_cover(every).join(every.select("source_id", "how", "path", "size").distinct(), ["source_id", "how", "path"])
+
+
 COVER_RANKS = ("properties", "guide", "id", "guide-page", "cover-page")
 
 
 def best_cover(candidates: DataFrame) -> DataFrame:
     """Of candidates(source_id, how, path), the one found by the most reliable way."""
     rank = F.array_position(F.array(*map(F.lit, COVER_RANKS)), F.col("how"))
-    return candidates.filter(rank > 0).groupBy("source_id").agg(F.min_by(F.struct("how", "path"), rank).alias("c")).select("source_id", "c.how", "c.path")
+    return candidates.filter(rank > 0).groupBy("source_id").agg(F.min(F.struct(rank.alias("k"), "path", "how")).alias("c")).select("source_id", "c.how", "c.path")

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions.text import squeeze, strip
 
 SHARD_PAGES = 200
 
 
-def content_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(dir, name, path) of each project's content list; a name not ending in _v2 is preferred, then the first."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*content_list*.json").option("recursiveFileLookup", "true").load(path).select("path")
-    rows = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, dir, name) of the JSON files below a path that Spark can read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+
+
+def content_lists(files: DataFrame) -> DataFrame:
+    """The content list of each dir of files(dir, name, ..); a name not ending in _v2 is preferred, then the first."""
     order = Window.partitionBy("dir").orderBy(F.col("name").endswith("_v2.json"), "name")
-    return rows.filter(F.col("name").endswith("content_list.json") | F.col("name").endswith("content_list_v2.json")).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    own = files.filter(F.col("name").endswith("content_list.json") | F.col("name").endswith("content_list_v2.json"))
+    return own.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def discovered(files: DataFrame, keyword: str) -> DataFrame:
+    """The content lists of the directories whose own name holds a keyword."""
+    return content_lists(files).filter(F.regexp_extract("dir", r"([^/]*)/*$", 1).contains(keyword))
 
 
 def raw_items(documents: DataFrame) -> DataFrame:
@@ -41,16 +54,52 @@ def texts(name: str) -> Column:
     return F.coalesce(field(name, "array<string>"), F.array().cast("array<string>"))
 
 
+def nested_text(value: object) -> str:
+    """The text of a payload: strings, lists and items in one another, of any depth, a piece to a line."""
+    if isinstance(value, str):
+        return value.strip()
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "\n".join(t for t in map(nested_text, value) if t)
+    if isinstance(value, dict):
+        text, listed = nested_text(value.get("text")), nested_text(value.get("list_items"))
+        again = "".join(listed.split()) in "".join(text.split())
+        return text if again else "\n".join(t for t in (text, listed) if t)
+    raise ValueError(f"a text can't be a {type(value).__name__}")
+
+
+@F.udf(StringType(), useArrow=True)
+def _nested(payload: str | None) -> str:
+    return nested_text(json.loads(payload) if payload else None)
+
+
+def item_text(items: DataFrame) -> DataFrame:
+    """items with ``text``: that of each item and of its list, unless the text has the list already.
+
+    Strings and lists of strings are read by expressions; what nests deeper goes through
+    Python, and numbers and truth values as texts are errors.
+    """
+    kind = lambda name: F.expr(f"schema_of_variant(coalesce(try_variant_get(item, '$.{name}', 'variant'), try_variant_get(item, '$.content.{name}', 'variant')))")
+    flat = lambda name: F.coalesce(kind(name).isin("STRING", "VOID", "ARRAY<STRING>", "ARRAY<VOID>"), F.lit(True))
+    one = lambda name: F.when(F.coalesce(kind(name) == "STRING", F.lit(False)), strip(F.coalesce(field(name, "string"), F.lit("")))).otherwise(F.array_join(F.filter(F.transform(texts(name), strip), lambda x: x != ""), "\n"))
+    rows = items.withColumn("_flat", flat("text") & flat("list_items"))
+    plain = rows.filter("_flat").withColumns({"_t": one("text"), "_l": one("list_items")})
+    again = squeeze("_t").contains(squeeze("_l"))
+    plain = plain.withColumn("text", F.when(again, F.col("_t")).when(F.col("_t") == "", F.col("_l")).otherwise(F.concat("_t", F.lit("\n"), "_l"))).drop("_t", "_l")
+    payload = F.to_json(F.expr("coalesce(try_variant_get(item, '$.content', 'variant'), item)"))
+    top = F.expr("try_variant_get(item, '$.text', 'variant') is not null or try_variant_get(item, '$.list_items', 'variant') is not null")
+    deep = rows.filter("not _flat").withColumn("text", _nested(F.when(top, F.to_json("item")).otherwise(payload)))
+    return plain.unionByName(deep).drop("_flat")
+
+
 def blocks(items: DataFrame) -> DataFrame:
     """Blocks with a number over all shards of a source; the first caption field that has anything counts."""
-    whole = F.coalesce(field("text", "string"), F.array_join(F.filter(F.transform(texts("text"), strip), lambda x: x != ""), "\n"), F.lit(""))
-    listed = F.array_join(F.filter(F.transform(texts("list_items"), strip), lambda x: x != ""), "\n")
-    text = F.when((listed == "") | squeeze(whole).contains(squeeze(listed)), whole).when(whole == "", listed).otherwise(F.concat(whole, F.lit("\n"), listed))
     first = lambda kind: F.coalesce(*[F.when(F.size(texts(f"{k}_{kind}")) > 0, texts(f"{k}_{kind}")) for k in ("image", "table", "chart")], F.array().cast("array<string>"))
     gid = F.row_number().over(Window.partitionBy("source_id").orderBy("shard_ord", "local")) - 1
     level = field("text_level", "string")
-    return items.select(
-        "source_id", gid.cast("long").alias("gid"), "shard_ord", "local", F.coalesce(field("page_idx", "long"), F.lit(0)).alias("page_idx"), "type", text.alias("text"),
+    return item_text(items).select(
+        "source_id", gid.cast("long").alias("gid"), "shard_ord", "local", F.coalesce(field("page_idx", "long"), F.lit(0)).alias("page_idx"), "type", "text",
         F.when(level.rlike(r"^-?[0-9]+$"), level.try_cast("long")).alias("text_level"), F.coalesce(field("img_path", "string"), F.lit("")).alias("img_path"), F.coalesce(field("table_body", "string"), F.lit("")).alias("table_body"),
         first("caption").alias("caption"), first("footnote").alias("footnote"), F.coalesce(field("_trusted", "boolean"), F.lit(False)).alias("level_trusted"),
     )
@@ -72,14 +121,28 @@ def planned_shards(sources: DataFrame, pages: int = SHARD_PAGES) -> DataFrame:
     return rows.select("source_id", (F.col("k") + 1).cast("long").alias("shard_ord"), span.alias("page_range"), F.when(F.col("n_pages") > 0, F.least(F.lit(pages), F.col("n_pages") - F.col("at"))).alias("expect_pages"), F.lit("pending").alias("state"))
 
 
-def resolve(names: DataFrame, asked: str) -> list[str]:
-    """The source a user means: the exact one, or the only one that begins with or holds the text; several is an error."""
-    rows = names.filter((F.col("source_id") == asked) | F.col("source_id").contains(asked)).orderBy(F.col("source_id") != asked, ~F.col("source_id").startswith(asked), "source_id").limit(20)
-    found = [r[0] for r in rows.collect()]
-    if asked in found:
-        return [asked]
-    begin = [f for f in found if f.startswith(asked)]
-    hit = begin or found
-    if len(hit) != 1:
-        raise LookupError(f"{asked!r} means {len(hit)} sources" + (f": {', '.join(hit)}" if hit else ""))
-    return hit
+def resolved(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, source_id, candidates) of asked(asked): the source of names(source_id) that each means.
+
+    The one of that name; or else the only one that begins with it; or else the only one that
+    holds it. With several or none, source_id is null and candidates says how many. What is
+    asked is what people typed, so it is few rows and goes to every task.
+    """
+    asked = asked.distinct()
+    hits = names.select("source_id").distinct().join(F.broadcast(asked), F.col("source_id").contains(F.col("asked")))
+    rows = asked.join(hits, "asked", "left")
+    same, begins = F.col("source_id") == F.col("asked"), F.col("source_id").startswith(F.col("asked"))
+    by = rows.groupBy("asked").agg(
+        F.max(F.when(same, F.col("source_id"))).alias("same"), F.count_if(begins).alias("n_begin"), F.max(F.when(begins, F.col("source_id"))).alias("begin"), F.count("source_id").alias("n_hold"), F.max("source_id").alias("hold"),
+    )
+    count = F.when(F.col("same").isNotNull(), 1).when(F.col("n_begin") > 0, F.col("n_begin")).otherwise(F.col("n_hold"))
+    found = F.when(F.col("same").isNotNull(), F.col("same")).when(F.col("n_begin") == 1, F.col("begin")).when((F.col("n_begin") == 0) & (F.col("n_hold") == 1), F.col("hold"))
+    return by.select("asked", found.alias("source_id"), count.cast("long").alias("candidates"))
+
+
+def resolve(names: DataFrame, asked: str) -> str:
+    """The one source that a user means; several or none is an error."""
+    row = resolved(names, names.sparkSession.createDataFrame([(asked,)], "asked string")).first()
+    if row["source_id"] is None:
+        raise LookupError(f"{asked!r} means {row['candidates']} sources")
+    return row["source_id"]

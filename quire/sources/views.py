@@ -39,6 +39,18 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source_id", "gid", F.expr("gid div 40 + 1").alias("shard_ord"), F.expr("gid % 40 div 4").alias("page_idx"), kind.alias("type"), "text", F.expr("case when length(text) <= 60 then 1 + gid % 2 end").alias("text_level"))
 
 
+def rich_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blocks whose pictures and tables have paths, bodies, captions and notes, some of them nothing else."""
+    b = blocks(spark, sf_dir)
+    return b.selectExpr(
+        "source_id", "gid", "shard_ord", "page_idx", "type", "case when type = 'table' and gid % 3 <> 1 then '' else text end as text", "text_level",
+        "case when type = 'image' and gid % 4 <> 3 then concat('scan/images/', gid, '.png') else '' end as img_path",
+        "case when type = 'table' and gid % 3 <> 1 then concat('<table><tr><td>', text, '</td></tr></table>') else '' end as table_body",
+        "case when type not in ('image', 'table') or gid % 3 = 2 then cast(array() as array<string>) when gid % 3 = 0 then array(concat('Caption ', gid)) else array(concat('Caption ', gid), 'and more') end as caption",
+        "case when type in ('image', 'table') and gid % 2 = 0 then array(concat('Note of ', gid)) else cast(array() as array<string>) end as footnote",
+    )
+
+
 TIER_NAMES = ("part", "chapter", "sec", "dun", "paren_zh", "paren_ar", "arabic")
 
 

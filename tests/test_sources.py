@@ -27,9 +27,9 @@ def test_content_list_must_be_a_list(spark):
 
 def test_resolving_names(spark):
     names = spark.createDataFrame([("alpha.1",), ("alphabet",), ("beta",)], "source_id string")
-    assert projects.resolve(names, "beta") == ["beta"]
-    assert projects.resolve(names, "bet") == ["beta"]
-    assert projects.resolve(names, "alpha.") == ["alpha.1"]
+    assert projects.resolve(names, "beta") == "beta"
+    assert projects.resolve(names, "bet") == "beta"
+    assert projects.resolve(names, "alpha.") == "alpha.1"
     with pytest.raises(LookupError):
         projects.resolve(names, "alpha")
     with pytest.raises(LookupError):
