@@ -25,6 +25,12 @@ from quire.llm import license_texts as texts
 #: A line that only states a copyright, from the line break before it.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(portions )?(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*"
 
+#: A paragraph of lines that all begin with the word, such as "Copyright Jane Doe".
+COPYRIGHT_PARAGRAPH = r"(^|\n[ \t\r]*\n)([ \t]*copyright[ \t][^\n]*(\n|\z))+([ \t\r]*\n|\z)"
+
+#: As many known digests go to every task (some 16 MB); a longer list is joined like any table.
+MOST_BROADCAST = 100_000
+
 #: Spellings that licence texts use alike, by what they become.
 SPELLINGS = (
     ("licence", "license"),
@@ -169,6 +175,7 @@ KNOWN = tuple(dict.fromkeys((*SHORT, *_short(), *_long())))
 def canonical(text: Column) -> Column:
     """The form in which texts of one licence are equal."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(out, COPYRIGHT_PARAGRAPH, "\n\n")
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     for spelling, becomes in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(becomes))
@@ -183,8 +190,14 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, canon_chars, canon_sha256 and license_id (null: none) for every document."""
-    known = known_digests(docs.sparkSession) if known is None else known
+    """doc_id, canon_chars, canon_sha256 and license_id (null: none) for every document.
+
+    The fixed list goes to every task, as it is short; a table of the caller's is joined by
+    whatever its size allows.
+    """
+    if known is None:
+        known = known_digests(docs.sparkSession)
+        known = F.broadcast(known) if len(KNOWN) <= MOST_BROADCAST else known
     canon = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
     canon = canon.select("doc_id", F.length("canon").cast("long").alias("canon_chars"), F.sha2("canon", 256).alias("canon_sha256"))
     return canon.join(known, "canon_sha256", "left").select("doc_id", "canon_chars", "canon_sha256", "license_id")
@@ -193,6 +206,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def _sql() -> str:
     def canon(column: str) -> str:
         out = f"regexp_replace(lower(coalesce({column}, '')), '{COPYRIGHT_LINE}', chr(10), 'g')"
+        out = f"regexp_replace({out}, '{COPYRIGHT_PARAGRAPH}', chr(10) || chr(10), 'g')"
         out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for spelling, becomes in SPELLINGS:
             out = f"replace({out}, '{spelling}', '{becomes}')"

@@ -8,8 +8,11 @@ reader starts from the stored bytes and nothing else. Features are
 * log-mel filterbanks of overlapped Hann frames;
 * hysteresis segmentation of frame energy: a segment opens above the upper threshold
   and closes below the lower one;
-* tensors of a fixed shape ``[frames, mels]``, each with its time span, laid out as
-  Arrow's ``fixed_shape_tensor`` type wants them.
+* tensors of a fixed shape ``[frames, mels]``, each with its time span, in a column of
+  Arrow's ``fixed_shape_tensor`` type. Parquet has no such type, so what a media value
+  gives is stored as the Arrow stream of its table (start_ms, end_ms, n_frames, tensor).
+
+The query writes the media column, reads it back, writes features, and reads those back.
 
 Each signal is worked through alone, its frames in blocks of a fixed number, so equal
 signals give equal features wherever they are computed and spectra never pile up.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._common import small_batches
+from quire.llm._common import small_batches, stored
 
 PAYLOAD_UNIT = 192
 SOURCE_HZ = 16_000
@@ -176,64 +179,93 @@ def with_media(docs: DataFrame) -> DataFrame:
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def log_mel_tensors(media: DataFrame) -> DataFrame:
-    """A row for each tensor of each media value: (doc_id, chunk, start_ms, end_ms, n_frames, tensor).
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS], dim_names=["frame", "mel"])
+TENSOR_TABLE = pa.schema([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("n_frames", pa.int32()), ("tensor", TENSOR)])
 
-    tensor holds TENSOR_FRAMES * MELS floats, row-major; as_tensor_column() turns it into
-    Arrow's fixed-shape tensor type without copying.
-    """
+
+def tensor_stream(tensors: np.ndarray, spans: list[tuple[float, float]], filled: np.ndarray) -> bytes:
+    """The Arrow stream of a value's tensors with their spans."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), TENSOR_FRAMES * MELS)
+    columns = [pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64()), pa.array(filled, pa.int32()), pa.ExtensionArray.from_storage(TENSOR, flat)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSOR_TABLE) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=TENSOR_TABLE))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stream: bytes) -> pa.Table:
+    """A table (start_ms, end_ms, n_frames, tensor) from its stored stream."""
+    return pa.ipc.open_stream(stream).read_all()
+
+
+def with_features(media: DataFrame) -> DataFrame:
+    """media's doc_id, n_bytes and digests with ``segments`` and ``tensors``, the stored form of its features."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "tensors"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.binary()]
+
+    def made(value: bytes) -> tuple:
+        payload, _ = wav_samples(value)
+        tensors, spans, filled, segments = features(value)
+        loud = [{"start_s": a, "end_s": b} for a, b in segments]
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(value), hashlib.sha256(value).hexdigest(), loud, tensor_stream(tensors, spans, filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tensors, spans, filled, _ = features(value)
-                n = len(tensors)
-                lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * TENSOR_FRAMES * MELS, pa.array(tensors.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64()), pa.array(filled, pa.int32()), lists], ["doc_id", "chunk", "start_ms", "end_ms", "n_frames", "tensor"])
-
-    return small_batches(media.select("doc_id", "media")).mapInArrow(run, "doc_id long, chunk int, start_ms long, end_ms long, n_frames int, tensor array<float>")
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
+                rows = [made(v) for v in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_bytes", *names])
 
+    return small_batches(media.select("doc_id", "n_bytes", "media")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_s: double, end_s: double>>, tensors binary")
 
-def as_tensor_column(lists: pa.ListArray) -> pa.ExtensionArray:
-    """The tensor column of log_mel_tensors() as Arrow's fixed_shape_tensor."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS], dim_names=["frame", "mel"])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(lists.flatten(), TENSOR_FRAMES * MELS))
 
+def log_mel_tensors(featured: DataFrame) -> DataFrame:
+    """A row for each tensor of each value with_features() gave: (doc_id, chunk, start_ms, end_ms, n_frames, tensor).
 
-def energy_segments(media: DataFrame) -> DataFrame:
-    """A row for each loud segment of each media value: (doc_id, segment, start_s, end_s)."""
+    tensor holds TENSOR_FRAMES * MELS floats, row-major.
+    """
+    names = ["doc_id", "chunk", "start_ms", "end_ms", "n_frames", "tensor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(doc, k, s, e) for doc, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, (s, e) in enumerate(features(value)[3])]
-            yield pa.RecordBatch.from_pylist([{"doc_id": d, "segment": k, "start_s": s, "end_s": e} for d, k, s, e in found], schema=pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+            for doc, stream in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for t in read_tensors(stream).to_batches():
+                    n = t.num_rows
+                    lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * TENSOR_FRAMES * MELS, t.column("tensor").storage.flatten())
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), *t.columns[:3], lists], names)
+
+    return small_batches(featured.select("doc_id", "tensors")).mapInArrow(run, "doc_id long, chunk int, start_ms long, end_ms long, n_frames int, tensor array<float>")
+
 
-    return small_batches(media.select("doc_id", "media")).mapInArrow(run, "doc_id long, segment int, start_s double, end_s double")
+def energy_segments(featured: DataFrame) -> DataFrame:
+    """A row for each loud segment of each value: (doc_id, segment, start_s, end_s)."""
+    return featured.select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.start_s", "s.end_s")
 
 
-def digest_row(media: bytes) -> tuple:
-    payload, _ = wav_samples(media)
-    tensors, spans, filled, segments = features(media)
-    mean = tensors.reshape(-1, MELS)[: int(filled.sum())].mean(axis=0, dtype=np.float64)
-    loud = sum(e - s for s, e in segments)
-    text = f"tensors={len(tensors)}x{TENSOR_FRAMES}x{MELS};frames={int(filled.sum())};span_ms={spans[0][0]}-{spans[-1][1]};segments={len(segments)};loud_s={loud:.3f};mel={','.join(f'{v:.2f}' for v in mean)}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), text
+def summary(segments: list[dict], stream: bytes) -> str:
+    """What features a value has, from their stored form."""
+    t = read_tensors(stream)
+    frames = t["n_frames"].to_numpy()
+    mels = t["tensor"].combine_chunks().to_numpy_ndarray().reshape(-1, MELS)[: int(frames.sum())]
+    mean = mels.mean(axis=0, dtype=np.float64)
+    loud = sum(s["end_s"] - s["start_s"] for s in segments)
+    return f"tensors={len(t)}x{TENSOR_FRAMES}x{MELS};frames={int(frames.sum())};span_ms={t['start_ms'][0]}-{t['end_ms'][-1]};segments={len(segments)};loud_s={loud:.3f};mel={','.join(f'{v:.2f}' for v in mean)}"
 
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """A row for each media value, read back: sizes, digests and a summary of its features."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def described(featured: DataFrame) -> DataFrame:
+    """featured with ``feature``, the summary of its stored features, in their place."""
+    kept = [c for c in featured.columns if c not in ("segments", "tensors")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [digest_row(v) for v in b.column(2).to_pylist()]
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "n_bytes", *names])
+            told = [summary(s, t) for s, t in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(told, pa.string())], [*kept, "feature"])
 
-    return small_batches(media.select("doc_id", "n_bytes", "media")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kinds = dict(featured.dtypes)
+    return small_batches(featured.select(*kept, "segments", "tensors")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", feature string")
 
 
 def audio_features(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> one row per document with digests of payload, media and features."""
-    return media_digest(with_media(docs.select(F.col("doc_id"), F.col("text"))))
+    """docs(doc_id, text) -> one row per document with digests of payload, media and features, all from stored forms."""
+    media = stored(with_media(docs.select("doc_id", "text")), "media")
+    return described(stored(with_features(media), "media-features"))

@@ -73,10 +73,15 @@ def test_hysteresis_against_a_state_machine():
 
 
 def test_tensors_have_one_shape_and_spans(spark):
-    made = media.log_mel_tensors(media.with_media(documents(spark).filter("doc_id = 6"))).orderBy("chunk").collect()
-    assert {len(r["tensor"]) for r in made} == {media.TENSOR_FRAMES * media.MELS}
+    featured = media.with_features(media.with_media(documents(spark)))
+    stored = featured.filter("doc_id = 6").first()["tensors"]
+    table = media.read_tensors(bytes(stored))
+    assert table.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [media.TENSOR_FRAMES, media.MELS], dim_names=["frame", "mel"])
+    text = next(r[1] for r in rows() if r[0] == 6)
+    tensors, spans, filled, _ = media.features(media.wav_bytes(media.as_payload(text)[1]))
+    assert np.array_equal(table["tensor"].combine_chunks().to_numpy_ndarray(), tensors)
+    assert list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist(), strict=True)) == spans and table["n_frames"].to_pylist() == filled.tolist()
+    made = media.log_mel_tensors(featured.filter("doc_id = 6")).orderBy("chunk").collect()
+    assert {len(r["tensor"]) for r in made} == {media.TENSOR_FRAMES * media.MELS} and len(made) == len(tensors)
     assert all(a["start_ms"] < b["start_ms"] < a["end_ms"] for a, b in zip(made, made[1:], strict=False))
-    column = media.as_tensor_column(pa.array([r["tensor"] for r in made], pa.list_(pa.float32())))
-    assert column.type == pa.fixed_shape_tensor(pa.float32(), [media.TENSOR_FRAMES, media.MELS], dim_names=["frame", "mel"])
-    assert column.to_numpy_ndarray().shape == (len(made), media.TENSOR_FRAMES, media.MELS)
-    assert media.energy_segments(media.with_media(documents(spark))).filter("end_s <= start_s").count() == 0
+    assert media.energy_segments(featured).filter("end_s <= start_s").count() == 0

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -30,6 +32,69 @@ def test_class_scores_have_the_exact_base(spark):
     assert brown.class_scores(empty(spark)).count() == 0
 
 
+def test_scores_against_the_definition(spark, monkeypatch):
+    """Counts, bigrams and probabilities anew from the texts, given only which class a word is in."""
+    kept = {}
+    real = brown.scored
+    monkeypatch.setattr(brown, "scored", lambda texts, found, *rest: kept.update(texts=texts, found=found) or real(texts, found, *rest))
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(90)]
+    texts = [" ".join(vocab[min(89, int(rng.expovariate(0.05)))] for _ in range(rng.randint(0, 40))) for _ in range(160)]
+    got = {r["doc_id"]: r for r in brown.class_scores(of_texts(spark, texts), passes=2).collect()}
+    tokens = [[*t.split(), "\n"] for t in texts]
+    classes = {}
+    blocks = {}
+    for r in kept["texts"].unionByName(kept["found"]).collect():
+        blocks.setdefault(r["at"], []).append(tuple(r))
+    for own in blocks.values():
+        numbers, lens, _, ids, found = brown._block(own)
+        of, _ = brown._classes(numbers, found)
+        at = 0
+        for doc, n in zip(ids, lens.tolist(), strict=True):
+            for word, number in zip(tokens[doc], numbers[at : at + n].tolist(), strict=True):
+                assert classes.setdefault(word, int(of[number])) == int(of[number])
+            at += n
+    learn = [k for k in range(160) if not held(k)]
+    c = Counter(w for k in learn for w in tokens[k])
+    end, last = brown.END_CLASS, brown.RARE_CLASS
+    bigrams, once = Counter(), Counter()
+    for k in learn:
+        before = ["\n", *tokens[k][:-1]]
+        for a, b in zip(before, tokens[k], strict=True):
+            froms = {classes[a]} | ({brown.UNKNOWN} if c[a] == 1 else set())
+            for f in froms:
+                bigrams[f, classes[b]] += 1
+                once[f] += c[b] == 1
+    plain = range(brown.UNKNOWN)
+    size = Counter()
+    for (a, b), n in bigrams.items():
+        if a in plain:
+            size[b] += n
+    total = sum(size.values())
+    overall = (sum(once[a] for a in plain) + 0.5) / (total + 1)
+
+    def unknown(a):
+        n = sum(bigrams[a, b] for b in range(last + 1))
+        return overall if a == brown.UNKNOWN or not n else (once[a] + overall) / (n + 1)
+
+    def step(a, b):
+        n = sum(bigrams[a, x] for x in range(last + 1))
+        frequency = (size[b] + 0.5) / (total + 0.5 * (last + 1))
+        return (1 - unknown(a)) * (bigrams[a, b] + frequency) / (n + 1)
+
+    for k, own in enumerate(tokens):
+        score, a = 0.0, end
+        for w in own:
+            if c[w]:
+                b = classes[w]
+                score += math.log10(step(a, b) * c[w] / max(size[b], 1))
+            else:
+                b = brown.UNKNOWN
+                score += math.log10(unknown(a))
+            a = b
+        assert got[k]["score"] == pytest.approx(score, rel=1e-9)
+
+
 def test_without_training_texts(spark):
     nothing = documents(spark, [(None, "a b", "en", "a", 1, 0.0, 0, 0, "", 0, "")])
     r = brown.class_scores(nothing, passes=1).first()
@@ -109,6 +174,56 @@ def test_the_markov_models_tell_random_from_words(spark):
     assert secrets.scan(empty(spark), secrets.train(secrets.corpus_samples(empty(spark)))).count() == 0
 
 
+def spans_by_hand(text, table):
+    """The base rules and the likelihood ratio again, with re and plain loops."""
+    kinds = [("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16)]
+    base = [(m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m.group(g)) >= least]
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m.group()) >= 16 and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+            codes = [ord(x) - secrets.FIRST for x in m.group()]
+            ratio = sum(table[a * secrets.SIZE + b] for a, b in zip(codes, codes[1:], strict=False))
+            if ratio >= secrets.LEAST_LLR and ratio >= secrets.LEAST_MEAN_LLR * (len(codes) - 1):
+                more.append((m.start(), 3, m.end(), "markov"))
+    told = lambda spans: ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(spans))
+    return [sum(n == name for *_, n in base) for name, *_ in kinds], hashlib.sha256(told(base).encode()).hexdigest(), told([*base, *more])
+
+
+def test_secrets_of_random_texts(spark):
+    rng = random.Random(17)
+    parts = ["password", "TOKEN", "api_key", "apikey", "Secret", "passwd", ":", "=", " ", "  ", "'", '"', "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "é", "𝒳", "\n", "-", ".", "/", "ordinary_identifier_name", "XyZ9", "q8Rt2LmZ0pWv7KsD"]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.8 else "".join(rng.choice("abcXYZ019+/=_-") for _ in range(rng.randint(1, 24))) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    table = secrets.train(secrets.corpus_samples(documents(spark)))
+    table = [float(format(v, ".6g")) for v in table]
+    got = secrets.scan(of_texts(spark, texts), table).orderBy("doc_id").collect()
+    for text, r in zip(texts, got, strict=True):
+        counts, digest, told = spans_by_hand(text, table)
+        assert ([r["n_assign"], r["n_access"], r["n_hex"]], r["base_sha256"], r["spans"]) == (counts, digest, told), text
+
+
+def test_copyright_paragraphs_without_a_sign(spark):
+    mit = dict(licenses.SHORT)["MIT"]
+    texts = [f"MIT License\n\nCopyright Jane Doe\n\n{mit}", f"Copyright Jane Doe\nCopyright The Other Authors and their heirs\n\n{mit}\n\nCopyright J. Doe", f"Copyright law applies to it.\nBut {mit}"]
+    assert [r["license_id"] for r in licenses.scan(of_texts(spark, texts)).orderBy("doc_id").collect()] == ["MIT", "MIT", None]
+
+
+def test_every_known_text_altered(spark):
+    """Each known text is found with other case, punctuation, holder, line breaks and spelling."""
+    altered = []
+    for _, text in licenses.KNOWN:
+        t = re.sub(r"[ \t]+", "  ", text).replace(",", " ;").replace("license", "licence").replace("organization", "organisation")
+        altered.append("Copyright 1999-2024 Another Holder, Inc.\n" + (t.upper() if len(altered) % 2 else t))
+    known = [r["license_id"] for r in licenses.scan(of_texts(spark, [t for _, t in licenses.KNOWN])).orderBy("doc_id").collect()]
+    got = [r["license_id"] for r in licenses.scan(of_texts(spark, altered)).orderBy("doc_id").collect()]
+    assert got == known and None not in known
+
+
+def test_licences_of_a_table(spark):
+    known = licenses.known_digests(spark, (("OWN", "the text of our own licence"),))
+    got = licenses.scan(of_texts(spark, ["The text, of our own license", "other"]), known).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == ["OWN", None]
+
+
 def test_licences_of_whole_texts(spark):
     mit = dict(licenses.KNOWN[:1])["MIT"]
     changed = "Copyright (c) 2020, A. B.\nAll rights reserved.\n\n" + mit.replace(",", " ,").upper()
@@ -170,6 +285,63 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def features_by_hand(text, lexicon):
+    """The features again, word by word, as FEATURES names them."""
+    raw = (text or "").encode()
+    tokens = raw.lower().split()
+    punctuation = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    weights, second, hidden = [], [], []
+    for t in tokens:
+        w = t.strip("".join(c for c in punctuation if c not in "@$").encode()).decode(errors="replace").strip("«»“”„…¡¿")
+        veiled = bool(re.match(r"[a-z]+[0-9@$!|*]+[a-z]+[a-z0-9@$!|*]*$", w))
+        w = "".join(dict(zip("013457@$!|", "oieastasil", strict=True)).get(c, c) for c in w).replace("*", "") if veiled else w
+        weights.append(min(99.0, max([lexicon.get(w, 0.0)] + [lexicon.get(w[:n] + "*", 0.0) for n in (4, 5, 6) if len(w) > n])))
+        second.append(w in toxicity.SECOND), hidden.append(veiled)
+    hits, yous, n = [k for k, w in enumerate(weights) if w > 0], [k for k, s in enumerate(second) if s], len(tokens)
+    per, gaps = 100 / max(n, 1), [min(abs(k - y) for y in yous) for k in hits] if yous else []
+    best = sorted((weights[k] for k in hits), reverse=True)
+    capitals, letters = sum(65 <= c <= 90 for c in raw), sum(65 <= c <= 90 or 97 <= c <= 122 for c in raw)
+    return [
+        len(hits), len(hits) * per, len({tokens[k] for k in hits}), best[0] if best else 0, sum(best[:3]) / len(best[:3]) if best else 0, math.log1p(sum(best)), sum(g <= 5 for g in gaps), len(yous) * per, min([50, *gaps]),
+        capitals / max(letters, 1), len(re.findall(rb"\b[A-Z]{3,}\b", raw)) * per, len(re.findall(rb"([A-Za-z])\1\1", raw)) * per, raw.count(b"!") * per, raw.count(b"?") * per, sum(chr(c) in punctuation for c in raw) / max(len(raw), 1),
+        sum(hidden) * per, sum(h and w > 0 for h, w in zip(hidden, weights, strict=True)), math.log1p(n),
+    ]
+
+
+def score_by_hand(x, model):
+    """Each tree walked on the thresholds themselves, then a line between the calibration's knots."""
+    raw = model.trees.base
+    for feature, cut, value in zip(model.trees.feature, model.trees.cut, model.trees.value, strict=True):
+        node = 0
+        while node < len(feature):
+            edges = model.trees.edges[feature[node]]
+            right = cut[node] < len(edges) and x[feature[node]] > edges[cut[node]]
+            node = 2 * node + (2 if right else 1)
+        raw += value[node - len(feature)]
+    xs, ps = model.knots
+    if raw <= xs[0] or raw >= xs[-1]:
+        return min(1, max(0, ps[0] if raw <= xs[0] else ps[-1]))
+    k = next(j for j in range(1, len(xs)) if raw <= xs[j])
+    return ps[k - 1] + (ps[k] - ps[k - 1]) * (raw - xs[k - 1]) / (xs[k] - xs[k - 1])
+
+
+def test_toxicity_against_plain_code(spark):
+    docs, labels, _ = labelled(spark)
+    model = toxicity.fit(docs, toxicity.train_labels(labels))
+    assert model.lexicon and len(model.trees.feature) == toxicity.TREES
+    odd = [None, "", "YOU vilething!! nasty???", "u n4stywOrd vilethings", "aaa BBB ccc «vilething»", "v1leth1ng you " * 50, "é " * 30]
+    texts = odd + [r["text"] for r in docs.limit(60).collect()]
+    got = {r["doc_id"]: r["_score"] for r in toxicity.scored(of_texts(spark, texts), model).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == pytest.approx(score_by_hand(features_by_hand(text, model.lexicon), model), abs=1e-9)
+
+
+def test_a_repeated_id_keeps_the_bound(spark):
+    docs = documents(spark, [(7, f"text number {k}", "en", "a", 0, 0.0, 0, 0, "", 0, "") for k in range(50)])
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 20).count() == 20
+
+
 def test_toxicity_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(documents(spark), none).collect()} == {0.0}
