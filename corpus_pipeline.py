@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import linededup, mixing, neardup, packing, toxicity
-from quire.llm._common import documents, scratch, stage_scratch
+from quire.llm._common import documents
 from quire.session import table
+from quire.tables import scratch, stage_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
