@@ -69,6 +69,30 @@ def test_recall(spark, monkeypatch, clustered):
     assert hits / 300 >= 0.9
 
 
+def test_vectors_of_one_direction_over_many_pages(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PAGE_ROWS", 32)
+    monkeypatch.setattr(ann, "BLOCK_VALUES", 32)
+    rows = [(k, [float(k + 1), 2.0 * (k + 1)]) for k in range(120)] + [(200 + k, [float(k), -1.0]) for k in range(120)]
+    got = ann.nearest(*[table(spark, rows).selectExpr("vec_id id", "embedding vec").filter(f) for f in ("true", "id = 50 or id = 60")], share=0.0, least=5)
+    for q in (50, 60):
+        near = [r for r in got.collect() if r["query_id"] == q]
+        assert len(near) == 5 and all(r["vec_id"] < 200 and r["score"] > 1 - 1e-12 for r in near)
+
+
+def test_many_queries_share_a_vector(spark):
+    rows = [(50 * k, [1.0, 0.5]) for k in range(40)] + [(50 * k + 1, [0.5, 1.0 + k]) for k in range(5)]
+    want = brute(rows)
+    assert found(ann.self_join(table(spark, rows))) == want
+
+
+def test_pipeline_keeps_other_texts_of_a_repeated_id(spark, sf):
+    same = " ".join(f"word{k}" for k in range(40))
+    some = [(3, same), (5, same), (5, "an unrelated text that nothing else resembles at all")]
+    docs = documents(spark, [(i, t, "en", "a", len(t), 0.0, 0, 0, "", 0, "") for i, t in some])
+    kept = corpus_pipeline.without_near_copies(spark, docs, sf).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([some[0], some[2]])
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "mixing", "packing"]
