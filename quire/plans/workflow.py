@@ -243,9 +243,10 @@ def k02(spark, sf):
 def _book_blocks(spark, sf):
     """Blocks with numbered headings, a contents list and page numbers among the documents' lines."""
     made = F.expr("case when gid % 9 = 0 then concat('第', (gid div 9) % 9 + 1, '章 标题', source_id) when gid % 9 = 4 then '一、小节' else text end")
-    listed = F.expr("case when source_id % 3 = 0 and gid = 5 then concat('目录\n第八章 标题', source_id, '…………2\n没有的一章…………3\n另外没有的…………900') else text end")
+    listed = F.expr("case when source_id % 3 = 0 and gid = 5 then concat('目录\n第八章的标题', source_id, '…………12\n没有的一章…………13\n另外没有的…………900') else text end")
     header = F.concat(F.lit("附录 "), F.col("page_idx") + 11)
-    b = views.blocks(spark, sf).withColumn("text", F.when(F.col("type") == "header", header).otherwise(made))
+    b = views.blocks(spark, sf).withColumn("type", F.when(F.col("gid") % 9 == 2, "header").otherwise(F.col("type")))
+    b = b.withColumn("text", F.when(F.col("type") == "header", header).otherwise(made))
     b = b.withColumn("type", F.when((F.col("type") == "text") | (F.col("gid") % 9).isin(0, 4, 5), "text").otherwise(F.col("type")))
     return b.withColumn("text", listed)
 
