@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.functions.text import col, is_noise_text, safe_filename, strip
+from quire.operators.folds import fold_sources
 
 NAME_MOST = 100
+FIXED_DATE = (2010, 1, 1, 0, 0, 0)
 FOOTNOTES = ("page-end", "inline", "drop")
 
 
@@ -165,6 +170,28 @@ def stale_files(listed: DataFrame, produced: DataFrame) -> DataFrame:
     return listed.filter(F.col("path").rlike(r"^[0-9]{3,}_.+\.md\z")).join(produced, ["source_id", "path"], "left_anti")
 
 
+def is_inside(path: Column | str) -> Column:
+    """Whether a relative path stays below the folder it is asked from."""
+    p = F.replace(col(path), F.lit("\\"), F.lit("/"))
+    return (p != "") & ~p.startswith("/") & ~p.rlike(r"^[A-Za-z]:") & ~F.concat(F.lit("/"), p, F.lit("/")).contains("/../")
+
+
+def bundles(files: DataFrame) -> DataFrame:
+    """(source_id, archive, entries): the files(source_id, path, content) of each source as one archive, to be downloaded.
+
+    Paths that lead outside are left out; equal files give equal archives.
+    """
+
+    def fold(source: int, rows: list[dict]) -> list[dict]:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for r in rows:
+                z.writestr(zipfile.ZipInfo(r["path"], FIXED_DATE), r["content"] or "", zipfile.ZIP_DEFLATED)
+        return [{"archive": out.getvalue(), "entries": len(rows)}]
+
+    return fold_sources(files.filter(is_inside("path")).select("source_id", "path", "content"), ("path",), fold, "archive binary, entries long")
+
+
 def images_used(references: DataFrame, files: DataFrame) -> DataFrame:
     """references(source_id, name) with the first shard that has the image; null if none has."""
     found = files.groupBy("source_id", "name").agg(F.min("shard_ord").alias("shard_ord"))

@@ -25,19 +25,28 @@ STAGES = {
 
 
 def probe_windows(probes: DataFrame, blocks: DataFrame, most: int = WINDOWS) -> DataFrame:
-    """The blocks to read for probes(source_id, probe, gid_start, gid_end): two around a range, four around a single block.
+    """The blocks to read for probes(source_id, probe, gid_start, gid_end[, shard_ord, page_idx, why]): two around a range or a page, four around a single block.
 
-    Windows that come out alike count once, and a source has at most ``most``, the first ones.
+    A probe without a block means a page of a shard, as pages count from 0 in each shard; one
+    with neither has no window. Windows that come out alike count once, and a source has at
+    most ``most``, the first ones.
     """
-    one = F.col("gid_end").isNull()
-    low = F.col("gid_start") - F.when(one, AROUND_GID).otherwise(AROUND_RANGE)
-    high = F.coalesce("gid_end", "gid_start") + F.when(one, AROUND_GID).otherwise(AROUND_RANGE)
+    names = probes.columns
+    why = F.col("why") if "why" in names else F.lit(None).cast("string")
+    rows = probes.withColumn("_why", why)
+    first, past = F.col("gid_start"), F.coalesce("gid_end", "gid_start")
+    if "page_idx" in names:
+        pages = blocks.groupBy("source_id", "shard_ord", "page_idx").agg(F.min("gid").alias("_from"), F.max("gid").alias("_to"))
+        rows = rows.join(pages, ["source_id", "shard_ord", "page_idx"], "left")
+        first, past = F.coalesce("gid_start", "_from"), F.coalesce("gid_end", "gid_start", "_to")
+    one = F.col("gid_end").isNull() & F.col("gid_start").isNotNull()
+    around = F.when(one, AROUND_GID).otherwise(AROUND_RANGE)
     last = blocks.groupBy("source_id").agg(F.max("gid").alias("last"))
-    rows = probes.join(last, "source_id").select("source_id", "probe", F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.col("last")).alias("high")).filter("low <= high")
-    rows = rows.groupBy("source_id", "low", "high").agg(F.min("probe").alias("probe"))
+    rows = rows.join(last, "source_id").select("source_id", "probe", "_why", F.greatest(first - around, F.lit(0)).alias("low"), F.least(past + around, F.col("last")).alias("high")).filter("low <= high and low is not null")
+    rows = rows.groupBy("source_id", "low", "high").agg(F.min(F.struct("probe", "_why")).alias("p")).select("source_id", "low", "high", "p.probe", F.col("p._why").alias("why"))
     rows = rows.withColumn("window", F.row_number().over(Window.partitionBy("source_id").orderBy("probe", "low"))).filter(F.col("window") <= most)
     spread = rows.withColumn("gid", F.explode(F.sequence("low", "high")))
-    return spread.join(blocks.select("source_id", "gid", "text"), ["source_id", "gid"]).select("source_id", "window", "probe", "gid", "text")
+    return spread.join(blocks.select("source_id", "gid", "text"), ["source_id", "gid"]).select("source_id", "window", "probe", "gid", "text", "why")
 
 
 def refused_operations(operations: DataFrame, tree: DataFrame, blocks: DataFrame) -> DataFrame:

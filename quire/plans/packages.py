@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import json_text, text
-from quire.operators import xhtml
+from quire.operators import export, xhtml
 from quire.plans.outline import STRIP, W, q
 from quire.plans.registry import query
 from quire.plans.views_sql import V2, V3
 from quire.session import table
-from quire.sources import epub, projects, standalone, views
+from quire.sources import epub, markup, pdf, projects, standalone, views
 
 # --- projects --------------------------------------------------------------------------
 
@@ -123,6 +123,82 @@ def u05(spark, sf):
     return seen.select("source_id", F.array_join(F.array_sort(F.array_union("t", F.array(F.lit("text"), F.lit("note")))), ",").alias("types"))
 
 
+@query("f22_tidied_texts", f"""SELECT doc_id AS source_id, replace(trim(regexp_replace(regexp_replace(regexp_replace(text || ' &', '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{2,}}', chr(10), 'g'), ' ' || chr(10)), '<', '&lt;') AS text FROM documents WHERE NOT regexp_matches(text, '[&]|(^|\n)>')""")
+def f22(spark, sf):
+    """Texts with zero-width characters, no-break and doubled blanks, references and line ends of all kinds put in."""
+    d = table(spark, sf, "documents").filter("not text rlike '[&]|(^|\n)>'")
+    dirty = F.concat(F.lit("\ufeff \u200b"), F.replace(F.replace("text", F.lit(" "), F.lit("\u00a0 ")), F.lit("\n"), F.lit(" \r\n\n")), F.lit(" &amp; "))
+    return markup.tidied(d.select(F.col("doc_id").alias("source_id"), dirty.alias("text")))
+
+
+# --- markup ----------------------------------------------------------------------------
+
+
+def _pages(spark, sf, html):
+    return epub.page_items(views.outline(spark, sf).select((F.col("source_id") * 100 + F.col("seq")).alias("source_id"), F.expr(html).alias("html"))).select("source_id", "ord", "kind", "text", "quoted")
+
+
+def _items_sql(*items: tuple[str, str, str]) -> str:
+    """SQL for items (kind, text, condition), numbered where their condition holds."""
+    rows = " UNION ALL ".join(f"SELECT source_id * 100 + seq AS source_id, {k} AS k, '{kind}' AS kind, {t} AS text FROM v3 WHERE {condition}" for k, (kind, t, condition) in enumerate(items))
+    return f"WITH {V3}, i AS ({rows}) SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS ord, kind, text, {{quoted}} AS quoted FROM i"
+
+
+@query("x01_lenient_markup", _items_sql(("p", "title", "true"), ("p", "'two ' || number", "true"), ("p", "'three'", "true"), ("h2", "title", "true"), ("p", "'after'", "true")).format(quoted="kind = 'p' AND (text LIKE 'two%' OR text = 'three')"))
+def x01(spark, sf):
+    """Paragraphs that are never closed, void tags, an end without a beginning, text without markup."""
+    return _pages(spark, sf, "concat('<html><head><title>no</title></head><body><meta><p>', title, '<p></i>  <br></p><blockquote><p>two ', number, '<p>three</blockquote><h2>', title, '</h2></b>after')")
+
+
+@query("x02_inline_markup", _items_sql(("p", "'a **' || title || '** *i* x2 [1] y'", "true"), ("p", "'plain ' || number", "true")).format(quoted="false"))
+def x02(spark, sf):
+    """Emphasis kept, subscripts gone, superscripts only if they number something."""
+    return _pages(spark, sf, "concat('<body><p>a <b> ', title, ' </b> <em>i</em><sub>no</sub> x<sup>2</sup> <sup>[1]</sup><sup>*</sup> y</p><p><span>plain</span> <i></i>', number, '</p></body>')")
+
+
+@query("x04_list_items", _items_sql(("note", "'① ' || title", "seq % 2 = 0"), ("p", "'bare'", "true"), ("li.p", "title", "true"), ("li.h3", "'inner ' || number", "true")).format(quoted="false"))
+def x04(spark, sf):
+    """Lists without marks are containers, or notes where they begin with one; others mark their items."""
+    note = "case when seq % 2 = 0 then concat('<li>① ', title, '</li>') else '' end"
+    return _pages(spark, sf, f"concat('<body><ul style=\"list-style: none\">', {note}, '<li>bare<li></ul><ol><li>', title, '<li><h3>inner ', number, '</h3></ol></body>')")
+
+
+@query("x05_table_rows", _items_sql(("tr", "title || ' | b | '", "true"), ("tr", "'---|---|---'", "true"), ("tr", "'1 | ' || number || ' | 3'", "true"), ("tr", "'x y |  | '", "seq % 2 = 1")).format(quoted="false"))
+def x05(spark, sf):
+    """Rows of heads, bodies and feet as pipes with a separator, short ones filled up."""
+    foot = "case when seq % 2 = 1 then '<tfoot><tr><td>x\ny</td></tr></tfoot>' else '' end"
+    return _pages(spark, sf, f"concat('<body><table><thead><tr><th>', title, '</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>', number, '</td><td>3</td></tr><tr></tr></tbody>', {foot}, '</table></body>')")
+
+
+# --- files -----------------------------------------------------------------------------
+
+SERVED = "CASE doc_id % 6 WHEN 0 THEN '../' || doc_id WHEN 1 THEN '/etc/' || doc_id WHEN 2 THEN 'a/../../' || doc_id ELSE 'L2/' || doc_id || '.md' END"
+
+
+@query("k10_bundles", f"SELECT source_id, count(*) AS entries FROM (SELECT doc_id % 40 AS source_id, {SERVED} AS path FROM documents) WHERE starts_with(path, 'L2/') GROUP BY 1")
+def k10(spark, sf):
+    path = F.expr("case doc_id % 6 when 0 then concat('../', doc_id) when 1 then concat('/etc/', doc_id) when 2 then concat('a/../../', doc_id) else concat('L2/', doc_id, '.md') end")
+    files = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("source_id"), path.alias("path"), F.col("text").alias("content"))
+    return export.bundles(files).select("source_id", "entries")
+
+
+@query("s15_pdf_page_counts", "SELECT page_id AS source_id, CASE page_id % 4 WHEN 0 THEN page_id + 1 WHEN 1 THEN page_id + 1 WHEN 2 THEN 2 END AS n_pages FROM pages")
+def s15(spark, sf):
+    """Files with a page tree in the open, in a compressed stream, with page objects alone, and files that are none."""
+
+    @F.udf("binary")
+    def made(k: int) -> bytes:
+        import zlib
+
+        tree = b"<< /Type /Pages /Kids [3 0 R] /Count %d >>" % (k + 1)
+        if k % 4 == 1:
+            packed = zlib.compress(b"1 0 2 40 " + tree)
+            return b"%PDF-1.5\n5 0 obj << /Type /ObjStm /N 2 /Filter /FlateDecode /Length " + str(len(packed)).encode() + b" >> stream\n" + packed + b"\nendstream endobj"
+        return {0: b"%PDF-1.4\n1 0 obj " + tree + b" endobj 4 0 obj << /Length 9 >> stream\n/Type /Page\nendstream", 2: b"%PDF-1.4\n<< /Type /Page >> << /Type/Page /Parent 1 0 R >>"}.get(k % 4, b"text")
+
+    return pdf.page_counts(table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), made("page_id").alias("content")))
+
+
 # --- packages --------------------------------------------------------------------------
 
 

@@ -17,14 +17,21 @@ from quire.sources import views
 
 SEGMENTS = _segments_sql("v1", "0", "true")
 
-PRB = "pb AS (SELECT source_id, gid AS probe, gid AS gid_start, CASE WHEN gid % 2 = 0 THEN gid + 3 END AS gid_end FROM v2 WHERE gid % 6 = 1 OR gid % 6 = 4), wl AS (SELECT p.source_id, probe, greatest(0, gid_start - CASE WHEN gid_end IS NULL THEN 4 ELSE 2 END) AS low, least(l.last_, coalesce(gid_end, gid_start) + CASE WHEN gid_end IS NULL THEN 4 ELSE 2 END) AS high FROM pb p JOIN (SELECT source_id, max(gid) AS last_ FROM v2 GROUP BY 1) l USING (source_id)), wd AS (SELECT source_id, low, high, min(probe) AS probe FROM wl WHERE low <= high GROUP BY 1, 2, 3), wn AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY probe, low) AS \"window\" FROM wd)"
+PRB = """pb AS (SELECT source_id, gid AS probe, CASE WHEN gid % 6 <> 5 THEN gid END AS gid_start, CASE WHEN gid % 2 = 0 THEN gid + 3 END AS gid_end, shard_ord, page_idx, 'find ' || gid AS why FROM v2 WHERE gid % 6 IN (1, 4, 5)),
+pp AS (SELECT source_id, shard_ord, page_idx, min(gid) AS a, max(gid) AS z FROM v2 GROUP BY 1, 2, 3),
+wl AS (SELECT p.source_id, probe, why, greatest(0, coalesce(gid_start, a) - CASE WHEN gid_start IS NOT NULL AND gid_end IS NULL THEN 4 ELSE 2 END) AS low,
+  least(l.last_, coalesce(gid_end, gid_start, z) + CASE WHEN gid_start IS NOT NULL AND gid_end IS NULL THEN 4 ELSE 2 END) AS high
+  FROM pb p JOIN (SELECT source_id, max(gid) AS last_ FROM v2 GROUP BY 1) l USING (source_id) JOIN pp USING (source_id, shard_ord, page_idx)),
+wd AS (SELECT source_id, low, high, min(probe) AS probe, arg_min(why, probe) AS why FROM wl WHERE low <= high GROUP BY 1, 2, 3),
+wn AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY probe, low) AS "window" FROM wd)"""
 
 
-@query("e11_probe_windows", f'WITH {V2}, {PRB} SELECT w.source_id, w."window", w.probe, b.gid, sha256(b.text) AS digest FROM wn w JOIN v2 b ON b.source_id = w.source_id AND b.gid BETWEEN low AND high WHERE "window" <= 20')
+@query("e11_probe_windows", f"""WITH {V2}, {PRB} SELECT w.source_id, w."window", w.probe, w.why, b.gid, sha256(b.text) AS digest
+FROM wn w JOIN v2 b ON b.source_id = w.source_id AND b.gid BETWEEN low AND high WHERE "window" <= 20""")
 def e11(spark, sf):
     b = views.blocks(spark, sf)
-    probes = b.filter("gid % 6 = 1 or gid % 6 = 4").select("source_id", F.col("gid").alias("probe"), F.col("gid").alias("gid_start"), F.expr("case when gid % 2 = 0 then gid + 3 end").alias("gid_end"))
-    return workflow.probe_windows(probes, b).select("source_id", "window", "probe", "gid", F.sha2("text", 256).alias("digest"))
+    probes = b.filter("gid % 6 in (1, 4, 5)").selectExpr("source_id", "gid as probe", "case when gid % 6 <> 5 then gid end as gid_start", "case when gid % 2 = 0 then gid + 3 end as gid_end", "shard_ord", "page_idx", "concat('find ', gid) as why")
+    return workflow.probe_windows(probes, b).select("source_id", "window", "probe", "why", "gid", F.sha2("text", 256).alias("digest"))
 
 
 OPS = "nt_ AS (SELECT source_id, seq, seq::VARCHAR AS key, CASE WHEN seq = 1 THEN 'front' ELSE 'chapter' END AS marker FROM tr), op AS (SELECT source_id, seq AS item, CASE seq % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'add' ELSE 'level' END AS action, CASE WHEN seq % 3 <> 1 THEN CASE WHEN seq % 4 = 2 THEN (seq + 50)::VARCHAR WHEN seq % 5 = 0 THEN '1' ELSE seq::VARCHAR END END AS key, CASE WHEN seq % 3 = 1 THEN seq // 4 END AS gid, CASE WHEN seq % 2 = 0 THEN title ELSE title || '?' END AS title FROM tr)"

@@ -14,6 +14,11 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from typing import NamedTuple
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from quire.session import ship
+
 #: Tags without content, marks of notes, codes of page edges, and text classes.
 VOID = frozenset("meta link br hr wbr input area base col source track".split())
 CIRCLED = frozenset("①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳")
@@ -119,6 +124,17 @@ def tidy(text: str) -> str:
     return text.strip()
 
 
+def tidied(texts: DataFrame) -> DataFrame:
+    """texts(source_id, text) with their text tidied."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tidy(t or "") for t in b.column(1).to_pylist()], pa.string())], ["source_id", "text"])
+
+    ship(texts.sparkSession)
+    return texts.select("source_id", "text").mapInArrow(run, "source_id long, text string")
+
+
 def flat(part: Element | str) -> str:
     """Inline text: emphasis as Markdown, no subscripts, superscripts only if they number something."""
     if isinstance(part, str):
