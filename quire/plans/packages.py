@@ -353,12 +353,31 @@ def converter_groups(spark, sf):
     return items, standalone.chapter_groups(standalone.files_of(items, labels))
 
 
-@query("t16_chapter_groups")
+def plain_title_sql(c: str) -> str:
+    return f"regexp_replace({c}, {q(standalone.NORM)}, '', 'g')"
+
+
+TOGETHER = """CASE WHEN a = '' OR a = b THEN b ELSE '索引 ' || array_to_string(list_filter(string_split(a || '·' || b, '·'), lambda x, i: list_position(string_split(a || '·' || b, '·'), x) = i), '·') END"""
+GROUPS = f"""WITH RECURSIVE {V3}, f AS (SELECT source_id, seq AS unit, level, CASE WHEN number % 6 = 5 THEN '索引' ELSE title END AS head, number % 3 = 0 AS cut FROM v3 WHERE source_id % 4 = 0),
+us AS (SELECT DISTINCT ON (source_id) source_id, level AS usual FROM (SELECT source_id, level, count(*) AS k FROM f GROUP BY 1, 2) ORDER BY source_id, k DESC, level),
+fl AS (SELECT f.*, usual, CASE WHEN source_id % 8 = 0 THEN '前言 ' || unit ELSE head END AS label FROM f JOIN us USING (source_id)),
+pt AS (SELECT source_id, unit, label AS title, regexp_matches({plain_title_sql('label')}, {q(standalone.CHAPTER)}) OR regexp_matches({plain_title_sql('head')}, {q(standalone.CHAPTER)}) OR level = usual AS starts, 0::BIGINT AS first, 6::BIGINT AS past FROM fl
+  UNION ALL SELECT source_id, unit, '人名索引', true, 6, 8 FROM fl WHERE cut),
+pn AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY unit, first) AS n, regexp_matches({plain_title_sql('title')}, {q(standalone.INDEX_CLASS)}) AS is_index FROM pt),
+rc AS (SELECT DISTINCT source_id, 0::BIGINT AS n, 0::BIGINT AS chapter, ''::VARCHAR AS name, NULL::BIGINT AS unit, NULL::BIGINT AS first, NULL::BIGINT AS past FROM pn
+  UNION ALL SELECT source_id, n, CASE WHEN joins OR NOT begins THEN chapter ELSE chapter + 1 END, CASE WHEN joins THEN {TOGETHER} WHEN begins THEN title ELSE name END, unit, first, past
+  FROM (SELECT r.source_id, r.chapter, r.name, p.* EXCLUDE (source_id), p.starts OR r.chapter = 0 AS begins, p.starts AND r.chapter > 0 AND p.is_index AND regexp_matches({plain_title_sql('r.name')}, {q(standalone.INDEX_CLASS)}) AS joins,
+      regexp_replace(trim(r.name), '^(索引|关键词索引)\\s*', '') AS a, regexp_replace(trim(p.title), '^(索引|关键词索引)\\s*', '') AS b FROM rc r JOIN pn p ON p.source_id = r.source_id AND p.n = r.n + 1)),
+gn AS (SELECT source_id, chapter, arg_max(name, n) AS title FROM rc WHERE n > 0 GROUP BY 1, 2),
+gr AS (SELECT rc.source_id, rc.chapter, gn.title, unit, first, past FROM rc JOIN gn ON gn.source_id = rc.source_id AND gn.chapter = rc.chapter WHERE n > 0)"""
+
+
+@query("t16_chapter_groups", f"{GROUPS} SELECT * FROM gr")
 def t16(spark, sf):
     return converter_groups(spark, sf)[1]
 
 
-@query("x12_chapter_maps")
+@query("x12_chapter_maps", f"{GROUPS} SELECT source_id, chapter, title, string_agg(unit || '[' || first || ':' || past || ']', ' + ' ORDER BY unit, first) AS sources FROM gr GROUP BY 1, 2, 3")
 def x12_maps(spark, sf):
     return standalone.chapter_map(converter_groups(spark, sf)[1])
 
