@@ -193,6 +193,7 @@ def test_secrets_of_random_texts(spark):
     rng = random.Random(17)
     parts = ["password", "TOKEN", "api_key", "apikey", "Secret", "passwd", ":", "=", " ", "  ", "'", '"', "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "é", "𝒳", "\n", "-", ".", "/", "ordinary_identifier_name", "XyZ9", "q8Rt2LmZ0pWv7KsD"]
     texts = ["".join(rng.choice(parts) if rng.random() < 0.8 else "".join(rng.choice("abcXYZ019+/=_-") for _ in range(rng.randint(1, 24))) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += [" ".join(f"token={k:012d} AKIA{'Z' * 15}{k}" for k in range(n)) for n in (1, 63, 64, 65, 700)]
     table = secrets.train(secrets.corpus_samples(documents(spark)))
     table = [float(format(v, ".6g")) for v in table]
     got = secrets.scan(of_texts(spark, texts), table).orderBy("doc_id").collect()
