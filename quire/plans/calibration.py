@@ -44,7 +44,8 @@ ABS = f"""{EXT},
 ab0 AS (SELECT *, first_value("offset") OVER (PARTITION BY source_id, shard_ord ORDER BY n_obs DESC, span, page_start, seg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS main,
   count(*) OVER (PARTITION BY source_id, shard_ord) AS of_ FROM ext),
 ab1 AS (SELECT *, last_value(CASE WHEN "offset" = main THEN seg_ord END IGNORE NULLS) OVER (PARTITION BY source_id, shard_ord ORDER BY page_start, seg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm,
-  first_value(CASE WHEN "offset" = main THEN seg_ord END IGNORE NULLS) OVER (PARTITION BY source_id, shard_ord ORDER BY page_start, seg_ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nm FROM ab0),
+  first_value(CASE WHEN "offset" = main THEN seg_ord END IGNORE NULLS) OVER (PARTITION BY source_id, shard_ord ORDER BY page_start, seg_ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nm
+  FROM ab0),
 ab AS (SELECT *, of_ >= 3 AND span <= 2 AND "offset" <> main AND pm IS NOT NULL AND nm IS NOT NULL AS absorbed FROM ab1),
 rc AS (SELECT source_id, shard_ord, pm AS seg_ord, max(page_end) AS reach FROM ab WHERE absorbed GROUP BY 1, 2, 3),
 kp AS (SELECT a.source_id, a.shard_ord, a.seg_ord, a.page_start, greatest(a.page_end, coalesce(r.reach, a.page_end)) AS page_end, a.printed_start, a.n_obs, a."offset", a.confidence, a.printed_end AS pe0, a.coverage AS c0, r.reach
@@ -56,7 +57,8 @@ KIND = f"""{ABS},
 kn AS (SELECT *, CASE WHEN page_end < first_value(page_start) OVER (PARTITION BY source_id, shard_ord ORDER BY span DESC, n_obs DESC, page_start, seg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) THEN 'front' ELSE 'body' END AS kind FROM kept)"""
 
 CONT = f"""{KIND},
-bd AS (SELECT *, lag(shard_ord) OVER w AS prev_shard, lag(page_end) OVER w AS prev_end, lag(printed_end) OVER w AS prev_printed FROM kn WHERE kind = 'body' WINDOW w AS (PARTITION BY source_id ORDER BY shard_ord, page_start, seg_ord)),
+bd AS (SELECT *, lag(shard_ord) OVER w AS prev_shard, lag(page_end) OVER w AS prev_end, lag(printed_end) OVER w AS prev_printed
+  FROM kn WHERE kind = 'body' WINDOW w AS (PARTITION BY source_id ORDER BY shard_ord, page_start, seg_ord)),
 ct AS (SELECT source_id, prev_shard, prev_end, shard_ord, page_start, prev_printed, printed_start AS next_printed, prev_printed + 1 AS expected, printed_start >= prev_printed + 1 AS ok,
   CASE WHEN printed_start = prev_printed + 1 THEN 'continues' WHEN printed_start > prev_printed + 1 THEN 'gap' ELSE 'backwards' END AS note FROM bd WHERE prev_printed IS NOT NULL)"""
 
@@ -96,7 +98,8 @@ def w02(spark, sf):
     return cal.first_on_page(views.mixed_observations(spark, sf), "printed")
 
 
-@query("j03_header_conflicts", f"{FIRST} SELECT p.source_id, p.shard_ord, p.page_idx, p.printed AS page_number, h.printed AS header FROM fo p JOIN fo h USING (source_id, shard_ord, page_idx) WHERE p.kind = 'page_number' AND h.kind = 'header' AND p.printed <> h.printed")
+@query("j03_header_conflicts", f"""{FIRST} SELECT p.source_id, p.shard_ord, p.page_idx, p.printed AS page_number, h.printed AS header
+  FROM fo p JOIN fo h USING (source_id, shard_ord, page_idx) WHERE p.kind = 'page_number' AND h.kind = 'header' AND p.printed <> h.printed""")
 def j03(spark, sf):
     return cal.header_conflicts(cal.first_on_page(views.mixed_observations(spark, sf), "printed"))
 
@@ -165,14 +168,16 @@ def j01(spark, sf):
     return cal.locators(_pages(spark, sf), _calibrated(spark, sf))
 
 
-@query("k08_page_anchors", f"{PAGES} SELECT source_id, shard_ord, page_idx, coalesce('<!-- p=' || locator || ' -->', '<!-- p=pdf-' || (200 * (shard_ord - 1) + page_idx + 1) || ' unmapped -->') AS anchor FROM lc")
+@query("k08_page_anchors", f"""{PAGES} SELECT source_id, shard_ord, page_idx, coalesce('<!-- p=' || locator || ' -->', '<!-- p=pdf-' || (200 * (shard_ord - 1) + page_idx + 1) || ' unmapped -->') AS anchor
+  FROM lc""")
 def anchors(spark, sf):
     located = cal.locators(_pages(spark, sf), _calibrated(spark, sf))
     return located.select("source_id", "shard_ord", "page_idx", cal.anchor("locator", F.expr("200 * (shard_ord - 1) + page_idx + 1")).alias("anchor"))
 
 
 PHYS = f"""{KIND}, wn AS (SELECT s.source_id, u.printed FROM (SELECT DISTINCT source_id FROM v1) s, LATERAL (SELECT unnest(range(1, 301)) AS printed) u),
-pgs AS (SELECT k.source_id, k.shard_ord, k.kind, k.n_obs, k.page_start, k.seg_ord, u.page_idx, u.page_idx + k."offset" AS printed FROM kn k, LATERAL (SELECT unnest(range(k.page_start, k.page_end + 1)) AS page_idx) u),
+pgs AS (SELECT k.source_id, k.shard_ord, k.kind, k.n_obs, k.page_start, k.seg_ord, u.page_idx, u.page_idx + k."offset" AS printed
+  FROM kn k, LATERAL (SELECT unnest(range(k.page_start, k.page_end + 1)) AS page_idx) u),
 ps AS (SELECT DISTINCT ON (source_id, printed) source_id, printed, shard_ord, page_idx FROM pgs ORDER BY source_id, printed, (kind <> 'body'), n_obs DESC, shard_ord, page_start, seg_ord)"""
 
 
@@ -182,7 +187,8 @@ def j02(spark, sf):
     return cal.physical_pages(wanted, _calibrated(spark, sf))
 
 
-@query("c26_locator_collision", f"{PAGES} SELECT source_id, shard_ord, locator, count(*) AS pages, min(page_idx) AS first_page, max(page_idx) AS last_page FROM lc WHERE locator IS NOT NULL GROUP BY ALL HAVING count(*) >= 2")
+@query("c26_locator_collision", f"""{PAGES} SELECT source_id, shard_ord, locator, count(*) AS pages, min(page_idx) AS first_page, max(page_idx) AS last_page
+  FROM lc WHERE locator IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")
 def c26(spark, sf):
     return cal.collisions(cal.locators(_pages(spark, sf), _calibrated(spark, sf)))
 
@@ -190,7 +196,8 @@ def c26(spark, sf):
 DOM = f"""{KIND}, ds AS (SELECT source_id, shard_ord, "offset", sum(n_obs)::BIGINT AS obs, sum(span)::BIGINT AS pages, min(page_start) AS since FROM kn GROUP BY ALL),
 dm AS (SELECT source_id, shard_ord, arg_max("offset", struct_pack(a := obs, b := pages, c := -since)) AS main FROM ds GROUP BY 1, 2),
 ow AS (SELECT k.*, d.main, last_value(CASE WHEN k."offset" = d.main THEN page_end END IGNORE NULLS) OVER (PARTITION BY k.source_id, k.shard_ord ORDER BY page_start, seg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf,
-  first_value(CASE WHEN k."offset" = d.main THEN page_start END IGNORE NULLS) OVER (PARTITION BY k.source_id, k.shard_ord ORDER BY page_start, seg_ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS bh FROM kn k JOIN dm d USING (source_id, shard_ord)),
+  first_value(CASE WHEN k."offset" = d.main THEN page_start END IGNORE NULLS) OVER (PARTITION BY k.source_id, k.shard_ord ORDER BY page_start, seg_ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS bh
+  FROM kn k JOIN dm d USING (source_id, shard_ord)),
 ol AS (SELECT source_id, shard_ord, page_start, page_end, printed_start AS observed, page_start + main AS expected FROM ow WHERE span <= 2 AND "offset" <> main AND page_start - bf <= 4 AND bh - page_end <= 4)"""
 
 
@@ -213,7 +220,8 @@ def c21(spark, sf):
     return out.groupBy("source_id", "shard_ord").agg(F.count("*").alias("pages"), F.min("page_start").alias("first_page")).withColumn("severity", F.lit("high"))
 
 
-@query("c22_short_segment", f"{RAWOL} SELECT s.source_id, s.shard_ord, s.page_start, s.page_end, 'warn' AS severity FROM seg s WHERE span <= 2 AND NOT EXISTS (SELECT 1 FROM ol WHERE ol.source_id = s.source_id AND ol.shard_ord = s.shard_ord AND ol.page_start = s.page_start AND ol.page_end = s.page_end)")
+@query("c22_short_segment", f"""{RAWOL} SELECT s.source_id, s.shard_ord, s.page_start, s.page_end, 'warn' AS severity FROM seg s WHERE span <= 2 AND NOT EXISTS (SELECT 1
+  FROM ol WHERE ol.source_id = s.source_id AND ol.shard_ord = s.shard_ord AND ol.page_start = s.page_start AND ol.page_end = s.page_end)""")
 def c22(spark, sf):
     segs = cal.segments(views.page_observations(spark, sf))
     out = cal.outlier_pages(segs).select("source_id", "shard_ord", "page_start", "page_end")
@@ -236,14 +244,16 @@ def c24(spark, sf):
     return cal.continuity(_calibrated(spark, sf)).filter("not ok").select("source_id", "shard_ord", "page_start", "expected", "next_printed", F.lit("high").alias("severity"))
 
 
-@query("c25_declared_gap", f"{KIND}, gl AS (SELECT *, lag(page_end) OVER (PARTITION BY source_id, shard_ord ORDER BY page_start, seg_ord) AS ap FROM kn) SELECT source_id, shard_ord, ap AS after_page, page_start AS before_page, 'info' AS severity FROM gl WHERE page_start - ap > 1")
+@query("c25_declared_gap", f"""{KIND}, gl AS (SELECT *, lag(page_end) OVER (PARTITION BY source_id, shard_ord ORDER BY page_start, seg_ord) AS ap
+  FROM kn) SELECT source_id, shard_ord, ap AS after_page, page_start AS before_page, 'info' AS severity FROM gl WHERE page_start - ap > 1""")
 def c25(spark, sf):
     return cal.gaps(_calibrated(spark, sf)).select("source_id", "shard_ord", "after_page", "before_page", F.lit("info").alias("severity"))
 
 
 ANCH = f"""{KIND}, an0 AS (SELECT source_id, shard_ord, page_idx, printed + 3 AS printed FROM v1 WHERE event_id % 97 = 0),
 np AS (SELECT source_id, shard_ord, max(page_idx) + 1 AS n_pages FROM v1 GROUP BY 1, 2),
-an AS (SELECT a.*, lead(page_idx) OVER (PARTITION BY source_id, shard_ord ORDER BY page_idx) AS nx, min(page_idx) OVER (PARTITION BY source_id, shard_ord) AS first_, n_pages FROM an0 a JOIN np USING (source_id, shard_ord)),
+an AS (SELECT a.*, lead(page_idx) OVER (PARTITION BY source_id, shard_ord ORDER BY page_idx) AS nx, min(page_idx) OVER (PARTITION BY source_id, shard_ord) AS first_, n_pages
+  FROM an0 a JOIN np USING (source_id, shard_ord)),
 am AS (SELECT *, greatest(page_idx, coalesce(nx - 1, n_pages - 1, page_idx)) AS end_, printed - page_idx AS "offset" FROM an),
 ak AS (SELECT m.source_id, m.shard_ord, m.page_idx,
   arg_min(k.kind, struct_pack(a := k.page_start, b := k.seg_ord)) FILTER (k.page_start <= m.page_idx AND k.page_end >= m.page_idx) AS k1,
@@ -270,7 +280,11 @@ def s06(spark, sf):
     return views.page_observations(spark, sf).groupBy("source_id", "shard_ord").agg((F.max("page_idx") + 1).alias("n_pages"), F.count("*").alias("n_items"))
 
 
-@query("w22_page_offsets", f"WITH {V1}, s AS (SELECT source_id, shard_ord, max(page_idx) + 1 AS n_pages FROM v1 GROUP BY 1, 2) SELECT source_id, shard_ord, n_pages, coalesce(sum(n_pages) OVER (PARTITION BY source_id ORDER BY shard_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pages_before FROM s")
+@query("w22_page_offsets", f"""WITH {V1}, s AS (SELECT source_id, shard_ord, max(page_idx) + 1 AS n_pages
+  FROM v1
+  GROUP BY 1, 2)
+  SELECT source_id, shard_ord, n_pages, coalesce(sum(n_pages) OVER (PARTITION BY source_id ORDER BY shard_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pages_before
+  FROM s""")
 def w22(spark, sf):
     from pyspark.sql import Window
 

@@ -36,7 +36,8 @@ ad AS (SELECT source_id, gid, arg_max(struct_pack(v := v), item).v AS v FROM (
 an AS (SELECT source_id, shard_ord, page_idx, arg_max(struct_pack(v := CASE WHEN action = 'anchor' THEN printed END), item).v AS v FROM cg WHERE action IN ('anchor', 'anchor-clear') GROUP BY 1, 2, 3)"""
 AFTER = """SELECT 'level' AS kind, source_id, key, v::VARCHAR AS value FROM lv WHERE v IS NOT NULL
   UNION ALL SELECT 'level', source_id, '1', '3' FROM cs WHERE NOT EXISTS (SELECT 1 FROM lv WHERE lv.source_id = cs.source_id AND lv.key = '1')
-  UNION ALL SELECT 'deleted', source_id, key, 'true' FROM dl WHERE v UNION ALL SELECT 'deleted', source_id, '2', 'true' FROM cs WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.source_id = cs.source_id AND dl.key = '2')
+  UNION ALL SELECT 'deleted', source_id, key, 'true' FROM dl WHERE v
+  UNION ALL SELECT 'deleted', source_id, '2', 'true' FROM cs WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.source_id = cs.source_id AND dl.key = '2')
   UNION ALL SELECT 'added', source_id, gid::VARCHAR, v FROM ad WHERE v IS NOT NULL
   UNION ALL SELECT 'added', source_id, '3', 'old|2|0' FROM cs WHERE NOT EXISTS (SELECT 1 FROM ad WHERE ad.source_id = cs.source_id AND ad.gid = 3)
   UNION ALL SELECT 'anchor', source_id, shard_ord || ':' || page_idx, v::VARCHAR FROM an WHERE v IS NOT NULL
@@ -122,7 +123,8 @@ def _anchors(spark, sf):
     return table(spark, sf, "documents").selectExpr("doc_id % 20 as source_id", "1 + doc_id % 3 as shard_ord", "doc_id as page_idx", "doc_id + 7 as printed")
 
 
-@query("e05_set_anchors", f"WITH {ANCHORS} SELECT source_id, shard_ord, page_idx, CASE WHEN page_idx % 4 = 0 THEN page_idx + 9 ELSE printed END AS printed FROM ol UNION ALL SELECT source_id, 9, page_idx, 1 FROM ol WHERE page_idx % 4 = 1")
+@query("e05_set_anchors", f"""WITH {ANCHORS} SELECT source_id, shard_ord, page_idx, CASE WHEN page_idx % 4 = 0 THEN page_idx + 9 ELSE printed END AS printed FROM ol
+  UNION ALL SELECT source_id, 9, page_idx, 1 FROM ol WHERE page_idx % 4 = 1""")
 def e05_set(spark, sf):
     old = _anchors(spark, sf)
     new = old.filter("page_idx % 4 = 0").withColumn("printed", F.col("page_idx") + 9).unionByName(old.filter("page_idx % 4 = 1").withColumn("shard_ord", F.lit(9).cast("long")).withColumn("printed", F.lit(1).cast("long")))
@@ -149,7 +151,8 @@ FIELDS = ("evidence", "gid", "key", "level", "offset", "page_idx", "pairs", "pri
 
 
 @query("k09_revision_log", f"""WITH {ITEMS}, fl AS (SELECT *, array_to_string(list_filter([
-    'gid=' || raw_gid, 'key=' || raw_key, 'level=' || level, 'offset=' || off_, 'page_idx=' || page_idx, 'pairs=' || '{{"0": 2, "04": ' || level || '}}', 'printed=' || printed, 'shard=P' || shard_ord, 'title=' || title], lambda x: x IS NOT NULL), '　') AS told FROM ce),
+    'gid=' || raw_gid, 'key=' || raw_key, 'level=' || level, 'offset=' || off_, 'page_idx=' || page_idx, 'pairs=' || '{{"0": 2, "04": ' || level || '}}', 'printed=' || printed, 'shard=P' || shard_ord, 'title=' || title], lambda x: x IS NOT NULL), '　') AS told
+  FROM ce),
 ll AS (SELECT *, CASE WHEN error IS NULL THEN '- `' || action || '` ' || told || chr(10) || '    - 依据：seen ' || item ELSE '- ❌ items[' || item || '] ' || action || '：' || error END AS line FROM fl),
 lg AS (SELECT source_id, count(*) FILTER (error IS NULL) AS applied, count(*) FILTER (error IS NOT NULL) AS failed, bool_or(error IS NULL AND action IN ('anchor', 'anchor-clear')) AS needs_pagecal,
   string_agg(line, chr(10) ORDER BY error IS NOT NULL, item) AS lines FROM ll GROUP BY 1)
@@ -200,7 +203,10 @@ def e14_outcomes(spark, sf):
 now_ AS (SELECT source_id FROM ps WHERE state = 'ready' AND source_id NOT IN (SELECT source_id FROM bad)),
 lw AS (SELECT source_id, key, arg_max(struct_pack(v := v), item).v AS v FROM (
     SELECT source_id, key, item, CASE WHEN action = 'level' THEN level END AS v FROM cg WHERE action IN ('level', 'level-clear', 'delete') AND item % 40 > 36
-    UNION ALL SELECT source_id, u.k, item, u.v FROM cg, LATERAL (SELECT unnest(['0', '4']) AS k, unnest([2::BIGINT, level]) AS v) u WHERE action = 'levels' AND item % 40 > 36) WHERE source_id IN (SELECT source_id FROM now_) GROUP BY 1, 2)
+   
+  UNION ALL SELECT source_id, u.k, item, u.v
+  FROM cg, LATERAL (SELECT unnest(['0', '4']) AS k, unnest([2::BIGINT, level]) AS v) u WHERE action = 'levels' AND item % 40 > 36) WHERE source_id IN (SELECT source_id
+  FROM now_) GROUP BY 1, 2)
 SELECT source_id, key, v AS level FROM lw WHERE v IS NOT NULL UNION ALL SELECT source_id, '1', 3 FROM cs WHERE NOT EXISTS (SELECT 1 FROM lw WHERE lw.source_id = cs.source_id AND lw.key = '1')""")
 def e14_applied(spark, sf):
     items, _, states = _previews(spark, sf)
@@ -210,7 +216,8 @@ def e14_applied(spark, sf):
 
 ROUNDS = """rv AS (SELECT event_id AS job_id, list_extract(['needs_ai_review', 'needs_review', 'needs_ai_review', 'reviewed'], (1 + event_id % 4)::INTEGER) AS stage, event_id % 3 AS rounds, event_id % 10 <> 7 AS fresh,
   CASE WHEN event_id % 5 < 2 THEN 0 ELSE event_id % 5 END AS operations, CASE WHEN event_id % 7 < 4 THEN 0 ELSE 1 END AS anchors, CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS without_evidence, CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS without_scope,
-  CASE WHEN event_id % 31 = 0 THEN 2 ELSE 0 END AS errors, event_id % 6 <> 5 AS apply, event_id % 2 = 0 AS complete, CASE WHEN event_id % 8 = 2 THEN ' ' ELSE 'all read' END AS note, CASE WHEN event_id % 9 = 4 THEN 3 ELSE 0 END AS unresolved, CASE WHEN event_id % 16 = 6 THEN 2 ELSE 0 END AS unread FROM events),
+  CASE WHEN event_id % 31 = 0 THEN 2 ELSE 0 END AS errors, event_id % 6 <> 5 AS apply, event_id % 2 = 0 AS complete, CASE WHEN event_id % 8 = 2 THEN ' ' ELSE 'all read' END AS note, CASE WHEN event_id % 9 = 4 THEN 3 ELSE 0 END AS unresolved, CASE WHEN event_id % 16 = 6 THEN 2 ELSE 0 END AS unread
+  FROM events),
 ro AS (SELECT *, operations + anchors AS changes, complete AND operations + anchors = 0 AND unresolved = 0 AS clean FROM rv),
 rr AS (SELECT *, CASE WHEN stage = 'reviewed' THEN 'wrong stage' WHEN NOT fresh THEN 'stale' WHEN rounds >= 2 AND changes > 0 THEN 'no rounds left' WHEN without_evidence > 0 THEN 'no evidence' WHEN without_scope > 0 THEN 'no scope evidence'
   WHEN errors > 0 THEN 'errors' WHEN NOT apply THEN 'dry run' WHEN complete AND trim(note) = '' THEN 'no review note' WHEN anchors > 0 AND operations > 0 THEN 'anchors applied, read again'
@@ -260,16 +267,22 @@ TABLE_HEAD = "'| 分片 | 类型 | 物理页 range | 纸书页 range | offset |
 
 @query("k08_calibration_reports", f"""{CONT},
 vs AS (SELECT source_id, coalesce(sum(n_obs) FILTER (kind = 'body'), 0) AS o, coalesce(sum(span) FILTER (kind = 'body'), 0) AS s FROM kn GROUP BY 1),
-vb AS (SELECT vs.source_id, o < 5 OR (CASE WHEN s > 0 THEN round_even(o / s, 3) ELSE 0 END) < 0.6 AS weak, coalesce((SELECT count(*) FROM ct WHERE ct.source_id = vs.source_id AND NOT ok), 0) AS breaks FROM vs),
+vb AS (SELECT vs.source_id, o < 5 OR (CASE WHEN s > 0 THEN round_even(o / s, 3) ELSE 0 END) < 0.6 AS weak, coalesce((SELECT count(*)
+  FROM ct WHERE ct.source_id = vs.source_id AND NOT ok), 0) AS breaks FROM vs),
 gp AS (SELECT source_id, shard_ord, lag(page_end) OVER w AS after_page, page_start AS before_page FROM kn WINDOW w AS (PARTITION BY source_id, shard_ord ORDER BY page_start, seg_ord)),
 pf AS (SELECT source_id, shard_ord, page_idx, arg_min(printed, event_id) FILTER (kind = 'page_number') AS p, arg_min(printed, event_id) FILTER (kind = 'header') AS h FROM v1m GROUP BY 1, 2, 3),
 ls AS (SELECT source_id, '# 页码校准报告' || chr(10) || chr(10) || '- 判定：**' || CASE WHEN weak THEN 'degraded' WHEN breaks > 0 THEN 'needs_review' ELSE 'calibrated' END || '** ／ locator_type = `' || CASE WHEN weak THEN 'section_only' ELSE 'paginated' END || '`'
     || chr(10) || chr(10) || '## 区间表' || chr(10) || chr(10) || {TABLE_HEAD} AS line, 0 AS part, 0 AS a, 0 AS b FROM vb
   UNION ALL SELECT source_id, {SEG_LINE}, 1, shard_ord, page_start FROM kn
   UNION ALL SELECT DISTINCT source_id, chr(10) || '## 断点（不填、不外推）' || chr(10), 2, 0, 0 FROM gp WHERE before_page - after_page > 1
-  UNION ALL SELECT source_id, '- P' || shard_ord || ' 物理页 ' || after_page || '→' || before_page || ' 之间漏 ' || (before_page - after_page - 1) || ' 页', 3, shard_ord, after_page FROM gp WHERE before_page - after_page > 1
+ 
+  UNION ALL SELECT source_id, '- P' || shard_ord || ' 物理页 ' || after_page || '→' || before_page || ' 之间漏 ' || (before_page - after_page - 1) || ' 页', 3, shard_ord, after_page
+  FROM gp WHERE before_page - after_page > 1
   UNION ALL SELECT DISTINCT source_id, chr(10) || '## 跨分片接续' || chr(10) || chr(10) || '| 从 | 到 | 期望 | 实际 | 结论 |' || chr(10) || '| --- | --- | --- | --- | --- |', 4, 0, 0 FROM ct
-  UNION ALL SELECT source_id, '| P' || prev_shard || ' | P' || shard_ord || ' | ' || expected || ' | ' || next_printed || ' | ' || CASE WHEN ok THEN '✅' ELSE '⚠️' END || ' ' || note || ' |', 5, shard_ord, page_start FROM ct
+ 
+  UNION ALL
+  SELECT source_id, '| P' || prev_shard || ' | P' || shard_ord || ' | ' || expected || ' | ' || next_printed || ' | ' || CASE WHEN ok THEN '✅' ELSE '⚠️' END || ' ' || note || ' |', 5, shard_ord, page_start
+  FROM ct
   UNION ALL SELECT DISTINCT source_id, chr(10) || '## 页眉与页码冲突（已以 page_number 为准）' || chr(10), 6, 0, 0 FROM pf WHERE p <> h
   UNION ALL SELECT source_id, '- P' || shard_ord || ' 物理页 ' || page_idx || '：page_number=' || p || '，header=' || h, 7, shard_ord, page_idx FROM pf WHERE p <> h)
 SELECT source_id, string_agg(line, chr(10) ORDER BY part, a, b, line) AS report FROM ls GROUP BY 1""")
@@ -284,7 +297,10 @@ def k08_calibration(spark, sf):
 @query("k08_outline_reports", f"""{RTREE}, dp AS (SELECT source_id, seq, title, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY source_id) AS n FROM tr WHERE seq % 3 = 1),
 ls AS (SELECT source_id, '# 目录索引：' || source_id || chr(10) || '- 节点总数：' || count(*) || chr(10) || chr(10) || '## 层级统计（选切分深度用）' || chr(10) || chr(10)
     || '| 层级 | 节点数 | 若切到本层=文件数 | 总字数 | 平均字数 | 最小 | 最大 | 空节点 |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- | --- |' AS line, 0 AS part, 0 AS a FROM tr GROUP BY 1
-  UNION ALL SELECT source_id, '| L' || level || ' | ' || count(*) || ' | **' || count(*) || '** | ' || sum(chars)::BIGINT || ' | ' || floor(sum(chars) / count(*))::BIGINT || ' | ' || min(chars) || ' | ' || max(chars) || ' | ' || count(*) FILTER (blocks = 0) || ' |', 1, level FROM tr GROUP BY source_id, level
+ 
+  UNION ALL
+  SELECT source_id, '| L' || level || ' | ' || count(*) || ' | **' || count(*) || '** | ' || sum(chars)::BIGINT || ' | ' || floor(sum(chars) / count(*))::BIGINT || ' | ' || min(chars) || ' | ' || max(chars) || ' | ' || count(*) FILTER (blocks = 0) || ' |', 1, level
+  FROM tr GROUP BY source_id, level
   UNION ALL SELECT DISTINCT source_id, chr(10) || '## 目录树' || chr(10), 2, 0 FROM tr
   UNION ALL SELECT source_id, repeat('    ', (depth - 1)::INTEGER) || '- `' || nid || '` **' || title || '** 〔chapter｜P1p' || page_idx || '｜' || chars || '字｜' || blocks || '块〕', 3, seq FROM tr
   UNION ALL SELECT DISTINCT source_id, chr(10) || '## 被丢弃的候选标题' || chr(10) || chr(10) || '| 分片 | 物理页 | 文本 | 原因 |' || chr(10) || '| --- | --- | --- | --- |', 4, 0 FROM dp
@@ -301,10 +317,13 @@ def k08_outline(spark, sf):
 fi AS (SELECT *, upper(left("check", 4)) || '-' || lpad(row_number() OVER (PARTITION BY source_id ORDER BY "check", seq)::VARCHAR, 3, '0') AS id FROM af),
 fo AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, id) AS place FROM fi),
 sv AS (SELECT unnest(['high', 'warn', 'info']) AS s, unnest([0, 1, 2]) AS k, unnest(['🔴 必须处理', '🟡 建议核对', '⚪ 现状记录']) AS t),
-ls AS (SELECT source_id, '# 目录校核：' || source_id || chr(10) || '- 判定：**' || CASE WHEN high > 0 THEN 'fail' WHEN warn > 0 THEN 'warn' ELSE 'pass' END || '** ｜ 🔴 ' || high || ' 🟡 ' || warn || ' ⚪ ' || info AS line, 0 AS part, 0 AS a FROM sm
+ls AS (SELECT source_id, '# 目录校核：' || source_id || chr(10) || '- 判定：**' || CASE WHEN high > 0 THEN 'fail' WHEN warn > 0 THEN 'warn' ELSE 'pass' END || '** ｜ 🔴 ' || high || ' 🟡 ' || warn || ' ⚪ ' || info AS line, 0 AS part, 0 AS a
+  FROM sm
   UNION ALL SELECT source_id, chr(10) || '## ' || t || '（' || CASE s WHEN 'high' THEN high WHEN 'warn' THEN warn ELSE info END || '）', 10 * k + 2, 0 FROM sm, sv
   UNION ALL SELECT source_id, '- ✅ 无', 10 * k + 3, 0 FROM sm, sv WHERE CASE s WHEN 'high' THEN high WHEN 'warn' THEN warn ELSE info END = 0
-  UNION ALL SELECT source_id, '- **' || id || '** `' || "check" || '`' || CASE WHEN coalesce(detail, '') <> '' THEN chr(10) || '    - ' || detail ELSE '' END, 10 * k + 4, place FROM fo JOIN sv ON s = severity)
+ 
+  UNION ALL SELECT source_id, '- **' || id || '** `' || "check" || '`' || CASE WHEN coalesce(detail, '') <> '' THEN chr(10) || '    - ' || detail ELSE '' END, 10 * k + 4, place
+  FROM fo JOIN sv ON s = severity)
 SELECT source_id, string_agg(line, chr(10) ORDER BY part, a, line) AS report FROM ls GROUP BY 1""")
 def k08_audit(spark, sf):
     f = audit.page_findings(paged(spark, sf))
@@ -315,7 +334,8 @@ def k08_audit(spark, sf):
   UNION ALL SELECT source_id, 'G3', '页码一致性', CASE WHEN source_id % 4 = 0 THEN 'warn' WHEN source_id % 9 = 1 THEN 'skip' ELSE 'pass' END, NULL FROM (SELECT DISTINCT source_id FROM v2)),
 vd AS (SELECT source_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS verdict FROM gt GROUP BY 1),
 mz AS (SELECT unnest(['pass', 'warn', 'fail', 'skip']) AS s, unnest(['✅', '⚠️', '❌', '➖']) AS m),
-ls AS (SELECT source_id, '# 校验报告：' || source_id || chr(10) || '- 总判定：**' || m || ' ' || verdict || '**' || chr(10) || chr(10) || '| 闸门 | 名称 | 结果 | 说明 |' || chr(10) || '| --- | --- | --- | --- |' AS line, '' AS gate FROM vd JOIN mz ON s = verdict
+ls AS (SELECT source_id, '# 校验报告：' || source_id || chr(10) || '- 总判定：**' || m || ' ' || verdict || '**' || chr(10) || chr(10) || '| 闸门 | 名称 | 结果 | 说明 |' || chr(10) || '| --- | --- | --- | --- |' AS line, '' AS gate
+  FROM vd JOIN mz ON s = verdict
   UNION ALL SELECT source_id, '| ' || gate || ' | ' || name || ' | ' || m || ' ' || status || ' | ' || coalesce(note, '') || ' |', gate FROM gt JOIN mz ON s = status)
 SELECT source_id, string_agg(line, chr(10) ORDER BY gate) AS report FROM ls GROUP BY 1""")
 def k08_verify(spark, sf):

@@ -58,7 +58,8 @@ def p02(spark, sf):
     return views.blocks(spark, sf).withColumn("text", t).select("source_id", "gid", text.is_noise_text("text").alias("noise"))
 
 
-@query("p03_plausible_heading", f"WITH {V2}, x AS (SELECT source_id, gid, {STRIP('text')} AS t FROM v2) SELECT source_id, gid, t <> '' AND length(t) <= 60 AND right(t, 1) NOT IN ('。', '，', '；', ',', ';', '！', '？') AND NOT contains(t, chr(10)) AS plausible FROM x")
+@query("p03_plausible_heading", f"""WITH {V2}, x AS (SELECT source_id, gid, {STRIP('text')} AS t
+  FROM v2) SELECT source_id, gid, t <> '' AND length(t) <= 60 AND right(t, 1) NOT IN ('。', '，', '；', ',', ';', '！', '？') AND NOT contains(t, chr(10)) AS plausible FROM x""")
 def p03(spark, sf):
     return views.blocks(spark, sf).select("source_id", "gid", text.is_plausible_heading("text").alias("plausible"))
 
@@ -94,7 +95,8 @@ def a01(spark, sf):
 RUN = f"""rk0 AS (SELECT source_id, shard_ord, page_idx, {STRIP('text')} AS t FROM v2),
 rk1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, {q('^[' + text.SPACE + '0-9.·\\-—]{0,6}')}, ''), {q(W + '+')}, ' ', 'g'), '^[ .·\\-—]+|[ .·\\-—]+$', '', 'g') AS k0 FROM rk0),
 rk AS (SELECT source_id, shard_ord, page_idx, CASE WHEN t <> '' AND length(t) <= 60 AND NOT contains(t, chr(10)) AND length(k0) >= 4
-  AND NOT ({rx('t', num.PART, num.CHAPTER, num.SECTION, num.SUBSECTION, num.SUBSUBSECTION, num.ITEM, num.OPENING, num.CLOSING, num.FRONT, num.BACK)} OR t IN ({', '.join(map(q, text.TOC_WORDS))})) THEN k0 END AS key FROM rk1),
+  AND NOT ({rx('t', num.PART, num.CHAPTER, num.SECTION, num.SUBSECTION, num.SUBSUBSECTION, num.ITEM, num.OPENING, num.CLOSING, num.FRONT, num.BACK)} OR t IN ({', '.join(map(q, text.TOC_WORDS))})) THEN k0 END AS key
+  FROM rk1),
 rn AS (SELECT source_id, key, count(DISTINCT (shard_ord, page_idx)) AS pages FROM rk WHERE key IS NOT NULL GROUP BY 1, 2),
 rp AS (SELECT source_id, count(DISTINCT (shard_ord, page_idx)) AS of_ FROM v2 GROUP BY 1),
 run AS (SELECT source_id, key, pages FROM rn JOIN rp USING (source_id) WHERE pages >= greatest(5, floor(of_ * 0.08)))"""
@@ -157,19 +159,23 @@ def f05(spark, sf):
     return o.select("source_id", "seq", "title", "x.tier", F.col("x.n").cast("long").alias("n"))
 
 
-@query("f06_numerals", "SELECT n, CASE WHEN n < 10 THEN substr('零一二三四五六七八九', n + 1, 1) WHEN n < 20 THEN '十' || CASE WHEN n = 10 THEN '' ELSE substr('零一二三四五六七八九', n % 10 + 1, 1) END ELSE substr('零一二三四五六七八九', n // 10 + 1, 1) || '十' || CASE WHEN n % 10 = 0 THEN '' ELSE substr('零一二三四五六七八九', n % 10 + 1, 1) END END AS zh, n AS value FROM (SELECT unnest(range(1, 100)) AS n)")
+@query("f06_numerals", """SELECT n, CASE WHEN n < 10 THEN substr('零一二三四五六七八九', n + 1, 1) WHEN n < 20 THEN '十' || CASE WHEN n = 10 THEN '' ELSE substr('零一二三四五六七八九', n % 10 + 1, 1) END ELSE substr('零一二三四五六七八九', n // 10 + 1, 1) || '十' || CASE WHEN n % 10 = 0 THEN '' ELSE substr('零一二三四五六七八九', n % 10 + 1, 1) END END AS zh, n AS value
+  FROM (SELECT unnest(range(1, 100)) AS n)""")
 def f06(spark, sf):
     r = spark.range(1, 100).select(F.col("id").alias("n"), num.numeral(F.col("id").cast("int")).alias("zh"))
     return r.withColumn("value", num.numeral_value("zh").cast("long"))
 
 
-@query("f07_printed_numbers", f"WITH {V3}, {TIER} SELECT source_id, seq, CASE tier WHEN 'part' THEN '第' || raw || '部分' WHEN 'chapter' THEN '第' || raw || '章' WHEN 'sec' THEN '第' || raw || '节' WHEN 'dun' THEN raw || '、' WHEN 'paren_zh' THEN '（' || raw || '）' WHEN 'paren_ar' THEN '（' || raw || '）' ELSE raw || '. ' END AS printed FROM nt")
+@query("f07_printed_numbers", f"""WITH {V3}, {TIER}
+  SELECT source_id, seq, CASE tier WHEN 'part' THEN '第' || raw || '部分' WHEN 'chapter' THEN '第' || raw || '章' WHEN 'sec' THEN '第' || raw || '节' WHEN 'dun' THEN raw || '、' WHEN 'paren_zh' THEN '（' || raw || '）' WHEN 'paren_ar' THEN '（' || raw || '）' ELSE raw || '. ' END AS printed
+  FROM nt""")
 def f07(spark, sf):
     o = views.outline(spark, sf).withColumn("x", num.tier("title"))
     return o.select("source_id", "seq", num.printed_number("x.tier", F.col("x.n")).alias("printed"))
 
 
-@query("f08_roman", "SELECT n, CASE WHEN n <= 0 THEN '?' ELSE repeat('m', (n // 1000)::INTEGER) || list_extract(['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'], (n % 1000 // 100 + 1)::INTEGER) || list_extract(['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'], (n % 100 // 10 + 1)::INTEGER) || list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], (n % 10 + 1)::INTEGER) END AS roman FROM (SELECT unnest(range(0, 3000)) AS n)")
+@query("f08_roman", """SELECT n, CASE WHEN n <= 0 THEN '?' ELSE repeat('m', (n // 1000)::INTEGER) || list_extract(['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'], (n % 1000 // 100 + 1)::INTEGER) || list_extract(['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'], (n % 100 // 10 + 1)::INTEGER) || list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], (n % 10 + 1)::INTEGER) END AS roman
+  FROM (SELECT unnest(range(0, 3000)) AS n)""")
 def f08(spark, sf):
     return spark.range(3000).select(F.col("id").alias("n"), num.roman("id").alias("roman"))
 
@@ -207,12 +213,17 @@ def f09(spark, sf):
     return b.groupBy("source_id", "shard_ord", "page_idx", "key").agg(F.count("*").alias("lines"))
 
 
-@query("f12_authors", f"WITH {V2}, x AS (SELECT source_id, gid, {STRIP('text')} AS t FROM v2), y AS (SELECT *, length(regexp_replace(t, {q(W + '+')}, '', 'g')) AS n FROM x) SELECT source_id, gid, t = '' OR n <= 4 OR ((contains(t, ' ') OR contains(t, '　') OR ends_with(t, '等')) AND n <= 20) AS authors FROM y")
+@query("f12_authors", f"""WITH {V2}, x AS (SELECT source_id, gid, {STRIP('text')} AS t FROM v2),
+y AS (SELECT *, length(regexp_replace(t, {q(W + '+')}, '', 'g')) AS n
+  FROM x) SELECT source_id, gid, t = '' OR n <= 4 OR ((contains(t, ' ') OR contains(t, '　') OR ends_with(t, '等')) AND n <= 20) AS authors FROM y""")
 def f12(spark, sf):
     return views.blocks(spark, sf).select("source_id", "gid", text.looks_like_authors("text").alias("authors"))
 
 
-@query("f14_page_numbers", "WITH x AS (SELECT doc_id, ' ·' || translate(doc_id::VARCHAR, '0123456789', CASE WHEN doc_id % 2 = 0 THEN '０１２３４５６７８９' ELSE '0123456789' END) || CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN '00' ELSE ' — ' END AS s FROM documents), y AS (SELECT doc_id, regexp_replace(translate(s, '０１２３４５６７８９', '0123456789'), '^[ .·\\-—]+|[ .·\\-—]+$', '', 'g') AS t FROM x) SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]{1,4}$') THEN t::BIGINT END AS n FROM y")
+@query("f14_page_numbers", """WITH x AS (SELECT doc_id, ' ·' || translate(doc_id::VARCHAR, '0123456789', CASE WHEN doc_id % 2 = 0 THEN '０１２３４５６７８９' ELSE '0123456789' END) || CASE doc_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN '00' ELSE ' — ' END AS s
+  FROM documents),
+y AS (SELECT doc_id, regexp_replace(translate(s, '０１２３４５６７８９', '0123456789'), '^[ .·\\-—]+|[ .·\\-—]+$', '', 'g') AS t
+  FROM x) SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]{1,4}$') THEN t::BIGINT END AS n FROM y""")
 def f14(spark, sf):
     from quire.session import table
 
@@ -221,26 +232,33 @@ def f14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.page_number(s).cast("long").alias("n"))
 
 
-@query("f15_header_numbers", f"WITH {V3}, x AS (SELECT source_id, seq, list_extract(['序言', '附录 ', '前言·', '正文', '索引：'], (1 + seq % 5)::INTEGER) || number AS s FROM v3) SELECT source_id, seq, CASE WHEN {rx('s', text.NUMBERED_HEADER)} THEN regexp_extract(s, {q(text.NUMBERED_HEADER)}, 2)::BIGINT END AS n FROM x")
+@query("f15_header_numbers", f"""WITH {V3}, x AS (SELECT source_id, seq, list_extract(['序言', '附录 ', '前言·', '正文', '索引：'], (1 + seq % 5)::INTEGER) || number AS s
+  FROM v3) SELECT source_id, seq, CASE WHEN {rx('s', text.NUMBERED_HEADER)} THEN regexp_extract(s, {q(text.NUMBERED_HEADER)}, 2)::BIGINT END AS n FROM x""")
 def f15(spark, sf):
     head = F.element_at(F.array(*map(F.lit, ("序言", "附录 ", "前言·", "正文", "索引："))), (1 + F.col("seq") % 5).cast("int"))
     return views.outline(spark, sf).select("source_id", "seq", text.header_number(F.concat(head, F.col("number"))).cast("long").alias("n"))
 
 
-@query("f16_locator_parts", f"WITH {V3}, x AS (SELECT source_id, seq, CASE seq % 4 WHEN 0 THEN 'front-' || number WHEN 1 THEN number::VARCHAR WHEN 2 THEN 'front-' || number || '-P1-s' || seq END AS loc FROM v3) SELECT source_id, seq, CASE WHEN loc LIKE 'front-%' THEN 1 WHEN loc IS NULL THEN 2 ELSE 0 END AS zone, CASE WHEN loc LIKE 'front-%' THEN split_part(loc[7:], '-', 1)::BIGINT ELSE loc::BIGINT END AS n FROM x")
+@query("f16_locator_parts", f"""WITH {V3}, x AS (SELECT source_id, seq, CASE seq % 4 WHEN 0 THEN 'front-' || number WHEN 1 THEN number::VARCHAR WHEN 2 THEN 'front-' || number || '-P1-s' || seq END AS loc
+  FROM v3)
+  SELECT source_id, seq, CASE WHEN loc LIKE 'front-%' THEN 1 WHEN loc IS NULL THEN 2 ELSE 0 END AS zone, CASE WHEN loc LIKE 'front-%' THEN split_part(loc[7:], '-', 1)::BIGINT ELSE loc::BIGINT END AS n
+  FROM x""")
 def f16(spark, sf):
     loc = F.expr("case seq % 4 when 0 then concat('front-', number) when 1 then cast(number as string) when 2 then concat('front-', number, '-P1-s', seq) end")
     o = views.outline(spark, sf).withColumn("loc", loc).withColumn("p", num.locator_parts("loc"))
     return o.select("source_id", "seq", F.col("p.zone").alias("zone"), F.col("p.n").cast("long").alias("n"))
 
 
-@query("f17_noisy_entries", f"WITH {V3}, x AS (SELECT source_id, seq, title || list_extract(['', '… …', '...', '·· 12', '.'], (1 + number % 5)::INTEGER) AS s FROM v3) SELECT source_id, seq, regexp_matches(s, {q('([.．·…]' + W + '*){2,}[0-9]*' + W + '*$')}) AS noisy FROM x")
+@query("f17_noisy_entries", f"""WITH {V3}, x AS (SELECT source_id, seq, title || list_extract(['', '… …', '...', '·· 12', '.'], (1 + number % 5)::INTEGER) AS s
+  FROM v3) SELECT source_id, seq, regexp_matches(s, {q('([.．·…]' + W + '*){2,}[0-9]*' + W + '*$')}) AS noisy FROM x""")
 def f17(spark, sf):
     tail = F.element_at(F.array(*map(F.lit, ("", "… …", "...", "·· 12", "."))), (1 + F.col("number") % 5).cast("int"))
     return views.outline(spark, sf).select("source_id", "seq", text.is_noisy_entry(F.concat("title", tail)).alias("noisy"))
 
 
-@query("f21_search_keys", f"WITH {V2} SELECT source_id, gid, sha256(regexp_replace(text, {q(W + '+')}, '', 'g')) AS verify_key, translate(regexp_replace('第１２ ' || gid, {q(W + '+')}, '', 'g'), '０１２３４５６７８９', '0123456789') AS grep_key FROM v2")
+@query("f21_search_keys", f"""WITH {V2}
+  SELECT source_id, gid, sha256(regexp_replace(text, {q(W + '+')}, '', 'g')) AS verify_key, translate(regexp_replace('第１２ ' || gid, {q(W + '+')}, '', 'g'), '０１２３４５６７８９', '0123456789') AS grep_key
+  FROM v2""")
 def f21(spark, sf):
     return views.blocks(spark, sf).select("source_id", "gid", F.sha2(text.squeeze("text"), 256).alias("verify_key"), text.search_key(F.concat(F.lit("第１２ "), F.col("gid"))).alias("grep_key"))
 
@@ -250,7 +268,8 @@ def f24(spark, sf):
     return views.blocks(spark, sf).select("source_id", "gid", F.array_join(text.ocr_numbers("text"), ",").alias("numbers"))
 
 
-@query("f27_trimmed", f"WITH {V2}, x AS (SELECT source_id, gid, {STRIP('regexp_replace(text, ' + q(W + '+') + ', chr(32), chr(103))')} AS t FROM v2) SELECT source_id, gid, CASE WHEN length(t) <= 40 THEN t ELSE left(t, 39) || '…' END AS short FROM x")
+@query("f27_trimmed", f"""WITH {V2}, x AS (SELECT source_id, gid, {STRIP('regexp_replace(text, ' + q(W + '+') + ', chr(32), chr(103))')} AS t
+  FROM v2) SELECT source_id, gid, CASE WHEN length(t) <= 40 THEN t ELSE left(t, 39) || '…' END AS short FROM x""")
 def f27(spark, sf):
     return views.blocks(spark, sf).select("source_id", "gid", text.trimmed("text", 40).alias("short"))
 
@@ -263,7 +282,8 @@ def f30(spark, sf):
     return table(spark, sf, "documents").select("doc_id", d.alias("sha256"), F.substring(d, 1, 12).alias("short"))
 
 
-@query("s05_heading_levels", f"WITH {V3}, x AS (SELECT source_id, seq, CASE seq % 5 WHEN 0 THEN ' ' || level WHEN 1 THEN '-' || level WHEN 2 THEN 'h' || level WHEN 3 THEN '' ELSE level || '.0' END AS s FROM v3) SELECT source_id, seq, CASE WHEN regexp_matches(trim(s), '^-?[0-9]+$') THEN trim(s)::BIGINT END AS level FROM x")
+@query("s05_heading_levels", f"""WITH {V3}, x AS (SELECT source_id, seq, CASE seq % 5 WHEN 0 THEN ' ' || level WHEN 1 THEN '-' || level WHEN 2 THEN 'h' || level WHEN 3 THEN '' ELSE level || '.0' END AS s
+  FROM v3) SELECT source_id, seq, CASE WHEN regexp_matches(trim(s), '^-?[0-9]+$') THEN trim(s)::BIGINT END AS level FROM x""")
 def s05(spark, sf):
     s = F.expr("case seq % 5 when 0 then concat(' ', level) when 1 then concat('-', level) when 2 then concat('h', level) when 3 then '' else concat(level, '.0') end")
     return views.outline(spark, sf).select("source_id", "seq", text.heading_level(s).cast("long").alias("level"))
@@ -275,7 +295,9 @@ TREE = f"""{V3}, pr AS (SELECT a.source_id, a.seq, max(b.seq) AS parent FROM v3
 nd AS (SELECT v.*, p.parent FROM v3 v JOIN pr p USING (source_id, seq)),
 od AS (SELECT *, row_number() OVER (PARTITION BY source_id, parent ORDER BY seq) AS ordinal FROM nd),
 tr AS (SELECT source_id, seq, parent, title, level, ordinal, ordinal::VARCHAR AS nid, 1::BIGINT AS depth, ''::VARCHAR AS crumbs, page_idx, number, chars, blocks, tier_no FROM od WHERE parent IS NULL
-  UNION ALL SELECT o.source_id, o.seq, o.parent, o.title, o.level, o.ordinal, t.nid || '.' || o.ordinal, t.depth + 1, CASE WHEN t.crumbs = '' THEN t.title ELSE t.crumbs || ' › ' || t.title END, o.page_idx, o.number, o.chars, o.blocks, o.tier_no
+ 
+  UNION ALL
+  SELECT o.source_id, o.seq, o.parent, o.title, o.level, o.ordinal, t.nid || '.' || o.ordinal, t.depth + 1, CASE WHEN t.crumbs = '' THEN t.title ELSE t.crumbs || ' › ' || t.title END, o.page_idx, o.number, o.chars, o.blocks, o.tier_no
   FROM od o JOIN tr t ON t.source_id = o.source_id AND t.seq = o.parent)"""
 RTREE = f"WITH RECURSIVE {TREE}"
 
@@ -319,7 +341,9 @@ def j05(spark, sf):
     return out.with_parents(views.outline(spark, sf)).select("source_id", "seq", F.explode("ancestors").alias("ancestor"))
 
 
-@query("a05_level_stats", f"WITH {V3} SELECT source_id, level, count(*) AS nodes, count(*) AS files_if_split, sum(chars)::BIGINT AS chars, min(chars) AS min_chars, max(chars) AS max_chars, count(*) FILTER (blocks = 0) AS empty, floor(sum(chars) / count(*))::BIGINT AS avg_chars FROM v3 GROUP BY 1, 2")
+@query("a05_level_stats", f"""WITH {V3}
+  SELECT source_id, level, count(*) AS nodes, count(*) AS files_if_split, sum(chars)::BIGINT AS chars, min(chars) AS min_chars, max(chars) AS max_chars, count(*) FILTER (blocks = 0) AS empty, floor(sum(chars) / count(*))::BIGINT AS avg_chars
+  FROM v3 GROUP BY 1, 2""")
 def a05(spark, sf):
     return out.level_stats(views.outline(spark, sf))
 
@@ -347,7 +371,8 @@ def p11(spark, sf):
     return rows.select("source_id", n.alias("seq"), "nid", "depth", "title", F.col("n_chars").alias("chars"), (F.col("n_chars") - F.coalesce("below", F.lit(0))).alias("own_chars"))
 
 
-BRK = f"{V2}, bk AS (SELECT source_id, gid, 0::BIGINT AS off_, gid::VARCHAR AS key FROM v2 WHERE type = 'text' AND text_level IS NOT NULL), ow AS (SELECT v.*, b.key FROM v2 v ASOF LEFT JOIN bk b ON v.source_id = b.source_id AND v.gid >= b.gid)"
+BRK = f"""{V2}, bk AS (SELECT source_id, gid, 0::BIGINT AS off_, gid::VARCHAR AS key FROM v2 WHERE type = 'text' AND text_level IS NOT NULL),
+ow AS (SELECT v.*, b.key FROM v2 v ASOF LEFT JOIN bk b ON v.source_id = b.source_id AND v.gid >= b.gid)"""
 
 
 def owned(spark, sf):
@@ -361,7 +386,7 @@ def j04(spark, sf):
     return owned(spark, sf).select("source_id", "gid", "key")
 
 
-@query("t09_own_content", f"WITH {BRK} SELECT source_id, key, count(*) AS blocks, sum(length(text))::BIGINT AS chars FROM ow WHERE {TYPE_IN(text.CONTENT_TYPES)} AND {STRIP('text')} <> '' GROUP BY 1, 2")
+@query("t09_own_content", f"""WITH {BRK} SELECT source_id, key, count(*) AS blocks, sum(length(text))::BIGINT AS chars FROM ow WHERE {TYPE_IN(text.CONTENT_TYPES)} AND {STRIP('text')} <> '' GROUP BY 1, 2""")
 def t09(spark, sf):
     return out.own_content(owned(spark, sf))
 
@@ -372,7 +397,8 @@ def t12(spark, sf):
     return b.groupBy("source_id").agg(F.min("gid").alias("first_heading"), (F.min("gid") > 0).alias("needs_front"))
 
 
-@query("w24_key_suffixes", f"WITH {V3}, x AS (SELECT source_id, seq, number::VARCHAR AS key, row_number() OVER (PARTITION BY source_id, number ORDER BY seq) AS k FROM v3) SELECT source_id, seq, CASE WHEN k > 1 THEN key || '#' || (seq - 1) ELSE key END AS key FROM x")
+@query("w24_key_suffixes", f"""WITH {V3}, x AS (SELECT source_id, seq, number::VARCHAR AS key, row_number() OVER (PARTITION BY source_id, number ORDER BY seq) AS k
+  FROM v3) SELECT source_id, seq, CASE WHEN k > 1 THEN key || '#' || (seq - 1) ELSE key END AS key FROM x""")
 def w24(spark, sf):
     k = F.row_number().over(Window.partitionBy("source_id", "number").orderBy("seq"))
     key = F.col("number").cast("string")
@@ -382,9 +408,12 @@ def w24(spark, sf):
 @query("t02_heading_candidates", f"""WITH {V2}, {RUN}, {TOCL}, bz AS (SELECT source_id, arg_max(struct_pack(s := shard_ord, p := page_idx), struct_pack(a := lines, b := -first_gid)) AS st FROM tc WHERE lines >= 3 GROUP BY 1),
 cd AS (SELECT v.*, {STRIP('text')} AS t FROM v2 v WHERE type = 'text' AND coalesce(text_level, 0) <> 0),
 ck AS (SELECT c.*, r.key IS NOT NULL AS runs, b.st, f.source_id IS NOT NULL AS figure FROM cd c LEFT JOIN bz b USING (source_id)
-  LEFT JOIN (SELECT DISTINCT source_id, shard_ord, page_idx FROM (SELECT *, {STRIP('text')} AS t FROM v2 WHERE type = 'text') WHERE {rx('t', text.FIGURE_CAPTION)}) f USING (source_id, shard_ord, page_idx)
+  LEFT JOIN (SELECT DISTINCT source_id, shard_ord, page_idx FROM (SELECT *, {STRIP('text')} AS t
+  FROM v2 WHERE type = 'text') WHERE {rx('t', text.FIGURE_CAPTION)}) f USING (source_id, shard_ord, page_idx)
+ 
   LEFT JOIN run r ON r.source_id = c.source_id AND r.key = regexp_replace(regexp_replace(regexp_replace(c.t, {q('^[' + text.SPACE + '0-9.·\\-—]{0,6}')}, ''), {q(W + '+')}, ' ', 'g'), '^[ .·\\-—]+|[ .·\\-—]+$', '', 'g')),
-dr AS (SELECT *, CASE WHEN t = '' OR length(t) > 60 OR right(t, 1) IN ('。', '，', '；', ',', ';', '！', '？') THEN 'implausible' WHEN runs OR ({CLASSIFY}) IS NULL THEN 'noise' END AS drop_reason FROM ck WHERE st IS NULL)
+dr AS (SELECT *, CASE WHEN t = '' OR length(t) > 60 OR right(t, 1) IN ('。', '，', '；', ',', ';', '！', '？') THEN 'implausible' WHEN runs OR ({CLASSIFY}) IS NULL THEN 'noise' END AS drop_reason
+  FROM ck WHERE st IS NULL)
 SELECT source_id, gid, CASE WHEN drop_reason IS NULL THEN {CLASSIFY} END AS marker, drop_reason FROM dr""")
 def t02(spark, sf):
     b = views.blocks(spark, sf)
@@ -407,7 +436,8 @@ def toc_lines_view(spark, sf):
 PN = out.TOC_PAGE_NUMBER.replace(r"\z", "$").replace("\\u3000", "　")
 TOCE = f"""{TOCV}, te0 AS (SELECT *, {rx('line', num.PART)} AS part, regexp_matches(line, {q(PN)}) AS numbered FROM tv),
 te1 AS (SELECT *, lag(CASE WHEN NOT part AND NOT numbered THEN line END) OVER (PARTITION BY source_id ORDER BY ord) AS pending FROM te0),
-te2 AS (SELECT *, {STRIP("CASE WHEN regexp_matches(line, '[.．·…]{2,}') THEN regexp_replace(line, '[.．·…]{2,}.*$', '') ELSE regexp_replace(line, " + q(PN) + ", '') END")} AS head FROM te1 WHERE part OR numbered),
+te2 AS (SELECT *, {STRIP("CASE WHEN regexp_matches(line, '[.．·…]{2,}') THEN regexp_replace(line, '[.．·…]{2,}.*$', '') ELSE regexp_replace(line, " + q(PN) + ", '') END")} AS head
+  FROM te1 WHERE part OR numbered),
 te AS (SELECT source_id, ord, CASE WHEN part THEN 'part' ELSE 'chapter' END AS kind, CASE WHEN part THEN line ELSE CASE WHEN head = '' OR length(head) <= 4 THEN coalesce(nullif(pending, ''), head) ELSE head END END AS title, CASE WHEN NOT part THEN regexp_extract(line, {q(PN)}, 2)::BIGINT END AS printed FROM te2)"""
 
 

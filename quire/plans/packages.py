@@ -15,7 +15,8 @@ from quire.sources import epub, markup, pdf, projects, standalone, views
 # --- projects --------------------------------------------------------------------------
 
 FILES = """fl AS (SELECT 'root/' || CASE WHEN doc_id % 40 < 9 THEN 'book' ELSE 'tome' END || '_P' || (doc_id % 40) AS dir,
-  CASE doc_id % 4 WHEN 0 THEN 'a' || doc_id || '_content_list.json' WHEN 1 THEN 'b' || doc_id || '_content_list_v2.json' WHEN 2 THEN 'layout.json' ELSE 'c' || doc_id || '_content_list.json.bak' END AS name FROM documents),
+  CASE doc_id % 4 WHEN 0 THEN 'a' || doc_id || '_content_list.json' WHEN 1 THEN 'b' || doc_id || '_content_list_v2.json' WHEN 2 THEN 'layout.json' ELSE 'c' || doc_id || '_content_list.json.bak' END AS name
+  FROM documents),
 ch AS (SELECT dir, name FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY ends_with(name, '_v2.json'), name) AS k FROM fl WHERE ends_with(name, 'content_list.json') OR ends_with(name, 'content_list_v2.json')) WHERE k = 1)"""
 
 
@@ -221,13 +222,15 @@ def k06(spark, sf):
     return books.select("source_id", "sections", "images").join(bad, "source_id", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
 
 
-@query("s09_contents_of_books", "SELECT doc_id % 50 AS source_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) - 1 AS ord, 'Section ' || doc_id AS name, 'ch' || lpad((row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id))::VARCHAR, 3, '0') || '.xhtml' AS value FROM documents WHERE text IS NOT NULL")
+@query("s09_contents_of_books", """SELECT doc_id % 50 AS source_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) - 1 AS ord, 'Section ' || doc_id AS name, 'ch' || lpad((row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id))::VARCHAR, 3, '0') || '.xhtml' AS value
+  FROM documents WHERE text IS NOT NULL""")
 def s09(spark, sf):
     return epub.described(_books(spark, sf)).filter("kind = 'contents'").select("source_id", "ord", "name", "value")
 
 
 @query("s10_spines_of_books", """WITH s AS (SELECT doc_id % 50 AS source_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
-f AS (SELECT source_id, (CASE WHEN source_id % 3 = 0 THEN ['cover.xhtml'] ELSE []::VARCHAR[] END) || ['titlepage.xhtml'] || ['ch' || lpad(k::VARCHAR, 3, '0') || '.xhtml' FOR k IN range(1, n + 1)] AS files FROM s)
+f AS (SELECT source_id, (CASE WHEN source_id % 3 = 0 THEN ['cover.xhtml'] ELSE []::VARCHAR[] END) || ['titlepage.xhtml'] || ['ch' || lpad(k::VARCHAR, 3, '0') || '.xhtml' FOR k IN range(1, n + 1)] AS files
+  FROM s)
 SELECT source_id, u.ord, u.name FROM f, LATERAL (SELECT unnest(files) AS name, unnest(range(len(files))) AS ord) u""")
 def s10(spark, sf):
     return epub.described(_books(spark, sf)).filter("kind = 'spine'").select("source_id", "ord", "name")
@@ -239,7 +242,7 @@ def s11(spark, sf):
     return epub.described(_books(spark, sf)).filter("kind = 'metadata'").select("source_id", "name", "value")
 
 
-@query("s19_covers_of_books", "SELECT DISTINCT doc_id % 50 AS source_id, 'properties' AS how, 'OEBPS/images/cover.png' AS path, 5::BIGINT AS size FROM documents WHERE text IS NOT NULL AND doc_id % 50 % 3 = 0")
+@query("s19_covers_of_books", """SELECT DISTINCT doc_id % 50 AS source_id, 'properties' AS how, 'OEBPS/images/cover.png' AS path, 5::BIGINT AS size FROM documents WHERE text IS NOT NULL AND doc_id % 50 % 3 = 0""")
 def s19(spark, sf):
     return epub.covers(_books(spark, sf))
 
@@ -279,7 +282,7 @@ def x11(spark, sf):
     return epub.verified(p)
 
 
-PLACED = "'before' || chr(10) || '![Cap ' || doc_id || '](images/' || (doc_id % 9) || CASE WHEN doc_id % 5 = 4 THEN '.tif' ELSE '.png' END || ')' || chr(10) || '*Cap ' || doc_id || '*' || chr(10) || 'after'"
+PLACED = """'before' || chr(10) || '![Cap ' || doc_id || '](images/' || (doc_id % 9) || CASE WHEN doc_id % 5 = 4 THEN '.tif' ELSE '.png' END || ')' || chr(10) || '*Cap ' || doc_id || '*' || chr(10) || 'after'"""
 
 
 @query("x10_placeholders", f"""WITH x AS (SELECT doc_id % 30 AS source_id, doc_id AS file, doc_id % 9 < 6 AS there, doc_id % 5 = 4 AS odd, {PLACED} AS t FROM documents)
@@ -312,7 +315,8 @@ def f26(spark, sf):
 
 
 @query("f25_page_anchor_ids", f"""WITH {V3}, a AS (SELECT source_id, seq, number, CASE seq % 4 WHEN 0 THEN ['p' || number, '第 ' || number || ' 页'] WHEN 1 THEN ['pfront-' || number, '前置页 ' || number] WHEN 2 THEN ['ppdf-' || number, 'PDF 第 ' || number || ' 页（未映射）'] ELSE ['punmapped-' || seq, '未映射页'] END AS x FROM v3),
-s AS (SELECT source_id, seq AS file, u.k, '<span class="pagebreak" id="' || x[1] || CASE WHEN u.k > 1 THEN '-2' ELSE '' END || '" epub:type="pagebreak" role="doc-pagebreak" title="' || x[2] || '"></span>' AS span FROM a, (SELECT unnest([1, 2]) AS k) u)
+s AS (SELECT source_id, seq AS file, u.k, '<span class="pagebreak" id="' || x[1] || CASE WHEN u.k > 1 THEN '-2' ELSE '' END || '" epub:type="pagebreak" role="doc-pagebreak" title="' || x[2] || '"></span>' AS span
+  FROM a, (SELECT unnest([1, 2]) AS k) u)
 SELECT source_id, file, string_agg(span, chr(10) ORDER BY k) AS xhtml FROM s GROUP BY 1, 2""")
 def f25(spark, sf):
     value = F.expr("case seq % 4 when 0 then cast(number as string) when 1 then concat('front-', number) when 2 then concat('pdf-', number, ' unmapped') else 'unmapped' end")
@@ -328,7 +332,8 @@ HEADED = f"regexp_replace({STRIP('regexp_replace(t, ' + q(W + '+') + ', chr(32),
 
 
 @query("f29_converter_titles", f"""WITH {V3}, x AS (SELECT source_id, seq, {TITLED} AS t FROM v3), h AS (SELECT *, {STRIP(HEADED)} AS h FROM x),
-g AS (SELECT *, CASE WHEN h = '献 辞' THEN '献辞' ELSE regexp_replace(regexp_replace(h, '^(第[0-9一二三四五六七八九十百]+[章节篇部卷辑])([一-鿿A-Za-z])', '\\1 \\2'), '^(附录[0-9一二三四五六七八九十]+)([一-鿿])', '\\1 \\2') END AS title FROM h)
+g AS (SELECT *, CASE WHEN h = '献 辞' THEN '献辞' ELSE regexp_replace(regexp_replace(h, '^(第[0-9一二三四五六七八九十百]+[章节篇部卷辑])([一-鿿A-Za-z])', '\\1 \\2'), '^(附录[0-9一二三四五六七八九十]+)([一-鿿])', '\\1 \\2') END AS title
+  FROM h)
 SELECT source_id, seq, {NORMED} AS plain, title, regexp_replace(regexp_replace({STRIP('t')}, '[\\\\/:*?"<>|]', '', 'g'), {q(W + '+')}, '-', 'g') AS file_name, regexp_matches({NORMED}, {q(standalone.INDEX_CLASS)}) AS is_index FROM g""")
 def f29(spark, sf):
     t = F.expr("case seq % 5 when 0 then '献 辞' when 1 then concat(title, '名称①②') when 2 then concat('  索引 ', number, ' • a') when 3 then '附录一资料: a/b' else concat('*', title, '*') end")
@@ -361,11 +366,13 @@ TOGETHER = """CASE WHEN a = '' OR a = b THEN b ELSE '索引 ' || array_to_string
 GROUPS = f"""WITH RECURSIVE {V3}, f AS (SELECT source_id, seq AS unit, level, CASE WHEN number % 6 = 5 THEN '索引' ELSE title END AS head, number % 3 = 0 AS cut FROM v3 WHERE source_id % 4 = 0),
 us AS (SELECT DISTINCT ON (source_id) source_id, level AS usual FROM (SELECT source_id, level, count(*) AS k FROM f GROUP BY 1, 2) ORDER BY source_id, k DESC, level),
 fl AS (SELECT f.*, usual, CASE WHEN source_id % 8 = 0 THEN '前言 ' || unit ELSE head END AS label FROM f JOIN us USING (source_id)),
-pt AS (SELECT source_id, unit, label AS title, regexp_matches({plain_title_sql('label')}, {q(standalone.CHAPTER)}) OR regexp_matches({plain_title_sql('head')}, {q(standalone.CHAPTER)}) OR level = usual AS starts, 0::BIGINT AS first, 6::BIGINT AS past FROM fl
+pt AS (SELECT source_id, unit, label AS title, regexp_matches({plain_title_sql('label')}, {q(standalone.CHAPTER)}) OR regexp_matches({plain_title_sql('head')}, {q(standalone.CHAPTER)}) OR level = usual AS starts, 0::BIGINT AS first, 6::BIGINT AS past
+  FROM fl
   UNION ALL SELECT source_id, unit, '人名索引', true, 6, 8 FROM fl WHERE cut),
 pn AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY unit, first) AS n, regexp_matches({plain_title_sql('title')}, {q(standalone.INDEX_CLASS)}) AS is_index FROM pt),
 rc AS (SELECT DISTINCT source_id, 0::BIGINT AS n, 0::BIGINT AS chapter, ''::VARCHAR AS name, NULL::BIGINT AS unit, NULL::BIGINT AS first, NULL::BIGINT AS past FROM pn
   UNION ALL SELECT source_id, n, CASE WHEN joins OR NOT begins THEN chapter ELSE chapter + 1 END, CASE WHEN joins THEN {TOGETHER} WHEN begins THEN title ELSE name END, unit, first, past
+ 
   FROM (SELECT r.source_id, r.chapter, r.name, p.* EXCLUDE (source_id), p.starts OR r.chapter = 0 AS begins, p.starts AND r.chapter > 0 AND p.is_index AND regexp_matches({plain_title_sql('r.name')}, {q(standalone.INDEX_CLASS)}) AS joins,
       regexp_replace(trim(r.name), '^(索引|关键词索引)\\s*', '') AS a, regexp_replace(trim(p.title), '^(索引|关键词索引)\\s*', '') AS b FROM rc r JOIN pn p ON p.source_id = r.source_id AND p.n = r.n + 1)),
 gn AS (SELECT source_id, chapter, arg_max(name, n) AS title FROM rc WHERE n > 0 GROUP BY 1, 2),

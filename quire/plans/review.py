@@ -20,12 +20,14 @@ F_COLS = ("source_id", "check", "severity", "seq", "detail")
 # --- audits ----------------------------------------------------------------------------
 
 
-@query("c01_level_jump", f"{RTREE} SELECT t.source_id, 'level_jump' AS \"check\", 'warn' AS severity, t.seq, p.level || ' ' || t.level AS detail FROM tr t JOIN tr p ON p.source_id = t.source_id AND p.seq = t.parent WHERE t.level - p.level > 1")
+@query("c01_level_jump", f"""{RTREE} SELECT t.source_id, 'level_jump' AS \"check\", 'warn' AS severity, t.seq, p.level || ' ' || t.level AS detail
+  FROM tr t JOIN tr p ON p.source_id = t.source_id AND p.seq = t.parent WHERE t.level - p.level > 1""")
 def c01(spark, sf):
     return audit.level_jumps(tree(spark, sf))
 
 
-DUP = f"ky AS (SELECT *, regexp_replace({STRIP('title')}, {q(P3)}, '', 'g') AS k FROM tr), fs AS (SELECT *, first_value(seq) OVER (PARTITION BY source_id, parent, k ORDER BY seq) AS first_ FROM ky WHERE k <> '')"
+DUP = f"""ky AS (SELECT *, regexp_replace({STRIP('title')}, {q(P3)}, '', 'g') AS k FROM tr),
+fs AS (SELECT *, first_value(seq) OVER (PARTITION BY source_id, parent, k ORDER BY seq) AS first_ FROM ky WHERE k <> '')"""
 
 
 @query("c02_duplicate_title", f"{RTREE}, {DUP} SELECT source_id, 'duplicate_title' AS \"check\", {SEV(q('high'))} AS severity, seq, first_::VARCHAR AS detail FROM fs WHERE seq <> first_")
@@ -39,7 +41,8 @@ def w15(spark, sf):
     return t.groupBy("source_id", "parent", "k").agg(F.min("seq").alias("seq"), F.count("*").alias("times")).filter("times > 1").select("source_id", "seq", "times")
 
 
-NUM = f"{RTREE}, {TIER.replace('FROM v3)', 'FROM tr)')}, sb AS (SELECT *, lag(n) OVER w AS prev_n, lag(seq) OVER w AS prev_seq FROM nt WHERE n IS NOT NULL WINDOW w AS (PARTITION BY source_id, parent, tier ORDER BY seq))"
+NUM = f"""{RTREE}, {TIER.replace('FROM v3)', 'FROM tr)')}, sb AS (SELECT *, lag(n) OVER w AS prev_n, lag(seq) OVER w AS prev_seq
+  FROM nt WHERE n IS NOT NULL WINDOW w AS (PARTITION BY source_id, parent, tier ORDER BY seq))"""
 NSEV = "CASE WHEN n = prev_n THEN 'high' WHEN n > prev_n AND tier <> 'arabic' THEN 'high' ELSE 'warn' END"
 
 
@@ -71,7 +74,8 @@ def paged(spark, sf):
     return t.withColumn("zone", F.when(F.col("number") % 4 == 0, 1).otherwise(0)).withColumn("page", F.when(F.col("tier_no") != 6, F.col("page_idx")))
 
 
-PG = "pt AS (SELECT *, CASE WHEN number % 4 = 0 THEN 1 ELSE 0 END AS zone, CASE WHEN tier_no <> 6 THEN page_idx END AS page FROM tr), pw AS (SELECT *, lag(zone) OVER w AS pz, lag(page) OVER w AS pp, lag(seq) OVER w AS ps FROM pt WHERE page IS NOT NULL WINDOW w AS (PARTITION BY source_id, parent ORDER BY seq))"
+PG = """pt AS (SELECT *, CASE WHEN number % 4 = 0 THEN 1 ELSE 0 END AS zone, CASE WHEN tier_no <> 6 THEN page_idx END AS page FROM tr),
+pw AS (SELECT *, lag(zone) OVER w AS pz, lag(page) OVER w AS pp, lag(seq) OVER w AS ps FROM pt WHERE page IS NOT NULL WINDOW w AS (PARTITION BY source_id, parent ORDER BY seq))"""
 PAGE_SQL = {
     "c06_page_zone_crossing": ("page_zone_crossing", f"SELECT source_id, 'page_zone_crossing' AS \"check\", 'warn' AS severity, seq, ps::VARCHAR AS detail FROM pw WHERE ps IS NOT NULL AND zone <> pz"),
     "c07_page_decreasing": ("page_decreasing", f"SELECT source_id, 'page_decreasing' AS \"check\", {SEV(q('high'))} AS severity, seq, (page - pp)::VARCHAR AS detail FROM pw WHERE ps IS NOT NULL AND zone = pz AND page < pp"),
@@ -115,7 +119,9 @@ def o06(spark, sf):
     return f.orderBy(F.desc("findings"), "check").limit(3)
 
 
-MT = f"{RTREE}, mt AS (SELECT source_id, seq, depth, page_idx AS page, page_idx - CASE WHEN tier_no = 2 THEN 5 WHEN tier_no = 3 THEN 30 WHEN tier_no = 4 THEN 1 ELSE 0 END AS printed, number % 7 = 0 AS suspect FROM tr), md AS (SELECT *, page - printed AS delta FROM mt WHERE page <> printed)"
+MT = f"""{RTREE}, mt AS (SELECT source_id, seq, depth, page_idx AS page, page_idx - CASE WHEN tier_no = 2 THEN 5 WHEN tier_no = 3 THEN 30 WHEN tier_no = 4 THEN 1 ELSE 0 END AS printed, number % 7 = 0 AS suspect
+  FROM tr),
+md AS (SELECT *, page - printed AS delta FROM mt WHERE page <> printed)"""
 
 
 def matched(spark, sf):
@@ -131,7 +137,8 @@ def c12(spark, sf):
     return audit.contents_deltas(matched(spark, sf))[0]
 
 
-@query("c13_toc_offset_shift", f"{MT}, dl AS (SELECT source_id, delta, count(*) AS n, min(seq) AS since FROM md GROUP BY 1, 2) SELECT DISTINCT ON (source_id) source_id, delta, n AS entries FROM dl WHERE n >= 3 ORDER BY source_id, n DESC, since")
+@query("c13_toc_offset_shift", f"""{MT}, dl AS (SELECT source_id, delta, count(*) AS n, min(seq) AS since FROM md GROUP BY 1, 2) SELECT DISTINCT ON (source_id) source_id, delta, n AS entries
+  FROM dl WHERE n >= 3 ORDER BY source_id, n DESC, since""")
 def c13(spark, sf):
     return audit.contents_deltas(matched(spark, sf))[1]
 
@@ -158,7 +165,9 @@ def c11(spark, sf):
 ETAG = "(" + " OR ".join(f"regexp_matches(title, {q(p)})" for p in numbering.TIERS.values()) + f" OR regexp_matches(title, {q('^第' + W + '*[一二三四五六七八九十百零0-9]{1,3}' + W + '*[部分篇编]')}))"
 
 
-@query("c14_c15_unmatched_entries", f"{ENT} SELECT source_id, ord, CASE WHEN printed IS NOT NULL AND printed <> 0 AND {ETAG} THEN 'toc_entry_undetected' ELSE 'toc_entry_fragment' END AS \"check\", CASE WHEN printed IS NOT NULL AND printed <> 0 AND {ETAG} THEN 'high' ELSE 'warn' END AS severity FROM et WHERE ord % 3 <> 0")
+@query("c14_c15_unmatched_entries", f"""{ENT}
+  SELECT source_id, ord, CASE WHEN printed IS NOT NULL AND printed <> 0 AND {ETAG} THEN 'toc_entry_undetected' ELSE 'toc_entry_fragment' END AS \"check\", CASE WHEN printed IS NOT NULL AND printed <> 0 AND {ETAG} THEN 'high' ELSE 'warn' END AS severity
+  FROM et WHERE ord % 3 <> 0""")
 def c14(spark, sf):
     e = out.printed_toc(toc_lines_view(spark, sf))
     return audit.unmatched_entries(e, e.filter("ord % 3 = 0"))
@@ -176,7 +185,8 @@ DRP = f"""{ENT}, dp AS (SELECT source_id, seq AS gid, CASE WHEN seq % 4 = 1 THEN
 ek AS (SELECT source_id, ord, {audit_key_sql('title')} AS e FROM et), dk AS (SELECT *, {audit_key_sql('text')} AS k FROM dp),
 bb AS (SELECT d.source_id, d.gid, min(ord) AS backed_by FROM dk d JOIN ek ON ek.source_id = d.source_id AND length(e) >= 4 AND length(k) >= 4 AND (contains(e, k) OR contains(k, e)) GROUP BY 1, 2),
 dj AS (SELECT d.*, backed_by, {ETAG.replace('title', 'text')} AS numbered FROM dk d LEFT JOIN bb USING (source_id, gid)),
-dc AS (SELECT *, CASE WHEN backed_by IS NOT NULL AND length(text) <= 60 AND drop_reason <> 'contents page' THEN 'dropped_toc_backed' WHEN numbered AND length(text) <= 60 THEN 'dropped_numbered_heading' WHEN backed_by IS NOT NULL THEN 'dropped_toc_echo' WHEN drop_reason = 'implausible' THEN 'dropped_long_candidate' END AS "check" FROM dj)
+dc AS (SELECT *, CASE WHEN backed_by IS NOT NULL AND length(text) <= 60 AND drop_reason <> 'contents page' THEN 'dropped_toc_backed' WHEN numbered AND length(text) <= 60 THEN 'dropped_numbered_heading' WHEN backed_by IS NOT NULL THEN 'dropped_toc_echo' WHEN drop_reason = 'implausible' THEN 'dropped_long_candidate' END AS "check"
+  FROM dj)
 SELECT source_id, gid, "check", CASE "check" WHEN 'dropped_toc_backed' THEN 'high' WHEN 'dropped_numbered_heading' THEN 'warn' ELSE 'info' END AS severity, backed_by FROM dc WHERE "check" IS NOT NULL"""
 
 
@@ -187,7 +197,7 @@ def c16(spark, sf):
     return audit.dropped_findings(d, out.printed_toc(toc_lines_view(spark, sf)))
 
 
-@query("c20_calibration_missing", f"WITH {V1} SELECT DISTINCT doc_id % 40 AS source_id, 'calib_missing' AS \"check\", 'high' AS severity FROM documents WHERE doc_id % 40 NOT IN (SELECT source_id FROM v1)")
+@query("c20_calibration_missing", f"""WITH {V1} SELECT DISTINCT doc_id % 40 AS source_id, 'calib_missing' AS \"check\", 'high' AS severity FROM documents WHERE doc_id % 40 NOT IN (SELECT source_id FROM v1)""")
 def c20(spark, sf):
     sources = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("source_id"))
     return audit.calibration_missing(sources, views.page_observations(spark, sf))
@@ -211,7 +221,8 @@ def overlay_tables(spark, sf):
 
 REFLOW = f"""{VT}, rf0 AS (SELECT source_id, seq::DOUBLE AS at_, key, level, title, false AS manual FROM ot WHERE marker = 'front' OR NOT EXISTS (SELECT 1 FROM m_deleted d WHERE d.source_id = ot.source_id AND d.gid::VARCHAR = ot.key)
   UNION ALL SELECT source_id, gid + 0.5, 'add:' || gid, level, title, true FROM m_added),
-rf AS (SELECT r.source_id, row_number() OVER (PARTITION BY r.source_id ORDER BY at_, r.key) AS seq, r.key, coalesce(m.level, r.level) AS level, title, manual FROM rf0 r LEFT JOIN m_levels m ON m.source_id = r.source_id AND m.gid::VARCHAR = r.key),
+rf AS (SELECT r.source_id, row_number() OVER (PARTITION BY r.source_id ORDER BY at_, r.key) AS seq, r.key, coalesce(m.level, r.level) AS level, title, manual
+  FROM rf0 r LEFT JOIN m_levels m ON m.source_id = r.source_id AND m.gid::VARCHAR = r.key),
 rp AS (SELECT a.source_id, a.seq, max(b.seq) AS parent FROM rf a LEFT JOIN rf b ON b.source_id = a.source_id AND b.seq < a.seq AND b.level < a.level GROUP BY 1, 2)"""
 
 
@@ -220,7 +231,7 @@ def t10(spark, sf):
     return overlay.reflowed(overlay_tree(spark, sf), *overlay_tables(spark, sf)).select("source_id", "seq", "key", "level", "manual", "parent")
 
 
-@query("t05_manual_added", f"WITH {V2}, {V4} SELECT m.source_id, m.gid, m.title, CASE WHEN b.gid IS NULL THEN 'skipped' ELSE 'added' END AS status FROM m_added m LEFT JOIN v2 b USING (source_id, gid)")
+@query("t05_manual_added", f"""WITH {V2}, {V4} SELECT m.source_id, m.gid, m.title, CASE WHEN b.gid IS NULL THEN 'skipped' ELSE 'added' END AS status FROM m_added m LEFT JOIN v2 b USING (source_id, gid)""")
 def t05(spark, sf):
     _, _, added = views.overlay(spark, sf)
     b = views.blocks(spark, sf).select("source_id", "gid", F.lit(True).alias("there"))
@@ -234,12 +245,15 @@ def p12(spark, sf):
     return overlay.edit_view(overlay_tree(spark, sf), deleted, added)
 
 
-@query("a18_overlay_summary", f"WITH {V4}, k AS (SELECT source_id, 'l' AS k FROM m_levels UNION ALL SELECT source_id, 'd' FROM m_deleted UNION ALL SELECT source_id, 'a' FROM m_added) SELECT source_id, count(*) FILTER (k = 'l') AS levels, count(*) FILTER (k = 'd') AS deleted, count(*) FILTER (k = 'a') AS added FROM k GROUP BY 1")
+@query("a18_overlay_summary", f"""WITH {V4}, k AS (SELECT source_id, 'l' AS k FROM m_levels UNION ALL SELECT source_id, 'd' FROM m_deleted
+  UNION ALL SELECT source_id, 'a' FROM m_added) SELECT source_id, count(*) FILTER (k = 'l') AS levels, count(*) FILTER (k = 'd') AS deleted, count(*) FILTER (k = 'a') AS added
+  FROM k GROUP BY 1""")
 def a18(spark, sf):
     return overlay.summary(*overlay_tables(spark, sf))
 
 
-@query("e01_node_keys", "WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' 00' || doc_id WHEN 1 THEN 'toc:P1:' || doc_id WHEN 2 THEN '-0' || doc_id WHEN 3 THEN '  ' ELSE doc_id::VARCHAR END AS k FROM documents) SELECT doc_id, CASE WHEN regexp_matches(trim(k), '^-?[0-9]+$') THEN trim(k)::BIGINT::VARCHAR WHEN trim(k) <> '' THEN trim(k) END AS key FROM x")
+@query("e01_node_keys", """WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' 00' || doc_id WHEN 1 THEN 'toc:P1:' || doc_id WHEN 2 THEN '-0' || doc_id WHEN 3 THEN '  ' ELSE doc_id::VARCHAR END AS k
+  FROM documents) SELECT doc_id, CASE WHEN regexp_matches(trim(k), '^-?[0-9]+$') THEN trim(k)::BIGINT::VARCHAR WHEN trim(k) <> '' THEN trim(k) END AS key FROM x""")
 def e01(spark, sf):
     k = F.expr("case doc_id % 5 when 0 then concat(' 00', doc_id) when 1 then concat('toc:P1:', doc_id) when 2 then concat('-0', doc_id) when 3 then '  ' else cast(doc_id as string) end")
     return table(spark, sf, "documents").select("doc_id", overlay.node_key(k).alias("key"))
@@ -252,7 +266,9 @@ def _level_changes(spark, sf):
     return overlay_tree(spark, sf).filter("seq % 3 = 0").select("source_id", "key", (F.col("seq") % 11).alias("level"))
 
 
-@query("e02_set_levels", f"{CH} SELECT source_id, gid::VARCHAR AS key, level FROM m_levels m WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.source_id = m.source_id AND ch.key = m.gid::VARCHAR AND ch.level BETWEEN 1 AND 9) UNION ALL SELECT * FROM ch WHERE level BETWEEN 1 AND 9")
+@query("e02_set_levels", f"""{CH} SELECT source_id, gid::VARCHAR AS key, level FROM m_levels m WHERE NOT EXISTS (SELECT 1
+  FROM ch WHERE ch.source_id = m.source_id AND ch.key = m.gid::VARCHAR AND ch.level BETWEEN 1 AND 9)
+  UNION ALL SELECT * FROM ch WHERE level BETWEEN 1 AND 9""")
 def e02(spark, sf):
     return overlay.set_levels(overlay_tables(spark, sf)[0], _level_changes(spark, sf))[0]
 
@@ -272,8 +288,10 @@ def e04(spark, sf):
 
 DF = f"""{VT}, nw AS (SELECT source_id, CASE WHEN seq % 7 = 3 THEN NULL ELSE '0' || key END AS key, seq AS gid, CASE WHEN seq % 13 = 5 THEN title || '!' ELSE title END AS title, CASE WHEN seq % 6 = 1 THEN level + 1 ELSE level END AS level FROM ot WHERE seq % 5 <> 4),
 nk AS (SELECT *, CASE WHEN key IS NOT NULL THEN key::BIGINT::VARCHAR END AS k FROM nw),
-bo AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.key, n.k) AS key, o.level, o.marker, o.title, n.title AS nt, n.level AS nl, o.key IS NOT NULL AS had, n.k IS NOT NULL AS there FROM (SELECT * FROM ot WHERE source_id IN (SELECT source_id FROM nw)) o FULL JOIN (SELECT * FROM nk WHERE k IS NOT NULL) n ON n.source_id = o.source_id AND n.k = o.key),
-er AS (SELECT *, CASE WHEN NOT there AND marker = 'front' THEN 'front matter can''t go' WHEN had AND there AND {STRIP('nt')} <> '' AND {STRIP('nt')} <> title THEN 'title of a real node' END AS error FROM bo),
+bo AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.key, n.k) AS key, o.level, o.marker, o.title, n.title AS nt, n.level AS nl, o.key IS NOT NULL AS had, n.k IS NOT NULL AS there
+  FROM (SELECT * FROM ot WHERE source_id IN (SELECT source_id FROM nw)) o FULL JOIN (SELECT * FROM nk WHERE k IS NOT NULL) n ON n.source_id = o.source_id AND n.k = o.key),
+er AS (SELECT *, CASE WHEN NOT there AND marker = 'front' THEN 'front matter can''t go' WHEN had AND there AND {STRIP('nt')} <> '' AND {STRIP('nt')} <> title THEN 'title of a real node' END AS error
+  FROM bo),
 ax AS (SELECT *, CASE WHEN {STRIP('title')} = '' THEN 'incomplete addition' END AS error FROM nk WHERE k IS NULL)"""
 
 
@@ -294,7 +312,8 @@ def e08(spark, sf):
     return _diff(spark, sf)[1]
 
 
-@query("e09_mass_deletions", f"{DF}, dl AS (SELECT source_id, count(*) AS deleted FROM er WHERE had AND NOT there AND error IS NULL GROUP BY 1), nn AS (SELECT source_id, count(*) AS nodes FROM ot GROUP BY 1) SELECT source_id, deleted, nodes FROM dl JOIN nn USING (source_id) WHERE deleted > greatest(3, nodes // 3)")
+@query("e09_mass_deletions", f"""{DF}, dl AS (SELECT source_id, count(*) AS deleted FROM er WHERE had AND NOT there AND error IS NULL GROUP BY 1),
+nn AS (SELECT source_id, count(*) AS nodes FROM ot GROUP BY 1) SELECT source_id, deleted, nodes FROM dl JOIN nn USING (source_id) WHERE deleted > greatest(3, nodes // 3)""")
 def e09(spark, sf):
     return overlay.mass_deletions(_diff(spark, sf)[0], overlay_tree(spark, sf))
 
@@ -304,7 +323,8 @@ def j12(spark, sf):
     return views.overlay(spark, sf)[2].select("source_id", "gid").join(views.blocks(spark, sf), ["source_id", "gid"], "left_anti")
 
 
-ITEMS = "it AS (SELECT event_id // 10 AS source_id, event_id AS item, CASE event_id % 6 WHEN 0 THEN 'level' WHEN 1 THEN 'add' WHEN 2 THEN 'delete' WHEN 3 THEN 'anchor' WHEN 4 THEN 'rename' ELSE 'level-clear' END AS action, CASE WHEN event_id % 31 = 0 THEN ' ' ELSE event_type END AS evidence, event_id % 17 AS z FROM events)"
+ITEMS = """it AS (SELECT event_id // 10 AS source_id, event_id AS item, CASE event_id % 6 WHEN 0 THEN 'level' WHEN 1 THEN 'add' WHEN 2 THEN 'delete' WHEN 3 THEN 'anchor' WHEN 4 THEN 'rename' ELSE 'level-clear' END AS action, CASE WHEN event_id % 31 = 0 THEN ' ' ELSE event_type END AS evidence, event_id % 17 AS z
+  FROM events)"""
 
 
 def plan_items(spark, sf):
@@ -428,7 +448,11 @@ def a17(spark, sf):
     return export.file_stats(parts(spark, sf))
 
 
-@query("k03_manifest", f"{PCS}, k AS (SELECT source_id, file, count(*) AS parts FROM px GROUP BY 1, 2) SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY file) AS seq, file, lpad(row_number() OVER (PARTITION BY source_id ORDER BY file)::VARCHAR, 3, '0') || '_Part ' || source_id || '_Section ' || file || '.md' AS path, parts FROM k")
+@query("k03_manifest", f"""{PCS}, k AS (SELECT source_id, file, count(*) AS parts
+  FROM px
+  GROUP BY 1, 2)
+  SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY file) AS seq, file, lpad(row_number() OVER (PARTITION BY source_id ORDER BY file)::VARCHAR, 3, '0') || '_Part ' || source_id || '_Section ' || file || '.md' AS path, parts
+  FROM k""")
 def k03(spark, sf):
     k = parts(spark, sf).groupBy("source_id", "file").agg(F.count("*").alias("parts"))
     k = k.withColumn("seq", F.row_number().over(Window.partitionBy("source_id").orderBy("file")).cast("long"))
@@ -444,7 +468,9 @@ def k05(spark, sf):
     return export.stale_files(listed, b.filter("gid % 7 = 0").select("source_id", name.alias("path"))).distinct()
 
 
-@query("p09_read_page", f"{LINES}, ol AS (SELECT *, row_number() OVER (PARTITION BY source_id, file ORDER BY page_run, kind_order, gid, part, k, line) AS ord FROM ln), oo AS (SELECT *, last_value(CASE WHEN starts_with(line, '<!-- p=') THEN line END IGNORE NULLS) OVER (PARTITION BY source_id, file ORDER BY ord) AS on_ FROM ol) SELECT source_id, file, ord, sha256(line) AS digest FROM oo WHERE on_ = '<!-- p=2 -->'")
+@query("p09_read_page", f"""{LINES}, ol AS (SELECT *, row_number() OVER (PARTITION BY source_id, file ORDER BY page_run, kind_order, gid, part, k, line) AS ord FROM ln),
+oo AS (SELECT *, last_value(CASE WHEN starts_with(line, '<!-- p=') THEN line END IGNORE NULLS) OVER (PARTITION BY source_id, file ORDER BY ord) AS on_
+  FROM ol) SELECT source_id, file, ord, sha256(line) AS digest FROM oo WHERE on_ = '<!-- p=2 -->'""")
 def p09(spark, sf):
     w = Window.partitionBy("source_id", "file").orderBy("page_run", "kind_order", "gid", "part", "k", "line")
     ordered = lines(spark, sf).withColumn("ord", F.row_number().over(w).cast("long")).select("source_id", "file", "ord", "line")
@@ -457,7 +483,8 @@ def p08(spark, sf):
 
 
 @query("g1_anchor_coverage", f"""WITH {V2}, ct AS (SELECT source_id, CASE WHEN (gid + source_id) % 9 <> 0 THEN page_idx END AS locator FROM v2 WHERE {TYPE_IN(text.CONTENT_TYPES)}), lt AS (SELECT DISTINCT source_id, CASE WHEN source_id % 10 = 0 THEN 'section_only' ELSE 'paginated' END AS locator_type FROM v2),
-rt AS (SELECT l.*, count(c.source_id) AS blocks, count(c.locator) AS located FROM lt l LEFT JOIN ct c USING (source_id) GROUP BY ALL), rr AS (SELECT *, CASE WHEN blocks > 0 THEN round_even(located / blocks, 4) END AS rate FROM rt)
+rt AS (SELECT l.*, count(c.source_id) AS blocks, count(c.locator) AS located FROM lt l LEFT JOIN ct c USING (source_id) GROUP BY ALL),
+rr AS (SELECT *, CASE WHEN blocks > 0 THEN round_even(located / blocks, 4) END AS rate FROM rt)
 SELECT source_id, blocks, located, rate, CASE WHEN blocks = 0 THEN 'skip' WHEN locator_type = 'section_only' THEN 'warn' WHEN rate >= 0.95 THEN 'pass' WHEN rate >= 0.8 THEN 'warn' ELSE 'fail' END AS status FROM rr""")
 def g1(spark, sf):
     b = views.blocks(spark, sf)
@@ -486,28 +513,43 @@ def g2(spark, sf):
     return verify.lossless(*_indexed(spark, sf))
 
 
-@query("g4_anchors_present", f"{LINES}, ha AS (SELECT source_id, bool_or(regexp_matches(content, '(^|\n)<!-- p=')) AS has FROM dc GROUP BY 1) SELECT source_id, CASE WHEN has OR source_id % 10 = 0 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT DISTINCT source_id FROM v2) LEFT JOIN ha USING (source_id)")
+@query("g4_anchors_present", f"""{LINES}, ha AS (SELECT source_id, bool_or(regexp_matches(content, '(^|\n)<!-- p=')) AS has
+  FROM dc GROUP BY 1) SELECT source_id, CASE WHEN has OR source_id % 10 = 0 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT DISTINCT source_id
+  FROM v2) LEFT JOIN ha USING (source_id)""")
 def g4(spark, sf):
     kinds = views.blocks(spark, sf).select("source_id", F.expr("case when source_id % 10 = 0 then 'section_only' else 'paginated' end").alias("locator_type")).distinct()
     return verify.anchors_present(export.documents(lines(spark, sf)), kinds)
 
 
-@query("g5_overall", f"{G2}, gg AS (SELECT source_id, CASE WHEN missing = 0 THEN 'pass' WHEN 1 - missing / blocks >= 0.99 THEN 'warn' ELSE 'fail' END AS status FROM g2 UNION ALL SELECT source_id, CASE WHEN source_id % 4 = 0 THEN 'warn' ELSE 'pass' END FROM (SELECT DISTINCT source_id FROM v2)) SELECT source_id, count(*) AS gates, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS verdict FROM gg GROUP BY 1")
+@query("g5_overall", f"""{G2}, gg AS (SELECT source_id, CASE WHEN missing = 0 THEN 'pass' WHEN 1 - missing / blocks >= 0.99 THEN 'warn' ELSE 'fail' END AS status FROM g2
+  UNION ALL SELECT source_id, CASE WHEN source_id % 4 = 0 THEN 'warn' ELSE 'pass' END FROM (SELECT DISTINCT source_id
+  FROM v2)) SELECT source_id, count(*) AS gates, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS verdict
+  FROM gg GROUP BY 1""")
 def g5(spark, sf):
     one = verify.lossless(*_indexed(spark, sf)).select("source_id", F.lit("G2").alias("gate"), "status")
     other = views.blocks(spark, sf).select("source_id").distinct().select("source_id", F.lit("G3").alias("gate"), F.expr("case when source_id % 4 = 0 then 'warn' else 'pass' end").alias("status"))
     return verify.overall(one.unionByName(other))
 
 
-@query("j15_g6_full_coverage", f"{PCS}, tl AS (SELECT source_id, gid, string_agg(text, '' ORDER BY part) AS told FROM px WHERE NOT (source_id % 30 = 0 AND gid = 3) GROUP BY 1, 2), cv AS (SELECT b.source_id, {SQZ('coalesce(told, chr(32))')} <> {SQZ('text')} AS lost FROM v2r b LEFT JOIN tl USING (source_id, gid) WHERE {TYPE_IN(text.CONTENT_TYPES)}) SELECT source_id, count(*) AS blocks, count(*) FILTER (lost) AS lost, CASE WHEN count(*) FILTER (lost) = 0 THEN 'pass' ELSE 'fail' END AS status FROM cv GROUP BY 1")
+@query("j15_g6_full_coverage", f"""{PCS}, tl AS (SELECT source_id, gid, string_agg(text, '' ORDER BY part) AS told FROM px WHERE NOT (source_id % 30 = 0 AND gid = 3) GROUP BY 1, 2),
+cv AS (SELECT b.source_id, {SQZ('coalesce(told, chr(32))')} <> {SQZ('text')} AS lost
+  FROM v2r b LEFT JOIN tl USING (source_id, gid)
+  WHERE {TYPE_IN(text.CONTENT_TYPES)})
+  SELECT source_id, count(*) AS blocks, count(*) FILTER (lost) AS lost, CASE WHEN count(*) FILTER (lost) = 0 THEN 'pass' ELSE 'fail' END AS status
+  FROM cv GROUP BY 1""")
 def g6(spark, sf):
     return verify.full_coverage(views.rich_blocks(spark, sf), parts(spark, sf).filter("not (source_id % 30 = 0 and gid = 3)"))
 
 
-RCP = "ex AS (SELECT l_orderkey AS source_id, l_linenumber || '-' || min(l_partkey) AS relative, CASE WHEN l_linenumber = 1 THEN 'index' ELSE 'md' END AS role, sha256(l_linenumber || 'x') AS h FROM lineitem GROUP BY l_orderkey, l_linenumber), ac AS (SELECT source_id, CASE WHEN source_id % 19 = 0 AND role = 'md' THEN relative || '?' ELSE relative END AS relative, CASE WHEN source_id % 23 = 0 THEN 'changed' ELSE h END AS s FROM ex)"
+RCP = """ex AS (SELECT l_orderkey AS source_id, l_linenumber || '-' || min(l_partkey) AS relative, CASE WHEN l_linenumber = 1 THEN 'index' ELSE 'md' END AS role, sha256(l_linenumber || 'x') AS h
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+ac AS (SELECT source_id, CASE WHEN source_id % 19 = 0 AND role = 'md' THEN relative || '?' ELSE relative END AS relative, CASE WHEN source_id % 23 = 0 THEN 'changed' ELSE h END AS s
+  FROM ex)"""
 
 
-@query("j18_receipt_problems", f"WITH {RCP} SELECT * FROM (SELECT coalesce(ex.source_id, ac.source_id) AS source_id, coalesce(ex.relative, ac.relative) AS relative, CASE WHEN s IS NULL THEN 'missing' WHEN h IS NULL THEN 'unknown' WHEN role <> 'index' AND h <> s THEN 'changed' END AS problem FROM ex FULL JOIN ac ON ac.source_id = ex.source_id AND ac.relative = ex.relative) WHERE problem IS NOT NULL")
+@query("j18_receipt_problems", f"""WITH {RCP} SELECT *
+  FROM (SELECT coalesce(ex.source_id, ac.source_id) AS source_id, coalesce(ex.relative, ac.relative) AS relative, CASE WHEN s IS NULL THEN 'missing' WHEN h IS NULL THEN 'unknown' WHEN role <> 'index' AND h <> s THEN 'changed' END AS problem
+  FROM ex FULL JOIN ac ON ac.source_id = ex.source_id AND ac.relative = ex.relative) WHERE problem IS NOT NULL""")
 def j18(spark, sf):
     li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("source_id"), "l_linenumber").agg(F.min("l_partkey").alias("p"))
     ex = li.select("source_id", F.concat_ws("-", "l_linenumber", "p").alias("relative"), F.when(F.col("l_linenumber") == 1, "index").otherwise("md").alias("role"), F.sha2(F.concat(F.col("l_linenumber"), F.lit("x")), 256).alias("sha256"))
@@ -516,7 +558,8 @@ def j18(spark, sf):
     return review.receipt_problems(ex, ac)
 
 
-@query("j20_images", f"WITH {V2} SELECT DISTINCT b.source_id, (gid % 9) || '.png' AS name, CASE WHEN gid % 9 < 6 AND n >= 1 + gid % 3 THEN 1 + gid % 3 END AS shard_ord FROM v2 b JOIN (SELECT source_id, max(shard_ord) AS n FROM v2 GROUP BY 1) USING (source_id) WHERE type = 'image'")
+@query("j20_images", f"""WITH {V2} SELECT DISTINCT b.source_id, (gid % 9) || '.png' AS name, CASE WHEN gid % 9 < 6 AND n >= 1 + gid % 3 THEN 1 + gid % 3 END AS shard_ord
+  FROM v2 b JOIN (SELECT source_id, max(shard_ord) AS n FROM v2 GROUP BY 1) USING (source_id) WHERE type = 'image'""")
 def j20(spark, sf):
     b = views.blocks(spark, sf)
     refs = b.filter("type = 'image'").select("source_id", F.concat((F.col("gid") % 9).cast("string"), F.lit(".png")).alias("name"))
@@ -525,8 +568,10 @@ def j20(spark, sf):
 
 
 SUP = f"""WITH {V1}, pf AS (SELECT source_id, shard_ord, page_idx, printed + CASE WHEN event_id % 29 = 0 THEN 7 ELSE 0 END AS printed FROM v1 WHERE event_id % 7 = 0), sn AS (SELECT * FROM v1 WHERE event_id % 3 <> 0)
-SELECT source_id, shard_ord, page_idx, printed, CASE WHEN EXISTS (SELECT 1 FROM sn WHERE sn.source_id = pf.source_id AND sn.shard_ord = pf.shard_ord AND sn.page_idx = pf.page_idx AND sn.printed = pf.printed) THEN 'page'
-  WHEN a AND b THEN 'both' WHEN a THEN 'previous' WHEN b THEN 'next' ELSE 'none' END AS support FROM (SELECT pf.*, EXISTS (SELECT 1 FROM sn WHERE sn.source_id = pf.source_id AND sn.shard_ord = pf.shard_ord AND sn.page_idx = pf.page_idx - 1 AND sn.printed = pf.printed - 1) AS a,
+SELECT source_id, shard_ord, page_idx, printed, CASE WHEN EXISTS (SELECT 1
+  FROM sn WHERE sn.source_id = pf.source_id AND sn.shard_ord = pf.shard_ord AND sn.page_idx = pf.page_idx AND sn.printed = pf.printed) THEN 'page'
+  WHEN a AND b THEN 'both' WHEN a THEN 'previous' WHEN b THEN 'next' ELSE 'none' END AS support FROM (SELECT pf.*, EXISTS (SELECT 1
+  FROM sn WHERE sn.source_id = pf.source_id AND sn.shard_ord = pf.shard_ord AND sn.page_idx = pf.page_idx - 1 AND sn.printed = pf.printed - 1) AS a,
   EXISTS (SELECT 1 FROM sn WHERE sn.source_id = pf.source_id AND sn.shard_ord = pf.shard_ord AND sn.page_idx = pf.page_idx + 1 AND sn.printed = pf.printed + 1) AS b FROM pf) pf"""
 
 
@@ -548,7 +593,9 @@ def u03(spark, sf):
     return views.blocks(spark, sf).filter("type = 'text'").select("source_id", "gid").subtract(views.overlay(spark, sf)[0].select("source_id", "gid"))
 
 
-@query("p10_source_status", f"WITH {V2}, {V4}, b AS (SELECT source_id, count(*) AS blocks, count(DISTINCT shard_ord) AS shards FROM v2 GROUP BY 1) SELECT b.*, EXISTS (SELECT 1 FROM m_levels m WHERE m.source_id = b.source_id) AS has_levels, EXISTS (SELECT 1 FROM m_deleted m WHERE m.source_id = b.source_id) AS has_deleted, b.source_id % 20 IN (SELECT DISTINCT user_id % 20 FROM events) AS calibrated FROM b")
+@query("p10_source_status", f"""WITH {V2}, {V4}, b AS (SELECT source_id, count(*) AS blocks, count(DISTINCT shard_ord) AS shards FROM v2 GROUP BY 1) SELECT b.*, EXISTS (SELECT 1
+  FROM m_levels m WHERE m.source_id = b.source_id) AS has_levels, EXISTS (SELECT 1
+  FROM m_deleted m WHERE m.source_id = b.source_id) AS has_deleted, b.source_id % 20 IN (SELECT DISTINCT user_id % 20 FROM events) AS calibrated FROM b""")
 def p10(spark, sf):
     levels, deleted, _ = views.overlay(spark, sf)
     b = views.blocks(spark, sf).groupBy("source_id").agg(F.count("*").alias("blocks"), F.count_distinct("shard_ord").alias("shards"))

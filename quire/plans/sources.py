@@ -85,7 +85,8 @@ def s08(spark, sf):
     return items.filter("kind = 'h1'").groupBy("source_id").agg(F.count("*").alias("headings"))
 
 
-@query("j21_epub_links", "SELECT page_id AS source_id, 'navigation to gone.xhtml' AS problem FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'missing x.css' FROM pages WHERE page_id % 4 = 2 UNION ALL SELECT page_id, 'spine names s9, which isn''t listed' FROM pages WHERE page_id % 4 = 3")
+@query("j21_epub_links", """SELECT page_id AS source_id, 'navigation to gone.xhtml' AS problem FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'missing x.css' FROM pages WHERE page_id % 4 = 2
+  UNION ALL SELECT page_id, 'spine names s9, which isn''t listed' FROM pages WHERE page_id % 4 = 3""")
 def j21(spark, sf):
     """Packages with links that lead nowhere: from the contents list, the manifest or the spine."""
 
@@ -120,13 +121,15 @@ def s16(spark, sf):
     return projects.planned_shards(o)
 
 
-@query("s13_shard_tags", "WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'book_P' || (doc_id % 40) WHEN 1 THEN (doc_id % 17) || '-part' ELSE 'part' END AS d FROM documents) SELECT doc_id, 'P' || coalesce(nullif(regexp_extract(d, '_P(\\d+)$', 1), ''), nullif(regexp_extract(d, '^(\\d+)', 1), ''), doc_id::VARCHAR)::BIGINT AS tag FROM x")
+@query("s13_shard_tags", """WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'book_P' || (doc_id % 40) WHEN 1 THEN (doc_id % 17) || '-part' ELSE 'part' END AS d
+  FROM documents) SELECT doc_id, 'P' || coalesce(nullif(regexp_extract(d, '_P(\\d+)$', 1), ''), nullif(regexp_extract(d, '^(\\d+)', 1), ''), doc_id::VARCHAR)::BIGINT AS tag FROM x""")
 def s13(spark, sf):
     d = F.expr("case doc_id % 3 when 0 then concat('book_P', doc_id % 40) when 1 then concat(doc_id % 17, '-part') else 'part' end")
     return table(spark, sf, "documents").select("doc_id", projects.shard_tag(d, "doc_id").alias("tag"))
 
 
-@query("s02_raw_items", "SELECT doc_id AS source_id, u.i AS local, CASE WHEN (doc_id + u.i) % 2 = 0 THEN 'text' ELSE 'list' END AS type, sha256(u.line) AS digest FROM documents d, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i) u WHERE u.i % 5 <> 3")
+@query("s02_raw_items", """SELECT doc_id AS source_id, u.i AS local, CASE WHEN (doc_id + u.i) % 2 = 0 THEN 'text' ELSE 'list' END AS type, sha256(u.line) AS digest
+  FROM documents d, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i) u WHERE u.i % 5 <> 3""")
 def s02(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.split("text", "\n").alias("ls"))
     entry = F.transform("ls", lambda x, i: F.when(i % 5 == 3, F.to_json(F.struct(x.alias("text")))).when((F.col("source_id") + i) % 2 == 0, F.to_json(F.struct(F.lit("text").alias("type"), x.alias("text"), i.alias("page_idx")))).otherwise(F.to_json(F.struct(F.struct(F.lit("list").alias("type"), F.array(x).alias("list_items")).alias("content")))))

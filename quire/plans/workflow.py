@@ -34,12 +34,17 @@ def e11(spark, sf):
     return workflow.probe_windows(probes, b).select("source_id", "window", "probe", "why", "gid", F.sha2("text", 256).alias("digest"))
 
 
-OPS = "nt_ AS (SELECT source_id, seq, seq::VARCHAR AS key, CASE WHEN seq = 1 THEN 'front' ELSE 'chapter' END AS marker FROM tr), op AS (SELECT source_id, seq AS item, CASE seq % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'add' ELSE 'level' END AS action, CASE WHEN seq % 3 <> 1 THEN CASE WHEN seq % 4 = 2 THEN (seq + 50)::VARCHAR WHEN seq % 5 = 0 THEN '1' ELSE seq::VARCHAR END END AS key, CASE WHEN seq % 3 = 1 THEN seq // 4 END AS gid, CASE WHEN seq % 2 = 0 THEN title ELSE title || '?' END AS title FROM tr)"
+OPS = """nt_ AS (SELECT source_id, seq, seq::VARCHAR AS key, CASE WHEN seq = 1 THEN 'front' ELSE 'chapter' END AS marker FROM tr),
+op AS (SELECT source_id, seq AS item, CASE seq % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'add' ELSE 'level' END AS action, CASE WHEN seq % 3 <> 1 THEN CASE WHEN seq % 4 = 2 THEN (seq + 50)::VARCHAR WHEN seq % 5 = 0 THEN '1' ELSE seq::VARCHAR END END AS key, CASE WHEN seq % 3 = 1 THEN seq // 4 END AS gid, CASE WHEN seq % 2 = 0 THEN title ELSE title || '?' END AS title
+  FROM tr)"""
 
 
 @query("e13_refused_operations", f"""{RTREE}, {OPS}, kc AS (SELECT source_id, parent::VARCHAR AS key, count(*) AS children FROM tr WHERE parent IS NOT NULL GROUP BY 1, 2), ow AS (SELECT *, count(key) OVER (PARTITION BY source_id, action, key) AS sk, count(gid) OVER (PARTITION BY source_id, action, gid) AS sg FROM op),
-oj AS (SELECT o.*, n.marker, c.children, b.title AS bt FROM ow o LEFT JOIN nt_ n ON n.source_id = o.source_id AND n.key = o.key LEFT JOIN kc c ON c.source_id = o.source_id AND c.key = o.key LEFT JOIN tr b ON b.source_id = o.source_id AND b.seq = o.gid),
-rs AS (SELECT source_id, item, unnest([CASE WHEN action = 'delete' AND marker = 'front' THEN 'front matter' END, CASE WHEN action = 'delete' AND children > 0 THEN 'has children' END, CASE WHEN key IS NOT NULL AND marker IS NULL THEN 'unknown key' END, CASE WHEN sk > 1 THEN 'key twice' END, CASE WHEN action = 'add' AND sg > 1 THEN 'block twice' END, CASE WHEN action = 'add' AND bt IS NULL THEN 'no such block' END, CASE WHEN action = 'add' AND bt IS NOT NULL AND NOT contains({SQZ('bt')}, {SQZ('title')}) THEN 'title isn''t in its block' END]) AS reason FROM oj)
+oj AS (SELECT o.*, n.marker, c.children, b.title AS bt
+  FROM ow o LEFT JOIN nt_ n ON n.source_id = o.source_id AND n.key = o.key LEFT JOIN kc c ON c.source_id = o.source_id AND c.key = o.key
+  LEFT JOIN tr b ON b.source_id = o.source_id AND b.seq = o.gid),
+rs AS (SELECT source_id, item, unnest([CASE WHEN action = 'delete' AND marker = 'front' THEN 'front matter' END, CASE WHEN action = 'delete' AND children > 0 THEN 'has children' END, CASE WHEN key IS NOT NULL AND marker IS NULL THEN 'unknown key' END, CASE WHEN sk > 1 THEN 'key twice' END, CASE WHEN action = 'add' AND sg > 1 THEN 'block twice' END, CASE WHEN action = 'add' AND bt IS NULL THEN 'no such block' END, CASE WHEN action = 'add' AND bt IS NOT NULL AND NOT contains({SQZ('bt')}, {SQZ('title')}) THEN 'title isn''t in its block' END]) AS reason
+  FROM oj)
 SELECT * FROM rs WHERE reason IS NOT NULL""")
 def e13(spark, sf):
     t = tree(spark, sf).withColumn("key", F.col("seq").cast("string")).withColumn("marker", F.when(F.col("seq") == 1, "front").otherwise("chapter"))
@@ -54,9 +59,13 @@ EVIDENCE_PREFIXES = ("numbering_", "structure_", "toc_", "page_zone", "top_node"
 
 EVIDENCE = " OR ".join(f"starts_with(\"check\", '{p}')" for p in EVIDENCE_PREFIXES)
 FINDINGS = f"""{NUM}, {DUP}, {PG}, af AS (
-  SELECT t.source_id, 'level_jump' AS "check", 'warn' AS severity, t.seq, p.level || ' ' || t.level AS detail FROM tr t JOIN tr p ON p.source_id = t.source_id AND p.seq = t.parent WHERE t.level - p.level > 1
+  SELECT t.source_id, 'level_jump' AS "check", 'warn' AS severity, t.seq, p.level || ' ' || t.level AS detail
+  FROM tr t JOIN tr p ON p.source_id = t.source_id AND p.seq = t.parent WHERE t.level - p.level > 1
   UNION ALL SELECT source_id, 'duplicate_title', {SEV("'high'")}, seq, first_::VARCHAR FROM fs WHERE seq <> first_
-  UNION ALL SELECT source_id, CASE WHEN n = prev_n THEN 'numbering_repeat' WHEN n > prev_n THEN 'numbering_gap' ELSE 'numbering_restart' END, {SEV('(' + NSEV + ')')}, seq, tier || ' ' || prev_n || ' ' || n FROM sb WHERE prev_n IS NOT NULL AND n <> prev_n + 1
+ 
+  UNION ALL
+  SELECT source_id, CASE WHEN n = prev_n THEN 'numbering_repeat' WHEN n > prev_n THEN 'numbering_gap' ELSE 'numbering_restart' END, {SEV('(' + NSEV + ')')}, seq, tier || ' ' || prev_n || ' ' || n
+  FROM sb WHERE prev_n IS NOT NULL AND n <> prev_n + 1
   UNION ALL {ALLF})"""
 
 
@@ -79,7 +88,8 @@ def a20(spark, sf):
     return d.select("doc_id", workflow.identity(F.col("doc_id").cast("string"), "source", F.lit("v1")).alias("job_id"))
 
 
-@query("a20_table_revisions", f"WITH {V2} SELECT source_id, sha256(string_agg(sha256(gid || chr(31) || type || chr(31) || coalesce(text_level::VARCHAR, chr(0)) || chr(31) || text), '' ORDER BY gid)) AS revision FROM v2 GROUP BY 1")
+@query("a20_table_revisions", f"""WITH {V2} SELECT source_id, sha256(string_agg(sha256(gid || chr(31) || type || chr(31) || coalesce(text_level::VARCHAR, chr(0)) || chr(31) || text), '' ORDER BY gid)) AS revision
+  FROM v2 GROUP BY 1""")
 def a20_revisions(spark, sf):
     return workflow.table_revision(views.blocks(spark, sf), "gid", "gid", "type", "text_level", "text")
 
@@ -89,10 +99,13 @@ def d20(spark, sf):
     return workflow.current_stage(views.job_events(spark, sf))
 
 
-STG = "sv AS (SELECT job_id, event_seq, CASE event_seq % 5 WHEN 1 THEN 'received' WHEN 2 THEN 'ocr_running' WHEN 3 THEN CASE WHEN job_id % 3 = 0 THEN 'reviewed' ELSE 'needs_ai_review' END WHEN 4 THEN 'failed' ELSE 'failed' END AS stage FROM v5)"
+STG = """sv AS (SELECT job_id, event_seq, CASE event_seq % 5 WHEN 1 THEN 'received' WHEN 2 THEN 'ocr_running' WHEN 3 THEN CASE WHEN job_id % 3 = 0 THEN 'reviewed' ELSE 'needs_ai_review' END WHEN 4 THEN 'failed' ELSE 'failed' END AS stage
+  FROM v5)"""
 
 
-@query("s13_illegal_moves", f"WITH {V5}, {STG}, lg AS (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY event_seq) AS before FROM sv) SELECT job_id, event_seq, before, stage FROM lg WHERE before IS NOT NULL AND before <> stage AND NOT ((before = 'received' AND stage = 'ocr_running') OR (before = 'ocr_running' AND stage = 'needs_ai_review') OR (before <> 'failed' AND stage = 'failed'))")
+@query("s13_illegal_moves", f"""WITH {V5}, {STG}, lg AS (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY event_seq) AS before FROM sv) SELECT job_id, event_seq, before, stage
+  FROM lg
+  WHERE before IS NOT NULL AND before <> stage AND NOT ((before = 'received' AND stage = 'ocr_running') OR (before = 'ocr_running' AND stage = 'needs_ai_review') OR (before <> 'failed' AND stage = 'failed'))""")
 def illegal(spark, sf):
     stage = F.expr("case event_seq % 5 when 1 then 'received' when 2 then 'ocr_running' when 3 then case when job_id % 3 = 0 then 'reviewed' else 'needs_ai_review' end when 4 then 'failed' else 'failed' end")
     return workflow.illegal_moves(views.job_events(spark, sf).select("job_id", "event_seq", stage.alias("stage")))
@@ -112,17 +125,21 @@ def d19(spark, sf):
     return _states(spark, sf)
 
 
-@query("p14_unfinished", f"WITH {SST}, u AS (SELECT source_id, count(*) AS shards, count(*) FILTER (state = 'unzipped') AS done, count(*) FILTER (state IN ('failed', 'ocr_failed')) AS failed FROM sl GROUP BY 1) SELECT * FROM u WHERE done < shards")
+@query("p14_unfinished", f"""WITH {SST}, u AS (SELECT source_id, count(*) AS shards, count(*) FILTER (state = 'unzipped') AS done, count(*) FILTER (state IN ('failed', 'ocr_failed')) AS failed
+  FROM sl GROUP BY 1) SELECT * FROM u WHERE done < shards""")
 def p14(spark, sf):
     return workflow.unfinished(_states(spark, sf))
 
 
-@query("a21_fidelity", f"{LINES}, sc AS (SELECT source_id, sum(length({SQZ('text')}))::BIGINT AS source_chars FROM v2 GROUP BY 1), rc AS (SELECT source_id, sum(length({SQZ('content')}))::BIGINT AS rendered_chars FROM dc GROUP BY 1) SELECT source_id, source_chars, rendered_chars, round_even(coalesce(rendered_chars, 0) / source_chars, 4) AS ratio FROM sc LEFT JOIN rc USING (source_id)")
+@query("a21_fidelity", f"""{LINES}, sc AS (SELECT source_id, sum(length({SQZ('text')}))::BIGINT AS source_chars FROM v2 GROUP BY 1),
+rc AS (SELECT source_id, sum(length({SQZ('content')}))::BIGINT AS rendered_chars
+  FROM dc GROUP BY 1) SELECT source_id, source_chars, rendered_chars, round_even(coalesce(rendered_chars, 0) / source_chars, 4) AS ratio FROM sc LEFT JOIN rc USING (source_id)""")
 def a21(spark, sf):
     return workflow.fidelity(views.blocks(spark, sf), export.documents(lines(spark, sf)))
 
 
-@query("k11_rewritten_links", "WITH x AS (SELECT doc_id % 9 AS source_id, doc_id AS ord, '- [a](' || (doc_id % 13) || '.md) b' AS line, (doc_id % 13) || '.md' AS path FROM documents) SELECT source_id, ord, CASE WHEN (ord % 13) % 2 = 0 THEN replace(line, '](' || path || ')', '](store:' || source_id || path || ')') ELSE line END AS line FROM x")
+@query("k11_rewritten_links", """WITH x AS (SELECT doc_id % 9 AS source_id, doc_id AS ord, '- [a](' || (doc_id % 13) || '.md) b' AS line, (doc_id % 13) || '.md' AS path
+  FROM documents) SELECT source_id, ord, CASE WHEN (ord % 13) % 2 = 0 THEN replace(line, '](' || path || ')', '](store:' || source_id || path || ')') ELSE line END AS line FROM x""")
 def k11(spark, sf):
     d = table(spark, sf, "documents").select((F.col("doc_id") % 9).alias("source_id"), F.col("doc_id").alias("ord"))
     index = d.select("source_id", "ord", F.concat(F.lit("- [a]("), F.col("ord") % 13, F.lit(".md) b")).alias("line"))
@@ -130,10 +147,12 @@ def k11(spark, sf):
     return workflow.rewritten_links(index, moved)
 
 
-RPL = "ri AS (SELECT event_id // 8 AS source_id, event_id AS item, CASE event_id % 3 WHEN 0 THEN 'operation' WHEN 1 THEN 'page_fix' ELSE 'unresolved' END AS kind, CASE WHEN event_id % 5 = 0 THEN 'rename' ELSE 'level' END AS action, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS evidence, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'scope' END AS scope_evidence, CASE WHEN event_id % 9 = 0 THEN '' ELSE 't' END AS target FROM events)"
+RPL = """ri AS (SELECT event_id // 8 AS source_id, event_id AS item, CASE event_id % 3 WHEN 0 THEN 'operation' WHEN 1 THEN 'page_fix' ELSE 'unresolved' END AS kind, CASE WHEN event_id % 5 = 0 THEN 'rename' ELSE 'level' END AS action, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS evidence, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'scope' END AS scope_evidence, CASE WHEN event_id % 9 = 0 THEN '' ELSE 't' END AS target
+  FROM events)"""
 
 
-@query("e12_reply_problems", f"WITH {RPL}, rr AS (SELECT source_id, item, unnest([CASE WHEN kind = 'operation' AND action = 'rename' THEN 'unknown action' END, CASE WHEN kind IN ('operation', 'page_fix') AND trim(evidence) = '' THEN 'no evidence' END, CASE WHEN kind = 'page_fix' AND scope_evidence IS NULL THEN 'no scope evidence' END, CASE WHEN kind = 'unresolved' AND target = '' THEN 'no question' END]) AS reason FROM ri) SELECT * FROM rr WHERE reason IS NOT NULL")
+@query("e12_reply_problems", f"""WITH {RPL}, rr AS (SELECT source_id, item, unnest([CASE WHEN kind = 'operation' AND action = 'rename' THEN 'unknown action' END, CASE WHEN kind IN ('operation', 'page_fix') AND trim(evidence) = '' THEN 'no evidence' END, CASE WHEN kind = 'page_fix' AND scope_evidence IS NULL THEN 'no scope evidence' END, CASE WHEN kind = 'unresolved' AND target = '' THEN 'no question' END]) AS reason
+  FROM ri) SELECT * FROM rr WHERE reason IS NOT NULL""")
 def e12(spark, sf):
     e = table(spark, sf, "events")
     items = e.select(F.expr("event_id div 8").alias("source_id"), F.col("event_id").alias("item"), F.expr("case event_id % 3 when 0 then 'operation' when 1 then 'page_fix' else 'unresolved' end").alias("kind"), F.expr("case when event_id % 5 = 0 then 'rename' else 'level' end").alias("action"), F.expr("case when event_id % 7 = 0 then ' ' else event_type end").alias("evidence"), F.expr("case when event_id % 4 = 0 then null else 'scope' end").alias("scope_evidence"), F.expr("case when event_id % 9 = 0 then '' else 't' end").alias("target"), F.lit("?").alias("question"))
@@ -156,15 +175,19 @@ LISTED = "case when shard_ord = 1 and type = 'text' and source_id % 5 <> 0 and p
 
 @query("t01_toc_regions", f"""WITH {V2}, lb AS (SELECT source_id, shard_ord, page_idx, gid, {LISTED} AS text FROM v2 WHERE type = 'text'),
 ll AS (SELECT source_id, shard_ord, page_idx, gid, u.l FROM lb, LATERAL (SELECT unnest(string_split(text, chr(10))) AS l) u),
-lc AS (SELECT source_id, shard_ord, page_idx, count(*) FILTER (regexp_matches(l, '[.．·…]{{3,}} *[0-9]{{1,4}} *$') OR regexp_matches(l, '^.{{2,60}} +[0-9]{{1,4}} *$')) AS lines, min(gid) AS fg FROM ll GROUP BY 1, 2, 3),
+lc AS (SELECT source_id, shard_ord, page_idx, count(*) FILTER (regexp_matches(l, '[.．·…]{{3,}} *[0-9]{{1,4}} *$') OR regexp_matches(l, '^.{{2,60}} +[0-9]{{1,4}} *$')) AS lines, min(gid) AS fg
+  FROM ll GROUP BY 1, 2, 3),
 st AS (SELECT DISTINCT ON (source_id) source_id, shard_ord, page_idx AS heading_page FROM lc WHERE lines >= 3 ORDER BY source_id, lines DESC, fg),
-mi AS (SELECT s.source_id, s.shard_ord, s.heading_page, min(k.k) AS k FROM st s, (SELECT unnest(range(1, 13)) AS k) k WHERE k.k = 12 OR NOT EXISTS (SELECT 1 FROM lc WHERE lc.source_id = s.source_id AND lc.shard_ord = s.shard_ord AND lc.page_idx = s.heading_page + k.k AND lc.lines >= 3) GROUP BY 1, 2, 3)
+mi AS (SELECT s.source_id, s.shard_ord, s.heading_page, min(k.k) AS k FROM st s, (SELECT unnest(range(1, 13)) AS k) k WHERE k.k = 12 OR NOT EXISTS (SELECT 1
+  FROM lc WHERE lc.source_id = s.source_id AND lc.shard_ord = s.shard_ord AND lc.page_idx = s.heading_page + k.k AND lc.lines >= 3) GROUP BY 1, 2, 3)
 SELECT source_id, shard_ord, heading_page, heading_page + k - 1 AS last_page FROM mi""")
 def t01(spark, sf):
     return outline.toc_regions(views.blocks(spark, sf).withColumn("text", F.expr(LISTED)))
 
 
-@query("f18_file_names", f"{RTREE} SELECT source_id, seq, lpad(seq::VARCHAR, 3, '0') || '_' || regexp_replace(regexp_replace(CASE WHEN crumbs = '' THEN title ELSE replace(crumbs, ' › ', '_') || '_' || title END, '[\\\\/:*?\"<>|]+', '_', 'g'), '[ .]+(_|$)', '\\1', 'g') || '.md' AS path FROM tr")
+@query("f18_file_names", f"""{RTREE}
+  SELECT source_id, seq, lpad(seq::VARCHAR, 3, '0') || '_' || regexp_replace(regexp_replace(CASE WHEN crumbs = '' THEN title ELSE replace(crumbs, ' › ', '_') || '_' || title END, '[\\\\/:*?\"<>|]+', '_', 'g'), '[ .]+(_|$)', '\\1', 'g') || '.md' AS path
+  FROM tr""")
 def f18(spark, sf):
     t = outline.breadcrumbs(tree(spark, sf))
     crumbs = F.when(F.col("crumbs") == "", F.array().cast("array<string>")).otherwise(F.split("crumbs", " › "))
@@ -174,23 +197,26 @@ def f18(spark, sf):
 F19 = "regexp_replace(s, '[ \n]*([(]z-lib.org[)]|[[]libgen[]])', '')"
 
 
-@query("f19_site_tags", f"WITH x AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (z-lib.org)' WHEN 1 THEN '[libgen]' ELSE '（作者）' END AS s FROM documents) SELECT doc_id, {STRIP(F19)} AS title FROM x")
+@query("f19_site_tags", f"""WITH x AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' (z-lib.org)' WHEN 1 THEN '[libgen]' ELSE '（作者）' END AS s FROM documents) SELECT doc_id, {STRIP(F19)} AS title FROM x""")
 def f19(spark, sf):
     s = F.concat("text", F.expr("case doc_id % 3 when 0 then ' (z-lib.org)' when 1 then '[libgen]' else '（作者）' end"))
     return table(spark, sf, "documents").select("doc_id", text.strip_site_tags(s).alias("title"))
 
 
-@query("f20_source_ids", "SELECT doc_id, left(CASE WHEN n = '' THEN 'source' ELSE n END, 48) || '.' || left(sha256(text), 10) AS source_id FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)")
+@query("f20_source_ids", """SELECT doc_id, left(CASE WHEN n = '' THEN 'source' ELSE n END, 48) || '.' || left(sha256(text), 10) AS source_id
+  FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)""")
 def f20(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.source_id("text", F.sha2("text", 256)).alias("source_id"))
 
 
-@query("f28_human_sizes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024 + 0.5) / 10) ELSE printf('%.1f MB', floor(n * 10 / 1048576 + 0.5) / 10) END AS size FROM (SELECT doc_id, n_chars * doc_id AS n FROM documents)")
+@query("f28_human_sizes", """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024 + 0.5) / 10) ELSE printf('%.1f MB', floor(n * 10 / 1048576 + 0.5) / 10) END AS size
+  FROM (SELECT doc_id, n_chars * doc_id AS n FROM documents)""")
 def f28(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.human_size(F.col("n_chars") * F.col("doc_id")).alias("size"))
 
 
-@query("u01_union_of_shards", f"WITH {V1} SELECT source_id, count(*) AS rows, count(DISTINCT (shard_ord, page_idx)) AS pages FROM (SELECT * FROM v1 WHERE shard_ord % 2 = 0 UNION ALL SELECT * FROM v1 WHERE shard_ord % 2 = 1) GROUP BY 1")
+@query("u01_union_of_shards", f"""WITH {V1} SELECT source_id, count(*) AS rows, count(DISTINCT (shard_ord, page_idx)) AS pages FROM (SELECT * FROM v1 WHERE shard_ord % 2 = 0
+  UNION ALL SELECT * FROM v1 WHERE shard_ord % 2 = 1) GROUP BY 1""")
 def u01(spark, sf):
     o = views.page_observations(spark, sf)
     both = o.filter("shard_ord % 2 = 0").unionByName(o.filter("shard_ord % 2 = 1"))
@@ -203,7 +229,9 @@ def u02(spark, sf):
     return o.groupBy("source_id").agg(F.count_distinct("title").alias("titles"), F.array_join(F.array_sort(F.collect_set(F.col("tier_no").cast("string"))), ",").alias("tiers"))
 
 
-@query("u04_receipt_set_equality", "WITH a AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS p FROM lineitem), b AS (SELECT source_id, CASE WHEN source_id % 17 = 0 THEN p + 1 ELSE p END AS p FROM a) SELECT source_id, NOT EXISTS (SELECT p FROM a x WHERE x.source_id = s.source_id EXCEPT SELECT p FROM b y WHERE y.source_id = s.source_id) AS equal FROM (SELECT DISTINCT source_id FROM a) s")
+@query("u04_receipt_set_equality", """WITH a AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS p FROM lineitem),
+b AS (SELECT source_id, CASE WHEN source_id % 17 = 0 THEN p + 1 ELSE p END AS p FROM a) SELECT source_id, NOT EXISTS (SELECT p
+  FROM a x WHERE x.source_id = s.source_id EXCEPT SELECT p FROM b y WHERE y.source_id = s.source_id) AS equal FROM (SELECT DISTINCT source_id FROM a) s""")
 def u04(spark, sf):
     a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("p")).distinct()
     b = a.select("source_id", F.when(F.col("source_id") % 17 == 0, F.col("p") + 1).otherwise(F.col("p")).alias("p"))
@@ -211,7 +239,8 @@ def u04(spark, sf):
     return a.select("source_id").distinct().join(bad, "source_id", "left").select("source_id", F.col("bad").isNull().alias("equal"))
 
 
-@query("u06_labelled_or_all", "WITH d AS (SELECT doc_id % 30 AS source_id, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS keep FROM documents), h AS (SELECT source_id, bool_or(keep) AS any_ FROM d GROUP BY 1) SELECT source_id, doc_id FROM d JOIN h USING (source_id) WHERE keep OR NOT any_")
+@query("u06_labelled_or_all", """WITH d AS (SELECT doc_id % 30 AS source_id, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS keep FROM documents),
+h AS (SELECT source_id, bool_or(keep) AS any_ FROM d GROUP BY 1) SELECT source_id, doc_id FROM d JOIN h USING (source_id) WHERE keep OR NOT any_""")
 def u06(spark, sf):
     keep = table(spark, sf, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("keep"))
     d = table(spark, sf, "documents").select((F.col("doc_id") % 30).alias("source_id"), "doc_id").join(keep, "doc_id", "left")
@@ -239,7 +268,8 @@ def j19(spark, sf):
 
 @query("k02_conversion_meta", f"""WITH {V2}, sh AS (SELECT source_id, shard_ord, max(page_idx) + 1 AS pages, count(*) AS blocks FROM v2 GROUP BY 1, 2),
 so AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY source_id ORDER BY shard_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_page FROM sh),
-sj AS (SELECT source_id, string_agg('{{"tag":"P' || shard_ord || '","pages":' || pages || ',"blocks":' || blocks || ',"first_page":' || first_page || '}}', ',' ORDER BY shard_ord) AS shards FROM so GROUP BY 1)
+sj AS (SELECT source_id, string_agg('{{"tag":"P' || shard_ord || '","pages":' || pages || ',"blocks":' || blocks || ',"first_page":' || first_page || '}}', ',' ORDER BY shard_ord) AS shards
+  FROM so GROUP BY 1)
 SELECT source_id, '{{"blocks":' || count(*) || ',"chars":' || sum(length(text)) || ',"images":' || count(*) FILTER (type = 'image') || ',"tables":' || count(*) FILTER (type = 'table') || ',"notes":' || count(*) FILTER (type = 'page_footnote')
   || ',"outputs":' || count(*) FILTER (gid % 7 = 0) || ',"shards":[' || any_value(shards) || ']}}' AS meta FROM v2 JOIN sj USING (source_id) GROUP BY 1""")
 def k02(spark, sf):
