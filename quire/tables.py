@@ -62,6 +62,11 @@ def stage_scratch(spark: SparkSession) -> Iterator[None]:
         _scope.reset(before)
 
 
+def keep_stage() -> None:
+    """Leaves the scratch tables of the thread's last stage until the application ends, as its result may not have been read yet."""
+    _last.set(None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
