@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.llm import linededup, mixing, neardup, packing, toxicity
 from quire.llm._common import documents
 from quire.session import table
-from quire.tables import scratch, stage_scratch
+from quire.tables import keep_stage, scratch, stage_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -90,4 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, work in STAGES[:-1]:
         work(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    keep_stage()
+    return out
