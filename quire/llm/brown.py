@@ -47,6 +47,8 @@ BLOCK_TOKENS = 4_000_000
 HELD_OUT_OF, HELD_OUT_IS = 10, 0
 END_CLASS, RARE_CLASS, UNKNOWN = 0, CLASSES + 1, CLASSES + 2
 WIDTH = CLASSES + 3  # end, classes, rare, unknown
+if WIDTH > 64:
+    raise ValueError("counts around words have six bits for a class")
 END_KEY = xxhash.xxh3_64_intdigest(b"\n") - 2**63
 
 ROW = "at long, kind int, other long, a binary, b binary, c binary, d binary, ids array<long>"
