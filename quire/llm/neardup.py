@@ -21,7 +21,10 @@ it, and against itself, in pairs of blocks. So no group has to fit in one task,
 left out, and the text of a member of a tight group is sent once.
 
 A pair at the threshold misses a tree with probability (1 - t) ** ROOT_COORDS at the
-root, so four trees miss it with less than 1e-5 in small nodes.
+root, so four trees miss it with less than 1e-5 in small nodes. In a larger one that isn't
+tight it has to survive the branching: where all eight of its root values are as frequent as
+that (texts made mostly of passages that hundreds of others share), about 0.4 % of pairs at
+85 % and 1.3 % at 80 % are missed, by calculation; more ``TREES`` or ``ROOT_COORDS`` miss fewer.
 
 Defined results: texts that are null, empty or without words have empty sets and are
 linked with nothing; a text of fewer words than a shingle has its whole sequence as its
