@@ -389,6 +389,25 @@ def x12_maps(spark, sf):
     return standalone.chapter_map(converter_groups(spark, sf)[1])
 
 
-@query("x12_chapter_texts")
+def title_sql(c: str) -> str:
+    """SQL for a title as it is printed."""
+    t = STRIP(f"regexp_replace({STRIP(f'regexp_replace({c}, ' + q(W + '+') + ', chr(32), chr(103))')}, '[{standalone.MARKS}]+$', '')")
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([一-鿿]) ([一-鿿])', '\\1\\2', 'g')"
+    t = f"regexp_replace({t}, '^(第[0-9一二三四五六七八九十百]+[章节篇部卷辑])([一-鿿A-Za-z])', '\\1 \\2')"
+    return f"regexp_replace({t}, '^(附录[0-9一二三四五六七八九十]+)([一-鿿])', '\\1 \\2')"
+
+
+@query("x12_chapter_texts", f"""{GROUPS}, ft AS (SELECT source_id, seq AS unit, level, CASE WHEN number % 6 = 5 THEN '索引' ELSE title END AS head, title, number % 3 = 0 AS cut FROM v3 WHERE source_id % 4 = 0),
+fi AS (SELECT source_id, unit, ['h' || level, 'p', 'note', 'li.p', 'tr', 'edge'] || CASE WHEN cut THEN ['h4', 'p'] ELSE []::VARCHAR[] END AS kinds,
+  [head, 'text of ' || title, '① note' || chr(10) || 'of ' || unit, 'one' || chr(10) || ' two', 'a | b', 'F7'] || CASE WHEN cut THEN ['人名索引', 'names ' || unit] ELSE []::VARCHAR[] END AS texts FROM ft),
+it AS (SELECT source_id, unit, u.* FROM fi, LATERAL (SELECT unnest(kinds) AS kind, unnest(texts) AS text, unnest(range(len(kinds))) AS ord) u),
+ct AS (SELECT source_id, chapter, {title_sql('title')} AS title, unit, first, past FROM gr),
+ci AS (SELECT c.source_id, c.chapter, c.title, i.unit, i.ord, kind, text, kind IN ('h1', 'h2', 'h3') AND {plain_title_sql('text')} = {plain_title_sql('c.title')} AS same
+  FROM ct c JOIN it i ON i.source_id = c.source_id AND i.unit = c.unit AND ord >= first AND ord < past),
+cb AS (SELECT *, bool_or(NOT same) OVER (PARTITION BY source_id, chapter ORDER BY unit, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS body FROM ci),
+cs AS (SELECT source_id, chapter, title, string_agg(CASE kind WHEN 'note' THEN '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) WHEN 'edge' THEN '`' || text || '`' || chr(10) WHEN 'tr' THEN '| ' || text || ' |' WHEN 'li.p' THEN '- one two'
+  WHEN 'p' THEN text || chr(10) ELSE repeat('#', right(kind, 1)::INTEGER) || ' ' || text || chr(10) END, chr(10) ORDER BY unit, ord) AS s FROM cb WHERE body GROUP BY 1, 2, 3)
+SELECT source_id, chapter, title, {STRIP("regexp_replace(regexp_replace('# ' || title || chr(10) || chr(10) || s, '[ \\t]+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS content FROM cs""")
 def x12(spark, sf):
     return standalone.chapter_texts(*converter_groups(spark, sf))
