@@ -98,32 +98,46 @@ def unique_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.when(nth > 1, F.concat(F.col("key"), F.lit("#"), F.col("seq") - 1)).otherwise(F.col("key")))
 
 
-def outlined(blocks: DataFrame, segs: DataFrame, trusted: bool = False, added: DataFrame | None = None) -> Outline:
-    """The automatic outline of blocks, with headings repaired from the contents list and those added by hand."""
+def found_headings(blocks: DataFrame, segs: DataFrame, trusted: bool = False) -> Outline:
+    """An outline without additions and without its tree: candidates that stay and that go, the contents list, repairs."""
     regions, running = outline.toc_regions(blocks), outline.running_texts(blocks)
     found = stored(outline.heading_candidates(blocks, regions, running, trusted), "candidates")
     entries = stored(outline.printed_toc(contents_lines(blocks, regions)), "contents")
-    kept = found.filter("marker is not null")
-    none = found.limit(0)
+    kept, none = found.filter("marker is not null"), found.limit(0)
     mended = none.select("source_id", F.lit(0).cast("long").alias("ord"), F.lit("").alias("title"), F.lit(0).cast("long").alias("printed"), F.lit("").alias("status"), "shard_ord", "page_idx", "gid", F.lit("").alias("key"))
     if not trusted:  # a publisher's levels need no repair
         mended = stored(repairs(blocks, entries, kept.select("source_id", F.col("text").alias("title")), segs), "repairs")
     extra = none.select("source_id", "gid", F.lit("").alias("title"), F.lit(1).cast("long").alias("level"), F.lit(0).cast("long").alias("offset"), F.lit("").alias("status"), "shard_ord", "page_idx", F.lit("").alias("key"))
-    if added is not None:
-        extra = stored(additions(blocks, added), "additions")
+    return Outline(found.filter("drop_reason is not null"), entries, mended, extra, kept)
+
+
+def arranged(blocks: DataFrame, found: Outline, trusted: bool = False) -> DataFrame:
+    """The automatic tree of found_headings() and what was repaired and added, with a node for the front matter."""
+    kept = found.tree
     level = F.coalesce("text_level", F.lit(0)).cast("int") if trusted else F.lit(0)
     own = kept.select("source_id", "gid", F.lit(0).alias("borrowed"), F.lit(0).cast("long").alias("tie"), F.col("gid").cast("string").alias("key"), "text", "marker", "shard_ord", "page_idx", F.lit(0).cast("long").alias("offset"), level.alias("trusted_level"))
-    put = lambda rows, borrowed, tie, offset: rows.filter("status = 'added'").select("source_id", "gid", F.lit(borrowed).alias("borrowed"), tie.alias("tie"), "key", F.col("title").alias("text"), F.lit("chapter").alias("marker"), "shard_ord", "page_idx", offset.alias("offset"), F.lit(0).alias("trusted_level"))
-    every = calibration.all_rows(own, put(mended, 1, F.col("ord"), F.lit(0).cast("long")), put(extra, 2, F.col("gid"), F.col("offset")))
+
+    def put(rows: DataFrame, borrowed: int, tie: str, offset: Column) -> DataFrame:
+        return rows.filter("status = 'added'").select(
+            "source_id", "gid", F.lit(borrowed).alias("borrowed"), F.col(tie).alias("tie"), "key", F.col("title").alias("text"), F.lit("chapter").alias("marker"), "shard_ord", "page_idx", offset.alias("offset"), F.lit(0).alias("trusted_level")
+        )
+
+    every = calibration.all_rows(own, put(found.repairs, 1, "ord", F.lit(0).cast("long")), put(found.additions, 2, "gid", F.col("offset")))
     seq = F.row_number().over(Window.partitionBy("source_id").orderBy("gid", F.col("borrowed") > 0, "borrowed", "tie", "key")).cast("long")
     every = unique_keys(every.withColumn("seq", seq)).withColumn("title", text.clean_title("text"))
-    listed = entries.select("source_id", text.title_key("title").alias("k"), F.lit(True).alias("listed")).distinct()
+    listed = found.entries.select("source_id", text.title_key("title").alias("k"), F.lit(True).alias("listed")).distinct()
     every = every.withColumn("k", text.title_key("title")).join(listed, ["source_id", "k"], "left")
     every = every.withColumn("in_toc", F.coalesce("listed", F.lit(False))).withColumn("unnumbered", ~numbering.has_numbering(text.strip("text"))).drop("k", "listed", "tie", "text")
     every = stored(every.unionByName(front_nodes(blocks, every)), "headings")
     placed = outline.placed_tree(every.select("source_id", "seq", "marker", "unnumbered", "in_toc", "trusted_level"))
     tree = every.select("source_id", "seq", "key", "marker", "title", "gid", "borrowed", "offset", "shard_ord", "page_idx").join(placed, ["source_id", "seq"])
-    return Outline(found.filter("drop_reason is not null"), entries, mended, extra, stored(tree.withColumn("level", F.col("depth")), "tree"))
+    return stored(tree.withColumn("level", F.col("depth")), "tree")
+
+
+def outlined(blocks: DataFrame, segs: DataFrame, trusted: bool = False) -> Outline:
+    """The automatic outline of blocks, with headings repaired from the contents list."""
+    found = found_headings(blocks, segs, trusted)
+    return found._replace(tree=arranged(blocks, found, trusted))
 
 
 def front_nodes(blocks: DataFrame, headings: DataFrame) -> DataFrame:
@@ -137,28 +151,31 @@ def front_nodes(blocks: DataFrame, headings: DataFrame) -> DataFrame:
     return begin.select("source_id", *[values[c].alias(c) for c in headings.columns if c != "source_id"])
 
 
-def reflowed(automatic: DataFrame, given: DataFrame, deleted: DataFrame | None, base: DataFrame | None) -> DataFrame:
+def reflowed(automatic: DataFrame, given: DataFrame, deleted: DataFrame | None, base: DataFrame) -> DataFrame:
     """The tree under an overlay: deleted nodes go (front matter can't), levels are those given, else those of the tree without additions, else their own; parents follow from levels."""
     rows = automatic.drop("ancestors", "parent", "depth", "ordinal", "nid", "rank")
     if deleted is not None:
         gone = deleted.select("source_id", "key", F.lit(True).alias("gone")).distinct()
         rows = rows.join(gone, ["source_id", "key"], "left").filter("gone is null or marker = 'front'").drop("gone")
     rows = rows.join(given.select("source_id", "key", F.col("level").alias("given")), ["source_id", "key"], "left")
-    before = base.select("source_id", "key", F.col("level").alias("before")) if base is not None else None
-    rows = rows.join(before, ["source_id", "key"], "left") if before is not None else rows.withColumn("before", F.lit(None).cast("long"))
+    rows = rows.join(base.select("source_id", "key", F.col("level").alias("before")), ["source_id", "key"], "left")
     rows = rows.withColumn("level", F.coalesce("given", F.greatest(F.lit(1), F.coalesce("before", "level"))).cast("long")).drop("given", "before")
     return outline.with_parents(rows)
 
 
 def corrected(blocks: DataFrame, segs: DataFrame, trusted: bool, overlay: Overlay) -> Outline:
     """The outline under an overlay; sources without corrections keep the automatic one."""
-    made = outlined(blocks, segs, trusted, overlay.added)
+    found = found_headings(blocks, segs, trusted)
+    plain = found._replace(tree=arranged(blocks, found, trusted))
     if overlay.levels is None and overlay.deleted is None and overlay.added is None:
-        return made
+        return plain
+    made = plain
+    if overlay.added is not None:
+        found = found._replace(additions=stored(additions(blocks, overlay.added), "additions"))
+        made = found._replace(tree=arranged(blocks, found, trusted))
     given = overlay.levels.select("source_id", "key", F.col("level").cast("long").alias("level")) if overlay.levels is not None else made.tree.limit(0).select("source_id", "key", "level")
     more = made.additions.filter("status = 'added'").select("source_id", "key", "level").join(given, ["source_id", "key"], "left_anti")
-    base = outlined(blocks, segs, trusted).tree if overlay.added is not None else None
-    return made._replace(tree=stored(reflowed(made.tree, given.unionByName(more), overlay.deleted, base), "reflowed"))
+    return made._replace(tree=stored(reflowed(made.tree, given.unionByName(more), overlay.deleted, plain.tree), "reflowed"))
 
 
 def with_content(tree: DataFrame, owned: DataFrame) -> DataFrame:
