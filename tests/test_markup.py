@@ -53,7 +53,7 @@ def test_joining_needs_a_reason():
 
 
 def book(**changes) -> bytes:
-    return epub.written("T", "en", "urn:x", "2010-01-01T00:00:00Z", [("One", "<p>a</p>"), ("Two", "<p>b</p>")])
+    return epub.written("T", "en", "urn:x", "2010-01-01T00:00:00Z", [epub.Section("One", 1, "<p>a</p>"), epub.Section("Two", 2, "<p>b</p>")])
 
 
 def test_books_are_reproducible_and_sound():
@@ -64,10 +64,10 @@ def test_books_are_reproducible_and_sound():
 
 def test_reading_back():
     p = epub.Package(book())
-    assert p.contents() == [("One", "s0001.xhtml"), ("Two", "s0002.xhtml")]
-    assert p.spine() == ["s0001.xhtml", "s0002.xhtml"]
+    assert p.contents() == [("One", "ch001.xhtml"), ("Two", "ch002.xhtml")]
+    assert p.spine() == ["titlepage.xhtml", "ch001.xhtml", "ch002.xhtml"]
     assert p.metadata() == {"title": "T", "identifier": "urn:x", "language": "en"}
-    assert [[(i.kind, i.text) for i in markup.items(t)] for _, _, t in p.documents()] == [[("h1", "One"), ("p", "a")], [("h1", "Two"), ("p", "b")]]
+    assert [[(i.kind, i.text) for i in markup.items(t)] for _, _, t in p.documents()[1:]] == [[("h1", "One"), ("p", "a")], [("h1", "Two"), ("p", "b")]]
 
 
 def repacked(drop: str = "", change: dict | None = None) -> bytes:
@@ -82,19 +82,46 @@ def repacked(drop: str = "", change: dict | None = None) -> bytes:
     return out.getvalue()
 
 
+def edited(name: str, old: str, new: str) -> bytes:
+    import io
+    import zipfile
+
+    text = zipfile.ZipFile(io.BytesIO(book())).read(name).decode()
+    assert old in text
+    return repacked(change={name: text.replace(old, new, 1)})
+
+
 @pytest.mark.parametrize(
     ("content", "says"),
     [
         (b"", "empty file"),
         (b"x", "not a zip archive"),
         (repacked("mimetype"), "mimetype isn't first"),
+        (repacked("mimetype"), "no mimetype"),
+        (repacked(change={"mimetype": "text/plain"}), "mimetype is wrong"),
         (repacked("META-INF/container.xml"), "no container"),
+        (repacked(change={"META-INF/container.xml": "<x>"}), "container isn't well-formed"),
+        (repacked(change={"META-INF/container.xml": "<x/>"}), "container names no package document"),
         (repacked("OEBPS/content.opf"), "no package document"),
-        (repacked("OEBPS/s0002.xhtml"), "missing OEBPS/s0002.xhtml"),
-        (repacked("OEBPS/nav.xhtml"), "missing OEBPS/nav.xhtml"),
-        (repacked(change={"OEBPS/s0001.xhtml": "<html><p></html>"}), "OEBPS/s0001.xhtml isn't well-formed"),
-        (repacked(change={"OEBPS/s0001.xhtml": "<html><img src='x.png'/></html>"}), "image x.png of OEBPS/s0001.xhtml"),
-        (repacked(change={"mimetype": "text/plain"}), "mimetype is compressed or wrong"),
+        (repacked(change={"OEBPS/content.opf": "<x>"}), "package document isn't well-formed"),
+        (repacked(change={"OEBPS/content.opf": "<x/>"}), "no metadata"),
+        (repacked(change={"OEBPS/content.opf": "<x/>"}), "no manifest"),
+        (repacked(change={"OEBPS/content.opf": "<x/>"}), "no spine"),
+        (repacked(change={"OEBPS/content.opf": "<x/>"}), "spine is empty"),
+        (repacked(change={"OEBPS/content.opf": "<x/>"}), "no navigation document"),
+        (edited("OEBPS/content.opf", '<item id="css"', "<item"), "manifest item without id or href"),
+        (edited("OEBPS/content.opf", '<item id="css"', '<item id="ncx"'), "manifest id ncx repeats"),
+        (edited("OEBPS/content.opf", "dcterms:modified", "x"), "no modification date"),
+        (edited("OEBPS/content.opf", 'unique-identifier="bookid"', 'unique-identifier="x"'), "unique-identifier doesn't resolve"),
+        (edited("OEBPS/content.opf", '<itemref idref="ch002"/>', '<itemref idref="x"/>'), "spine names x, which isn't listed"),
+        (repacked("OEBPS/text/ch002.xhtml"), "missing text/ch002.xhtml"),
+        (repacked("OEBPS/nav.xhtml"), "missing nav.xhtml"),
+        (edited("OEBPS/nav.xhtml", 'epub:type="toc" id', "id"), "navigation has no contents list"),
+        (repacked(change={"OEBPS/nav.xhtml": '<html xmlns:e="http://www.idpf.org/2007/ops"><nav e:type="toc"/></html>'}), "empty navigation"),
+        (edited("OEBPS/nav.xhtml", "text/ch002.xhtml", "x.xhtml"), "navigation to x.xhtml"),
+        (repacked(change={"OEBPS/text/ch001.xhtml": "<html><p></html>"}), "OEBPS/text/ch001.xhtml isn't well-formed"),
+        (repacked(change={"OEBPS/text/ch001.xhtml": "<html><img/></html>"}), "image without source in OEBPS/text/ch001.xhtml"),
+        (repacked(change={"OEBPS/text/ch001.xhtml": "<html><img src='x.png'/></html>"}), "image x.png of OEBPS/text/ch001.xhtml"),
     ],
 )
 def test_broken_packages(content, says):
