@@ -55,7 +55,7 @@ def test_parents_against_brute_force(spark):
     import random
 
     rng = random.Random(5)
-    cases = [[rng.randint(1, 9) for _ in range(rng.randint(1, 40))] for _ in range(60)]
+    cases = [[rng.randint(1, 9 if s % 2 else 40) for _ in range(rng.randint(1, 60))] for s in range(60)]
     rows = [(s, k, v) for s, levels in enumerate(cases) for k, v in enumerate(levels)]
     df = outline.with_parents(spark.createDataFrame(rows, "source_id long, seq long, level long"))
     got = {(r["source_id"], r["seq"]): r["parent"] for r in df.collect()}
@@ -123,7 +123,7 @@ def test_books_nest_without_bound(spark):
     blocks = spark.createDataFrame(rows, "source_id long, gid long, shard_ord long, page_idx long, type string, text string, text_level int")
     tree = sorted(books.recompute(blocks).tree.select("seq", "marker", "parent", "depth", "nid").collect())
     assert [r["marker"] for r in tree] == ["chapter"] + ["plain"] * 40
-    assert [(r["parent"], r["depth"], r["nid"]) for r in tree] == [(k - 1 if k else None, k + 1, ".".join(["1"] * (k + 1))) for k in range(41)]
+    assert [(r["parent"], r["depth"], r["nid"]) for r in tree] == [(k or None, k + 1, ".".join(["1"] * (k + 1))) for k in range(41)]  # places count from 1
 
 
 def test_greedy_matches_take_an_entry_once():
