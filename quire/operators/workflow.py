@@ -132,10 +132,16 @@ def unfinished(states: DataFrame) -> DataFrame:
 
 
 def fidelity(sources: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Characters without whitespace of rendered(source_id, content) against those of sources(source_id, text)."""
+    """Characters without whitespace of rendered(source_id, content) against those of sources(source_id, text).
+
+    A source without characters has the ratio infinity, or NaN if no text is rendered either. The
+    scaled ratio is rounded, ties to even.
+    """
     count = lambda df, c, name: df.groupBy("source_id").agg(F.sum(F.length(squeeze(c)).cast("long")).alias(name))
     rows = count(sources, "text", "source_chars").join(count(rendered, "content", "rendered_chars"), "source_id", "left")
-    return rows.withColumn("ratio", F.bround(F.coalesce("rendered_chars", F.lit(0)) / F.col("source_chars"), 4))
+    told = F.coalesce("rendered_chars", F.lit(0))
+    empty = F.when(told == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return rows.withColumn("ratio", F.when(F.col("source_chars") == 0, empty).otherwise(F.rint(F.try_divide(told, "source_chars") * 10000) / 10000))
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
