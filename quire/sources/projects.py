@@ -54,6 +54,11 @@ def texts(name: str) -> Column:
     return F.coalesce(field(name, "array<string>"), F.array().cast("array<string>"))
 
 
+def raw_text(items: DataFrame) -> DataFrame:
+    """items with ``text`` as it stands in their text, or else in their list, a string to a line, blanks and all."""
+    return items.withColumn("text", F.coalesce(field("text", "string"), F.array_join(texts("list_items"), "\n")))
+
+
 def nested_text(value: object) -> str:
     """The text of a payload: strings, lists and items in one another, of any depth, a piece to a line."""
     if isinstance(value, str):
