@@ -164,10 +164,13 @@ def trimmed(c: Column | str, n: int) -> Column:
     return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 1), F.lit("…")))
 
 
-def human_size(c: Column | str) -> Column:
+def human_size(c: Column | str, largest: str = "GB") -> Column:
+    """Bytes in the unit that keeps the number under 1024, up to the largest unit asked for: MB or GB."""
+    if largest not in ("MB", "GB"):
+        raise ValueError("the largest unit is MB or GB")
     n = col(c).cast("double")
     step = lambda power, unit: F.format_string("%.1f " + unit, n / 1024**power)
-    return F.when(n < 1024, F.format_string("%d B", col(c).cast("long"))).when(n < 1024**2, step(1, "KB")).when(n < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
+    return F.when(n < 1024, F.format_string("%d B", col(c).cast("long"))).when(n < 1024**2, step(1, "KB")).when((n < 1024**3) | F.lit(largest == "MB"), step(2, "MB")).otherwise(step(3, "GB"))
 
 
 def text_digest(c: Column | str) -> Column:

@@ -34,6 +34,6 @@ def odd(sf, tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["a21_fidelity", "k05_stale_files", "s09_contents_of_books", "s10_spines_of_books", "s02_raw_items", "a16_html_counters", "w21_whole_paragraphs", "x03_html_items", "x06_html_blocks"])
+@pytest.mark.parametrize("name", ["a21_fidelity", "f28_human_sizes", "k05_stale_files", "s09_contents_of_books", "s10_spines_of_books", "s02_raw_items", "a16_html_counters", "w21_whole_paragraphs", "x03_html_items", "x06_html_blocks"])
 def test_matches_sql(spark, odd, name):
     same(registry.QUERIES[name](spark, odd), registry.ORACLES[name], odd)
