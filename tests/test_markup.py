@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
 from quire.sources import epub, markup
@@ -126,3 +127,25 @@ def edited(name: str, old: str, new: str) -> bytes:
 )
 def test_broken_packages(content, says):
     assert says in epub.problems(content)
+
+
+def test_equal_documents_are_read_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(epub.markup, "items", lambda t, items=markup.items: read.append(t) or items(t))
+    df = spark.createDataFrame([(1, "")], "source_id long, html string")
+    runs = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    epub.page_items(df)
+    texts = ["<p>a<p>b", None, "<h1>c</h1>", "<p>" + "d" * 5000]
+    rows = [(k, texts[k % 4]) for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), pa.array([t for _, t in rows])], ["source_id", "html"])
+    got = [tuple(r.values()) for b in runs[0](iter([batch, batch])) for r in b.to_pylist()]
+    assert len(read) == 5  # the long one again for the second batch
+    assert got == 2 * [(s, 0, k, i.kind, i.text, i.quoted) for s, t in rows for k, i in enumerate(markup.items(t or ""))]
+
+
+def test_large_equal_documents_come_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(epub, "BATCH_BYTES", 1000)
+    df = spark.createDataFrame([(k, f"<p>{'x' * (k % 3) * 200}</p><p>y</p>") for k in range(50)], "source_id long, html string")
+    got = {(r.source_id, r.ord): r.text for r in epub.page_items(df).collect()}
+    assert got == {(k, o): t for k in range(50) for o, t in enumerate([t for t in ("x" * (k % 3) * 200, "y") if t])}
