@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The code points that count as whitespace.
@@ -37,6 +37,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once for each row, however often later steps and filters name them.
+
+    The optimizer copies a column's expression to wherever it is named, but doesn't look behind a generator.
+    """
+    for name, c in columns.items():
+        rows = rows.select(*[F.col(f"`{x}`") for x in rows.columns if x != name], F.explode(F.array(c)).alias(name))
+    return rows
+
+
 def strip(c: Column | str) -> Column:
     """Without whitespace at both ends."""
     return F.trim(col(c), F.lit(SPACE))

@@ -16,10 +16,10 @@ from quire.functions import numbering, text
 FOCUS_DEPTH = 3
 
 
-def finding(rows: DataFrame, check: str, severity: Column | str, detail: Column) -> DataFrame:
+def finding(rows: DataFrame, check: Column | str, severity: Column | str, detail: Column) -> DataFrame:
     level = F.lit(severity) if isinstance(severity, str) else severity
     level = F.when((level == "high") & (F.col("depth") > FOCUS_DEPTH), "warn").otherwise(level)
-    return rows.select("source_id", F.lit(check).alias("check"), level.alias("severity"), "seq", detail.alias("detail"))
+    return rows.select("source_id", (F.lit(check) if isinstance(check, str) else check).alias("check"), level.alias("severity"), "seq", detail.alias("detail"))
 
 
 def level_jumps(tree: DataFrame) -> DataFrame:
@@ -40,14 +40,15 @@ def with_parent(tree: DataFrame, *columns: str) -> DataFrame:
 def duplicate_titles(tree: DataFrame) -> DataFrame:
     """C02: a title that an earlier sibling has."""
     w = Window.partitionBy("source_id", "parent", "k").orderBy("seq")
-    rows = tree.withColumn("k", text.audit_key("title")).filter("k <> ''").withColumn("first", F.first("seq").over(w)).filter("seq <> first")
+    rows = text.once(tree, k=text.audit_key("title")).filter("k <> ''").withColumn("first", F.first("seq").over(w)).filter("seq <> first")
     return finding(rows, "duplicate_title", "high", F.col("first").cast("string"))
 
 
 def numbered_siblings(tree: DataFrame) -> DataFrame:
     """Nodes with a number, and that of the sibling before them in the same tier."""
     w = Window.partitionBy("source_id", "parent", "tier").orderBy("seq")
-    rows = tree.withColumn("t", text.strip("title")).withColumn("x", numbering.tier("t")).withColumns({"tier": F.col("x.tier"), "n": F.col("x.n")}).filter("n is not null")
+    rows = text.once(tree, t=text.strip("title"))
+    rows = text.once(rows, x=numbering.tier("t")).withColumns({"tier": F.col("x.tier"), "n": F.col("x.n")}).filter("n is not null")
     return rows.drop("x", "t").withColumns({"prev_n": F.lag("n").over(w), "prev_seq": F.lag("seq").over(w)})
 
 
@@ -56,8 +57,7 @@ def numbering_breaks(tree: DataFrame) -> DataFrame:
     rows = numbered_siblings(tree).filter("prev_n is not null and n <> prev_n + 1")
     check = F.when(F.col("n") == F.col("prev_n"), "numbering_repeat").when(F.col("n") > F.col("prev_n"), "numbering_gap").otherwise("numbering_restart")
     severity = F.when(F.col("n") == F.col("prev_n"), "high").when((F.col("n") > F.col("prev_n")) & (F.col("tier") != "arabic"), "high").otherwise("warn")
-    out = finding(rows.withColumn("c", check), "", severity, F.concat_ws(" ", "tier", "prev_n", "n")).drop("check")
-    return out.join(rows.select("source_id", "seq", check.alias("check")), ["source_id", "seq"]).select("source_id", "check", "severity", "seq", "detail")
+    return finding(rows, check, severity, F.concat_ws(" ", "tier", "prev_n", "n"))
 
 
 def gap_probes(tree: DataFrame) -> DataFrame:
@@ -102,20 +102,23 @@ def contents_deltas(matched: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def unmatched_entries(entries: DataFrame, matched: DataFrame) -> DataFrame:
     """C14 and C15: contents entries(source_id, ord, title, printed) that no node matches."""
-    left = entries.join(matched.select("source_id", "ord").distinct(), ["source_id", "ord"], "left_anti").withColumn("t", text.strip("title"))
+    left = entries.join(matched.select("source_id", "ord").distinct(), ["source_id", "ord"], "left_anti")
+    left = text.once(left, t=text.strip("title"))
     tagged = numbering.tier("t").isNotNull() | F.col("t").rlike(rf"^第{text.W}*[{numbering.NUMERALS}零0-9]{{1,3}}{text.W}*[部分篇编]")
-    whole = F.col("printed").isNotNull() & (F.col("printed") != 0) & tagged
+    left = text.once(left, tagged=tagged)
+    whole = F.col("printed").isNotNull() & (F.col("printed") != 0) & F.col("tagged")
     return left.select("source_id", "ord", F.when(whole, "toc_entry_undetected").otherwise("toc_entry_fragment").alias("check"), F.when(whole, "high").otherwise("warn").alias("severity"))
 
 
 def dropped_findings(dropped: DataFrame, entries: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """C16 to C19 over dropped candidates(source_id, gid, text, drop_reason): what a contents list backs, what has a number, what only echoes, what is too long."""
     rows = dropped if added is None else dropped.join(added.select("source_id", "gid"), ["source_id", "gid"], "left_anti")
-    rows = rows.withColumn("k", text.audit_key("text")).withColumn("head", text.strip(F.substring_index("text", "\n", 1)))
-    e = entries.select("source_id", "ord", text.audit_key("title").alias("e")).filter("length(e) >= 4")
+    rows = text.once(rows, k=text.audit_key("text"), head=text.strip(F.substring_index("text", "\n", 1)))
+    e = text.once(entries, e=text.audit_key("title")).select("source_id", "ord", "e").filter("length(e) >= 4")
     hit = rows.filter("length(k) >= 4").join(e, "source_id").filter(F.col("e").contains(F.col("k")) | F.col("k").contains(F.col("e")))
     backed = hit.groupBy("source_id", "gid").agg(F.min("ord").alias("backed_by"))
-    rows = rows.join(backed, ["source_id", "gid"], "left").withColumn("numbered", numbering.tier("head").isNotNull())
+    rows = rows.join(backed, ["source_id", "gid"], "left")
+    rows = text.once(rows, numbered=numbering.tier("head").isNotNull())
     short = F.length("text") <= 60
     check = (
         F.when(F.col("backed_by").isNotNull() & short & (F.col("drop_reason") != "contents page"), "dropped_toc_backed")

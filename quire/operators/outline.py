@@ -200,15 +200,17 @@ def printed_toc(lines: DataFrame) -> DataFrame:
     A title may stand on the line before its page number; names before the number are not
     the title.
     """
-    rows = lines.withColumn("line", strip("line")).filter((F.col("line") != "") & ~F.col("line").isin(*text.TOC_WORDS))
-    part, numbered = F.col("line").rlike(numbering.PART), F.col("line").rlike(TOC_PAGE_NUMBER)
-    before = F.lag(F.when(~part & ~numbered, F.col("line"))).over(Window.partitionBy("source_id").orderBy("ord"))
-    rows = rows.withColumns({"part": part, "numbered": numbered, "pending": before}).filter("part or numbered")
+    rows = text.once(lines, line=strip("line")).filter((F.col("line") != "") & ~F.col("line").isin(*text.TOC_WORDS))
+    rows = text.once(rows, part=F.col("line").rlike(numbering.PART), numbered=F.col("line").rlike(TOC_PAGE_NUMBER))
+    before = F.lag(F.when(~F.col("part") & ~F.col("numbered"), F.col("line"))).over(Window.partitionBy("source_id").orderBy("ord"))
+    rows = rows.withColumn("pending", before).filter("part or numbered")
     leaders = F.col("line").rlike(TOC_LEADERS)
-    head = strip(F.when(leaders, F.regexp_replace("line", rf"(?s){TOC_LEADERS}.*\z", "")).otherwise(F.regexp_replace("line", TOC_PAGE_NUMBER, "")))
+    rows = text.once(rows, head=strip(F.when(leaders, F.regexp_replace("line", rf"(?s){TOC_LEADERS}.*\z", "")).otherwise(F.regexp_replace("line", TOC_PAGE_NUMBER, ""))))
+    head = F.col("head")
     title = F.when(text.looks_like_authors(head), F.when(F.coalesce("pending", F.lit("")) != "", F.col("pending")).otherwise(head)).when(F.length(head) >= 3, head).otherwise(F.coalesce("pending", F.lit("")))
-    title = strip(F.regexp_replace(text.clean_title(title), rf"[{SPACE}.．·…\-—–_]+\z", ""))
-    rows = rows.withColumn("title", F.when(F.col("part"), F.col("line")).otherwise(title)).filter("part or length(title) >= 3")
+    rows = text.once(rows, title=title)
+    title = strip(F.regexp_replace(text.clean_title("title"), rf"[{SPACE}.．·…\-—–_]+\z", ""))
+    rows = text.once(rows, title=F.when(F.col("part"), F.col("line")).otherwise(title)).filter("part or length(title) >= 3")
     printed = F.when(~F.col("part"), F.regexp_extract("line", TOC_PAGE_NUMBER, 2).try_cast("long"))
     return rows.select("source_id", "ord", F.when(F.col("part"), "part").otherwise("chapter").alias("kind"), "title", printed.alias("printed"))
 

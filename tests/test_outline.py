@@ -188,3 +188,14 @@ def test_page_support_has_both_signs(spark):
     seen = spark.createDataFrame([(1, 1, 4, 14), (1, 1, 6, 16)], "source_id long, shard_ord long, page_idx long, printed long")
     asked = spark.createDataFrame([(1, 1, 5, 15), (1, 1, 4, 14), (1, 1, 7, 17), (1, 1, 3, 13), (1, 1, 5, 99)], "source_id long, shard_ord long, page_idx long, printed long")
     assert {(r["page_idx"], r["printed"]): r["support"] for r in review.page_support(asked, seen).collect()} == {(5, 15): "both", (4, 14): "page", (7, 17): "previous", (3, 13): "next", (5, 99): "none"}
+
+
+def test_patterns_are_matched_once_a_row(spark):
+    """Filters and later columns don't repeat what a column of patterns costs."""
+    lines = spark.createDataFrame([(1, 0, "第一章 某某……12")], "source_id long, ord long, line string")
+    entries = outline.printed_toc(lines)
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(f) for f in ("regexp_replace(", "RLIKE")) <= 12
+    tree = spark.createDataFrame([(1, 1, None, "第一章", 1)], "source_id long, seq long, parent long, title string, depth long")
+    plan = audit.numbering_breaks(tree)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 12 and "Join" not in plan
