@@ -30,6 +30,8 @@ NOISE_TITLE = (rf"^[0-9]{{1,4}}{W}*$", rf"^[{SPACE}.·…\-—_=]+$", rf"^(图|
 FIGURE_CAPTION = rf"^(图|表|Figure|Table|Fig\.){W}*[0-9]+"
 NUMBERED_HEADER = rf"^(序言|前言|序|目录|附录|参考文献|索引|后记|结语|绪论){W}*[·:：]?{W}*([0-9]{{1,4}})$"
 SENTENCE_END = "。，；,;！？"
+#: What a file name must not hold: reserved and control characters, blanks other than single spaces, dots and spaces at its ends.
+UNSAFE_NAME = rf'[\\/:*?"<>|\x00-\x1f{SPACE.replace(" ", "")}]|  |^[ .]|[ .]\z'
 DOWNLOAD_SITES = ("z-lib", "zlib", "z-library", "1lib", "libgen", "annas-archive", "anna's archive")
 
 
@@ -146,9 +148,12 @@ def running_key(c: Column | str, structural: Column) -> Column:
 
 def safe_filename(c: Column | str, most: int = 80) -> Column:
     """A file name: reserved characters to underscores, blanks squeezed, no outer dots."""
-    t = F.regexp_replace(F.regexp_replace(col(c), r'[\\/:*?"<>|\x00-\x1f]+', "_"), f"{W}+", " ")
+    own = col(c)
+    t = F.regexp_replace(F.regexp_replace(own, r'[\\/:*?"<>|\x00-\x1f]+', "_"), f"{W}+", " ")
     t = F.substring(F.regexp_replace(t, r"^[ .]+|[ .]+\z", ""), 1, most)
-    return F.when(t == "", "untitled").otherwise(F.regexp_replace(t, r"[ .]+\z", ""))
+    made = F.when(t == "", "untitled").otherwise(F.regexp_replace(t, r"[ .]+\z", ""))
+    # most names are safe as they are, which one look tells
+    return F.when((own != "") & (F.length(own) <= most) & ~own.rlike(UNSAFE_NAME), own).otherwise(made)
 
 
 def strip_site_tags(c: Column | str) -> Column:

@@ -152,9 +152,14 @@ def conversion_meta(blocks: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def file_name(seq: Column | str, crumbs: Column | str, title: Column | str) -> Column:
     """``007_Part_Chapter.md``: the chain of titles, outermost ancestors dropped until it fits."""
+
+    def chained(parts: Column) -> Column:
+        whole = F.array_join(parts, "_")
+        fit = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "_")), lambda s: F.length(s) <= NAME_MOST)
+        return F.when(F.length(whole) <= NAME_MOST, whole).otherwise(F.coalesce(F.try_element_at(fit, F.lit(1)), F.substring(F.element_at(parts, -1), 1, NAME_MOST)))
+
     parts = F.transform(F.concat(col(crumbs), F.array(col(title))), lambda x: safe_filename(x, NAME_MOST))
-    fit = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "_")), lambda s: F.length(s) <= NAME_MOST)
-    stem = F.coalesce(F.try_element_at(fit, F.lit(1)), F.substring(F.element_at(parts, -1), 1, NAME_MOST))
+    stem = F.element_at(F.transform(F.array(parts), chained), 1)  # as a lambda's argument, names are made once
     return F.concat(F.lpad(col(seq).cast("string"), 3, "0"), F.lit("_"), stem, F.lit(".md"))
 
 

@@ -7,6 +7,7 @@ one pass and no node is ever joined with the nodes before it.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,35 +36,39 @@ PAGE = ("source_id", "shard_ord", "page_idx")
 # --- trees ---------------------------------------------------------------------------
 
 
-def with_parents(nodes: DataFrame, order: str = "seq", rank: str = "level") -> DataFrame:
+def with_parents(nodes: DataFrame, order: str = "seq", rank: str = "level", title: str | None = None) -> DataFrame:
     """nodes with ``ancestors`` (orders of the enclosing nodes, outermost first), ``parent``, the last of them, ``depth``, ``ordinal`` among their siblings and ``nid``, the path of ordinals such as 2.1.3.
 
     A node's parent is the nearest one before it with a smaller rank, whatever ranks there
-    are; a node without rank stands at the top and encloses nothing.
+    are; a node without rank stands at the top and encloses nothing. Where a column of titles
+    is named, ``above`` holds those of the enclosing nodes, which pass by anyway.
     """
     names = nodes.columns
     source_at, order_at, rank_at = (names.index(c) for c in ("source_id", order, rank))
+    title_at = names.index(title) if title else None
     key = nodes.schema[order].dataType
-    added = [StructField("ancestors", ArrayType(key)), StructField("parent", key), StructField("depth", LongType()), StructField("ordinal", LongType()), StructField("nid", StringType())]
+    added = [StructField("ancestors", ArrayType(key)), StructField("parent", key), StructField("depth", LongType()), StructField("ordinal", LongType()), StructField("nid", StringType()), *([StructField("above", ArrayType(StringType()))] if title else [])]
     schema = StructType([*nodes.schema.fields, *added])
     kinds = to_arrow_schema(StructType(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, open_ = None, []  # (rank, order, nid, children so far), the first for the top
+        source, open_ = None, []  # (rank, order, nid, children so far, title), the first for the top
         for b in batches:
             made: list[tuple] = []
-            for own, at, r in zip(*(b.column(k).to_pylist() for k in (source_at, order_at, rank_at)), strict=True):
+            titles = b.column(title_at).to_pylist() if title else itertools.repeat(None, b.num_rows)
+            for own, at, r, t in zip(*(b.column(k).to_pylist() for k in (source_at, order_at, rank_at)), titles, strict=True):
                 if own != source or not open_:
-                    source, open_ = own, [[None, None, "", 0]]
+                    source, open_ = own, [[None, None, "", 0, None]]
                 while r is not None and len(open_) > 1 and open_[-1][0] >= r:
                     open_.pop()
                 above = open_ if r is not None else open_[:1]
                 above[-1][3] += 1
                 ordinal = above[-1][3]
                 nid = f"{above[-1][2]}.{ordinal}" if len(above) > 1 else str(ordinal)
-                made.append(([x[1] for x in above[1:]], above[-1][1], len(above), ordinal, nid))
+                place = ([x[1] for x in above[1:]], above[-1][1], len(above), ordinal, nid)
+                made.append((*place, [x[4] for x in above[1:]]) if title else place)
                 if r is not None:
-                    open_.append([r, at, nid, 0])
+                    open_.append([r, at, nid, 0, t])
             columns = zip(*made, strict=True) if made else [[]] * len(added)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True))], [*names, *kinds.names])
 
@@ -72,7 +77,12 @@ def with_parents(nodes: DataFrame, order: str = "seq", rank: str = "level") -> D
 
 
 def breadcrumbs(tree: DataFrame, order: str = "seq") -> DataFrame:
-    """Nodes with ``crumbs``, the titles of their ancestors joined from the outermost."""
+    """Nodes with ``crumbs``, the titles of their ancestors joined from the outermost.
+
+    Trees that with_parents() made with titles hold them already; others are joined with themselves.
+    """
+    if "above" in tree.columns:
+        return tree.withColumn("crumbs", F.array_join("above", " › ")).drop("above")
     up = tree.select("source_id", order, F.posexplode("ancestors").alias("k", "_a"))
     titles = tree.select("source_id", F.col(order).alias("_a"), "title")
     chain = up.join(titles, ["source_id", "_a"]).groupBy("source_id", order).agg(F.array_sort(F.collect_list(F.struct("k", "title"))).alias("c"))

@@ -306,6 +306,11 @@ def tree(spark, sf):
     return out.with_parents(views.outline(spark, sf))
 
 
+def titled_tree(spark, sf):
+    """Nodes with the titles of those around them."""
+    return out.with_parents(views.outline(spark, sf).select("source_id", "seq", "level", "title"), title="title")
+
+
 @query("j06_parents", f"{RTREE} SELECT source_id, seq, level, parent FROM nd")
 def j06(spark, sf):
     return out.with_parents(views.outline(spark, sf)).select("source_id", "seq", "level", "parent")
@@ -318,12 +323,12 @@ def w23(spark, sf):
 
 @query("j22_breadcrumbs", f"{RTREE} SELECT source_id, seq, crumbs FROM tr")
 def j22(spark, sf):
-    return out.breadcrumbs(tree(spark, sf)).select("source_id", "seq", "crumbs")
+    return out.breadcrumbs(titled_tree(spark, sf)).select("source_id", "seq", "crumbs")
 
 
 @query("k04_index_rows", f"{RTREE} SELECT source_id, seq, replace(title, '|', '\\|') AS title, CASE WHEN length(crumbs) > 44 THEN '…' || right(crumbs, 42) ELSE crumbs END AS belongs_to FROM tr")
 def k04(spark, sf):
-    t = out.breadcrumbs(tree(spark, sf))
+    t = out.breadcrumbs(titled_tree(spark, sf))
     short = F.when(F.length("crumbs") > 44, F.concat(F.lit("…"), F.expr("right(crumbs, 42)"))).otherwise(F.col("crumbs"))
     return t.select("source_id", "seq", F.replace("title", F.lit("|"), F.lit("\\|")).alias("title"), short.alias("belongs_to"))
 
