@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import audit, calibration, outline, reports, verify
 from quire.operators import corrections as cor
 from quire.plans.calibration import CONT
-from quire.plans.outline import RTREE, tree
+from quire.plans.outline import RTREE
 from quire.plans.registry import query
 from quire.plans.review import ALLF, G2, PG, _indexed, paged
 from quire.plans.views_sql import V2
@@ -308,9 +308,10 @@ ls AS (SELECT source_id, '# 目录索引：' || source_id || chr(10) || '- 节
   UNION ALL SELECT DISTINCT source_id, chr(10) || '（共 ' || n || ' 条）', 6, 0 FROM dp)
 SELECT source_id, string_agg(line, chr(10) ORDER BY part, a, line) AS report FROM ls GROUP BY 1""")
 def k08_outline(spark, sf):
-    t = tree(spark, sf).withColumns({"marker": F.lit("chapter"), "shard_ord": F.lit(1)})
-    dropped = t.filter("seq % 3 = 1").select("source_id", F.col("seq").alias("gid"), "shard_ord", F.col("seq").alias("page_idx"), F.col("title").alias("text"), F.lit("noise").alias("drop_reason"))
-    return reports.outline_report(t, outline.level_stats(t), dropped)
+    nodes = views.outline(spark, sf)
+    t = outline.with_parents(nodes).withColumns({"marker": F.lit("chapter"), "shard_ord": F.lit(1)})
+    dropped = nodes.withColumn("shard_ord", F.lit(1)).filter("seq % 3 = 1").select("source_id", F.col("seq").alias("gid"), "shard_ord", F.col("seq").alias("page_idx"), F.col("title").alias("text"), F.lit("noise").alias("drop_reason"))
+    return reports.outline_report(t, outline.level_stats(nodes), dropped)
 
 
 @query("k08_audit_reports", f"""{RTREE}, {PG}, af AS ({ALLF}), sm AS (SELECT source_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'info') AS info FROM af GROUP BY 1),

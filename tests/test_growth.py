@@ -41,3 +41,21 @@ def test_long_chains_lose_their_outermost(spark):
     df = spark.createDataFrame([(7, ["a" * 60, "b" * 60, "c"], "d"), (8, [], "e" * 120), (9, ["p"], "q")], "seq long, crumbs array<string>, title string")
     got = [r[0] for r in df.orderBy("seq").select(export.file_name("seq", "crumbs", "title")).collect()]
     assert got == ["007_" + "b" * 60 + "_c_d.md", "008_" + "e" * 100 + ".md", "009_p_q.md"]
+
+
+def test_outline_report_reads_each_table_once(spark, sf):
+    df = registry.QUERIES["k08_outline_reports"](spark, sf)
+    assert python_passes(df) == 1
+
+
+def test_outline_report_keeps_lines_around_null_texts(spark):
+    from quire.operators import reports
+
+    dropped = spark.createDataFrame([(1, g, 1, g, None if g in (0, 2) else f"x{g}", "noise") for g in range(3)], "source_id long, gid long, shard_ord int, page_idx long, text string, drop_reason string")
+    nodes = spark.createDataFrame([(1, 1, "1", 1, "T", "chapter", 1, 3, 9, 1)], "source_id long, seq long, nid string, depth long, title string, marker string, shard_ord int, page_idx long, chars long, blocks long")
+    stats = outline.level_stats(nodes.withColumn("level", F.lit(1)))
+    (got,) = [r["report"] for r in reports.outline_report(nodes, stats, dropped).collect()]
+    assert got.split("\n") == [
+        "# 目录索引：1", "- 节点总数：1", "", "## 层级统计（选切分深度用）", "", "| 层级 | 节点数 | 若切到本层=文件数 | 总字数 | 平均字数 | 最小 | 最大 | 空节点 |", "| --- | --- | --- | --- | --- | --- | --- | --- |", "| L1 | 1 | **1** | 9 | 9 | 9 | 9 | 0 |",
+        "", "## 目录树", "", "- `1` **T** 〔chapter｜P1p3｜9字｜1块〕", "", "## 被丢弃的候选标题", "", "| 分片 | 物理页 | 文本 | 原因 |", "| --- | --- | --- | --- |", "| P1 | 1 | x1 | noise |", "", "（共 3 条）",
+    ]
