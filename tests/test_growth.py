@@ -59,3 +59,8 @@ def test_outline_report_keeps_lines_around_null_texts(spark):
         "# 目录索引：1", "- 节点总数：1", "", "## 层级统计（选切分深度用）", "", "| 层级 | 节点数 | 若切到本层=文件数 | 总字数 | 平均字数 | 最小 | 最大 | 空节点 |", "| --- | --- | --- | --- | --- | --- | --- | --- |", "| L1 | 1 | **1** | 9 | 9 | 9 | 9 | 0 |",
         "", "## 目录树", "", "- `1` **T** 〔chapter｜P1p3｜9字｜1块〕", "", "## 被丢弃的候选标题", "", "| 分片 | 物理页 | 文本 | 原因 |", "| --- | --- | --- | --- |", "| P1 | 1 | x1 | noise |", "", "（共 3 条）",
     ]
+
+
+def test_verify_report_computes_gates_once(spark, sf):
+    plan = registry.QUERIES["k08_verify_reports"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
